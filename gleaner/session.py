@@ -21,6 +21,7 @@ def local_session(cores: str = "*", app: str = "gleaner", **conf) -> SparkSessio
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
