@@ -90,7 +90,6 @@ def greedy_unique(files: Column) -> Column:
 _CLASSES = [4**i for i in range(9)]
 _PIECE = 1 << 20  # characters handled at once; longer texts are read in overlapping pieces
 _KEY_LIMIT = 4_000_000  # most gram keys (8 bytes each) a filter may hold
-_GRAMS = "key bigint, ord bigint, pos bigint, n bigint"
 
 
 def _mix(h):
@@ -158,7 +157,8 @@ def _chunks(pieces):
 
 def _grams_of(chunk, classes, own_only, wanted):
     ords, parts, begins, lengths, runs = (list(x) for x in zip(*chunk, strict=True))
-    ords, begins, lengths, runs = (np.array(x, np.int64) for x in (ords, begins, lengths, runs))
+    begins, lengths, runs = (np.array(x, np.int64) for x in (begins, lengths, runs))
+    ords = pa.array(ords)
     sizes = np.array([len(p) for p in parts], np.int64)
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = _own_class(lengths)
@@ -177,8 +177,9 @@ def _grams_of(chunk, classes, own_only, wanted):
         if known is not None:
             hit = known[np.searchsorted(known, keys).clip(max=len(known) - 1)] == keys
             keys, owner, pos = keys[hit], owner[hit], pos[hit]
-        columns = [keys, ords[owner], pos + begins[owner], lengths[owner]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "ord", "pos", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), ords.take(pa.array(owner)), pa.array(pos + begins[owner]), pa.array(lengths[owner])],
+            names=["key", "ord", "pos", "n"])
 
 
 def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = False, wanted=None) -> DataFrame:
@@ -194,7 +195,8 @@ def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = Fal
             for chunk in _chunks(_pieces(ords, batch.column(1).to_pylist())):
                 yield from _grams_of(chunk, classes, own_only, wanted.value if wanted else None)
 
-    return texts.select(F.col("ord").cast("bigint"), "text").mapInArrow(grams, _GRAMS)
+    kind = texts.schema["ord"].dataType.simpleString()
+    return texts.select("ord", "text").mapInArrow(grams, f"key bigint, ord {kind}, pos bigint, n bigint")
 
 
 def _filters(own: DataFrame, counts: dict[int, int]):
@@ -212,7 +214,7 @@ def _filters(own: DataFrame, counts: dict[int, int]):
 
 def contained_orders(texts: DataFrame) -> DataFrame:
     """``ord`` of every text that an earlier text contains. Texts (ord, text) have to be distinct."""
-    texts = written(texts.select(F.col("ord").cast("bigint").alias("ord"), "text"), "texts")
+    texts = written(texts.select("ord", "text"), "texts")
     own_class = F.lit(0)
     for c in _CLASSES:
         own_class = F.when(F.col("n") >= 2 * c - 1, c).otherwise(own_class)
