@@ -291,7 +291,7 @@ def form_title(text: Column, noise=lx.FORM_TITLE_NOISE, label: str = lx.FORM_LAB
 
 def paragraphs(c: Column, min_length: int = 20) -> Column:
     """Cleaned paragraphs of at least ``min_length`` characters."""
-    parts = F.transform(F.split(text_or_empty(c), r"\n{2,}"), clean_text)
+    parts = F.transform(F.split(text_or_empty(c), r"\n{2,}"), lambda p: clean_text(p))
     return F.filter(parts, lambda p: F.length(p) >= min_length)
 
 

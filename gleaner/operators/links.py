@@ -41,7 +41,7 @@ def anchors(nodes: Column, within: Column | None = None) -> Column:
     found = F.filter(nodes, lambda n: n["tag"] == "a") if whole else D.descendants(nodes, within, "a")
 
     def row(a):
-        parent = F.try_element_at(nodes, a["parent"] + 1)
+        parent = F.get(nodes, a["parent"])
         plain = F.map_filter(a["attrs"], lambda k, _: ~k.isin(*_LIST_ATTRS))
         return F.struct(
             a["pos"].cast("bigint").alias("pos"),

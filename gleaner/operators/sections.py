@@ -20,7 +20,7 @@ _INSIDE_LIST = r"(?:^|/)(?:ul|ol)(?:/|$)"
 
 
 def _node_at(nodes: Column, pos: Column) -> Column:
-    return F.when(pos.isNotNull(), F.try_element_at(nodes, pos + 1))
+    return F.get(nodes, pos)
 
 
 def _body_pos(nodes: Column) -> Column:
@@ -242,7 +242,7 @@ def _waste_items(nodes: Column, main: Column) -> Column:
     def single(n):
         own = F.when(n["tag"].isin("p", "div", "dl"), D.line_text(nodes, n)).otherwise(D.flat_text(nodes, n))
         text = F.when(n["tag"] == "table", F.lit("")).otherwise(own)
-        holder = F.when((n["tag"] == "table") & (n["li"] >= 0), F.try_element_at(nodes, n["li"] + 1))
+        holder = F.when((n["tag"] == "table") & (n["li"] >= 0), F.get(nodes, n["li"]))
         direct = F.when(holder.isNotNull(), D.direct_text(nodes, holder)).otherwise("")
         holds_table = n["tag"].isin("p", "div") & (F.size(D.descendants(nodes, n, "table")) > 0)
         return F.array(item(n, F.lit(0), n["tag"], text, direct, None, None, holds_table))

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from gleaner import lexicon as lx
 from gleaner.functions import text as T
 from gleaner.operators.dedup import keep_first
-from gleaner.schemas import CHUNK
+from gleaner.schemas import chunk_schema
 
 
 def rebuild_table(spark: SparkSession, path: str, rows: DataFrame | None = None) -> None:
     """Drop whatever the target holds and start over (empty unless rows are given)."""
-    rows = spark.createDataFrame([], CHUNK) if rows is None else rows
+    rows = spark.createDataFrame([], chunk_schema()) if rows is None else rows
     rows.write.mode("overwrite").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK).parquet(path)
+    return spark.read.schema(chunk_schema()).parquet(path)
 
 
 def loadable_chunks(incoming: DataFrame, existing: DataFrame, order: str,
@@ -52,7 +52,7 @@ def load_chunks(incoming: DataFrame, path: str, order: str, embed: Callable[[Col
     rows = loadable_chunks(incoming, existing, order, profile)
     if embed is not None:
         rows = rows.withColumn("embedding", embed(F.col("chunk_text")))
-    rows.select(*CHUNK.names).write.mode("append").parquet(path)
+    rows.select(*chunk_schema().names).write.mode("append").parquet(path)
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:

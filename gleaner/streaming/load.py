@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner import lexicon as lx
-from gleaner.schemas import CHUNK
+from gleaner.schemas import chunk_schema
 from gleaner.sources.chunks import load_chunks
 
 
@@ -21,7 +21,7 @@ def stream_chunks(spark: SparkSession, folder: str, table: str, checkpoint: str,
     Ids already in the table are skipped, so a batch that is run again adds nothing. Default
     trigger: read what is there, then stop.
     """
-    source = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", max_files).json(folder).withColumn(
+    source = spark.readStream.schema(chunk_schema()).option("maxFilesPerTrigger", max_files).json(folder).withColumn(
         "_order", F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(
             F.col("_metadata.file_block_start").cast("string"), 20, "0"), "chunk_id", F.sha2(F.coalesce(
                 "chunk_text", F.lit("")), 256)))
