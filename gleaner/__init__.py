@@ -7,3 +7,10 @@ plans       whole jobs made of the above (page documents, corpus build, review)
 streaming   incremental chunk load
 catalog     the registered queries with their SQL counterparts
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the task, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

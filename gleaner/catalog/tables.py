@@ -154,7 +154,7 @@ _GENERAL_TEXT = " || ".join(
         "'[바로가기 링크]'", "'- 예약 창구: https://a.org/' || c_custkey"]))
 
 
-@query(f"""with d as (select *, regexp_replace({_GENERAL_TEXT}, '\\n[0-9]\\n', chr(10), 'g') as x from customer)
+@query(f"""with d as (select *, array_to_string(list_filter(string_split({_GENERAL_TEXT}, chr(10)), lambda l: length(l) > 1), chr(10)) as x from customer)
   select c_custkey as page_id, md5({q.lit(_URL)} || c_custkey) as doc_id, c_name || ' 안내' as title, '전자민원' as top_menu,
     'contents' as page_type, c_mktsegment || '과 작성일: 2024.1.5 조회수 1,' || lpad((c_custkey % 1000)::varchar, 3, '0') as department,
     '2024-01-05' as day, 1000 + c_custkey % 1000 as views, 6 as n_sections, 1 as n_links, x as text,
@@ -223,7 +223,7 @@ def waste_documents(t):
 @query(f"""select p_partkey as page_id, md5('{_PROFILE.passport_source}::' || p_name || '.pdf') as doc_id, p_name as title,
   {q.strip('''('제목: ' || p_name || chr(10) || '메뉴경로: 외교부 여권안내 > 여권기본사항 > 신청서식 모음' || chr(10) || '출처페이지: ' || '''
            + q.lit(_PROFILE.passport_url) + ''' || chr(10) || chr(10) || '[서식 정보]' || chr(10) || '서식명: ' || p_name || chr(10)
-  || '파일명: ' || p_name || '.pdf' || chr(10) || chr(10) || '[PDF 본문]' || chr(10) || p_type || chr(10) || chr(10) || p_brand)''')} as text,
+  || '파일명: ' || p_name || '.pdf' || chr(10) || chr(10) || '[PDF 본문]' || chr(10) || p_type || ' ' || chr(10) || chr(10) || p_brand)''')} as text,
   9 as n_lines from part""")
 def passport_documents(t):
     from gleaner.functions import text as T
