@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -16,7 +18,12 @@ def query(sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            def table(name: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                # long texts in one small file would keep a single core busy
+                return spread(df) if name == "documents" else df
+
+            return fn(table)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[fn.__name__] = run

@@ -26,9 +26,8 @@ def _talk():
 
 def _spoken_sql(x):
     for pattern, to in T.spoken_rules():
-        pattern = pattern.replace("\\x85", "\\x{85}").replace("\\xa0", "\\x{a0}").replace("[\\s", "[\\s\\x0b")
-        for code in ("1680", "2000", "200a", "2028", "2029", "202f", "205f", "3000"):
-            pattern = pattern.replace(f"\\u{code}", f"\\x{{{code}}}")
+        # RE2 spells the code points and the vertical tab differently
+        pattern = pattern.replace("\\x85", "\\x{85}\\x0b")
         x = q.sub(x, pattern, q.lit(to.replace("$1", "\\1").replace("$2", "\\2")))
     return q.strip(x)
 

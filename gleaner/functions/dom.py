@@ -27,11 +27,11 @@ def strings(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
         subtree(nodes, node),
         lambda n: (n["tag"] == "#text") if keep_noise else (n["tag"] == "#text") & ~n["noise"],
     )
-    return F.transform(found, lambda n: T.strip(n["text"]))
+    return F.transform(found, lambda n: n["text"])
 
 
 def all_strings(nodes: Column) -> Column:
-    return F.transform(F.filter(nodes, lambda n: n["tag"] == "#text"), lambda n: T.strip(n["text"]))
+    return F.transform(F.filter(nodes, lambda n: n["tag"] == "#text"), lambda n: n["text"])
 
 
 def flat_text(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
@@ -63,12 +63,7 @@ def descendants(nodes: Column, node: Column, *tags: str) -> Column:
 
 def matches(node: Column, selector: str) -> Column:
     """tag, #id or .class"""
-    if selector.startswith("#"):
-        return attr(node, "id") == selector[1:]
-    if selector.startswith("."):
-        padded = F.concat(F.lit(" "), T.clean_inline(attr(node, "class")), F.lit(" "))
-        return padded.contains(f" {selector[1:]} ")
-    return node["tag"] == selector
+    return F.array_contains(node["names"], selector)
 
 
 def select(nodes: Column, selector: str) -> Column:

@@ -24,11 +24,13 @@ def _any_of(words) -> str:
 
 
 def has_allowed_menu(url: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> Column:
-    mid = U.menu_id(url)
-    excluded = mid.rlike("^" + _any_of(profile.excluded_menu_prefixes)) if profile.excluded_menu_prefixes \
-        else F.lit(False)
-    known = F.substring(mid, 1, 2).isin(*profile.top_menus)
-    return mid.isin(*profile.forced_menu_ids) | (known & ~excluded)
+    prefixes = profile.excluded_menu_prefixes
+
+    def allowed(mid):
+        excluded = mid.rlike("^" + _any_of(prefixes)) if prefixes else F.lit(False)
+        return mid.isin(*profile.forced_menu_ids) | (F.substring(mid, 1, 2).isin(*profile.top_menus) & ~excluded)
+
+    return T.let(U.menu_id(url), allowed)
 
 
 def is_portal_url(url: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> Column:
@@ -36,13 +38,12 @@ def is_portal_url(url: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) ->
 
 
 def is_allowed_url(url: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> Column:
-    lower = F.lower(url)
-    return (
-        ~T.any_contains(lower, lx.DENY_URL_WORDS)
-        & is_portal_url(url, profile)
-        & T.any_contains(lower, lx.ALLOWED_PATHS)
-        & has_allowed_menu(url, profile)
-    )
+    return T.let(url, lambda u: (
+        ~T.any_contains(F.lower(u), lx.DENY_URL_WORDS)
+        & is_portal_url(u, profile)
+        & T.any_contains(F.lower(u), lx.ALLOWED_PATHS)
+        & has_allowed_menu(u, profile)
+    ))
 
 
 def is_recent_year_label(label: Column, year: int = lx.CURRENT_YEAR, span: int = lx.YEAR_MENU_SPAN) -> Column:
@@ -82,17 +83,19 @@ def mentions_recent_year(text: Column, min_year: int = lx.FORM_MIN_YEAR) -> Colu
 
 
 def looks_like_heading(text: Column) -> Column:
-    t = T.clean_inline(text)
-    return (
+    return T.let(T.clean_inline(text), lambda t: (
         F.length(t).between(2, 30)
         & ~t.rlike(f"{_COLON}|{_PHONE}|{_WEB}")
         & ~T.ends_with_any(t, lx.SENTENCE_ENDINGS)
         & ~T.any_contains(t, lx.HEADING_STOP_WORDS)
-    )
+    ))
 
 
 def looks_like_waste_heading(text: Column) -> Column:
-    t = T.clean_inline(text)
+    return T.let(T.clean_inline(text), _waste_heading)
+
+
+def _waste_heading(t: Column) -> Column:
     has_colon = t.rlike(_COLON)
     left = T.strip(F.regexp_extract(t, "^([^:：]*)[:：]", 1))
     right = T.strip(F.regexp_extract(t, "^[^:：]*[:：](.*)", 1))
@@ -115,14 +118,13 @@ def looks_like_waste_heading(text: Column) -> Column:
 
 
 def is_list_heading(text: Column) -> Column:
-    t = T.clean_inline(text)
-    return (
+    return T.let(T.clean_inline(text), lambda t: (
         F.when(~F.length(t).between(1, 50), False)
         .when(t.rlike(f"{_WEB}|{_PHONE}|^{_any_of(lx.WASTE_HEADING_STARTS)}"), False)
         .when(T.any_contains(t, lx.LIST_HEADING_WORDS) & (F.length(t) > 25), False)
         .when(T.ends_with_any(t, lx.LIST_HEADING_ENDINGS), True)
         .otherwise(F.length(t) <= 20)
-    )
+    ))
 
 
 def is_data_line(text: Column) -> Column:
@@ -148,13 +150,13 @@ def is_real_heading(text: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE)
 
 
 def is_bad_title(title: Column, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> Column:
-    t = T.strip(T.text_or_empty(title))
-    return (t == "") | t.isin(*lx.BAD_TITLES) | t.contains(profile.english_name)
+    return T.let(T.strip(T.text_or_empty(title)), lambda t: (
+        (t == "") | t.isin(*lx.BAD_TITLES) | t.contains(profile.english_name)))
 
 
 def is_bad_heading(text: Column, page_title: Column) -> Column:
-    t = T.clean_inline(text)
-    return (t == "") | t.isin(*lx.BAD_HEADINGS) | (T.normalize_heading(t) == T.normalize_heading(page_title))
+    return T.let(T.clean_inline(text), lambda t: (
+        (t == "") | t.isin(*lx.BAD_HEADINGS) | (T.normalize_heading(t) == T.normalize_heading(page_title))))
 
 
 def is_bad_table_title(text: Column) -> Column:
@@ -171,17 +173,19 @@ def has_page_scheme(href: Column) -> Column:
 
 def is_valid_shortcut(label: Column, href: Column, url: Column,
                       profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> Column:
-    t = T.clean_inline(label)
-    full = T.text_or_empty(url)
-    foreign = (U.host(full) != "") & ~U.host(full).isin(*profile.hosts)
-    return (
-        (t != "")
-        & ~T.any_contains(t, lx.SHORTCUT_DENY)
-        & has_page_scheme(href)
-        & full.rlike("^https?://")
-        & ~t.isin(*lx.SHORTCUT_GENERIC)
-        & (T.any_contains(t, lx.SHORTCUT_ALLOW) | foreign)
-    )
+
+    def valid(t, full):
+        foreign = (U.host(full) != "") & ~U.host(full).isin(*profile.hosts)
+        return (
+            (t != "")
+            & ~T.any_contains(t, lx.SHORTCUT_DENY)
+            & has_page_scheme(href)
+            & full.rlike("^https?://")
+            & ~t.isin(*lx.SHORTCUT_GENERIC)
+            & (T.any_contains(t, lx.SHORTCUT_ALLOW) | foreign)
+        )
+
+    return T.let(T.clean_inline(label), lambda t: T.let(T.text_or_empty(url), lambda full: valid(t, full)))
 
 
 def is_menu_link(href: Column) -> Column:
@@ -208,10 +212,12 @@ def is_target_form(title: Column, category: Column, required: Column, notes: Col
 
 def is_menu_like(text: Column, signals=None) -> Column:
     """Three or more menu signals, more than 70 % short lines, or no lines at all."""
-    found = T.lines(text)
-    short = F.size(F.filter(found, lambda x: F.length(x) <= 12))
     hits = T.count_contained(text, signals or lx.DEFAULT_PROFILE.menu_signals)
-    return (F.size(found) == 0) | (hits >= 3) | (short > F.size(found) * 0.70)
+
+    def short_lines(found):
+        return (F.size(found) == 0) | (F.size(F.filter(found, lambda x: F.length(x) <= 12)) > F.size(found) * 0.70)
+
+    return (hits >= 3) | T.let(T.lines(text), short_lines)
 
 
 def passes_section_gate(text: Column, block_type: Column, min_length: int = 15, max_bars: int = 2) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from gleaner import lexicon as lx
 
-_UNICODE_WS = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WS = rf"[\s{_UNICODE_WS}]"
-_WS_NOT_NL = rf"[\t\x0b\x0c\r {_UNICODE_WS}]"
+# \p{Z} is every separator; with the ASCII and control blanks this is exactly lexicon.WS_CHARS
+_WS_SET = r"\s\p{Z}\x1c-\x1f\x85"
+_WS = f"[{_WS_SET}]"
+_WS_NOT_NL = r"[\t\x0b-\r\p{Z}\x1c-\x1f\x85]"
 _DATE = r"(20[0-9]{2})[./-]" + _WS + r"*([0-9]{1,2})[./-]" + _WS + r"*([0-9]{1,2})"
 
 
@@ -23,6 +24,15 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row and stated once in the plan.
+
+    Rules that mention a derived text many times would otherwise multiply it, and do so again each time a
+    filter on them is pushed through a projection.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(lx.WS_CHARS))
 
@@ -77,8 +87,7 @@ def clean_block_waste(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Cleaned, non-empty lines."""
-    block = clean_block(c)
-    return F.when(block == "", F.array().cast("array<string>")).otherwise(F.split(block, "\n"))
+    return F.filter(F.split(clean_block(c), "\n"), lambda x: x != "")
 
 
 def remove_noise_lines(c: Column, exact=lx.NOISE_EXACT, prefixes=lx.NOISE_PREFIXES, min_length: int = 2) -> Column:
@@ -406,7 +415,7 @@ def spoken_rules() -> list[tuple[str, str]]:
         (r"`([^`]+)`", "$1"),
         (f"(?m)^#{{1,6}}{ws}+", ""),
         (f"(?m)^{ws}*[-*+]{ws}+", ""),
-        (rf"https?://[^\s{_UNICODE_WS}]+", ""),
+        (rf"https?://[^{_WS_SET}]+", ""),
         ("[*_~>#]", ""),
     ]
     return rules

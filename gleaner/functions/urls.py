@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import lexicon as lx
+from gleaner.functions import text as T
 from gleaner.functions.text import strip, text_or_empty
 
 # scheme, authority, path, query, fragment
@@ -58,37 +59,41 @@ def _tidy(p: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link as seen from ``base``, without its fragment."""
-    href = text_or_empty(href)
-    scheme, has_host, netloc, ref_path, has_query = (_part(href, i) for i in (1, 2, 3, 4, 5))
-    query = F.concat(has_query, _part(href, 6))
-    base_scheme, base_netloc, base_path = (_part(base, i) for i in (1, 3, 4))
-    base_query = F.concat(_part(base, 5), _part(base, 6))
-    root = F.concat(base_scheme, F.lit("://"), base_netloc)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, r"[^/]*\z", ""))
-    without_fragment = F.regexp_replace(href, r"(?s)#.*\z", "")
+    parts = T.let(text_or_empty(href), lambda h: F.struct(
+        h.alias("all"), *[_part(h, i).alias(n) for i, n in enumerate(
+            ["scheme", "slashes", "host", "path", "mark", "query"], 1)]))
+    origin = T.let(base, lambda b: F.struct(*[_part(b, i).alias(n) for i, n in (
+        (1, "scheme"), (3, "host"), (4, "path"), (5, "mark"), (6, "query"))]))
+    return T.let(parts, lambda h: T.let(origin, lambda b: _joined(b, h)))
+
+
+def _joined(base: Column, ref: Column) -> Column:
+    query = F.concat(ref["mark"], ref["query"])
+    root = F.concat(base["scheme"], F.lit("://"), base["host"])
+    folder = F.when(base["path"] == "", F.lit("/")).otherwise(F.regexp_replace(base["path"], r"[^/]*\z", ""))
+    scheme = F.when(ref["scheme"] != "", F.lower(ref["scheme"])).otherwise(base["scheme"])
     return (
-        F.when((scheme != "") & (F.lower(scheme) != F.lower(base_scheme)), without_fragment)
-        .when(
-            (has_host != "") & (netloc != ""),
-            F.concat(
-                F.when(scheme != "", F.lower(scheme)).otherwise(base_scheme), F.lit("://"), netloc, ref_path,
-                query,
-            ),
-        )
-        .when((ref_path == "") & (has_query != ""), F.concat(root, base_path, query))
-        .when(ref_path == "", F.concat(root, base_path, base_query))
-        .when(ref_path.startswith("/"), F.concat(root, _tidy(ref_path), query))
-        .otherwise(F.concat(root, _tidy(F.concat(folder, ref_path)), query))
+        F.when((ref["scheme"] != "") & (F.lower(ref["scheme"]) != F.lower(base["scheme"])),
+               F.regexp_replace(ref["all"], r"(?s)#.*\z", ""))
+        .when((ref["slashes"] != "") & (ref["host"] != ""), F.concat(scheme, F.lit("://"), ref["host"], ref["path"], query))
+        .when((ref["path"] == "") & (ref["mark"] != ""), F.concat(root, base["path"], query))
+        .when(ref["path"] == "", F.concat(root, base["path"], base["mark"], base["query"]))
+        .when(ref["path"].startswith("/"), F.concat(root, _tidy(ref["path"]), query))
+        .otherwise(F.concat(root, _tidy(F.concat(folder, ref["path"])), query))
     )
 
 
 def normalize_url(base: Column, href: Column, hosts) -> Column:
     """Absolute http(s) url on one of the hosts, else null."""
-    link = strip(text_or_empty(href))
-    usable = (link != "") & ~link.rlike("^(?:" + "|".join(lx.NON_PAGE_SCHEMES) + ")")
-    full = resolve(base, link)
-    web = full.rlike("^https?://")
-    return F.when(usable & web & host(full).isin(*hosts), full)
+    unusable = "^(?:" + "|".join(lx.NON_PAGE_SCHEMES) + ")"
+
+    def absolute(link):
+        return F.when((link != "") & ~link.rlike(unusable), resolve(base, link))
+
+    def on_host(full):
+        return F.when(full.rlike("^https?://") & host(full).isin(*hosts), full)
+
+    return T.let(T.let(strip(text_or_empty(href)), absolute), on_host)
 
 
 def page_type(url: Column) -> Column:

@@ -190,17 +190,21 @@ def page_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
         F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("raw"),
     )
     is_backup = F.col("block_type") == "full_text_backup"
-    cleaned = joined.withColumn("path", F.when(is_backup, F.array(F.lit("전체 본문"))).otherwise(F.col("path"))) \
-        .withColumn("block", T.remove_noise_lines(T.clean_block(F.col("raw")))) \
-        .withColumn("text", F.when(is_backup, F.col("block")).otherwise(T.clean_text(F.col("block"))))
-    last = F.try_element_at(F.col("path"), F.lit(-1))
-    kept = cleaned.where(
-        F.when(is_backup, F.col("text") != "").otherwise(
-            (F.length("text") >= 3)
-            & ((F.col("block_type") != "paragraph") | (F.size("path") > 0))
-            & F.coalesce(F.col("text") != last, F.lit(True))
-        )
-    )
+    path = F.when(is_backup, F.array(F.lit("전체 본문"))).otherwise(F.col("path"))
+
+    def section(block):
+        return F.struct(path.alias("path"), F.when(is_backup, block).otherwise(T.clean_text(block)).alias("text"))
+
+    def wanted(s):
+        last = F.try_element_at(s["path"], F.lit(-1))
+        return F.when(is_backup, s["text"] != "").otherwise(
+            (F.length(s["text"]) >= 3)
+            & ((F.col("block_type") != "paragraph") | (F.size(s["path"]) > 0))
+            & F.coalesce(s["text"] != last, F.lit(True)))
+
+    made = T.let(T.remove_noise_lines(T.clean_block(F.col("raw"))), section)
+    # filtered inside the generator: a plain filter would clean every text again for each mention
+    kept = joined.select(key, "pos", "block_type", F.inline(F.filter(F.array(made), wanted)))
     unique = first_of(kept, [key, "path", "block_type", "text"], ["pos"])
     return unique.select(key, F.col("pos").alias("section_pos"), F.col("path").alias("heading_path"), "block_type",
                          "text")
@@ -303,9 +307,9 @@ def waste_sections(pages: DataFrame, key: str = "page_id", topic: str = "topic")
         F.min("sub").alias("sub"), F.min("path").alias("heading_path"),
         F.array_join(F.transform(parts, lambda x: x["raw"]), "\n").alias("raw"),
     )
+    cleaned = F.struct(T.clean_text(T.clean_block_waste(F.col("raw")), trailing_blanks=False).alias("text"))
     texts = joined.select(key, F.col("pos").alias("section_pos"), "sub", "heading_path", "block_type",
-                          T.clean_text(T.clean_block_waste(F.col("raw")), trailing_blanks=False).alias("text")
-                          ).where("text <> ''")
+                          F.inline(F.filter(F.array(cleaned), lambda s: s["text"] != "")))
     base = F.when(F.col("direct") != "", F.array(F.col(topic), F.col("direct"))).otherwise(F.col("path"))
     tables = table_sections(placed.where(tag == "table").select(key, "pos", base.alias("base")), pages, key)
     return first_of(texts.unionByName(tables), [key, "heading_path", "block_type", "text"], ["section_pos", "sub"])

@@ -67,7 +67,7 @@ def general_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PRO
     found = L.anchors(tree, F.col("main"))
     facts = nodes.select(
         "page_id", "url", "parent_url", "anchor_text", "menu_path", L.page_title(tree, profile).alias("title"),
-        T.page_metadata(F.array_join(D.all_strings(tree), "\n")).alias("meta"),
+        T.let(F.array_join(D.all_strings(tree), "\n"), T.page_metadata).alias("meta"),
         F.coalesce(L.shortcut_links(found, url, profile), F.array()).alias("shortcut_links"),
         F.coalesce(L.page_attachments(found, url, profile), F.array()).alias("attachments"))
     docs = facts.join(sections, "page_id", "left").withColumn(
@@ -128,7 +128,7 @@ def notice_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROF
     nodes = with_nodes(pages, lx.BID_NOISE_SELECTORS)
     tree = F.col("nodes")
     visible = F.filter(tree, lambda n: (n["tag"] == "#text") & ~n["noise"])
-    full = T.clean_text(F.array_join(F.transform(visible, lambda n: T.strip(n["text"])), "\n"), trailing_blanks=False)
+    full = T.clean_text(F.array_join(F.transform(visible, lambda n: n["text"]), "\n"), trailing_blanks=False)
     read = nodes.select("page_id", "notice_id", full.alias("full"),
                         L.notice_attachments(L.anchors(tree), profile).alias("attachments"))
     body = F.col("full")
@@ -171,7 +171,7 @@ def waste_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFI
     facts = nodes.select(
         "page_id", "url", "category", "topic", menu.alias("menu_path"),
         L.first_title_part(tree, F.col("topic")).alias("title"),
-        T.waste_metadata(F.array_join(D.all_strings(tree), "\n")).alias("meta"))
+        T.let(F.array_join(D.all_strings(tree), "\n"), T.waste_metadata).alias("meta"))
     docs = facts.join(sections, "page_id", "left").withColumn(
         "sections", F.coalesce("sections", F.array().cast(_NO_SECTIONS)))
 

@@ -21,6 +21,7 @@ def local_session(cores: str = "*", app: str = "gleaner", **conf) -> SparkSessio
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }
@@ -47,6 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def spread(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """Rows over all cores ahead of a costly narrow stage, if the table is small enough to lack splits.
+
+    A table of normal size has more splits than the session has cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 

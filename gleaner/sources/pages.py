@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from gleaner import lexicon as lx
+from gleaner.session import spread
 
 NODE = t.StructType([
     t.StructField("pos", t.IntegerType()),
@@ -26,6 +27,7 @@ NODE = t.StructType([
     t.StructField("text", t.StringType()),
     t.StructField("attrs", t.MapType(t.StringType(), t.StringType())),
     t.StructField("noise", t.BooleanType()),
+    t.StructField("names", t.ArrayType(t.StringType())),
 ])
 
 _VOID = frozenset(
@@ -40,24 +42,25 @@ class _Nodes(HTMLParser):
     def __init__(self, noise):
         super().__init__(convert_charrefs=True)
         self.noise = noise
-        self.rows = []  # [pos, last, parent, li, tag, path, text, attrs, noise]
+        self.rows = []  # in the order of NODE
         self.open = []
         self.pending = []
 
-    def _add(self, tag, text, attrs, noisy):
+    def _add(self, tag, text, attrs=(), names=()):
         pos = len(self.rows)
         up = self.rows[self.open[-1]] if self.open else None
         li = -1 if up is None else (up[0] if up[4] == "li" else up[3])
         path = "" if up is None else (f"{up[5]}/{up[4]}" if up[5] else up[4])
-        self.rows.append([pos, pos, up[0] if up else -1, li, tag, path, text, attrs, noisy or bool(up and up[8])])
+        noisy = not self.noise.isdisjoint(names) or bool(up and up[8])
+        self.rows.append([pos, pos, up[0] if up else -1, li, tag, path, text, attrs, noisy, names])
         return pos
 
     def _flush(self):
-        text = "".join(self.pending)
+        text = "".join(self.pending).strip()
         self.pending = []
-        if text.strip():
+        if text:
             hidden = bool(self.open) and self.rows[self.open[-1]][4] in ("script", "style", "template")
-            self._add("#hidden" if hidden else "#text", text, {}, False)
+            self._add("#hidden" if hidden else "#text", text)
 
     def _close(self, depth):
         last = len(self.rows) - 1
@@ -68,9 +71,10 @@ class _Nodes(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._flush()
         attrs = {k: v or "" for k, v in attrs}
-        names = {tag, "#" + attrs["id"] if attrs.get("id") else tag}
-        names.update("." + c for c in attrs.get("class", "").split())
-        pos = self._add(tag, None, attrs, not self.noise.isdisjoint(names))
+        names = [tag, *("." + c for c in attrs.get("class", "").split())]
+        if attrs.get("id"):
+            names.append("#" + attrs["id"])
+        pos = self._add(tag, None, list(attrs.items()), names)
         if tag not in _VOID:
             self.open.append(pos)
 
@@ -91,7 +95,7 @@ class _Nodes(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
-        self._add("#comment", data, {}, False)
+        self._add("#comment", data)
 
     def finish(self, html):
         self.feed(html)
@@ -118,10 +122,7 @@ def with_nodes(pages: DataFrame, noise_selectors=lx.NOISE_SELECTORS, html: str =
             for start in range(0, batch.num_rows, 64):
                 part = texts.slice(start, 64).to_pylist()
                 nodes = [
-                    [
-                        dict(zip(NODE.names, [*row[:7], list(row[7].items()), row[8]], strict=True))
-                        for row in _Nodes(noise).finish(page or "")
-                    ]
+                    [dict(zip(NODE.names, row, strict=True)) for row in _Nodes(noise).finish(page or "")]
                     for page in part
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -129,7 +130,7 @@ def with_nodes(pages: DataFrame, noise_selectors=lx.NOISE_SELECTORS, html: str =
                     names=schema.names,
                 )
 
-    return pages.select(*kept, html).mapInArrow(tokenise, schema)
+    return spread(pages.select(*kept, html)).mapInArrow(tokenise, schema)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
