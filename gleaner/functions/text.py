@@ -151,13 +151,12 @@ def _iso(date_source: Column, pattern: str) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """First ``20yy.m.d`` (also / and -) as ``yyyy-mm-dd``; text without a date is returned cleaned."""
-    t = clean_inline(c)
-    return F.when(t.rlike(_DATE), _iso(t, _DATE)).otherwise(t)
+    return let(clean_inline(c), lambda t: F.when(t.rlike(_DATE), _iso(t, _DATE)).otherwise(t))
 
 
 def parse_date(c: Column) -> Column:
-    t = normalize_date(c)
-    return F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), F.try_to_date(t, "y-M-d"))
+    shape = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
+    return let(normalize_date(c), lambda t: F.when(t.rlike(shape), F.try_to_date(t, "y-M-d")))
 
 
 def normalize_views(c: Column) -> Column:

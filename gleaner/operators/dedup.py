@@ -75,7 +75,7 @@ def greedy_unique(files: Column) -> Column:
 # earlier kept text" and "contained in any earlier text" select the same rows and no iteration is needed.
 #
 # Finding containers without comparing all pairs: winnowing (Schleimer, Wilkerson, Aiken, SIGMOD 2003)
-# in one class per power of four c. Class c hashes all c-grams and selects, in each run of c
+# in a few classes c. Class c hashes all c-grams and selects, in each run of c
 # consecutive grams, the leftmost smallest one. Every run inside a text also occurs in whatever
 # contains it, so all selected grams of the contained text are selected there too, at the same
 # distance from each other. A text of length n belongs to the largest class with 2c-1 <= n and needs only
@@ -87,7 +87,7 @@ def greedy_unique(files: Column) -> Column:
 # its occurrences times the few distinct (offset, length) shapes, however many texts look for it.
 
 
-_CLASSES = [4**i for i in range(9)]
+_CLASSES = [1, 2, 4, 8, 16, 64, 256, 1024, 4096, 16384, 65536]  # dense where texts are short
 _PIECE = 1 << 20  # characters handled at once; longer texts are read in overlapping pieces
 _KEY_LIMIT = 4_000_000  # most gram keys (8 bytes each) a filter may hold
 
@@ -212,14 +212,14 @@ def _filters(own: DataFrame, counts: dict[int, int]):
     return own.sparkSession.sparkContext.broadcast({c: np.sort(g.to_numpy()) for c, g in keys.groupby("class")["key"]})
 
 
-def contained_orders(texts: DataFrame) -> DataFrame:
-    """``ord`` of every text that an earlier text contains. Texts (ord, text) have to be distinct."""
+def uncontained_orders(texts: DataFrame) -> DataFrame:
+    """``ord`` of every text that no earlier text contains. Texts (ord, text) have to be distinct."""
     texts = written(texts.select("ord", "text"), "texts")
     own_class = F.lit(0)
     for c in _CLASSES:
         own_class = F.when(F.col("n") >= 2 * c - 1, c).otherwise(own_class)
     own = written(containment_grams(texts, _CLASSES, own_only=True).withColumn("class", own_class), "own-grams")
-    # one row per class, nine at most
+    # one row per class, eleven at most
     counts = {r["class"]: r["n"] for r in own.groupBy("class").agg(F.count("*").alias("n")).collect()}
     grams = written(containment_grams(texts, sorted(counts), wanted=_filters(own, counts)), "grams")
 
@@ -240,15 +240,16 @@ def contained_orders(texts: DataFrame) -> DataFrame:
     earliest = stretches.unionByName(anywhere).groupBy("digest", "n").agg(F.min("ord").alias("holder"))
     digests = texts.select("ord", F.length("text").cast("bigint").alias("n"),
                            F.md5(F.col("text").cast("binary")).alias("digest"))
-    return digests.join(earliest, ["digest", "n"]).where("holder < ord").select("ord")
+    contained = digests.join(earliest, ["digest", "n"]).where("holder < ord").select("ord")
+    return texts.select("ord").join(contained, "ord", "left_anti")
 
 
 def drop_contained(df: DataFrame, text: Column, order: str) -> DataFrame:
     """Drop every row whose white-space-free text equals or is part of an earlier row's."""
     unique = drop_exact(df, text, order)
     texts = unique.select(F.col(order).alias("ord"), T.squeeze(text).alias("text"))
-    dropped = contained_orders(texts).withColumnRenamed("ord", order)
-    return unique.join(dropped, order, "left_anti")
+    kept = uncontained_orders(texts).withColumnRenamed("ord", order)
+    return df.join(kept, order, "left_semi")
 
 
 def drop_contained_pairwise(df: DataFrame, text: Column, order: str) -> DataFrame:
