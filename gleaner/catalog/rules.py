@@ -262,7 +262,11 @@ _WASTE_COLON = (f"length(lft) > 3 and not regexp_matches(rgt, {q.words(lx.WASTE_
       when regexp_matches(x, {q.words(lx.LIST_HEADING_WORDS)}) and length(x) > 25 then false
       when {_ends('x', lx.LIST_HEADING_ENDINGS)} then true else length(x) <= 20 end as list_heading,
     {q.has('x', f"{_COLON}|{_PHONE}|{_WEB}|[0-9]+ *(" + '|'.join(lx.COUNTED_UNITS) + ")")} as data_line,
-    x = '' or x in ({q.listed(_PROFILE.noise_headings)}) as noise_heading from w""")
+    x = '' or x in ({q.listed(_PROFILE.noise_headings)}) as noise_heading,
+    x not in ({q.listed(_PROFILE.noise_headings)})
+      and not {q.has('x', f"{_COLON}|{_PHONE}|{_WEB}|[0-9]+ *(" + '|'.join(lx.COUNTED_UNITS) + ")")}
+      and length(x) between 2 and 35 and not {_ends('x', lx.SENTENCE_ENDINGS)}
+      and not regexp_matches(' ' || x || ' ', {q.words(lx.REAL_HEADING_BAD_WORDS)}) as real_heading from w""")
 def heading_rules(t):
     rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
     shape, cut = F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(7)), lambda n: F.left(F.col("l"), F.lit(n))
@@ -276,7 +280,8 @@ def heading_rules(t):
     x = F.col("x")
     return rows.select("doc_id", "line_no", P.looks_like_heading(x).alias("heading"),
                        P.looks_like_waste_heading(x).alias("waste_heading"), P.is_list_heading(x).alias("list_heading"),
-                       P.is_data_line(x).alias("data_line"), P.is_noise_heading(x).alias("noise_heading"))
+                       P.is_data_line(x).alias("data_line"), P.is_noise_heading(x).alias("noise_heading"),
+                       P.is_real_heading(x).alias("real_heading"))
 
 
 _TITLED = "case doc_id % 5 when 0 then '메뉴' when 1 then '폐 기물' when 2 then text || '.pdf' else source end"

@@ -119,27 +119,21 @@ def _notices(t):
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("published_at"))
 
 
-@query(f"""with {_NOTICES} select id, views, row_number() over (order by views desc nulls first, id) as place from n
-  where contains(title, 'the') or contains(chunk_text, 'the')""")
+@query(f"""with {_NOTICES} select id, views from n where contains(title, 'the') or contains(chunk_text, 'the')""")
 def notice_search(t):
-    """The order is the result here, so each row also gets its place: rows ranking above it, counted
-    by (views, id) value instead of through one global window."""
-    found = S.search_notices(_notices(t), "the", "views").select("id", "views")
-    return _with_place(found)
-
-
-def _with_place(found):
-    """Place of each row under (views desc nulls first, id) from counts per views value."""
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("views").orderBy("id")
-    sizes = found.groupBy("views").agg(F.count("*").alias("n"))
-    # one row per distinct views value
-    above = sizes.withColumn("above", F.sum("n").over(
-        Window.orderBy(F.desc_nulls_first("views")).rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = found.withColumn("_n", F.row_number().over(within))
-    joined = ranked.join(above.select(F.col("views").alias("_v"), "above"), F.col("views").eqNullSafe(F.col("_v")))
-    return joined.select("id", "views", (F.coalesce("above", F.lit(0)) + F.col("_n")).cast("long").alias("place"))
+    return S.search_notices(_notices(t), "the", "views").select("id", "views")
+
+
+# the first screen of the search: what the order is for
+@query(f"""with {_NOTICES} select id, views, published_at from n where contains(title, 'the') or contains(chunk_text, 'the')
+  order by published_at desc nulls first, id limit 50""")
+def notice_search_newest(t):
+    return S.search_notices(_notices(t), "the").limit(50).select("id", "views", "published_at")
+
+
+@query(f"""with {_NOTICES} select id, views from n order by views desc nulls first, id limit 500""")
+def notice_most_viewed(t):
+    return S.search_notices(_notices(t), None, "views").limit(500).select("id", "views")
 
 
 @query(f"with {_NOTICES} select id, title, views from n order by id limit 10 offset 20")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fits(df: DataFrame, max_rows: int, size: str | None = None, max_bytes: int = 64 << 20) -> bool:
-    """True if the table has at most ``max_rows`` rows whose ``size`` column holds at most ``max_bytes``."""
-    width = F.octet_length(size) if size else F.lit(0)
+def fits(df: DataFrame, max_rows: int, width: Column, max_bytes: int = 64 << 20) -> bool:
+    """True if the table has at most ``max_rows`` rows and their widths add up to at most ``max_bytes``."""
     # the limit keeps the check itself cheap on a large table
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(width.cast("long")).alias("bytes")).first()
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
-def small(df: DataFrame, max_rows: int = 200_000, size: str | None = None) -> DataFrame:
+def small(df: DataFrame, width: Column, max_rows: int = 200_000) -> DataFrame:
     """The table with a broadcast hint if it fits, unchanged (shuffle join) otherwise."""
-    return F.broadcast(df) if fits(df, max_rows, size) else df
+    return F.broadcast(df) if fits(df, max_rows, width) else df

@@ -251,11 +251,3 @@ def drop_contained(df: DataFrame, text: Column, order: str) -> DataFrame:
     kept = uncontained_orders(texts).withColumnRenamed("ord", order)
     return df.join(kept, order, "left_semi")
 
-
-def drop_contained_pairwise(df: DataFrame, text: Column, order: str) -> DataFrame:
-    """The same by comparing all pairs. A yardstick for small inputs only."""
-    unique = drop_exact(df, text, order)
-    a = unique.select(F.col(order).alias("a"), T.squeeze(text).alias("ta"))
-    b = unique.select(F.col(order).alias("b"), T.squeeze(text).alias("tb"))
-    inside = a.join(b, (F.col("b") < F.col("a")) & F.contains("tb", "ta")).select(F.col("a").alias(order)).distinct()
-    return unique.join(inside, order, "left_anti")

@@ -69,7 +69,7 @@ def vector_candidates(questions: DataFrame, chunks: DataFrame, k: int, limit: fl
     chunks = chunks.where("embedding is not null").select("chunk_id", "embedding")
     schema = f"question_id {questions.schema['question_id'].dataType.simpleString()}, " \
              f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, distance double"
-    if fits(questions, question_rows):
+    if fits(questions, question_rows, F.size("embedding") * 8):
         held = questions.sparkSession.sparkContext.broadcast(questions.toArrow())
 
         def scan(batches):
@@ -124,14 +124,14 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
-def keyword_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def keyword_matches(questions: DataFrame, chunks: DataFrame, question_rows: int = 50_000) -> DataFrame:
     """(question_id, chunk_id) of chunks that hold every term of the question's text.
 
     Each question meets only the chunks holding its rarest term; the other terms are checked there.
     Questions and terms are broadcast when they fit, so the chunk table is read without a shuffle.
     """
     asked = questions.select("question_id", tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
-    terms = small(asked.select(F.explode("terms").alias("term")).distinct(), size="term")
+    terms = small(asked.select(F.explode("terms").alias("term")).distinct(), F.octet_length("term"))
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
     spread = words.select(F.explode("words").alias("term")).join(terms, "term", "left_semi") \
         .groupBy("term").agg(F.count("*").alias("spread"))
@@ -139,10 +139,14 @@ def keyword_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         .groupBy("question_id").agg(F.min(F.struct(F.coalesce("spread", F.lit(0)).alias("spread"), "term")).alias("r")
                                     ).where("r.spread > 0")
     probes = asked.join(rarest.select("question_id", F.col("r.term").alias("term")), "question_id")
-    if fits(asked.select(F.concat_ws(" ", "terms").alias("t")), 50_000, "t"):
-        probes = F.broadcast(probes)
-    met = words.withColumn("term", F.explode("words")).join(probes, "term")
-    return met.where(F.size(F.array_except("terms", "words")) == 0).select("question_id", "chunk_id")
+    complete = F.size(F.array_except("terms", "words")) == 0
+    if fits(asked, question_rows, F.octet_length(F.concat_ws(" ", "terms"))):
+        met = words.withColumn("term", F.explode("words")).join(F.broadcast(probes), "term")
+        return met.where(complete).select("question_id", "chunk_id")
+    # only ids and terms are shuffled on terms; the word lists follow by id, once per candidate
+    met = words.select("chunk_id", F.explode("words").alias("term")).join(
+        probes.select("question_id", "term"), "term").select("question_id", "chunk_id")
+    return met.join(words, "chunk_id").join(asked, "question_id").where(complete).select("question_id", "chunk_id")
 
 
 def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int = lx.TOP_K) -> DataFrame:

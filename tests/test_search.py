@@ -55,13 +55,15 @@ def test_all_terms_match(spark):
     words = ["the", "the", "the", "가", "나", "rare", "b1", "C"]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(5))) for i in range(200)]
     asked = [(0, "the 가"), (1, "rare, b1"), (2, "missing the"), (3, "  ,"), (4, "c")]
-    got = S.keyword_matches(spark.createDataFrame(asked, "question_id int, text string"),
-                            spark.createDataFrame(docs, "chunk_id int, text string")).collect()
+    tables = (spark.createDataFrame(asked, "question_id int, text string"),
+              spark.createDataFrame(docs, "chunk_id int, text string"))
     want = set()
     for q, text in asked:
         terms = {w.strip(",").lower() for w in text.split()} - {""}
         want |= {(q, i) for i, d in docs if terms and terms <= set(d.lower().split())}
-    assert {(r.question_id, r.chunk_id) for r in got} == want
+    for rows in (50_000, 1):  # questions broadcast, and shuffled
+        got = S.keyword_matches(*tables, question_rows=rows).collect()
+        assert sorted((r.question_id, r.chunk_id) for r in got) == sorted(want)
 
 
 def test_fusion_keeps_vector_order_on_ties(spark):
