@@ -90,7 +90,12 @@ def prompt_input(t):
     return H.prompt_inputs(asked, hits.join(docs, "chunk_id"))
 
 
-@query()
+@query(f"""with {_HYBRID}, found as (select question_id, list({{'n': '서식' || lang, 'u': '/download/' || doc_id}} order by position) as files
+    from g join documents on doc_id = chunk_id where position <= {lx.TOP_K} group by 1),
+  offered as (select question_id, list_concat(coalesce(flatten(list_transform(files, lambda f: [f, {{'n': '안내', 'u': f.u}}])), []),
+    [{{'n': '여권발급신청서.pdf', 'u': '/download/passport_pdfs/여권발급신청서.pdf'}}]) as files from q left join found using (question_id)),
+  picked as (select question_id, {q.greedy('files')} as kept from offered)
+  select question_id, len(kept) as n_files, array_to_string(list_transform(kept, lambda f: f.n || '@' || f.u), chr(10)) as files from picked""")
 def attachment_pick(t):
     """Files offered by the retrieved documents (links laid into their texts) and by mention."""
     asked = questions(t).withColumn("text", lead())

@@ -56,6 +56,12 @@ def count_words(x: str, items) -> str:
     return "(" + " + ".join(f"(contains({x}, {lit(w)}))::int" for w in items) + ")"
 
 
+def greedy(files: str) -> str:
+    """Fold a list of structs (n, u): keep one whose name and url are both new."""
+    return (f"list_reduce(list_transform({files}, lambda f: [f]), lambda acc, x: case when len(list_filter(acc, "
+            "lambda k: k.n = x[1].n or k.u = x[1].u)) > 0 then acc else list_concat(acc, x) end)")
+
+
 def first_match(x: str, pattern: str, group: int = 1) -> str:
     return f"regexp_extract({x}, {rx(pattern)}, {group})"
 
