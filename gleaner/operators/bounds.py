@@ -1,4 +1,4 @@
-"""Size checks that decide whether a side may be broadcast."""
+"""Size checks that decide whether a side may be broadcast, and generators that compute their array once."""
 
 from __future__ import annotations
 
@@ -13,6 +13,15 @@ def fits(df: DataFrame, max_rows: int, width: Column, max_bytes: int = 64 << 20)
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
+def unnest(df: DataFrame, columns: list[str], rows: Column, proof: str) -> DataFrame:
+    """Columns plus one row per element of an array of structs; ``proof`` is a field that is never null.
+
+    The outer generator keeps the optimizer from adding a "not empty" filter below it, which would compute
+    the whole array a second time, and ahead of any repartitioning.
+    """
+    return df.select(*columns, F.inline_outer(rows)).where(F.col(proof).isNotNull())
+
+
 def small(df: DataFrame, width: Column, max_rows: int = 200_000) -> DataFrame:
     """The table with a broadcast hint if it fits, unchanged (shuffle join) otherwise."""
     return F.broadcast(df) if fits(df, max_rows, width) else df

@@ -10,6 +10,7 @@ from gleaner.functions import dom as D
 from gleaner.functions import predicates as P
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
+from gleaner.operators.bounds import unnest
 from gleaner.operators.dedup import keep_first, keep_last_value, keep_longest
 
 # attributes that hold lists of words, not one string
@@ -61,7 +62,7 @@ def anchors(nodes: Column, within: Column | None = None) -> Column:
 
 def anchor_rows(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, url, pos, href, text, ...) of every anchor of every page."""
-    return pages.select(key, url, F.inline(anchors(F.col("nodes"))))
+    return unnest(pages, [key, url], anchors(F.col("nodes")), "pos")
 
 
 # -- links to follow --------------------------------------------------------------------------
@@ -173,7 +174,7 @@ def page_shortcuts(pages: DataFrame, start_urls, key: str = "page_id", url: str
     none = F.array().cast(_SHORTCUT)
     menu = F.when(at.isin(*start_urls), menu_shortcuts(anchors(nodes), at)).otherwise(none) if start_urls else none
     every = last_value_by(F.concat(F.coalesce(body, none), menu), "text", "url", "raw_href")
-    made = pages.select(key, url, F.posexplode(every).alias("n", "s"))
+    made = pages.select(key, url, F.posexplode_outer(every).alias("n", "s")).where("n is not null")
     return made.select(key, url, F.col("n").cast("bigint").alias("n"), F.col("s.text"), F.col("s.url").alias("link_url"),
                        F.col("s.raw_href"))
 
@@ -263,7 +264,7 @@ def notice_ids(pages: DataFrame, html: DataFrame, key: str = "page_id") -> DataF
 
     A later mention overrides an earlier one's label; the raw-text mentions come last.
     """
-    from_anchors = pages.select(key, F.inline(anchors(F.col("nodes")))).select(
+    from_anchors = unnest(pages, [key], anchors(F.col("nodes")), "pos").select(
         key, F.col("pos").alias("ord"),
         F.regexp_extract(F.concat_ws(" ", "href", "onclick"), _DETAIL_CALL, 1).alias("notice_id"),
         F.col("text").alias("anchor_text"))
@@ -303,7 +304,7 @@ def board_rows(pages: DataFrame, key: str = "page_id", url: str = "url",
             D.flat_text(nodes, link, keep_noise=True).alias("title"),
         )
 
-    made = pages.select(key, url, F.posexplode(F.transform(rows, shaped)).alias("row_no", "r")).select(
+    made = pages.select(key, url, F.posexplode_outer(F.transform(rows, shaped)).alias("row_no", "r")).where("row_no is not null").select(
         key, url, F.col("row_no").cast("bigint").alias("row_no"), "r.cells", "r.href", "r.title")
     cells = F.col("cells")
     joined = F.array_join(cells, " | ")

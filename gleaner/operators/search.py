@@ -133,7 +133,7 @@ def keyword_matches(questions: DataFrame, chunks: DataFrame, question_rows: int
     asked = questions.select("question_id", tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
     terms = small(asked.select(F.explode("terms").alias("term")).distinct(), F.octet_length("term"))
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
-    spread = words.select(F.explode("words").alias("term")).join(terms, "term", "left_semi") \
+    spread = words.select(F.explode_outer("words").alias("term")).join(terms, "term", "left_semi") \
         .groupBy("term").agg(F.count("*").alias("spread"))
     rarest = asked.select("question_id", F.explode("terms").alias("term")).join(spread, "term", "left") \
         .groupBy("question_id").agg(F.min(F.struct(F.coalesce("spread", F.lit(0)).alias("spread"), "term")).alias("r")
@@ -141,10 +141,10 @@ def keyword_matches(questions: DataFrame, chunks: DataFrame, question_rows: int
     probes = asked.join(rarest.select("question_id", F.col("r.term").alias("term")), "question_id")
     complete = F.size(F.array_except("terms", "words")) == 0
     if fits(asked, question_rows, F.octet_length(F.concat_ws(" ", "terms"))):
-        met = words.withColumn("term", F.explode("words")).join(F.broadcast(probes), "term")
+        met = words.withColumn("term", F.explode_outer("words")).join(F.broadcast(probes), "term")
         return met.where(complete).select("question_id", "chunk_id")
     # only ids and terms are shuffled on terms; the word lists follow by id, once per candidate
-    met = words.select("chunk_id", F.explode("words").alias("term")).join(
+    met = words.select("chunk_id", F.explode_outer("words").alias("term")).join(
         probes.select("question_id", "term"), "term").select("question_id", "chunk_id")
     return met.join(words, "chunk_id").join(asked, "question_id").where(complete).select("question_id", "chunk_id")
 

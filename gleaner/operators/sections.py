@@ -13,6 +13,7 @@ from gleaner import lexicon as lx
 from gleaner.functions import dom as D
 from gleaner.functions import predicates as P
 from gleaner.functions import text as T
+from gleaner.operators.bounds import unnest
 
 _HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 _INSIDE_STRUCTURE = r"(?:^|/)(?:ul|ol|table|dl)/"
@@ -155,7 +156,7 @@ def page_items(pages: DataFrame, key: str) -> DataFrame:
     ))
     backup = F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit("backup").alias("tag"),
                       D.line_text(nodes, main).alias("text"))
-    return pages.select(key, F.inline(F.concat(F.array(backup), items)))
+    return unnest(pages, [key], F.concat(F.array(backup), items), "pos")
 
 
 def page_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -204,7 +205,7 @@ def page_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     made = T.let(T.remove_noise_lines(T.clean_block(F.col("raw"))), section)
     # filtered inside the generator: a plain filter would clean every text again for each mention
-    kept = joined.select(key, "pos", "block_type", F.inline(F.filter(F.array(made), wanted)))
+    kept = unnest(joined, [key, "pos", "block_type"], F.filter(F.array(made), wanted), "text")
     unique = first_of(kept, [key, "path", "block_type", "text"], ["pos"])
     return unique.select(key, F.col("pos").alias("section_pos"), F.col("path").alias("heading_path"), "block_type",
                          "text")
@@ -265,7 +266,7 @@ def waste_sections(pages: DataFrame, key: str = "page_id", topic: str = "topic")
     from gleaner.operators.tables import table_sections
 
     nodes = F.col("nodes")
-    items = pages.select(key, topic, F.inline(_waste_items(nodes, F.col("main"))))
+    items = unnest(pages, [key, topic], _waste_items(nodes, F.col("main")), "pos")
     tag, text = F.col("tag"), F.col("text")
     is_title = tag.isin("strong", "dt", *_HEADINGS)
     is_block = tag.isin("p", "div")
@@ -308,8 +309,8 @@ def waste_sections(pages: DataFrame, key: str = "page_id", topic: str = "topic")
         F.array_join(F.transform(parts, lambda x: x["raw"]), "\n").alias("raw"),
     )
     cleaned = F.struct(T.clean_text(T.clean_block_waste(F.col("raw")), trailing_blanks=False).alias("text"))
-    texts = joined.select(key, F.col("pos").alias("section_pos"), "sub", "heading_path", "block_type",
-                          F.inline(F.filter(F.array(cleaned), lambda s: s["text"] != "")))
+    texts = unnest(joined.withColumnRenamed("pos", "section_pos"), [key, "section_pos", "sub", "heading_path", "block_type"],
+                   F.filter(F.array(cleaned), lambda s: s["text"] != ""), "text")
     base = F.when(F.col("direct") != "", F.array(F.col(topic), F.col("direct"))).otherwise(F.col("path"))
     tables = table_sections(placed.where(tag == "table").select(key, "pos", base.alias("base")), pages, key)
     return first_of(texts.unionByName(tables), [key, "heading_path", "block_type", "text"], ["section_pos", "sub"])

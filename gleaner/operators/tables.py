@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleaner import lexicon as lx
 from gleaner.functions import dom as D
 from gleaner.functions import text as T
+from gleaner.operators.bounds import unnest
 
 
 @F.arrow_udf("array<array<string>>")
@@ -89,7 +90,7 @@ def page_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
         )
 
     found = F.transform(D.descendants(nodes, F.col("main"), "table"), view)
-    return pages.select(key, F.inline(found)).withColumn("fee_grid", fill_spans("fee_cells")) \
+    return unnest(pages, [key], found, "pos").withColumn("fee_grid", fill_spans("fee_cells")) \
         .withColumn("grid", fill_spans("all_cells")).drop("fee_cells", "all_cells")
 
 
@@ -219,6 +220,7 @@ def table_sections(bases: DataFrame, pages: DataFrame, key: str = "page_id") ->
         .when((F.col("kind") == "item_guide_or_general") & (F.size(guide) > 0), guide)
         .otherwise(general)
     )
-    made = tables.withColumn("kind", kind).select(key, F.col("pos").alias("section_pos"), F.posexplode(rules))
+    made = tables.withColumn("kind", kind).select(key, F.col("pos").alias("section_pos"), F.posexplode_outer(rules)) \
+        .where("pos is not null")
     return made.select(key, "section_pos", F.col("pos").alias("sub"), "col.heading_path", "col.block_type",
                        "col.text")
