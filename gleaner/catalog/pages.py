@@ -57,10 +57,6 @@ def page_nodes(t):
                                          count("li").alias("n_li"), count("#comment").alias("n_comments"))
 
 
-_BODY = (r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>((?s:.)*?)</article>', 1), "
-         r"'<!--((?s:.)*?)-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), '&#?[a-z0-9]+;', '', 'g')")
-
-
 @query()
 def page_sections(t):
     """Sections of all pages, paths and texts included."""

@@ -137,7 +137,7 @@ _NORMAL = (f"case when {q.has('x', _DAY)} then {q.first_match('x', _DAY, 1)} ||
 
 
 @query(f"""with e as (select event_id, replace({_DATED_SQL}, './', '.') as x, {_VIEWED_SQL} as v from events)
-  select event_id, {_NORMAL} as day_text, try_cast({_NORMAL} as date) as day,
+  select event_id, {_NORMAL} as day_text, try_cast({_NORMAL} as date)::varchar as day,
     try_cast(replace(regexp_extract(v, '([0-9][0-9,]*)', 1), ',', '') as bigint) as views,
     try_cast(regexp_extract(x, '(20[0-9]{{2}})', 1) as int) as year from e""")
 def dates_views(t):
@@ -148,7 +148,7 @@ def dates_views(t):
         F.concat(F.lit("날짜  없음 "), F.col("event_type")))
     viewed = F.concat(F.lit("조회 "), F.floor(i / 1000).cast("string"), F.lit(","),
                       F.lpad((i % 1000).cast("string"), 3, "0"), F.lit("회"))
-    return t("events").select("event_id", T.normalize_date(dated).alias("day_text"), T.parse_date(dated).alias("day"),
+    return t("events").select("event_id", T.normalize_date(dated).alias("day_text"), T.parse_date(dated).cast("string").alias("day"),
                               T.normalize_views(viewed).alias("views"), T.first_year(dated).alias("year"))
 
 

@@ -119,16 +119,20 @@ def _notices(t):
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("published_at"))
 
 
+def _day():
+    return F.col("published_at").cast("string").alias("published_at")
+
+
 @query(f"""with {_NOTICES} select id, views from n where contains(title, 'the') or contains(chunk_text, 'the')""")
 def notice_search(t):
     return S.search_notices(_notices(t), "the", "views").select("id", "views")
 
 
 # the first screen of the search: what the order is for
-@query(f"""with {_NOTICES} select id, views, published_at from n where contains(title, 'the') or contains(chunk_text, 'the')
-  order by published_at desc nulls first, id limit 50""")
+@query(f"""with {_NOTICES} select id, views, published_at::varchar as published_at from n where contains(title, 'the') or contains(chunk_text, 'the')
+  order by n.published_at desc nulls first, id limit 50""")
 def notice_search_newest(t):
-    return S.search_notices(_notices(t), "the").limit(50).select("id", "views", "published_at")
+    return S.search_notices(_notices(t), "the").limit(50).select("id", "views", _day())
 
 
 @query(f"""with {_NOTICES} select id, views from n order by views desc nulls first, id limit 500""")
@@ -141,9 +145,9 @@ def notice_page(t):
     return S.read_notices(_notices(t), 20, 10).select("id", "title", "views")
 
 
-@query(f"with {_NOTICES} select id, title, views, published_at from n where id = 7")
+@query(f"with {_NOTICES} select id, title, views, published_at::varchar as published_at from n where id = 7")
 def notice_by_id(t):
-    return S.read_notice(_notices(t), 7).select("id", "title", "views", "published_at")
+    return S.read_notice(_notices(t), 7).select("id", "title", "views", _day())
 
 
 # boards are order priorities, newest orders first; a page holds orders of one month

@@ -18,8 +18,9 @@ def stream_chunks(spark: SparkSession, folder: str, table: str, checkpoint: str,
                   profile: lx.SiteProfile = lx.DEFAULT_PROFILE, **trigger) -> StreamingQuery:
     """Load every file that appears in ``folder`` into ``table`` (start it with ``rebuild_table``).
 
-    Ids already in the table are skipped, so a batch that is run again adds nothing. Default
-    trigger: read what is there, then stop.
+    Ids already in the table are skipped, so a batch that is run again adds nothing. Lines carry no order: of
+    several usable rows with one id in one file the choice is arbitrary but repeatable; between files the
+    earlier path wins. Default trigger: read what is there, then stop.
     """
     source = spark.readStream.schema(chunk_schema()).option("maxFilesPerTrigger", max_files).json(folder).withColumn(
         "_order", F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(
