@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,9 +171,25 @@ def build_bloom(keys: DataFrame, key: str, log2_blocks: int = 20) -> BlockedBloo
     return BlockedBloom(out)
 
 
-def shared(spark: SparkSession, value):
+class Shared:
+    """A broadcast value that travels with its class, so executors need no copy of this package."""
+
+    def __init__(self, broadcast):
+        self._broadcast, self._value = broadcast, None
+
+    def __getstate__(self):
+        return {"_broadcast": self._broadcast, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._broadcast.value)
+        return self._value
+
+
+def shared(spark: SparkSession, value) -> Shared:
     """Broadcast of a value whose size is bounded by construction."""
-    return spark.sparkContext.broadcast(value)
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def held_out(doc_id: str, parts: int, part: int) -> Column:

@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, privacy, tokens, toxicity
+from gleaner.llm import language, mixing, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+          ("block", "net/fr/")]
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -39,6 +43,26 @@ def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_spans(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the longest fitting rule on every page's url; a url on no list is allowed."""
+    rules = spark.createDataFrame(_RULES, "verdict string, rule string")
+    return urls.judged(_table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its earlier seen 100-byte strings."""
+    return substrings.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixed(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document and where its first 1024 tokens end."""
@@ -54,3 +78,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = language.profiles(docs, ~held_out("doc_id", 3, 1))
     return language.predicted(docs.select("doc_id", "text"), known).select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+SQL["op3_url_rules"] = """
+WITH rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'),
+    ('block', 'net/es/'), ('block', 'net/fr/')),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+keyed AS (SELECT row_number() OVER () AS i, * FROM parts),
+fit AS (SELECT i, rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(rule) DESC) AS place FROM keyed JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, strpos(rule, '/'))))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM keyed LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (i)
+"""
