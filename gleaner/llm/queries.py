@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, mixing, privacy, substrings, tokens, toxicity, urls
+from gleaner.llm import language, mixing, neardup, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,13 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 5-word shingles at 85 percent."""
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
