@@ -8,11 +8,13 @@ The windows are ordered by passes over digits, and a group that is down to one m
    2 / (depth - k + 2) rows per byte instead of one per byte.
 2. The second digit is everything the run's windows cover. In a group of equal runs all but the first run have an
    earlier copy of each of their windows, and are decided at once.
-3. First runs that still share their first digit with others are taken apart into windows, whose last digit is the
-   rest of the window. Equal groups are exactly the repeated windows.
+3. First runs that still share their first digit with others are taken apart. Neighbouring windows at like places go
+   together under the bytes they have in common; where those repeat, the last digit is the rest of each window. Equal groups
+   are exactly the repeated windows.
 
-Passes 1 and 3 read the texts again behind a Bloom filter of fixed size instead of keeping a row for every suffix; its
-false hits are sorted out by the grouping behind it.
+Whatever is not first inside a task is not first at all, so a task settles its own repeats and passes on one row per digit;
+a passage in a third of all texts costs a row per task, not per text. Passes 1 and 3 read the texts again behind
+a Bloom filter of fixed size instead of keeping a row for every suffix; its false hits fall out in the grouping.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import _BASE, _BYTE, build_bloom, mixed, shared, slices, utf8, whole_text
@@ -84,11 +86,6 @@ def _digits(batches, depth: int, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["digit", "n"])
 
 
-def _ids(part, rows) -> list:
-    at = pa.array(rows, pa.int64())
-    return [part.column("doc_id").take(at), part.column("row_key").take(at)]
-
-
 def _whole(data, first, final, digit, depth: int) -> np.ndarray:
     """Hash of all bytes that the windows of each run cover, and of the digit's place among them."""
     view, ask = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
@@ -97,13 +94,58 @@ def _whole(data, first, final, digit, depth: int) -> np.ndarray:
 
 
 def _run_name(digit: np.ndarray, whole: np.ndarray, keys: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mixed(mixed(mixed(digit ^ whole * np.uint64(3)) ^ keys.view(np.uint64)) ^ start.astype(np.uint64))
-
-
-def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32) -> DataFrame:
+    return mixed(mixed(mixed(digit ^ whole * np.uint64(3)) ^ keys) ^ start)
+
+
+class _Gathered:
+    """Rows of a task until they are many; places are comparable numbers that order texts by id (null first) and key."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.rows, self.texts, self.columns = most, 0, [], []
+
+    def add(self, part, rows: np.ndarray, *columns: np.ndarray) -> bool:
+        self.texts.append((part.column("doc_id"), part.column("row_key")))
+        first = sum(len(t[0]) for t in self.texts[:-1])
+        self.columns.append((rows + first, *columns))
+        self.rows += len(rows)
+        return self.rows >= self.most
+
+    def take(self):
+        """(ids, keys, text of each row, rank of its text, further columns), and start anew."""
+        ids, keys = pa.concat_arrays([t[0] for t in self.texts]), pa.concat_arrays([t[1] for t in self.texts])
+        table = pa.table([ids, keys], names=["doc_id", "row_key"])
+        order = pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("row_key", "ascending")],
+                                        null_placement="at_start").to_numpy()
+        sorted_ids, sorted_keys = ids.take(pa.array(order)).to_pylist(), keys.to_numpy()[order]
+        new = [False, *(a != b for a, b in zip(sorted_ids[1:], sorted_ids))] if len(order) else []
+        new = np.array(new, bool)
+        new[1:] |= sorted_keys[1:] != sorted_keys[:-1]
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.cumsum(new)
+        rows, *columns = (np.concatenate(c) for c in zip(*self.columns))
+        self.__init__(self.most)
+        return ids, keys, rows, rank[rows], columns
+
+
+def _later(names: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows whose name also stands at a smaller place."""
+    order = np.lexsort((place, names))
+    names, place = names[order], place[order]
+    head = np.maximum.accumulate(np.where(np.r_[True, names[1:] != names[:-1]], np.arange(len(names)), 0))
+    out = np.empty(len(names), bool)
+    out[order] = place != place[head]
+    return out
+
+
+def _place(rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (rank << np.uint64(36)) | start.astype(np.uint64)
+
+
+def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32, width: int = 8) -> DataFrame:
     """Stretches (doc_id, row_key, start, end) that repeat an earlier window, overlapping ones among them.
 
-    ``docs`` has doc_id, row_key and text; earlier is by id (null first), then row_key, then position.
+    ``docs`` has doc_id, row_key and text; earlier is by id (null first), then row_key, then position. ``width`` is the
+    number of neighbouring windows that go together in the third pass.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -111,104 +153,189 @@ def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32) -> DataFrame:
     again = digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
     asked = shared(spark, build_bloom(again, "digit"))
 
-    def runs(batches):
+    def possible(batches):
         for part, data, offsets, shift in _stretches(batches, depth):
             rows, first, final, digit, names = digit_runs(data, offsets, depth, k)
             hit = asked.value.holds(names)
             rows, first, final, digit, names = rows[hit], first[hit], final[hit], digit[hit], names[hit]
-            yield pa.RecordBatch.from_arrays(
-                [*_ids(part, rows), pa.array(names.view(np.int64)),
-                 pa.array(_whole(data, first, final, digit, depth).view(np.int64)),
-                 pa.array(first - offsets[rows] + shift), pa.array((final - first).astype(np.int16))],
-                names=["doc_id", "row_key", "digit", "whole", "start", "more"])
+            yield part, data, rows, first, final, digit, names, _whole(data, first, final, digit, depth), shift - offsets[rows]
+
+    def runs(batches):
+        held = _Gathered()
+
+        def settled():
+            ids, keys, rows, rank, (names, whole, start, more) = held.take()
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [ids.take(at), keys.take(at), pa.array(names.view(np.int64)), pa.array(whole.view(np.int64)),
+                 pa.array(start), pa.array(more.astype(np.int16)),
+                 pa.array(_later(mixed(names ^ mixed(whole)), _place(rank, start)))],
+                names=["doc_id", "row_key", "digit", "whole", "start", "more", "later"])
+
+        for part, _, rows, first, final, _, names, whole, shift in possible(batches):
+            if held.add(part, rows, names, whole, first + shift, final - first):
+                yield settled()
+        if held.texts:
+            yield settled()
 
     found = written(docs.mapInArrow(
-        runs, f"doc_id {id_type}, row_key long, digit long, whole long, start long, more short"), "runs")
-    place = F.struct("doc_id", "row_key", "start")
-    firsts = written(found.groupBy("digit", "whole").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-runs")
-    copies = (found.join(firsts.where("n > 1").select("digit", "whole", "first"), ["digit", "whole"])
-              .where(place != F.col("first"))
-              .select("doc_id", "row_key", "start", (F.col("start") + F.col("more") + depth).alias("end")))
+        runs, f"doc_id {id_type}, row_key long, digit long, whole long, start long, more short, later boolean"), "runs")
+    place = ["doc_id", "row_key", "start"]
+    ranked = written(found.where("not later").drop("later").withColumn(
+        "rank", F.rank().over(Window.partitionBy("digit", "whole").orderBy(*place))), "ranked-runs")
+    end = (F.col("start") + F.col("more") + depth).alias("end")
+    copies = found.where("later").select(*place, end).unionByName(ranked.where("rank > 1").select(*place, end))
     # only first runs whose first digit is shared with a different run can hold further repeats
-    open_digits = firsts.groupBy("digit").agg(F.count("*").alias("kinds")).where("kinds > 1").select("digit")
-    to_split = firsts.join(open_digits, "digit", "left_semi").select(
-        "digit", "whole", F.col("first.row_key").alias("row_key"), F.col("first.start").alias("start"))
+    firsts = ranked.where("rank = 1").select("digit", "whole", "row_key", "start")
+    open_digits = (firsts.groupBy("digit").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
+                   .where("a != b").select("digit"))
+    to_split = firsts.join(open_digits, "digit", "left_semi")
 
     def name_runs(batches):
         for b in batches:
-            columns = [np.asarray(b.column(i)).astype(np.int64) for i in range(4)]
-            names = _run_name(columns[0].view(np.uint64), columns[1].view(np.uint64), columns[2], columns[3])
+            columns = [b.column(i).to_numpy().view(np.uint64) for i in range(4)]
+            names = _run_name(*columns[:3], columns[3])
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], names=["name"])
 
     wanted = shared(spark, build_bloom(to_split.mapInArrow(name_runs, "name long"), "name"))
 
     def windows(batches):
-        for part, data, offsets, shift in _stretches(batches, depth):
-            rows, first, final, digit, names = digit_runs(data, offsets, depth, k)
-            hit = asked.value.holds(names)
-            rows, first, final, digit, names = rows[hit], first[hit], final[hit], digit[hit], names[hit]
-            keys = np.asarray(part.column("row_key"))[rows].astype(np.int64)
-            hit = wanted.value.holds(_run_name(names, _whole(data, first, final, digit, depth), keys, first - offsets[rows] + shift))
-            rows, first, final, digit, names = rows[hit], first[hit], final[hit], digit[hit], names[hit]
+        held = _Gathered()
+
+        def settled():
+            ids, keys, rows, rank, (run, left, at, core, rest) = held.take()
+            later = _later(mixed(core ^ mixed(rest + left.astype(np.uint64))), _place(rank, at))
+            # settled windows: neighbours in one text fold into stretches
+            r, s = rows[later], at[later]
+            order = np.lexsort((s, r))
+            r, s = r[order], s[order]
+            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] > s[:-1] + 1)]) if len(r) else np.empty(0, np.int64)
+            last = np.r_[new[1:], len(r)] - 1 if len(r) else new
+            owner = pa.array(r[new], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(owner), keys.take(owner), pa.array(mixed(s[new].astype(np.uint64) + mixed(rank[later][order][new])).view(np.int64)),
+                 pa.array(s[new]), pa.array(s[last] + depth), pa.nulls(len(new), pa.list_(pa.int64()))], names=names_out)
+            # the others: one row for each group of neighbours
+            keep = ~later
+            rows, run, left, at, core, rest = rows[keep], run[keep], left[keep], at[keep], core[keep], rest[keep]
+            group = np.r_[True, (run[1:] != run[:-1]) | (core[1:] != core[:-1])] if len(run) else np.empty(0, bool)
+            number = np.cumsum(group) - 1
+            n = int(number[-1]) + 1 if len(number) else 0
+            table, empty = np.zeros((n, width), np.int64), np.ones((n, width), bool)
+            table[number, left % width] = rest.view(np.int64)
+            empty[number, left % width] = False
+            heads = np.flatnonzero(group)
+            owner = pa.array(rows[heads], pa.int64())
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width,
+                                             pa.array(table.ravel(), mask=empty.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(owner), keys.take(owner), pa.array(core[heads].view(np.int64)), pa.array(at[heads] + left[heads] % width),
+                 pa.nulls(n, pa.int64()), lists], names=names_out)
+
+        count = 0
+        for part, data, rows, first, final, digit, names, whole, shift in possible(batches):
+            hit = wanted.value.holds(_run_name(names, whole, part.column("row_key").to_numpy()[rows].view(np.uint64),
+                                               (first + shift).astype(np.uint64)))
+            rows, first, final, digit, shift = rows[hit], first[hit], final[hit], digit[hit], shift[hit]
             n = final - first + 1
             owner = np.repeat(np.arange(len(first)), n)
             at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            left = digit[owner] - at
             view, ask = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
             rest = np.fromiter((ask(view[p:p + depth]) for p in at.tolist()), np.uint64, len(at))
-            yield pa.RecordBatch.from_arrays(
-                [*_ids(part, rows[owner]),
-                 pa.array((names[owner] ^ mixed((digit[owner] - at).astype(np.uint64))).view(np.int64)),
-                 pa.array(rest.view(np.int64)), pa.array(at - offsets[rows[owner]] + shift)],
-                names=["doc_id", "row_key", "digit", "rest", "start"])
-
-    split = written(docs.mapInArrow(windows, f"doc_id {id_type}, row_key long, digit long, rest long, start long"), "windows")
-    earliest = split.groupBy("digit", "rest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = (split.join(earliest.drop("n"), ["digit", "rest"]).where(place != F.col("first"))
-             .select("doc_id", "row_key", "start", (F.col("start") + depth).alias("end")))
-    return copies.unionByName(later)
-
-
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 100, k: int = 32) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
+            # bytes common to all windows of a group of neighbours, hashed once per group
+            low = left // width * width
+            new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1])]) if len(owner) else owner
+            begin, stop = digit[owner[new]] - low[new], digit[owner[new]] - low[new] - width + 1 + depth
+            core = np.fromiter((ask(view[a:b], x) for a, b, x in zip(begin.tolist(), stop.tolist(), low[new].tolist())),
+                               np.uint64, len(new))
+            core = np.repeat(core, np.diff(np.r_[new, len(owner)]))
+            if held.add(part, rows[owner], owner + count, left, at + shift[owner], core, rest):
+                yield from settled()
+            count += len(first)
+        if held.texts:
+            yield from settled()
+
+    names_out = ["doc_id", "row_key", "core", "start", "end", "rest"]
+    split = docs.mapInArrow(windows, f"doc_id {id_type}, row_key long, core long, start long, end long, rest array<long>")
+    # the exchange on the common bytes serves both windows; groups that nothing else shares end here
+    split = split.withColumn("n", F.count("*").over(Window.partitionBy("core"))).where("n > 1 or end is not null")
+    single = split.select("doc_id", "row_key", "core", "end", "start", F.posexplode_outer("rest").alias("left", "rest"))
+    single = single.withColumn("start", F.col("start") - F.coalesce("left", F.lit(0)))
+    rank = F.rank().over(Window.partitionBy("core", "left", "rest").orderBy(*place))
+    later = single.where("rest is not null or end is not null").withColumn("rank", rank).where("rank > 1 or end is not null")
+    return copies.unionByName(later.select(*place, F.coalesce("end", F.col("start") + depth).alias("end")))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 100, k: int = 32,
+                    kept: bool = True) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left).
 
     A byte goes if a ``depth``-byte string over it also starts earlier: in a row with a smaller id, or earlier in the
     same text. Null ids come first; different texts of one id are ordered by a hash; rows alike in id and text are one
     document and get the same result each. Null and empty texts have nothing to remove; texts shorter than ``depth`` stay
     whole; other columns are not looked at; an empty table gives an empty one.
     """
+    spark = docs.sparkSession
     keyed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(whole_text(text)).alias("row_key"), whole_text(text).alias("text"))
-    spans = repeated_spans(keyed, depth, k).groupBy("doc_id", "row_key").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(repeated_spans(keyed, depth, k).groupBy("doc_id", "row_key").agg(
+        F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("row_key").alias("span_key"), "spans")
-    both = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["span_id"]) & (keyed["row_key"] == spans["span_key"]), "left")
+    touched = shared(spark, build_bloom(spans, "span_key", 18))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
+
+    def rows_of(part, data, offsets, spans):
+        raw = data.tobytes()
+        sizes, gone, runs, left = np.diff(offsets), [], [], []
+        for a, b, own in zip(offsets.tolist(), offsets[1:].tolist(), spans):
+            s = np.array([x["start"] for x in own or ()], np.int64)
+            if not len(s):
+                left.append(raw[a:b])
+                gone.append(0)
+                runs.append(0)
+                continue
+            e = np.array([x["end"] for x in own], np.int64)
+            order = np.argsort(s, kind="stable")
+            s, e = s[order], np.maximum.accumulate(e[order])
+            new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+            s, e = s[new], e[np.r_[new[1:] - 1, len(e) - 1]]
+            left.append(b"".join(raw[a + x:a + y] for x, y in zip([0, *e.tolist()], [*s.tolist(), b - a])))
+            gone.append(int((e - s).sum()))
+            runs.append(len(s))
+        columns = [pa.array(sizes), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
+                   pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+        return [part.column("doc_id"), *columns] + ([pa.array(left, pa.binary())] if kept else [])
+
+    out_names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept
+
+    def untouched(batches):
+        """Texts without spans are done here; only the others travel to their spans."""
+        for part in slices(batches, "text"):
+            open_ = touched.value.holds(part.column("row_key").to_numpy().view(np.uint64))
+            done, rest = part.filter(pa.array(~open_)), part.filter(pa.array(open_))
+            if done.num_rows:
+                data, offsets = utf8(done.column("text"))
+                made = rows_of(done, data, offsets, [None] * done.num_rows)
+                yield pa.RecordBatch.from_arrays([*made, done.column("row_key"), pa.nulls(done.num_rows, pa.string())],
+                                                 names=[*out_names, "row_key", "text"])
+            if rest.num_rows:
+                none = [pa.nulls(rest.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
+                none += [pa.nulls(rest.num_rows, pa.binary())] * kept
+                yield pa.RecordBatch.from_arrays([rest.column("doc_id"), *none, rest.column("row_key"), rest.column("text")],
+                                                 names=[*out_names, "row_key", "text"])
+
+    first = keyed.mapInArrow(untouched, f"{result}, row_key long, text string")
+    both = first.join(spans, first["doc_id"].eqNullSafe(spans["span_id"]) & (first["row_key"] == spans["span_key"]), "left")
 
     def cut(batches):
         for part in slices(batches, "text"):
-            data, offsets = utf8(part.column("text"))
-            raw = data.tobytes()
-            sizes, gone, runs, kept = np.diff(offsets), [], [], []
-            lists = part.column("spans")
-            flat, cuts = lists.flatten(), np.r_[0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))]
-            starts, ends = np.asarray(flat.field("start")), np.asarray(flat.field("end"))
-            for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                if cuts[i] == cuts[i + 1]:
-                    kept.append(raw[a:b])
-                    gone.append(0)
-                    runs.append(0)
-                    continue
-                own = slice(cuts[i], cuts[i + 1])
-                order = np.argsort(starts[own], kind="stable")
-                s, e = starts[own][order], np.maximum.accumulate(ends[own][order])
-                new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-                s, e = s[new], e[np.r_[new[1:] - 1, len(e) - 1]]
-                kept.append(b"".join(raw[a + x:a + y] for x, y in zip([0, *e.tolist()], [*s.tolist(), b - a])))
-                gone.append(int((e - s).sum()))
-                runs.append(len(s))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return both.select("doc_id", "text", "spans").mapInArrow(
-        cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            is_open = part.column("text").is_valid()
+            done, rest = part.filter(pa.compute.invert(is_open)), part.filter(is_open)
+            if done.num_rows:
+                yield done.select(out_names)
+            if rest.num_rows:
+                data, offsets = utf8(rest.column("text"))
+                yield pa.RecordBatch.from_arrays(rows_of(rest, data, offsets, rest.column("spans").to_pylist()), names=out_names)
+
+    return both.select(*out_names, "text", "spans").mapInArrow(cut, result)
