@@ -1,20 +1,30 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a table, written and reread as the next
-stage's documents. All but the last return the columns of ``documents``."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a table, which is written and reread as the
+next stage's documents. All but the last return the columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, privacy
+from gleaner.llm import contamination, language, mixing, neardup, privacy
 from gleaner.session import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, by profiles of the documents' own languages."""
+    """Documents with a recognised language; rejected are texts without letters and texts that fit no profile at all."""
     known = language.profiles(docs, F.lit(True))
     judged = language.predicted(docs, known, names=("__lang", "__score"))
-    return judged.where(F.col("__lang") != "und").drop("__lang", "__score")
+    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= 0.1)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return neardup.deduplicated(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of similarity 0.8 to a benchmark item."""
+    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +32,22 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return privacy.sanitised(docs)
 
 
-STAGES = [("language ID", language_id), ("PII", personal_data)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(docs)
+
+
+STAGES = [("language ID", language_id), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination),
+          ("PII", personal_data), ("mixing sources to target weights", mixture)]
 
-ORACLE_SQL = None  # profiles, sketches and rounding are not SQL
+ORACLE_SQL = None  # profiles, sketches and random rounding are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.lower().replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = written(docs, f"stage-{number}")
+    return docs

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Words, build_bloom, shared, shingles, slices, utf8
+from gleaner.llm.common import Words, build_bloom, shared, shingles, slices, utf8, whole_text
 from gleaner.session import written
 
 _SKETCH = 64  # values of the union sketch
@@ -88,12 +88,12 @@ def _sketches(docs: DataFrame, size: int, percent: int, popular) -> DataFrame:
                 high.append(b)
                 small.append(s[:_SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()),
+                [part.column("doc_id"), part.column("row_key"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()),
                  pa.array(kept, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
                  pa.array(small, pa.binary())],
-                names=["doc_id", "cls", "n", "kept", "low", "high", "sketch"])
+                names=["doc_id", "row_key", "cls", "n", "kept", "low", "high", "sketch"])
 
-    return docs.mapInArrow(sketch, f"doc_id {id_type}, cls binary, n long, kept array<long>, low long, high long, sketch binary")
+    return docs.mapInArrow(sketch, f"doc_id {id_type}, row_key long, cls binary, n long, kept array<long>, low long, high long, sketch binary")
 
 
 def _pop(x: np.ndarray) -> np.ndarray:
@@ -259,14 +259,15 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85,
                     often: int = 48) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (name of its set), component_id (smallest doc_id linked to it over any steps).
+    """Per row: doc_id, row_key (hash of the text), n_shingles, cls (name of its set), comp (name of its component),
+    component_id (smallest doc_id linked to it over any steps).
 
     Null and texts without words have no set and are linked with nothing: component_id is their own id. Rows of one set are
     one class, so repeated rows and ids are fine; null ids count as larger than any other, and a group of
     null ids only has a null component_id. Other columns are not looked at; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    plain = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(whole_text(text)).alias("row_key"), docs[text].alias("text"))
     popular = shared(spark, build_bloom(_popular(plain, size, percent, often), "value", 18))
     rows = written(_sketches(plain, size, percent, popular), "sketches")
     classes = written(rows.where("cls is not null").groupBy("cls").agg(
@@ -302,7 +303,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_class = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
     lowest = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = of_class.join(lowest, "comp").select("cls", "component_id")
+    of_class = of_class.join(lowest, "comp").select("cls", "comp", "component_id")
     return rows.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "cls",
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), "cls", "comp",
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """Rows and columns of ``docs`` with one row of each group of near-duplicates: that of the smallest id.
+
+    Texts without words are duplicates of nothing and all stay. Of rows alike in id one stays, too.
+    """
+    found = near_duplicates(docs, doc_id, text, **settings).where("cls is not null")
+    found = written(found.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("comp").alias("__comp"),
+                                 F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__stays")), "groups")
+
+    def at(table):
+        return docs[doc_id].eqNullSafe(table["__doc"]) & (F.xxhash64(whole_text(text)) == table["__key"])
+
+    gone = found.where("not __stays").select("__doc", "__key").distinct()
+    # only rows that repeat an id can leave two rows of one group
+    repeats = found.where("__stays").groupBy("__comp").agg(F.count("*").alias("n")).where("n > 1").select("__comp")
+    twice = written(found.where("__stays").join(repeats, "__comp").select("__doc", "__key", "__comp").distinct(), "repeats")
+    if twice.isEmpty():
+        return docs.join(gone, at(gone), "left_anti")
+    once = docs.join(twice, at(twice)).dropDuplicates(["__comp"]).select(*docs.columns)
+    rest = gone.unionByName(twice.select("__doc", "__key"))
+    return docs.join(rest, at(rest), "left_anti").unionByName(once)

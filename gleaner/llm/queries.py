@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, mixing, neardup, privacy, substrings, tokens, toxicity, urls
+from gleaner.llm import contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +50,23 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and whether it holds a passage similar to a benchmark item."""
+    return contamination.reported(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its earlier seen 100-byte strings."""
-    return substrings.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.without_repeats(_table(spark, sf_dir, "documents"), kept=False)
+
+
+@query
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
 @query
