@@ -292,8 +292,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     lists = written(classes.select("cls", "n", "low", "high", "kept").mapInArrow(
         shared_values, "value long, cls binary, n long, low long, high long").join(sizes, "value"), "lists")
-    first = _estimated(_list_pairs(lists.withColumn("comp", F.col("cls")), percent, across=False), classes, percent)
-    links = written(_confirmed(written(first, "pairs-1"), plain, size, percent, "1"), "links-1")
+    first = written(_estimated(_list_pairs(lists.withColumn("comp", F.col("cls")), percent, across=False), classes, percent), "pairs-1")
+    links = written(_confirmed(first, plain, size, percent, "1"), "links-1")
     comp = written(components(links, "comp-1"), "comps-1")
     named = lists.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     second = _list_pairs(named, percent, across=True).join(
