@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 3 << 20  # text handled at once inside a task; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 
 
 def slices(batches, text: str, most: int = SLICE_BYTES):
@@ -49,7 +49,7 @@ _BASE, _POWERS = 0x9FB21C651E98DF25, {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n + 1:
-        size = max(n + 1, SLICE_BYTES * 2)
+        size = max(n + 1, SLICE_BYTES * 5 // 4)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             values = np.full(size, base, np.uint64)
             values[0] = 1

@@ -24,7 +24,7 @@ from gleaner.llm.common import Words, build_bloom, shared, shingles, slices, utf
 from gleaner.session import written
 
 _SKETCH = 64  # values of the union sketch
-_BITS = 32  # values behind the 128-bit outline used inside lists
+_OUTLINE = [f"o{i}" for i in range(4)]  # 256 bits set by the smallest values, used inside lists
 _BLOCK = 1024  # members of a list that meet each other in one go
 
 
@@ -41,13 +41,18 @@ def _retained(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _outline(values: np.ndarray) -> tuple[int, int]:
-    """128 bits with one set for each of the smallest values."""
-    places = (values[:_BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
-    bits = np.zeros(2, np.uint64)
+def _outline(values: np.ndarray) -> list[int]:
+    """256 bits with one set for each of the smallest values."""
+    places = (values[:_SKETCH] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    bits = np.zeros(4, np.uint64)
     np.bitwise_or.at(bits, (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
-    low, high = bits.view(np.int64).tolist()
-    return low, high
+    return bits.view(np.int64).tolist()
+
+
+def _least_overlap(percent: int) -> float:
+    """Share of common sketch values that a linked pair misses by five standard deviations only."""
+    t = percent / 100
+    return max(0.2, t - 5 * (t * (1 - t) / _SKETCH) ** 0.5)
 
 
 def _popular(docs: DataFrame, size: int, percent: int, often: int) -> DataFrame:
@@ -73,27 +78,27 @@ def _sketches(docs: DataFrame, size: int, percent: int, popular) -> DataFrame:
 
     def sketch(batches):
         for part in slices(batches, "text"):
-            names, counts, kept, low, high, small = [], [], [], [], [], []
+            names, counts, kept, outlines, small = [], [], [], [], []
             for s in shingle_sets(part.column("text"), size):
                 counts.append(len(s))
                 if not len(s):
-                    for out in (names, kept, low, high, small):
+                    for out in (names, kept, small):
                         out.append(None)
+                    outlines.append([None] * 4)
                     continue
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 late = popular.value.holds(s)
                 kept.append(np.concatenate([s[~late], s[late]])[:_retained(len(s), percent)].view(np.int64))
-                a, b = _outline(s)
-                low.append(a)
-                high.append(b)
+                outlines.append(_outline(s))
                 small.append(s[:_SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("row_key"), pa.array(names, pa.binary()), pa.array(counts, pa.int64()),
-                 pa.array(kept, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-                 pa.array(small, pa.binary())],
-                names=["doc_id", "row_key", "cls", "n", "kept", "low", "high", "sketch"])
+                 pa.array(kept, pa.list_(pa.int64())), 
+                 *(pa.array(column, pa.int64()) for column in zip(*outlines)), pa.array(small, pa.binary())],
+                names=["doc_id", "row_key", "cls", "n", "kept", *_OUTLINE, "sketch"])
 
-    return docs.mapInArrow(sketch, f"doc_id {id_type}, row_key long, cls binary, n long, kept array<long>, low long, high long, sketch binary")
+    return docs.mapInArrow(sketch, f"doc_id {id_type}, row_key long, cls binary, n long, kept array<long>, o0 long, o1 long, o2 long, o3 long, "
+                           "sketch binary")
 
 
 def _pop(x: np.ndarray) -> np.ndarray:
@@ -101,16 +106,16 @@ def _pop(x: np.ndarray) -> np.ndarray:
 
 
 def _similar(a, b, percent: int) -> np.ndarray:
-    """Pairs (matrix) of two groups of members that may be linked: sizes agree and outlines overlap by half."""
+    """Overlap of the outlines of two groups of members as a matrix, -1 where sizes or outlines rule a link out."""
     n_a, n_b = a["n"][:, None], b["n"][None, :]
     ok = (np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
-    both = _pop(a["low"][:, None] & b["low"][None, :]) + _pop(a["high"][:, None] & b["high"][None, :])
+    both = sum(_pop(a[o][:, None] & b[o][None, :]).astype(np.int16) for o in _OUTLINE)
     least = np.minimum(a["bits"][:, None], b["bits"][None, :])
-    return np.where(ok & (both * 2 >= least), both.astype(np.int32) * 128 // np.maximum(least, 1), -1)
+    return np.where(ok & (both >= least * _least_overlap(percent)), both * np.int32(128) // np.maximum(least, 1), -1)
 
 
 def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Pairs of classes from inverted lists; ``lists`` has value, size (of the list), cls, n, low, high, comp.
+    """Pairs of classes from inverted lists; ``lists`` has value, size (of the list), cls, n, the outline, comp.
 
     Long lists are cut into blocks by class, and each two blocks meet under a key of their own.
     ``across``: all similar pairs of different components, else each member with its most similar one.
@@ -119,7 +124,7 @@ def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     keyed = lists.withColumn("mine", mine).withColumn("other", other).select(
-        "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", "low", "high", "comp")
+        "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", *_OUTLINE, "comp")
     keyed = keyed.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def pairs(batches):
@@ -137,10 +142,10 @@ def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
 
     def groups(table, cuts):
         names = table.column("cls").combine_chunks()
-        _, comp = np.unique(np.array(table.column("comp").to_pylist(), dtype=object), return_inverse=True)
-        columns = {"n": table.column("n").to_numpy(), "low": table.column("low").to_numpy().view(np.uint64),
-                   "high": table.column("high").to_numpy().view(np.uint64), "mine": table.column("mine").to_numpy(), "comp": comp}
-        columns["bits"] = (_pop(columns["low"]) + _pop(columns["high"])).astype(np.int32)
+        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        columns = {"n": table.column("n").to_numpy(), "mine": table.column("mine").to_numpy(), "comp": comp}
+        columns |= {o: table.column(o).to_numpy().view(np.uint64) for o in _OUTLINE}
+        columns["bits"] = sum(_pop(columns[o]).astype(np.int32) for o in _OUTLINE)
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -194,11 +199,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(estimate, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, label: str) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full sets; texts of the classes asked are joined in."""
-    spark = docs.sparkSession
+def _texts(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, text) of the classes that stand in a pair; any text of a class serves, its set is the class."""
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    ids = shared(spark, build_bloom(asked.select(F.xxhash64("cls").alias("h")), "h", 17))
+    ids = shared(docs.sparkSession, build_bloom(asked.select(F.xxhash64("cls").alias("h")), "h", 17))
 
     def texts(batches):
         for part in slices(batches, "text"):
@@ -213,10 +217,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, label
             if b.num_rows:
                 yield b.filter(pa.array(ids.value.holds(b.column("h").to_numpy().view(np.uint64)))).select(["cls", "text"])
 
-    # any text of a class serves, its set is the class
-    held = written(named.mapInArrow(sieve, "cls binary, text string").groupBy("cls").agg(F.first("text").alias("text")), f"texts-{label}")
-    both = (pairs.join(held.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
-            .join(held.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
+    return written(named.mapInArrow(sieve, "cls binary, text string").groupBy("cls").agg(F.first("text").alias("text")), "texts")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of the full sets."""
+    both = (pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y"))
 
     def confirm(batches):
         for part in slices(batches, "x"):
@@ -271,8 +278,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     popular = shared(spark, build_bloom(_popular(plain, size, percent, often), "value", 18))
     rows = written(_sketches(plain, size, percent, popular), "sketches")
     classes = written(rows.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("low").alias("low"),
-        F.first("high").alias("high"), F.first("sketch").alias("sketch")), "classes")
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("kept").alias("kept"),
+        *(F.first(o).alias(o) for o in _OUTLINE), F.first("sketch").alias("sketch")), "classes")
     sizes = (classes.select(F.explode("kept").alias("value")).groupBy("value").agg(F.count("*").alias("size"))
              .where("size > 1"))
     sizes = written(sizes, "list-sizes")
@@ -287,18 +294,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             hit = pa.array(met.value.holds(values.to_numpy().view(np.uint64)))
             rows_of = parents.filter(hit)
             yield pa.RecordBatch.from_arrays(
-                [values.filter(hit), *(b.column(c).take(rows_of) for c in ("cls", "n", "low", "high"))],
-                names=["value", "cls", "n", "low", "high"])
-
-    lists = written(classes.select("cls", "n", "low", "high", "kept").mapInArrow(
-        shared_values, "value long, cls binary, n long, low long, high long").join(sizes, "value"), "lists")
-    first = written(_estimated(_list_pairs(lists.withColumn("comp", F.col("cls")), percent, across=False), classes, percent), "pairs-1")
-    links = written(_confirmed(first, plain, size, percent, "1"), "links-1")
+                [values.filter(hit), *(b.column(c).take(rows_of) for c in ("cls", "n", *_OUTLINE))],
+                names=["value", "cls", "n", *_OUTLINE])
+
+    lists = written(classes.select("cls", "n", *_OUTLINE, "kept").mapInArrow(
+        shared_values, "value long, cls binary, n long, o0 long, o1 long, o2 long, o3 long").join(sizes, "value"), "lists")
+    # whoever has a similar partner in a list has a most similar one, so these are all classes that can be linked
+    first = written(_list_pairs(lists.withColumn("comp", F.col("cls")), percent, across=False), "pairs-1")
+    texts = _texts(first, plain, size)
+    links = written(_confirmed(_estimated(first, classes, percent), texts, size, percent), "links-1")
     comp = written(components(links, "comp-1"), "comps-1")
     named = lists.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    second = _list_pairs(named, percent, across=True).join(
-        first.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_confirmed(written(_estimated(second, classes, percent), "pairs-2"), plain, size, percent, "2"), "links-2")
+    second = _list_pairs(named, percent, across=True).join(first, ["a", "b"], "left_anti")
+    more = written(_confirmed(_estimated(second, classes, percent), texts, size, percent), "links-2")
     comp = written(components(links.union(more), "comp-2"), "comps-2")
     of_class = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))

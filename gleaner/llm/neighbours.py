@@ -24,14 +24,16 @@ _REGION = 2048  # entries of one region
 _MET = ["region", "piece", "entry", "vec_id", "v", "cells"]
 
 
-def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """Vectors without nulls, with finite components, not all zero, of the most frequent width."""
+def _usable(vectors: DataFrame, vec_id: str, embedding: str, width: int | None = None) -> tuple[DataFrame, int]:
+    """Vectors without nulls, with finite components, not all zero, of one width (by default the most frequent)."""
     v = F.col(embedding)
     ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(vec_id).isNotNull() & ok & F.exists(v, lambda x: x != 0)).select(
         F.col(vec_id).alias("vec_id"), v.alias("v"))
-    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
-    return rows.where(F.size("v") == (widths["w"] if widths else 0))
+    if width is None:
+        most = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
+        width = most["w"] if most else 0
+    return rows.where(F.size("v") == width), width
 
 
 def _matrix(column) -> np.ndarray:
@@ -96,12 +98,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     its neighbours; a repeated query is asked once. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    entries = _usable(vectors, vec_id, embedding)
+    entries, width = _usable(vectors, vec_id, embedding)
     n = entries.count()
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], out_schema)
-    asked = _usable(queries, vec_id, embedding).dropDuplicates(["vec_id"])
+    asked = _usable(queries, vec_id, embedding, width)[0].dropDuplicates(["vec_id"])
     part = min(1.0, sample / n)
     chosen = entries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(2 * sample)
     fit = _matrix(chosen.orderBy("vec_id").select("v").toArrow().column("v").combine_chunks())

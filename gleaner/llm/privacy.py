@@ -246,7 +246,8 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **set
     hits = _hits(_keyed(docs, doc_id, text), **settings)
     hits = hits.select(F.col("doc_id").alias("__hit_id"), F.col("row_key").alias("__hit_key"), F.col("hits").alias("__hits"))
     both = docs.join(hits, docs[doc_id].eqNullSafe(hits["__hit_id"]) & (row_key(text) == hits["__hit_key"]), "left")
-    both = both.select(*docs.columns, "__hits")
+    names = docs.columns
+    both = both.select(*names, "__hits")
 
     def clean(batches):
         for part in slices(batches, text):
@@ -262,7 +263,7 @@ def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **set
                 made.append(value)
             column = pa.array(made, part.schema.field(text).type)
             yield pa.RecordBatch.from_arrays(
-                [column if n == text else part.column(n) for n in docs.columns], names=docs.columns)
+                [column if n == text else part.column(n) for n in names], names=names)
 
     return both.mapInArrow(clean, docs.schema)
 
