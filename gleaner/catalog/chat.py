@@ -8,7 +8,6 @@ from gleaner import lexicon as lx
 from gleaner.catalog import query
 from gleaner.catalog import sqltext as q
 from gleaner.catalog.searches import _HYBRID, chunks, questions
-from gleaner.catalog.searches import _lead as lead
 from gleaner.functions import text as T
 from gleaner.operators import history as H
 from gleaner.operators import search as S
@@ -71,6 +70,17 @@ def chat_history(t):
                     H.messages_text(F.col("recent")).alias("recent"))
 
 
+@query(f"""with a as (select conv_id * 1000 + turn as question_id, conv_id, turn, text from conversations where role = 'user'),
+  g as (select * from conversations where role <> 'system' and text is not null)
+  select question_id, -1 as seq, 'system' as role, 'Context: ' || text as content from a
+  union all select question_id, g.turn, g.role, g.text from a join g on g.conv_id = a.conv_id and g.turn <= a.turn""")
+def prompt_messages(t):
+    """All messages sent with every user turn, the system message first."""
+    asked = t("conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn", "text")
+    return H.prompt_messages(asked, _turns(t), _GREETING, F.concat(F.lit("Context: "), "text"))
+
+
 @query(f"""with {_BLOCKS} select conv_id, block, coalesce(string_agg(message, chr(10) order by turn), '') as messages
   from b group by 1, 2""")
 def history_blocks(t):
@@ -83,7 +93,7 @@ def history_blocks(t):
     where position <= {lx.TOP_K} group by 1)
   select question_id, text, coalesce(context, '') as context from q left join x using (question_id)""")
 def prompt_input(t):
-    asked = questions(t).withColumn("text", lead())
+    asked = questions(t)
     hits = S.hybrid_top_k(asked, chunks(t))
     docs = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"),
                                  F.col("lang").alias("url"), F.col("text").alias("chunk_text"))
@@ -98,7 +108,7 @@ def prompt_input(t):
   select question_id, len(kept) as n_files, array_to_string(list_transform(kept, lambda f: f.n || '@' || f.u), chr(10)) as files from picked""")
 def attachment_pick(t):
     """Files offered by the retrieved documents (links laid into their texts) and by mention."""
-    asked = questions(t).withColumn("text", lead())
+    asked = questions(t)
     hits = S.hybrid_top_k(asked, chunks(t))
     i = F.col("doc_id").cast("string")
     text = F.concat(F.col("text"), F.lit(" [ 서식"), "lang", F.lit("](/download/"), i, F.lit(") [서식](https://x.kr/"), i,

@@ -114,7 +114,7 @@ def frontier(t):
         pages.select(F.col("page_id").alias("child"), F.col("url").alias("link_url")), "child").select(
         "url", (F.col("child") % 2).alias("pos"), "link_url", F.col("child").cast("string").alias("anchor_text"))
     seeds = pages.where("page_id = 0").select("url", F.array(F.lit("seed")).alias("menu_path"), F.lit(0).alias("seq"))
-    found = expand_frontier(seeds, links, max_pages=None)
+    found = expand_frontier(seeds, links)
     return found.join(pages, "url").select("page_id", "url", "depth", "parent_url")
 
 
@@ -154,10 +154,10 @@ def page_files(t):
 def page_shortcuts(t):
     i = F.col("page_id").cast("string")
     html = F.concat(
-        F.lit('<html><body><main>'), F.lit('<a href="https://a.org/r'), i, F.lit('">예약 '), i,
+        F.col("html"), F.lit('<main>'), F.lit('<a href="https://a.org/r'), i, F.lit('">예약 '), i,
         F.lit(' 새창으로열림</a><a href="/portal/contents.do?mId=01">안내</a><a href="https://b.org/download/1">신청서</a>'
               '<p><a href="https://www.passport.go.kr/x">https://www.passport.go.kr/x</a></p><a href="https://a.org/r'), i,
-        F.lit('">예약 '), i, F.lit('</a><a href="https://s.org">공유</a></main></body></html>'))
+        F.lit('">예약 '), i, F.lit('</a><a href="https://s.org">공유</a></main>'))
     pages = t("pages").select("page_id", "url", html.alias("html"))
     nodes = with_nodes(pages)
     nodes = S.with_main(nodes, D.first(D.select(F.col("nodes"), "main"))["pos"])

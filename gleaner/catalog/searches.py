@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from gleaner import lexicon as lx
 from gleaner.catalog import query
-from gleaner.catalog import sqltext as q
 from gleaner.operators import listing
 from gleaner.operators import search as S
 
 _QUESTIONS = "q as (select item_id as question_id, b.text, e.embedding::double[] as v from benchmark b " \
-             "join embeddings e on e.vec_id = b.item_id)"
+             "left join embeddings e on e.vec_id = b.item_id)"
 _CHUNKS = "c as (select doc_id as chunk_id, d.text, e.embedding::double[] as v from documents d " \
-          "join embeddings e on e.vec_id = d.doc_id)"
+          "left join embeddings e on e.vec_id = d.doc_id)"
 
 
 def _vectors(t):
@@ -22,27 +21,33 @@ def _vectors(t):
 
 def questions(t):
     v = _vectors(t)
-    return t("benchmark").join(v, F.col("item_id") == F.col("vec_id")).select(
+    return t("benchmark").join(v, F.col("item_id") == F.col("vec_id"), "left").select(
         F.col("item_id").alias("question_id"), "text", "embedding")
 
 
 def chunks(t):
     v = _vectors(t)
-    return t("documents").join(v, F.col("doc_id") == F.col("vec_id")).select(
+    return t("documents").join(v, F.col("doc_id") == F.col("vec_id"), "left").select(
         F.col("doc_id").alias("chunk_id"), "text", "embedding")
 
 
 _ALL = "e as (select vec_id, embedding::double[] as v from embeddings)"
 _PAIRS = (f"{_ALL}, p as (select a.vec_id as question_id, b.vec_id as chunk_id, "
-          "round(1 - list_cosine_similarity(a.v, b.v), 12) as d from e a cross join e b)")
+          "round(1 - list_cosine_similarity(a.v, b.v), 12) as d from benchmark join e a on a.vec_id = item_id cross join e b)")
+
+
+def _asked(t):
+    """Vectors of the benchmark's questions."""
+    v = _vectors(t)
+    return v.join(t("benchmark"), F.col("vec_id") == F.col("item_id"), "left_semi").withColumnRenamed("vec_id", "question_id")
 
 
 @query(f"""with {_PAIRS}, r as (select *, row_number() over (partition by question_id order by d, chunk_id) as rank from p)
   select question_id, chunk_id, round(d, 9) as distance, rank from r where rank <= {lx.TOP_K}""")
 def vector_topk(t):
-    """Every vector asks for its nearest vectors."""
+    """The nearest vectors of every benchmark question."""
     v = _vectors(t)
-    found = S.vector_top_k(v.withColumnRenamed("vec_id", "question_id"), v.withColumnRenamed("vec_id", "chunk_id"))
+    found = S.vector_top_k(_asked(t), v.withColumnRenamed("vec_id", "chunk_id"))
     return found.select("question_id", "chunk_id", F.round("distance", 9).alias("distance"),
                         F.col("rank").cast("long").alias("rank"))
 
@@ -53,8 +58,8 @@ def vector_topk(t):
 def vector_threshold(t):
     """The same through the block join that serves question sets too large for one task."""
     v = _vectors(t)
-    found = S.vector_top_k(v.withColumnRenamed("vec_id", "question_id"), v.withColumnRenamed("vec_id", "chunk_id"),
-                           lx.THRESHOLD_TOP_K, lx.DISTANCE_LIMIT, question_rows=200, block_rows=300)
+    found = S.vector_top_k(_asked(t), v.withColumnRenamed("vec_id", "chunk_id"),
+                           lx.THRESHOLD_TOP_K, lx.DISTANCE_LIMIT, question_rows=15, block_rows=300)
     return found.select("question_id", "chunk_id", F.round("distance", 9).alias("distance"),
                         F.col("rank").cast("long").alias("rank"))
 
@@ -63,31 +68,27 @@ def _words(x):
     return (f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))")
 
 
-# questions: the opening sentence of every document's text is asked against all documents
-_LEAD_SQL = "split_part(split_part(text, '.', 1), chr(10), 1)"
+# questions are whole benchmark texts, passages of which stand in some documents
 _MATCHED = (f"w as (select question_id, {_words('text')} as terms from q), "
             f"h as (select chunk_id, {_words('text')} as words from c), "
             "m as (select question_id, chunk_id from w join h on list_has_all(words, terms) where len(terms) > 0)")
 
 
-def _lead():
-    return F.substring_index(F.substring_index("text", ".", 1), "\n", 1)
-
-
-@query(f"""with q as (select item_id as question_id, {_LEAD_SQL} as text from benchmark),
+@query(f"""with q as (select item_id as question_id, text from benchmark),
     c as (select doc_id as chunk_id, text from documents), {_MATCHED},
     r as (select *, row_number() over (partition by question_id order by chunk_id) as rank from m)
   select question_id, chunk_id, rank from r where rank <= {lx.TOP_K}""")
 def keyword_match(t):
-    asked = t("benchmark").select(F.col("item_id").alias("question_id"), _lead().alias("text"))
+    asked = t("benchmark").select(F.col("item_id").alias("question_id"), "text")
     docs = t("documents").select(F.col("doc_id").alias("chunk_id"), "text")
     found = S.keyword_top_k(asked, docs)
     return found.select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-_HYBRID = f"""{_QUESTIONS.replace('b.text', q.lit('') + " || split_part(split_part(b.text, '.', 1), chr(10), 1) as text")},
+_HYBRID = f"""{_QUESTIONS},
   {_CHUNKS}, {_MATCHED},
-  d as (select question_id, chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 12) as d from q cross join c),
+  d as (select question_id, chunk_id, round(1 - list_cosine_similarity(q.v, c.v), 12) as d from q cross join c
+    where q.v is not null and c.v is not null),
   vr as (select question_id, chunk_id, row_number() over (partition by question_id order by d, chunk_id) as r from d),
   kr as (select question_id, chunk_id, row_number() over (partition by question_id order by chunk_id) as r from m),
   u as (select question_id, chunk_id, 1 / (60.0::double + r) as s, r as v, null::bigint as k from vr where r <= {lx.TOP_K}
@@ -99,8 +100,7 @@ _HYBRID = f"""{_QUESTIONS.replace('b.text', q.lit('') + " || split_part(split_pa
 
 @query(f"with {_HYBRID} select question_id, chunk_id, round(score, 9) as score, position from g where position <= {lx.TOP_K}")
 def hybrid_search(t):
-    asked = questions(t).withColumn("text", _lead())
-    found = S.hybrid_top_k(asked, chunks(t))
+    found = S.hybrid_top_k(questions(t), chunks(t))
     return found.select("question_id", "chunk_id", F.round("score", 9).alias("score"),
                         F.col("position").cast("long").alias("position"))
 
@@ -128,16 +128,14 @@ def notice_search(t):
     return S.search_notices(_notices(t), "the", "views").select("id", "views")
 
 
-# the first screen of the search: what the order is for
-@query(f"""with {_NOTICES} select id, views, published_at::varchar as published_at from n where contains(title, 'the') or contains(chunk_text, 'the')
-  order by n.published_at desc nulls first, id limit 50""")
+@query(f"""with {_NOTICES} select id, views, published_at::varchar as published_at from n where contains(title, 'the') or contains(chunk_text, 'the')""")
 def notice_search_newest(t):
-    return S.search_notices(_notices(t), "the").limit(50).select("id", "views", _day())
+    return S.search_notices(_notices(t), "the").select("id", "views", _day())
 
 
-@query(f"""with {_NOTICES} select id, views from n order by views desc nulls first, id limit 500""")
+@query(f"""with {_NOTICES} select id, views from n""")
 def notice_most_viewed(t):
-    return S.search_notices(_notices(t), None, "views").limit(500).select("id", "views")
+    return S.search_notices(_notices(t), None, "views").select("id", "views")
 
 
 @query(f"with {_NOTICES} select id, title, views from n order by id limit 10 offset 20")
@@ -150,31 +148,35 @@ def notice_by_id(t):
     return S.read_notice(_notices(t), 7).select("id", "title", "views", _day())
 
 
-# boards are order priorities, newest orders first; a page holds orders of one month
-_LISTED = ("o as (select o_orderpriority as board, (2002 - year(o_orderdate)) * 12 + 13 - month(o_orderdate) as page_no, "
-           "o_orderdate::date as day, o_orderkey from orders)")
+# boards are order priorities; a board's pages are its months, newest first and numbered from 1. The first board lacks its
+# fourth page, the second has only old rows on its third, the third has undated rows among the others.
+_LISTED = ("m as (select o_orderpriority as board, year(o_orderdate) * 12 + month(o_orderdate) as month, o_orderdate::date as day, "
+           "o_orderkey from orders), r as (select *, max(month) over (partition by board) - month + 1 as page_no from m), "
+           "o as (select board, page_no, o_orderkey, case when board like '2%' and page_no = 3 then date '2000-01-02' "
+           "when board like '3%' and o_orderkey % 3 = 0 then null else day end as day from r "
+           "where not (board like '1%' and page_no = 4))")
 
 
 def _listed(t):
-    d = F.col("o_orderdate")
-    return t("orders").select(
-        F.col("o_orderpriority").alias("board"),
-        ((F.lit(2002) - F.year(d)) * 12 + 13 - F.month(d)).cast("long").alias("page_no"),
-        F.date_format(d, "yyyy.MM.dd").alias("date"), "o_orderkey")
-
-
-_FIRST_PAGE = "(select min(page_no) from o)"
-
-
-@query(f"""with {_LISTED}, m as (select *, day >= date '2001-06-15' - 365 as recent from o),
-  p as (select board, page_no, bool_or(recent) as any_recent from m group by 1, 2),
-  k as (select board, page_no, page_no - row_number() over w = min(page_no) over (partition by board) - 1
-      and min(page_no) over (partition by board) = 1 as dense,
-    coalesce(bool_or(not any_recent) over (partition by board order by page_no rows between unbounded preceding
-      and 1 preceding), false) as ended from p window w as (partition by board order by page_no))
-  select m.board, m.page_no, o_orderkey from m join k using (board, page_no) where recent and dense and not ended""")
+    d, board = F.col("o_orderdate"), F.col("o_orderpriority")
+    month = F.year(d) * 12 + F.month(d)
+    newest = t("orders").groupBy("o_orderpriority").agg(F.max(month).alias("newest"))
+    rows = t("orders").join(F.broadcast(newest), "o_orderpriority").withColumn("page_no", (F.col("newest") - month + 1).cast("long"))
+    third = board.startswith("2") & (F.col("page_no") == 3)
+    undated = board.startswith("3") & (F.col("o_orderkey") % 3 == 0)
+    date = F.when(third, "2000.01.02").when(undated, "").otherwise(F.date_format(d, "yyyy.MM.dd"))
+    return rows.where(~(board.startswith("1") & (F.col("page_no") == 4))).select(
+        board.alias("board"), "page_no", date.alias("date"), "o_orderkey")
+
+
+@query(f"""with {_LISTED}, k as (select *, day is null or day >= date '2001-06-15' - 365 as recent from o),
+  p as (select board, page_no, bool_or(recent) as any_recent from k group by 1, 2),
+  n as (select *, page_no = row_number() over w as dense, coalesce(bool_or(not any_recent) over (partition by board order by page_no
+    rows between unbounded preceding and 1 preceding), false) as ended from p window w as (partition by board order by page_no))
+  select board, page_no, o_orderkey from k join n using (board, page_no) where recent and dense and not ended""")
 def listing_stop(t):
-    kept = listing.kept_listing_rows(_listed(t), "2001-06-15", 365, max_pages=None)
+    """Recent rows of every board up to the end of its listing."""
+    kept = listing.kept_listing_rows(_listed(t), "2001-06-15", 365)
     return kept.select("board", "page_no", "o_orderkey")
 
 

@@ -242,15 +242,16 @@ def passport_documents(t):
 
 
 @query("""select o_orderkey as page_id, 1 as row_no, o_orderkey::varchar as number, '제목 ' || o_orderstatus as title,
-  c_or as department, strftime(o_orderdate, '%Y-%m-%d') as day, o_custkey as views,
-  'https://www.portal.example.kr/portal/bbs/view.do?id=' || o_orderkey as url
-  from (select *, o_orderpriority as c_or from orders) where year(o_orderdate) >= 2000""")
+  case when year(o_orderdate) >= 2000 then o_orderpriority else '' end as department,
+  case when year(o_orderdate) >= 2000 then strftime(o_orderdate, '%Y-%m-%d') else '' end as day, o_custkey as views,
+  'https://www.portal.example.kr/portal/bbs/view.do?id=' || o_orderkey as url from orders""")
 def board_rows(t):
+    """Every order as a listing row; the date rule knows years from 2000 on, so older rows have no date and department."""
     html = _html(
         "<table><tr><th>번호</th><th>제목</th><th>부서</th><th>작성일</th><th>조회</th></tr><tr><td>", _text("o_orderkey"), "</td><td><a href='view.do?id=",
         _text("o_orderkey"), "#x'>제목 ", _text("o_orderstatus"), "</a></td><td>", _text("o_orderpriority"), "</td><td>",
         F.date_format("o_orderdate", "yyyy.MM.dd"), "</td><td>", _text("o_custkey"), "</td></tr><tr><td>짧은</td><td>행</td></tr></table>")
-    pages = t("orders").where("year(o_orderdate) >= 2000").select(
+    pages = t("orders").select(
         F.col("o_orderkey").alias("page_id"), F.lit("https://www.portal.example.kr/portal/bbs/list.do?mId=0301").alias("url"), html.alias("html"))
     rows = L.board_rows(with_nodes(pages))
     return rows.select("page_id", F.col("row_no").cast("int").alias("row_no"), "number", "title", "department", F.col("date").alias("day"),

@@ -42,7 +42,7 @@ def keep_longest(df: DataFrame, keys: list[str], length: Column, order: str) ->
     """Row with the greatest length per key (earliest on ties) at the first row's place."""
     rest = [c for c in df.columns if c not in (*keys, order)]
     best = df.withColumn("_len", length).groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(F.col("_len"), -F.col(order))).alias("_row"),
+        F.min_by(F.struct(*rest), F.struct((-F.col("_len")).alias("_len"), order)).alias("_row"),
         F.min(order).alias(order),
     )
     return best.select(*keys, "_row.*", order).select(*df.columns)
@@ -133,14 +133,14 @@ def _own_class(sizes):
     return own
 
 
-def _pieces(ords, texts):
-    """(ord, characters, offset, whole length, run starts) of each text or piece of a long text."""
+def _pieces(texts):
+    """(row, characters, offset, whole length, run starts) of each text or piece of a long text."""
     overlap = 2 * _CLASSES[-1]
-    for ord_, text in zip(ords, texts, strict=True):
+    for row, text in enumerate(texts):
         for begin in range(0, max(len(text) - overlap, 1), _PIECE):
             last = begin + _PIECE >= len(text) - overlap
             part = text[begin:] if last else text[begin : begin + _PIECE + overlap]
-            yield ord_, part, begin, len(text), len(part) if last else _PIECE
+            yield row, part, begin, len(text), len(part) if last else _PIECE
 
 
 def _chunks(pieces):
@@ -155,10 +155,9 @@ def _chunks(pieces):
         yield chunk
 
 
-def _grams_of(chunk, classes, own_only, wanted):
-    ords, parts, begins, lengths, runs = (list(x) for x in zip(*chunk, strict=True))
-    begins, lengths, runs = (np.array(x, np.int64) for x in (begins, lengths, runs))
-    ords = pa.array(ords)
+def _grams_of(chunk, ords, classes, own_only, wanted):
+    rows, parts, begins, lengths, runs = (list(x) for x in zip(*chunk, strict=True))
+    rows, begins, lengths, runs = (np.array(x, np.int64) for x in (rows, begins, lengths, runs))
     sizes = np.array([len(p) for p in parts], np.int64)
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = _own_class(lengths)
@@ -178,7 +177,7 @@ def _grams_of(chunk, classes, own_only, wanted):
             hit = known[np.searchsorted(known, keys).clip(max=len(known) - 1)] == keys
             keys, owner, pos = keys[hit], owner[hit], pos[hit]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), ords.take(pa.array(owner)), pa.array(pos + begins[owner]), pa.array(lengths[owner])],
+            [pa.array(keys), ords.take(pa.array(rows[owner])), pa.array(pos + begins[owner]), pa.array(lengths[owner])],
             names=["key", "ord", "pos", "n"])
 
 
@@ -191,9 +190,8 @@ def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = Fal
 
     def grams(batches):
         for batch in batches:
-            ords = batch.column(0).to_pylist()
-            for chunk in _chunks(_pieces(ords, batch.column(1).to_pylist())):
-                yield from _grams_of(chunk, classes, own_only, wanted.value if wanted else None)
+            for chunk in _chunks(_pieces(batch.column(1).to_pylist())):
+                yield from _grams_of(chunk, batch.column(0), classes, own_only, wanted.value if wanted else None)
 
     kind = texts.schema["ord"].dataType.simpleString()
     return texts.select("ord", "text").mapInArrow(grams, f"key bigint, ord {kind}, pos bigint, n bigint")

@@ -7,19 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner import lexicon as lx
 from gleaner.session import written
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, max_pages: int | None = lx.MAX_PAGES,
+def expand_frontier(seeds: DataFrame, links: DataFrame, max_pages: int | None = None,
                     max_rounds: int | None = None) -> DataFrame:
-    """(url, parent_url, anchor_text, menu_path, depth) of the pages visited, at most ``max_pages``.
+    """(url, parent_url, anchor_text, menu_path, depth) of the pages visited, at most ``max_pages`` if given.
 
     ``seeds`` (url, menu_path, seq); ``links`` (url, pos, link_url, anchor_text) already filtered and
     unique per page. The visiting order is data (``visit``: the positions of the links followed),
     so no step needs a global numbering. Each round is written, which keeps lineage flat; a url is
     taken once, by the first page that offers it.
     """
+    # a url is visited once, so of repeated seeds the first counts
+    seeds = seeds.groupBy("url").agg(F.min_by(F.struct("menu_path", "seq"), "seq").alias("s")).select("url", "s.*")
+    links = written(links, "frontier-links")  # joined in every round
     level = written(seeds.select(
         "url", F.lit("").alias("parent_url"), F.try_element_at("menu_path", F.lit(-1)).alias("anchor_text"),
         "menu_path", F.array(F.col("seq").cast("long")).alias("visit"), F.lit(0).alias("depth")), "frontier")

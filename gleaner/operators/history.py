@@ -45,6 +45,24 @@ def turn_history(turns: DataFrame, greeting: str = lx.DEFAULT_PROFILE.assistant_
         "conv_id", "turn", "role", "text", F.col("block").alias("full_blocks"), "recent")
 
 
+def prompt_messages(asked: DataFrame, turns: DataFrame, greeting: str = lx.DEFAULT_PROFILE.assistant_greeting,
+                    system: Column | None = None) -> DataFrame:
+    """(question_id, seq, role, content): what goes to the model for each asked turn.
+
+    ``asked`` (question_id, conv_id, turn) and, for ``system``, further columns; ``turns`` (conv_id, turn, role, text). The system
+    message comes first (seq -1), then all earlier messages of the conversation without the greeting, then the turn itself.
+    The rows are the result: they grow with the histories of the asked turns only.
+    """
+    said = turns.where((F.col("text") != greeting) & F.col("turn").isNotNull()).select(
+        "conv_id", F.col("turn").alias("_at"), "role", F.col("text").alias("content"))
+    told = asked.select("question_id", "conv_id", "turn").join(said, "conv_id").where(F.col("_at") <= F.col("turn")).select(
+        "question_id", F.col("_at").cast("long").alias("seq"), "role", "content")
+    if system is None:
+        return told
+    return told.unionByName(asked.select("question_id", F.lit(-1).cast("long").alias("seq"), F.lit("system").alias("role"),
+                                         system.alias("content")))
+
+
 def messages_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 

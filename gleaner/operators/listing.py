@@ -10,12 +10,13 @@ from gleaner.functions import predicates as P
 
 
 def kept_listing_rows(rows: DataFrame, as_of: str = lx.RECENT_AS_OF, days: int = lx.RECENT_DAYS,
-                      max_pages: int | None = lx.MAX_BOARD_PAGES, first_page: int = 1) -> DataFrame:
+                      max_pages: int | None = None, first_page: int = 1) -> DataFrame:
     """Recent rows of the pages read before a board's listing ends.
 
     ``rows`` (board, page_no, date, ...). A listing ends with the first page whose rows are all old
     (its rows are still looked at) or before the first missing page. Both ends come from
-    pre-aggregated minima per board, so a hot board costs no large window.
+    pre-aggregated minima per board, so a hot board costs no large window. ``max_pages`` (the crawl's own limit
+    is ``lexicon.MAX_BOARD_PAGES``) is a choice of the caller; by default no page is left out.
     """
     marked = rows.withColumn("_recent", P.is_recent_date(F.col("date"), as_of, days))
     if max_pages is not None:

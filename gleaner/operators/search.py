@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gleaner import lexicon as lx
 from gleaner.functions import predicates as P
-from gleaner.operators.bounds import fits, small
+from gleaner.operators.bounds import fits
+from gleaner.session import written
 
 _QUESTION_ROWS = 4096  # most questions held by every task; more go through the block join
 _BLOCK_ROWS = 8192
@@ -54,6 +55,15 @@ def _nearest(question_ids, questions, ids, vectors, k, limit, types):
         names=["question_id", "chunk_id", "distance"])
 
 
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each question by distance, then id."""
+    found = found.sort_by([("question_id", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
+    q = found.column("question_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return found.filter(pa.array(place < k))
+
+
 def _column(data):
     return data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
 
@@ -73,12 +83,18 @@ def vector_candidates(questions: DataFrame, chunks: DataFrame, k: int, limit: fl
         held = questions.sparkSession.sparkContext.broadcast(questions.toArrow())
 
         def scan(batches):
+            """The k nearest of the whole task; only they leave it."""
             table = held.value
             ids, matrix = _column(table.column(0)), _matrix(_column(table.column(1)))
+            best = None
             for batch in batches:
                 if len(ids) and batch.num_rows:
-                    yield _nearest(ids, matrix, batch.column(0), _matrix(batch.column(1)), k, limit,
-                                   (ids.type, batch.column(0).type))
+                    found = _nearest(ids, matrix, batch.column(0), _matrix(batch.column(1)), k, limit,
+                                     (ids.type, batch.column(0).type))
+                    best = pa.Table.from_batches([found]) if best is None else _best(pa.concat_tables(
+                        [best, pa.Table.from_batches([found])]), k)
+            if best is not None:
+                yield from best.to_batches()
 
         return chunks.mapInArrow(scan, schema)
 
@@ -124,15 +140,21 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
-def keyword_matches(questions: DataFrame, chunks: DataFrame, question_rows: int = 50_000) -> DataFrame:
+def keyword_matches(questions: DataFrame, chunks: DataFrame, question_rows: int = 50_000,
+                    term_rows: int = 20_000) -> DataFrame:
     """(question_id, chunk_id) of chunks that hold every term of the question's text.
 
     Each question meets only the chunks holding its rarest term; the other terms are checked there.
-    Questions and terms are broadcast when they fit, so the chunk table is read without a shuffle.
+    Questions and terms are broadcast when they fit, so the chunk table is read without a shuffle and each chunk
+    keeps only asked terms; otherwise only ids and terms are shuffled first.
     """
     asked = questions.select("question_id", tokens(F.col("text")).alias("terms")).where("size(terms) > 0")
-    terms = small(asked.select(F.explode("terms").alias("term")).distinct(), F.octet_length("term"))
+    terms = asked.select(F.explode("terms").alias("term")).distinct()
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
+    if fits(terms, term_rows, F.octet_length("term")):
+        # only asked terms of a chunk go on, from one pass over the texts that is written for the steps below
+        held = words.select("chunk_id", F.explode("words").alias("term")).join(F.broadcast(terms), "term", "left_semi")
+        words = written(held.groupBy("chunk_id").agg(F.collect_set("term").alias("words")), "asked-terms")
     spread = words.select(F.explode_outer("words").alias("term")).join(terms, "term", "left_semi") \
         .groupBy("term").agg(F.count("*").alias("spread"))
     rarest = asked.select("question_id", F.explode("terms").alias("term")).join(spread, "term", "left") \

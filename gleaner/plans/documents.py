@@ -12,6 +12,7 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators import links as L
 from gleaner.operators import sections as S
+from gleaner.operators.dedup import keep_first
 from gleaner.session import written
 from gleaner.sources.pages import with_nodes
 
@@ -84,11 +85,15 @@ def general_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PRO
         P.document_score(url, F.col("title"), F.col("text"), F.size("sections"), profile.menu_signals).alias("score"))
 
 
-def saved_documents(docs: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR
-                    ) -> DataFrame:
-    """General documents worth keeping: savable page, enough text, score not negative."""
-    return docs.where(P.should_save(F.col("url"), F.col("anchor_text"), profile, year)
+def saved_documents(docs: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR,
+                    order: str | None = None) -> DataFrame:
+    """General documents worth keeping: savable page, enough text, score not negative.
+
+    With ``order`` (a unique column) only the first document of each ``doc_id`` stays.
+    """
+    kept = docs.where(P.should_save(F.col("url"), F.col("anchor_text"), profile, year)
                       & P.long_enough(F.col("text"), 80) & (F.col("score") >= 0))
+    return keep_first(kept, ["doc_id"], order, wide=True) if order else kept
 
 
 def form_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> DataFrame:

@@ -18,11 +18,13 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# the training-data operators have tests of their own
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"pipeline"} - {n for n in QUERIES if n.startswith("op")}))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in SQL:
         assert compare(con, df, SQL[name]) is None
+        assert con.execute(f"select count(*) from ({SQL[name]})").fetchone()[0] > 0, "a query without rows shows nothing"
     else:
         assert df.count() > 0
 

@@ -116,3 +116,29 @@ def test_greedy_two_key_rule(spark):
                 urls.add(u)
                 kept.append((n, u))
         assert got[i] == kept
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "struct", "date"])
+def test_containment_takes_any_order_type(spark, kind):
+    texts = ["abcdefghijklmnopqrstuvwxyz" * 3, "ghijklmnopqrstuvwxyz", "other text that stands alone", "abcdefghijklmnopqrstuvwxyz" * 3]
+    order = {"int": F.col("i").cast("int"), "string": F.concat(F.lit("https://www.portal.example.kr/" + "long/" * 12), "i"),
+             "struct": F.struct(F.concat(F.lit("u" * 60), "i").alias("a"), F.col("i").alias("b")),
+             "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("i").cast("int"))}[kind]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("o", order)
+    assert {r["i"] for r in X.drop_contained(df, F.col("text"), "o").collect()} == {0, 2}
+    got = X.keep_longest(df.withColumn("k", F.lit(1)), ["k"], F.length("text"), "o").collect()
+    assert [r["i"] for r in got] == [0]
+
+
+def test_sections_of_documents_with_long_order_keys(spark):
+    from gleaner.plans.chunks import gated_sections
+    from gleaner.schemas import raw_schema
+
+    text = "창구에서 신청서를 받아 적고 신분증과 함께 내면 사흘 안에 처리됩니다. " * 4
+    url = "https://www.portal.example.kr/portal/contents/" + "a" * 40
+    rows = [{"doc_id": f"{url}{i}", "url": f"{url}{i}", "title": "안내",
+             "sections": [{"heading_path": [], "block_type": "paragraph", "text": text}]} for i in range(3)]
+    docs = spark.createDataFrame(rows, raw_schema("general"))
+    made = gated_sections(docs, "url")
+    assert made.select("ord").distinct().count() == 3
+    assert [r["doc_id"] for r in X.drop_contained(made, F.col("body"), "ord").collect()] == [f"{url}0"]

@@ -193,3 +193,24 @@ def test_file_inventory(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     got = sorted((r.file_name, r.title) for r in file_inventory(spark, str(tmp_path)).collect())
     assert got == [("b.PDF", "b"), ("여권 발급_신청서.pdf", "여권 발급 신청서")]
+
+
+def test_frontier_visits_repeated_seeds_once(spark):
+    from gleaner.operators.frontier import expand_frontier
+
+    seeds = spark.createDataFrame([("a", ["x"], 1), ("a", ["y"], 0), ("b", ["z"], 2)], "url string, menu_path array<string>, seq long")
+    links = spark.createDataFrame([("a", 0, "c", "C"), ("b", 0, "a", "A"), ("c", 0, "b", "B")],
+                                  "url string, pos long, link_url string, anchor_text string")
+    got = {r["url"]: r["menu_path"] for r in expand_frontier(seeds, links).collect()}
+    assert got == {"a": ["y"], "b": ["z"], "c": ["y", "C"]}
+
+
+def test_saved_documents_keep_the_first_of_an_id(spark):
+    from gleaner.plans.documents import saved_documents
+
+    text = "내용 " * 60
+    url = "https://www.portal.example.kr/portal/contents.do?mId=0101"
+    rows = [("d", url, "", text, 5, i) for i in (2, 1, 3)] + [("e", url, "", text, 5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, url string, anchor_text string, text string, score int, seq long")
+    assert sorted(r["seq"] for r in saved_documents(docs, order="seq").collect()) == [1, 9]
+    assert saved_documents(docs).count() == 4

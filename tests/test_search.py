@@ -80,3 +80,28 @@ def test_listing_ends(spark):
     df = spark.createDataFrame(data, "board string, page_no bigint, date string")
     got = sorted(tuple(r) for r in listing.kept_listing_rows(df).select("board", "page_no", "date").collect())
     assert got == [("a", 1, "2026.1.1"), ("a", 2, "날짜 없음"), ("b", 1, "2026.2.2")]
+
+
+def test_a_task_emits_its_best_only(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(4)
+    asked = vectors.where("chunk_id < 50").withColumnRenamed("chunk_id", "question_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert S.vector_candidates(asked, vectors, 5).count() <= 4 * 50 * 5
+        found = S.vector_top_k(asked, vectors, 5).select("question_id", "chunk_id", "rank")
+        other = S.vector_top_k(asked, vectors, 5, question_rows=20, block_rows=300).select("question_id", "chunk_id", "rank")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, other.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_keyword_paths_agree_and_keep_all_documents(spark):
+    texts = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 9))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = docs.where("chunk_id % 7 = 0").withColumnRenamed("chunk_id", "question_id")
+    held = S.keyword_matches(asked, docs)
+    shuffled = S.keyword_matches(asked, docs, question_rows=0, term_rows=0)
+    plain = {(q, c) for q, a in texts if q % 7 == 0 for c, b in texts if set(a.split()) <= set(b.split())}
+    assert {tuple(r) for r in held.collect()} == plain == {tuple(r) for r in shuffled.collect()}
