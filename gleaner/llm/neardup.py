@@ -241,25 +241,27 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
 
     Alternating stars: every node tells its neighbours the smallest node it knows, which shortens paths by half a round.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    number = 0
-    while True:
-        edges = written(edges, f"{label}-{number}")
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
+                    f"{label}-links")
+
+    def mark(table):
+        """Two equal sets of edges have the same; two different ones practically never."""
+        return table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    before, number = mark(edges), 0
+    while before[0]:
+        least = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: bigger neighbours hang under the smallest known
         large = (edges.select(F.col("u").alias("big"), F.col("v").alias("u")).join(least, "u")
-                 .select(F.col("big").alias("u"), F.col("m").alias("v")))
+                 .select(F.col("big").alias("u"), F.col("m").alias("v")).where("u != v"))
         # small star: smaller neighbours and the node itself hang under the smallest of them
-        low = large.where("u != v").groupBy("u").agg(F.min("v").alias("m"))
-        small = large.where("u != v").join(low, "u")
-        edges_next = (small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .union(low.select("u", F.col("m").alias("v"))).distinct())
-        edges_next = written(edges_next, f"{label}-next-{number}")
-        same = edges.exceptAll(edges_next).isEmpty() and edges_next.exceptAll(edges).isEmpty()
-        edges, number = edges_next, number + 1
-        if same:
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{number}")
+        after, number = mark(edges), number + 1
+        if after == before:
             break
+        before = after
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(tops)
 
