@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators.bloom import build_bloom, shared
 from gleaner.session import written
 
 
@@ -89,7 +90,6 @@ def greedy_unique(files: Column) -> Column:
 
 _CLASSES = [1, 2, 4, 8, 16, 64, 256, 1024, 4096, 16384, 65536]  # dense where texts are short
 _PIECE = 1 << 20  # characters handled at once; longer texts are read in overlapping pieces
-_KEY_LIMIT = 4_000_000  # most gram keys (8 bytes each) a filter may hold
 
 
 def _mix(h):
@@ -172,9 +172,8 @@ def _grams_of(chunk, ords, classes, own_only, wanted):
         if found is None:
             continue
         keys, owner, pos = found
-        known = wanted.get(c) if wanted else None
-        if known is not None:
-            hit = known[np.searchsorted(known, keys).clip(max=len(known) - 1)] == keys
+        if wanted is not None:
+            hit = wanted.holds(keys.view(np.uint64))
             keys, owner, pos = keys[hit], owner[hit], pos[hit]
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys), ords.take(pa.array(rows[owner])), pa.array(pos + begins[owner]), pa.array(lengths[owner])],
@@ -184,8 +183,8 @@ def _grams_of(chunk, ords, classes, own_only, wanted):
 def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = False, wanted=None) -> DataFrame:
     """Selected grams of (ord, text) rows for the given classes.
 
-    ``own_only`` restricts each text to its own class; ``wanted`` (broadcast: class -> sorted keys) drops
-    grams nobody looks for while still inside the task.
+    ``own_only`` restricts each text to its own class; ``wanted`` (a Bloom filter of keys) drops grams nobody looks
+    for while still inside the task; its false hits fall out when grams meet their keys.
     """
 
     def grams(batches):
@@ -197,19 +196,6 @@ def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = Fal
     return texts.select("ord", "text").mapInArrow(grams, f"key bigint, ord {kind}, pos bigint, n bigint")
 
 
-def _filters(own: DataFrame, counts: dict[int, int]):
-    """Sorted key arrays of the classes that are small enough to be held in every task."""
-    room, small = _KEY_LIMIT, []
-    for c, n in sorted(counts.items(), key=lambda x: x[1]):
-        if n <= room:
-            small.append(c)
-            room -= n
-    keys = own.where(F.col("class").isin(*small)).select("class", "key").distinct().toPandas() if small else None
-    if keys is None:
-        return None
-    return own.sparkSession.sparkContext.broadcast({c: np.sort(g.to_numpy()) for c, g in keys.groupby("class")["key"]})
-
-
 def uncontained_orders(texts: DataFrame) -> DataFrame:
     """``ord`` of every text that no earlier text contains. Texts (ord, text) have to be distinct."""
     texts = written(texts.select("ord", "text"), "texts")
@@ -218,8 +204,9 @@ def uncontained_orders(texts: DataFrame) -> DataFrame:
         own_class = F.when(F.col("n") >= 2 * c - 1, c).otherwise(own_class)
     own = written(containment_grams(texts, _CLASSES, own_only=True).withColumn("class", own_class), "own-grams")
     # one row per class, eleven at most
-    counts = {r["class"]: r["n"] for r in own.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    grams = written(containment_grams(texts, sorted(counts), wanted=_filters(own, counts)), "grams")
+    classes = sorted(r["class"] for r in own.select("class").distinct().collect())
+    wanted = shared(texts.sparkSession, build_bloom(own, "key"))
+    grams = written(containment_grams(texts, classes, wanted=wanted), "grams")
 
     spread = grams.groupBy("key").agg(F.count("*").alias("spread"))
     chosen = own.join(spread, "key").groupBy("ord", "n").agg(F.min(F.struct("spread", "key", "pos")).alias("best"))
