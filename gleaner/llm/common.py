@@ -1,14 +1,17 @@
-"""Helpers of the operators: slices of Arrow batches, words and hashes of whole batches, blocked Bloom filters."""
+"""Helpers of the operators: slices of Arrow batches, words and hashes of whole batches."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.operators.bloom import BlockedBloom, Shared, build_bloom, shared
+
+__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "hash_of", "held_out", "mixed", "shared", "shingles", "slices", "utf8", "whole_text"]
+
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 
 
@@ -123,75 +126,6 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarra
     return rows[at], mixed(total)
 
 
-# ---------------------------------------------------------------- blocked Bloom filter
-
-class BlockedBloom:
-    """Filter of fixed size: a key sets and asks four bits of one 64-bit block, so an ask is one memory access.
-
-    Keys are well mixed 64-bit hashes. The size does not follow the data; a crowded filter passes more
-    rows on to the exact join behind it and never loses one.
-    """
-
-    def __init__(self, blocks: np.ndarray):
-        self.blocks = blocks
-
-    @staticmethod
-    def bits(keys: np.ndarray) -> np.ndarray:
-        one = np.uint64(1)
-        out = np.zeros(len(keys), np.uint64)
-        for shift in (40, 46, 52, 58):
-            out |= one << ((keys >> np.uint64(shift)) & np.uint64(63))
-        return out
-
-    def __contains__(self, key: int) -> bool:
-        return bool(self.holds(np.array([key & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.uint64, copy=False)
-        bits = self.bits(keys)
-        return (self.blocks[(keys & np.uint64(len(self.blocks) - 1)).astype(np.int64)] & bits) == bits
-
-
-def build_bloom(keys: DataFrame, key: str, log2_blocks: int = 20) -> BlockedBloom:
-    """Blocked Bloom filter of a column of 64-bit hashes, built by a grouping on the block.
-
-    The driver gets at most ``2 ** log2_blocks`` blocks of 8 bytes, whatever the number of keys.
-    """
-    h = F.col(key)
-    bits = F.lit(0).cast("long")
-    for shift in (40, 46, 52, 58):
-        place = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    blocks = (keys.where(h.isNotNull())
-              .select(h.bitwiseAND(F.lit((1 << log2_blocks) - 1)).alias("block"), bits.alias("bits"))
-              .groupBy("block").agg(F.bit_or("bits").alias("bits")))
-    table = blocks.toArrow()
-    out = np.zeros(1 << log2_blocks, np.uint64)
-    out[table.column("block").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return BlockedBloom(out)
-
-
-class Shared:
-    """A broadcast value that travels with its class, so executors need no copy of this package."""
-
-    def __init__(self, broadcast):
-        self._broadcast, self._value = broadcast, None
-
-    def __getstate__(self):
-        return {"_broadcast": self._broadcast, "_value": None}
-
-    @property
-    def value(self):
-        if self._value is None:
-            self._value = cloudpickle.loads(self._broadcast.value)
-        return self._value
-
-
-def shared(spark: SparkSession, value) -> Shared:
-    """Broadcast of a value whose size is bounded by construction."""
-    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
-
-
 def held_out(doc_id: str, parts: int, part: int) -> Column:
     """True where crc32 of the id as text leaves ``part``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
