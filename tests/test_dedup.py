@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
         monkeypatch.setattr(X, "_PIECE", piece)
         monkeypatch.setattr(X, "_CLASSES", classes)
         found = set()
-        for chunk in X._chunks(X._pieces(range(len(texts)), texts)):
-            for batch in X._grams_of(chunk, classes, False, None):
+        for chunk in X._chunks(X._pieces(texts)):
+            for batch in X._grams_of(chunk, pa.array(range(len(texts))), classes, False, None):
                 found |= {tuple(r.values()) for r in batch.to_pylist()}
         return found
 
