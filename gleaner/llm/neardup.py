@@ -6,10 +6,13 @@ a document are that many smallest hashes, and inverted lists of them meet every
 documents retain are put last in the order (by a Bloom filter, which every task asks alike), so that common lines don't make
 long lists; groups of equal sets are one class and enter once.
 
-Lists are worked through in blocks. First each class meets its most promising partner of each list, then, when those links
-are confirmed and folded into components, only pairs across components are left to look at; a pair whose sketches
-show too little overlap is passed over. Sketches of up to 64 values then estimate the similarity from the smallest values of
+Short lists give pairs. First each class meets its most promising partner of each list, then, when those links are
+confirmed and folded into components, only pairs across components are left to look at; a pair whose sketches show too
+little overlap is passed over. Sketches of up to 64 values then estimate the similarity from the smallest values of
 the union, and what may reach the threshold is confirmed on the full sets.
+
+Long lists never give pairs. Classes that long lists connect form a group, cut into blocks of bounded size; two blocks meet in
+one task, count common shingles of their full sets and pass on only links that connect what was not connected yet.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from gleaner.session import written
 
 _SKETCH = 64  # values of the union sketch
 _OUTLINE = [f"o{i}" for i in range(4)]  # 256 bits set by the smallest values, used inside lists
-_BLOCK = 1024  # members of a list that meet each other in one go
+_LONG = 64  # members from which a list is long
+_BLOCK_CLASSES, _BLOCK_BYTES = 2048, 16 << 20  # of a block of a group, about
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -115,25 +119,18 @@ def _similar(a, b, percent: int) -> np.ndarray:
 
 
 def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
-    """Pairs of classes from inverted lists; ``lists`` has value, size (of the list), cls, n, the outline, comp.
+    """Pairs of classes from short inverted lists; ``lists`` has value, cls, n, the outline, comp.
 
-    Long lists are cut into blocks by class, and each two blocks meet under a key of their own.
     ``across``: all similar pairs of different components, else each member with its most similar one.
     """
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    keyed = lists.withColumn("mine", mine).withColumn("other", other).select(
-        "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", *_OUTLINE, "comp")
-    keyed = keyed.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    ordered = lists.select("value", "cls", "n", *_OUTLINE, "comp").repartition("value").sortWithinPartitions("value")
 
     def pairs(batches):
         held = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             value = held.column("value").to_numpy()
-            i, j = held.column("i").to_numpy(), held.column("j").to_numpy()
-            new = np.flatnonzero((value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            new = np.flatnonzero(value[1:] != value[:-1]) + 1
             if len(new):
                 yield from groups(held.slice(0, new[-1]), np.r_[0, new])
                 held = held.slice(new[-1])
@@ -142,41 +139,100 @@ def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
 
     def groups(table, cuts):
         names = table.column("cls").combine_chunks()
-        comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        columns = {"n": table.column("n").to_numpy(), "mine": table.column("mine").to_numpy(), "comp": comp}
+        columns = {"n": table.column("n").to_numpy(), "comp": table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()}
         columns |= {o: table.column(o).to_numpy().view(np.uint64) for o in _OUTLINE}
         columns["bits"] = sum(_pop(columns[o]).astype(np.int32) for o in _OUTLINE)
-        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b - a < 2:
                 continue
-            at = np.arange(a, b)
-            x = at if i[a] == j[a] else at[columns["mine"][a:b] == i[a]]
-            y = at if i[a] == j[a] else at[columns["mine"][a:b] == j[a]]
-            if not len(x) or not len(y):
-                continue
-            # stretches of bounded size, whatever a block holds
-            for s in range(0, len(x), _BLOCK):
-                part = x[s:s + _BLOCK]
-                score = _similar({k: v[part] for k, v in columns.items()}, {k: v[y] for k, v in columns.items()}, percent)
-                score[columns["comp"][part][:, None] == columns["comp"][y][None, :]] = -1
-                if across:
-                    p, q = np.nonzero(score >= 0)
-                else:
-                    best = score.argmax(axis=1)
-                    p = np.flatnonzero(score[np.arange(len(part)), best] >= 0)
-                    q = best[p]
-                left.append(part[p])
-                right.append(y[q])
+            own = {k: v[a:b] for k, v in columns.items()}
+            score = _similar(own, own, percent)
+            score[own["comp"][:, None] == own["comp"][None, :]] = -1
+            if across:
+                p, q = np.nonzero((score >= 0) & ~np.tri(b - a, dtype=bool))
+            else:
+                best = score.argmax(axis=1)
+                p = np.flatnonzero(score[np.arange(b - a), best] >= 0)
+                q = best[p]
+            left.append(p + a)
+            right.append(q + a)
         if left:
             left, right = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right))], names=["a", "b"])
 
-    found = keyed.mapInArrow(pairs, "a binary, b binary")
+    found = ordered.mapInArrow(pairs, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _group_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked classes of each group; ``members`` has cls and comp, the group's name.
+
+    Every two blocks of a group meet under a key of their own, so a large group is many tasks, each of about two blocks.
+    """
+    rows = members.join(texts, "cls").withColumn("bytes", F.octet_length("text"))
+    blocks = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_CLASSES), F.ceil(F.sum("bytes") / _BLOCK_BYTES)).alias("blocks"))
+    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    keyed = (rows.join(blocks, "comp").withColumn("mine", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+             .select(F.xxhash64("comp").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "text"))
+    keyed = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def link(batches):
+        key, held = None, []
+        for batch in batches:
+            for part in slices([batch], "text"):
+                at = np.stack([part.column("key").to_numpy(), part.column("i").to_numpy().astype(np.int64), part.column("j").to_numpy()], axis=1)
+                cuts = np.r_[0, np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at)]
+                sets = shingle_sets(part.column("text"), size)
+                names, mine = part.column("cls").to_pylist(), part.column("mine").to_pylist()
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if tuple(at[a]) != key:
+                        if held:
+                            yield met(key, held)
+                        key, held = tuple(at[a]), []
+                    held += zip(names[a:b], mine[a:b], sets[a:b])
+        if held:
+            yield met(key, held)
+
+    def met(key, held):
+        x = [k for k, h in enumerate(held) if h[1] == key[1]]
+        y = x if key[1] == key[2] else [k for k, h in enumerate(held) if h[1] == key[2]]
+        parent = list(range(len(held)))
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        left, right = [], []
+        if x and y:
+            # postings of the second block: where each shingle's owners stand
+            n = np.array([len(held[k][2]) for k in y])
+            values, owner = np.concatenate([held[k][2] for k in y]), np.repeat(np.arange(len(y)), n)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            kinds, ends = values[heads], np.r_[heads[1:], len(values)]
+            for k in x:
+                own = held[k][2]
+                at = np.minimum(np.searchsorted(kinds, own), len(kinds) - 1)
+                at = at[kinds[at] == own]
+                m = ends[at] - heads[at]
+                place = np.arange(m.sum()) + np.repeat(heads[at] - (np.cumsum(m) - m), m)
+                common = np.bincount(owner[place], minlength=len(y))
+                for t in np.flatnonzero(100 * common >= percent * (len(own) + n - common)).tolist():
+                    a, b = root(k), root(y[t])
+                    if a != b:
+                        parent[a] = b
+                        left.append(held[k][0])
+                        right.append(held[y[t]][0])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return keyed.mapInArrow(link, "a binary, b binary").distinct()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule the threshold out (by five standard deviations)."""
     sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
@@ -199,9 +255,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(estimate, "a binary, b binary")
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(cls, text) of the classes that stand in a pair; any text of a class serves, its set is the class."""
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _texts(asked: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, text) of the classes asked for and a few more; any text of a class serves, its set is the class."""
     ids = shared(docs.sparkSession, build_bloom(asked.select(F.xxhash64("cls").alias("h")), "h", 17))
 
     def texts(batches):
@@ -282,9 +337,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(rows.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("kept").alias("kept"),
         *(F.first(o).alias(o) for o in _OUTLINE), F.first("sketch").alias("sketch")), "classes")
-    sizes = (classes.select(F.explode("kept").alias("value")).groupBy("value").agg(F.count("*").alias("size"))
-             .where("size > 1"))
-    sizes = written(sizes, "list-sizes")
+    sizes = written(classes.select(F.explode("kept").alias("value")).groupBy("value").agg(F.count("*").alias("size"))
+                    .where("size > 1"), "list-sizes")
     met = shared(spark, build_bloom(sizes, "value"))
 
     def shared_values(batches):
@@ -301,12 +355,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     lists = written(classes.select("cls", "n", *_OUTLINE, "kept").mapInArrow(
         shared_values, "value long, cls binary, n long, o0 long, o1 long, o2 long, o3 long").join(sizes, "value"), "lists")
-    # whoever has a similar partner in a list has a most similar one, so these are all classes that can be linked
-    first = written(_list_pairs(lists.withColumn("comp", F.col("cls")), percent, across=False), "pairs-1")
-    texts = _texts(first, plain, size)
-    links = written(_confirmed(_estimated(first, classes, percent), texts, size, percent), "links-1")
+    # classes that long lists connect form groups
+    long = lists.where(F.col("size") > _LONG)
+    stars = long.select("value", F.col("cls").alias("a")).join(long.groupBy("value").agg(F.min("cls").alias("b")), "value")
+    group = written(components(stars.select("a", "b"), "groups"), "groups").select(
+        F.col("node").alias("cls"), "comp")
+    short = written(lists.where(F.col("size") <= _LONG).drop("size"), "short-lists")
+    # whoever has a similar partner in a list has a most similar one, so these are all classes that short lists can link
+    first = written(_list_pairs(short.withColumn("comp", F.col("cls")), percent, across=False), "pairs-1")
+    texts = _texts(first.select(F.col("a").alias("cls")).union(first.select("b")).union(group.select("cls")).distinct(), plain, size)
+    links = _confirmed(_estimated(first, classes, percent), texts, size, percent)
+    links = written(links.union(_group_links(group, texts, size, percent)), "links-1")
     comp = written(components(links, "comp-1"), "comps-1")
-    named = lists.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = short.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     second = _list_pairs(named, percent, across=True).join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(_estimated(second, classes, percent), texts, size, percent), "links-2")
     comp = written(components(links.union(more), "comp-2"), "comps-2")

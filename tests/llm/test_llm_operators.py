@@ -292,7 +292,8 @@ def test_repeats_of_odd_rows(spark):
 # ---------------------------------------------------------------- 7 near-duplicates
 
 def test_near_duplicates_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "_BLOCK", 8)
+    monkeypatch.setattr(neardup, "_LONG", 4)
+    monkeypatch.setattr(neardup, "_BLOCK_CLASSES", 5)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
     line = " ".join(rng.choices(words, k=14))
