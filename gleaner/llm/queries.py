@@ -52,8 +52,9 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, and whether it holds a passage similar to a benchmark item."""
-    return contamination.reported(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """Every document that holds a passage similar to a benchmark item, with each such item and its best similarity."""
+    found = contamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity")
 
 
 @query

@@ -33,6 +33,13 @@ def test_repeats_equal_brute_force(spark):
     assert got == H.without_repeats(rows)
 
 
+def test_contaminations_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in queries.QUERIES["op4_contamination"](spark, SF).collect()}
+    assert got == {(i, k): round(v, 9) for i, t in rows for k, v in H.contaminated(t or "", items).items()}
+
+
 def test_base_spans_equal_the_patterns(spark):
     rows = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
     for r in queries.QUERIES["op2_privacy"](spark, SF).collect():
