@@ -100,9 +100,16 @@ def prompt_input(t):
     return H.prompt_inputs(asked, hits.join(docs, "chunk_id"))
 
 
-@query(f"""with {_HYBRID}, found as (select question_id, list({{'n': '서식' || lang, 'u': '/download/' || doc_id}} order by position) as files
-    from g join documents on doc_id = chunk_id where position <= {lx.TOP_K} group by 1),
-  offered as (select question_id, list_concat(coalesce(flatten(list_transform(files, lambda f: [f, {{'n': '안내', 'u': f.u}}])), []),
+# a third of the pages are passport pages, a third are forms whose links need a word of the question, a third offer nothing
+_OFFERED = ("flatten(list(list_filter([{'n': '서식' || lang, 'u': '/download/' || doc_id}, {'n': '안내', 'u': '/download/' || doc_id}], "
+            "lambda f: doc_id % 3 = 0 or doc_id % 3 = 1 and len(list_filter(words, lambda w: contains(f.n, w) "
+            "or contains(left(d.text, 40), w))) > 0) order by position))")
+
+
+@query(f"""with {_HYBRID}, qw as (select question_id, list_filter(string_split({q.inline('text')}, ' '), lambda w: length(w) > 1) as words from q),
+  found as (select question_id, {_OFFERED} as files
+    from g join documents d on doc_id = chunk_id join qw using (question_id) where position <= {lx.TOP_K} group by 1),
+  offered as (select question_id, list_concat(coalesce(files, []),
     [{{'n': '여권발급신청서.pdf', 'u': '/download/passport_pdfs/여권발급신청서.pdf'}}]) as files from q left join found using (question_id)),
   picked as (select question_id, {q.greedy('files')} as kept from offered)
   select question_id, len(kept) as n_files, array_to_string(list_transform(kept, lambda f: f.n || '@' || f.u), chr(10)) as files from picked""")
@@ -113,9 +120,9 @@ def attachment_pick(t):
     i = F.col("doc_id").cast("string")
     text = F.concat(F.col("text"), F.lit(" [ 서식"), "lang", F.lit("](/download/"), i, F.lit(") [서식](https://x.kr/"), i,
                     F.lit(") [안내](/download/"), i, F.lit(")"))
+    kind = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("passport "), "lang")).when(F.col("doc_id") % 3 == 1, "민원서식").otherwise("소식")
     docs = t("documents").select(
-        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("passport "), "lang").alias("page_type"),
-        F.col("source").alias("title"), text.alias("chunk_text"))
+        F.col("doc_id").alias("chunk_id"), kind.alias("page_type"), F.left("text", F.lit(40)).alias("title"), text.alias("chunk_text"))
     picked = H.pick_attachments(
         asked.select("question_id", "text", F.lit("여권발급신청서를 내세요").alias("answer")),
         hits.join(docs, "chunk_id"))

@@ -111,7 +111,10 @@ def shortcut_rules(t):
         P.is_shortcut_only(label, F.col("url")).alias("shortcut_only"), P.is_shortcut_label(label).alias("labelled"))
 
 
-@query(f"""select doc_id, contains(source || '서식', '서식') as offers, doc_id % 3 <> 2 as own_link,
+_PAGE_TYPE = "(source || case doc_id % 4 when 0 then '서식' when 1 then ' 안내' when 2 then 'civil' else '소식' end)"
+
+
+@query(f"""select doc_id, regexp_matches({_PAGE_TYPE}, {q.words(lx.ATTACHMENT_PAGE_WORDS)}) as offers, doc_id % 3 <> 2 as own_link,
   case when doc_id % 3 = 0 then '/download/' || doc_id || 'FileDown.do' else {q.lit(_PROFILE.backend_url)} ||
     case doc_id % 3 when 1 then '/download/' || doc_id else '/x/' || doc_id end end as link from documents""")
 def download_links(t):
@@ -119,5 +122,6 @@ def download_links(t):
     url = F.when(i % 3 == 0, F.concat(F.lit("/download/"), i.cast("string"), F.lit("FileDown.do"))) \
         .when(i % 3 == 1, F.concat(F.lit("/download/"), i.cast("string"))) \
         .otherwise(F.concat(F.lit("/x/"), i.cast("string")))
-    return t("documents").select("doc_id", P.offers_attachments(F.concat("source", F.lit("서식"))).alias("offers"),
+    kind = F.when(i % 4 == 0, "서식").when(i % 4 == 1, " 안내").when(i % 4 == 2, "civil").otherwise("소식")
+    return t("documents").select("doc_id", P.offers_attachments(F.concat("source", kind)).alias("offers"),
                                  P.is_own_file_link(url).alias("own_link"), T.resolve_download(url).alias("link"))
