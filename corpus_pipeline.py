@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import contamination, language, mixing, neardup, privacy
+from gleaner.llm.common import small_batches
 from gleaner.session import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; rejected are texts without letters and texts that fit no profile at all."""
+    small_batches(spark)
     known = language.profiles(docs, F.lit(True))
     judged = language.predicted(docs, known, names=("__lang", "__score"))
     return judged.where((F.col("__lang") != "und") & (F.col("__score") >= 0.1)).select(*docs.columns)
@@ -19,21 +21,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return neardup.deduplicated(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of similarity 0.8 to a benchmark item."""
+    small_batches(spark)
     return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced and disclosing terms generalised or removed."""
+    small_batches(spark)
     return privacy.sanitised(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixing.repeated(docs)
 
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.bloom import BlockedBloom, Shared, build_bloom, shared
 
-__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "hash_of", "held_out", "mixed", "shared", "shingles", "slices", "utf8", "whole_text"]
+__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "hash_of", "held_out", "mixed", "shared", "shingles", "slices", "small_batches", "utf8", "whole_text"]
 
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let tasks get long texts in Arrow batches of few rows; a setting of the session, left alone if it is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches, text: str, most: int = SLICE_BYTES):
     """Record batches cut so that the texts of one piece take about ``most`` bytes."""
     for batch in batches:

@@ -130,11 +130,11 @@ def _contexts(docs: DataFrame, near: int) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, near: int = 6, support: int = 3, generalise_at: float = 0.9,
-                     remove_at: float = 0.97) -> tuple[DataFrame, DataFrame]:
-    """Terms over the threshold (term, disclosure, removed) and the places of candidate terms.
+                     remove_at: float = 0.97) -> DataFrame:
+    """Terms over the threshold: (term, disclosure, removed).
 
-    ``docs`` has doc_id, row_key and text. ``support`` is the least number of different contexts in which term and
-    entity meet, so copies of one text count once. Places are (doc_id, row_key, term, start, end) in characters.
+    ``docs`` has a text. ``support`` is the least number of different contexts in which term and
+    entity meet, so copies of one text count once.
     """
     spark = docs.sparkSession
     # distinct contexts first: copies fold before the shuffle, and the grouping on the pair stays small for hot pairs
@@ -144,12 +144,37 @@ def disclosing_terms(docs: DataFrame, near: int = 6, support: int = 3, generalis
                     .join(met.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity")), "entity"), "pairs")
     wanted = shared(spark, build_bloom(pairs.select("term"), "term", 16))
 
+    def count(batches):
+        """Occurrences of candidates per slice, and of all words (no term)."""
+        for part in slices(batches, "text"):
+            w = Words(*utf8(part.column("text")), _MARK)
+            found, n = np.unique(w.hashes[wanted.value.holds(w.hashes)], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([_signed(found), pa.nulls(1, pa.int64())]), pa.array(np.r_[n, len(w.rows)].astype(np.int64))],
+                names=["term", "n"])
+
+    counts = written(docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term")),
+                     "term-counts")
+    total = counts.where("term is null").first()
+    n = F.lit(float(max(total["n_term"] if total else 0, 2)))
+    disclosure = F.least(F.lit(1.0), F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
+                         / F.log(F.greatest(n / F.col("n_entity"), F.lit(1.0000001))))
+    terms = pairs.join(counts, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure"))
+    return written(terms.where(F.col("disclosure") >= generalise_at).withColumn("removed", F.col("disclosure") >= remove_at), "terms")
+
+
+def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, row_key, term, start, end) of the words that may be among the terms, in characters."""
+    wanted = shared(docs.sparkSession, build_bloom(terms.select("term"), "term", 16))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
     def look(batches):
-        asked = wanted.value
         for part in slices(batches, "text"):
             data, offsets = utf8(part.column("text"))
             w = Words(data, offsets, _MARK)
-            hit = np.flatnonzero(asked.holds(w.hashes))
+            hit = np.flatnonzero(wanted.value.holds(w.hashes))
+            if not len(hit):
+                continue
             heads = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
             rows = w.rows[hit]
@@ -157,23 +182,10 @@ def disclosing_terms(docs: DataFrame, near: int = 6, support: int = 3, generalis
             ids = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(ids), part.column("row_key").take(ids), _signed(w.hashes[hit]),
-                 pa.array(heads[w.starts[hit]] - base), pa.array(heads[w.ends[hit]] - base), pa.nulls(len(hit), pa.int64())],
-                names=["doc_id", "row_key", "term", "start", "end", "words"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, part.schema.field("doc_id").type), *(pa.nulls(1, pa.int64()) for _ in range(4)),
-                 pa.array([len(w.rows)], pa.int64())], names=["doc_id", "row_key", "term", "start", "end", "words"])
+                 pa.array(heads[w.starts[hit]] - base), pa.array(heads[w.ends[hit]] - base)],
+                names=["doc_id", "row_key", "term", "start", "end"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = written(docs.mapInArrow(look, f"doc_id {id_type}, row_key long, term long, start long, end long, words long"),
-                    "places")
-    total = found.agg(F.sum("words")).first()[0] or 0
-    counts = found.where("term is not null").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(total, 2)))
-    disclosure = F.least(F.lit(1.0), F.log(F.col("both") * n / (F.col("n_entity") * F.col("n_term")))
-                         / F.log(F.greatest(n / F.col("n_entity"), F.lit(1.0000001))))
-    terms = (pairs.join(counts, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure"))
-             .where(F.col("disclosure") >= generalise_at).withColumn("removed", F.col("disclosure") >= remove_at))
-    return terms, found.where("term is not null").drop("words")
+    return docs.mapInArrow(look, f"doc_id {id_type}, row_key long, term long, start long, end long")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -182,8 +194,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _hits(docs: DataFrame, **settings) -> DataFrame:
     """Places of disclosing terms, one row per document that has some."""
-    terms, places = disclosing_terms(docs, **settings)
-    return written(places.join(terms, "term").groupBy("doc_id", "row_key").agg(
+    terms = disclosing_terms(docs, **settings)
+    return written(places(docs, terms).join(terms, "term").groupBy("doc_id", "row_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "end", "removed"))).alias("hits")), "hits")
 
 
