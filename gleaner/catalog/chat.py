@@ -54,6 +54,9 @@ _BLOCKS = (f"b as (select conv_id, turn, role, text, turn // {_BLOCK} as block,
            "role || ': ' || text end as message from conversations)")
 
 
+_BLOCKS_64 = _BLOCKS.replace(f"turn // {_BLOCK}", "turn // 64")
+
+
 def _turns(t):
     # system turns stand for the fixed greeting
     greeted = F.when(F.col("role") == "system", F.lit(_GREETING)).otherwise(F.col("text"))
@@ -70,6 +73,17 @@ def chat_history(t):
                     H.messages_text(F.col("recent")).alias("recent"))
 
 
+@query(f"""with {_BLOCKS_64} select conv_id, turn, role, block as full_blocks,
+  coalesce(string_agg(message, chr(10) order by turn) over (partition by conv_id, block order by turn
+    rows between unbounded preceding and 1 preceding), '') as recent from b""".replace(
+    "string_agg(message, chr(10) order by turn) over", "string_agg(message, chr(10)) over"))
+def chat_history_default(t):
+    """The same with the default block of 64 turns."""
+    h = H.turn_history(_turns(t), _GREETING)
+    return h.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "full_blocks",
+                    H.messages_text(F.col("recent")).alias("recent"))
+
+
 @query(f"""with a as (select conv_id * 1000 + turn as question_id, conv_id, turn, text from conversations where role = 'user'),
   g as (select * from conversations where role <> 'system' and text is not null)
   select question_id, -1 as seq, 'system' as role, 'Context: ' || text as content from a
