@@ -173,17 +173,21 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     windows = _windows(keyed, items, size, percent, most_lengths)
     near = radius // _BLOCKS
     flips = F.array(*(F.lit(sum(1 << b for b in bits)) for k in range(near + 1) for bits in combinations(range(8), k)))
-    listed = items.select("item_id", "n", "item", F.col("print").alias("item_print"),
+    items = items.select(F.xxhash64("item_id", "item").alias("item_key"), "item_id", "n", "item", "print").dropDuplicates(["item_key"])
+    listed = items.select("item_key", "n", F.col("print").alias("item_print"),
                           F.posexplode(F.array(*(_block(F.col("print"), i) for i in range(_BLOCKS)))).alias("block", "base"))
     listed = listed.select("*", F.explode(flips).alias("flip")).select(
-        "item_id", "n", "item", "item_print", "block", F.col("base").bitwiseXOR(F.col("flip")).alias("value"))
+        "item_key", "n", "item_print", "block", F.col("base").bitwiseXOR(F.col("flip")).alias("value"))
     # a window that stands in many documents is looked up once
     kinds = windows.groupBy("n", "name").agg(F.first("print").alias("print"), F.first("words").alias("words"))
-    asked = kinds.select("n", "name", "print", "words",
+    asked = kinds.select("n", "name", "print",
                          F.posexplode(F.array(*(_block(F.col("print"), i) for i in range(_BLOCKS)))).alias("block", "value"))
-    met = (asked.join(listed, ["n", "block", "value"])
+    # 296 rows per item: more than the size of the items shows, so this side is never broadcast
+    met = (asked.join(listed.hint("merge"), ["n", "block", "value"])
            .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-           .select("n", "name", "words", "item_id", "item").distinct())
+           .select("n", "name", "item_key").distinct())
+    met = met.join(items.select("item_key", "item_id", "item"), "item_key").join(kinds.select("n", "name", "words"), ["n", "name"]).select(
+        "n", "name", "words", "item_id", "item")
 
     def confirm(batches):
         for b in batches:
