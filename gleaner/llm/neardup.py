@@ -397,7 +397,23 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     repeats = found.where("__stays").groupBy("__comp").agg(F.count("*").alias("n")).where("n > 1").select("__comp")
     twice = written(found.where("__stays").join(repeats, "__comp").select("__doc", "__key", "__comp").distinct(), "repeats")
     if twice.isEmpty():
-        return docs.join(gone, at(gone), "left_anti")
+        # only rows that may be gone travel to the join; the filter has a fixed size and passes a few more
+        bloom = shared(docs.sparkSession, build_bloom(gone, "__key", 18))
+        rows = docs.select("*", F.xxhash64(whole_text(text)).alias("__h"))
+        names = docs.columns
+
+        def side(may_be_gone: bool):
+            def go(batches):
+                for b in batches:
+                    if b.num_rows:
+                        hit = bloom.value.holds(b.column("__h").to_numpy().view(np.uint64))
+                        yield b.filter(pa.array(hit == may_be_gone)).select(names)
+
+            return rows.mapInArrow(go, docs.schema)
+
+        maybe = side(True)
+        same = maybe[doc_id].eqNullSafe(gone["__doc"]) & (F.xxhash64(whole_text(text)) == gone["__key"])
+        return side(False).unionByName(maybe.join(gone, same, "left_anti"))
     once = docs.join(twice, at(twice)).dropDuplicates(["__comp"]).select(*docs.columns)
     rest = gone.unionByName(twice.select("__doc", "__key"))
     return docs.join(rest, at(rest), "left_anti").unionByName(once)
