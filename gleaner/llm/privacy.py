@@ -6,9 +6,9 @@ much a term near an entity tells about it. With counts over all word positions o
     disclosure(entity; term) = PMI(entity, term) / information(entity)
                              = log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
-is 1 for a term met only beside the entity and falls the more the term is used elsewhere. Terms met beside the same
-entity in several different contexts are removed from ``remove_at`` on and generalised to their kind from
-``generalise_at`` on, wherever they stand.
+is 1 for a term met only beside the entity and falls the more the term is used elsewhere. Terms are removed from
+``remove_at`` on and generalised to their kind from ``generalise_at`` on, wherever they stand. An entity of one text
+is given away by what stands beside it there; beside an entity of several texts a term needs two different contexts.
 """
 
 from __future__ import annotations
@@ -94,16 +94,17 @@ def row_key(text: str) -> Column:
 
 
 def _contexts(docs: DataFrame, near: int) -> DataFrame:
-    """Terms at most ``near`` words from an entity: (entity, term, context), and per entity one row without term."""
+    """Terms at most ``near`` words from an entity: (entity, term, context, doc), and per occurrence one row without term."""
 
     def find(batches):
         for part in slices(batches, "text"):
             sides, owners = [], []
-            for value in part.column("text").to_pylist():
+            for value, doc in zip(part.column("text").to_pylist(), part.column("doc").to_pylist()):
                 for kind, start, end in base_spans(value or ""):
                     left, right = value[max(0, start - 40 * near):start], value[end:end + 40 * near]
                     context = xxhash.xxh3_64_intdigest((left + "\0" + right).encode())
-                    owners += [(_entity(kind, value[start:end]), context, True), (_entity(kind, value[start:end]), context, False)]
+                    entity = _entity(kind, value[start:end])
+                    owners += [(entity, context, doc, True), (entity, context, doc, False)]
                     # a word cut by the end of the window is no word
                     sides += [left[left.find(" ") + 1:] if start > 40 * near else left,
                               right[:right.rfind(" ") + 1] if end + 40 * near < len(value) else right]
@@ -114,9 +115,10 @@ def _contexts(docs: DataFrame, near: int) -> DataFrame:
             first = np.searchsorted(w.rows, np.arange(len(sides)))
             count = np.bincount(w.rows, minlength=len(sides))
             place = np.arange(len(w.rows)) - first[w.rows]
-            left = np.array([o[2] for o in owners])[w.rows]
+            left = np.array([o[3] for o in owners])[w.rows]
             keep = np.where(left, place >= count[w.rows] - near, place < near) & (w.ends - w.starts >= 3)
             names, texts = np.array([o[0] for o in owners], np.uint64), np.array([o[1] for o in owners], np.uint64)
+            docs_ = np.array([o[2] for o in owners], np.int64)
             rows, terms = w.rows[keep], w.hashes[keep]
             # a term counts once for an occurrence of an entity, and each occurrence gives one row of its own
             _, one = np.unique(np.stack([rows.astype(np.uint64) >> np.uint64(1), terms]), axis=1, return_index=True)
@@ -124,25 +126,29 @@ def _contexts(docs: DataFrame, near: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [_signed(np.r_[names[rows], names[::2]]),
                  pa.concat_arrays([_signed(terms), pa.nulls(len(names) // 2, pa.int64())]),
-                 _signed(np.r_[texts[rows], texts[::2]])], names=["entity", "term", "context"])
+                 _signed(np.r_[texts[rows], texts[::2]]), pa.array(np.r_[docs_[rows], docs_[::2]])],
+                names=["entity", "term", "context", "doc"])
 
-    return docs.select(F.col("text")).mapInArrow(find, "entity long, term long, context long")
+    return docs.select("text", F.xxhash64("text").alias("doc")).mapInArrow(find, "entity long, term long, context long, doc long")
 
 
-def disclosing_terms(docs: DataFrame, near: int = 6, support: int = 3, generalise_at: float = 0.9,
+def disclosing_terms(docs: DataFrame, near: int = 6, support: int = 2, generalise_at: float = 0.9,
                      remove_at: float = 0.97) -> DataFrame:
     """Terms over the threshold: (term, disclosure, removed).
 
-    ``docs`` has a text. ``support`` is the least number of different contexts in which term and
-    entity meet, so copies of one text count once.
+    ``docs`` has a text. A pair counts if term and entity meet in at least ``support`` different places (contexts by
+    text, so copies of one text count once), or in as many as the entity has texts if these are fewer: rare entities
+    lose no term to it.
     """
     spark = docs.sparkSession
-    # distinct contexts first: copies fold before the shuffle, and the grouping on the pair stays small for hot pairs
-    met = written(_contexts(docs, near).groupBy("entity", "term", "context").agg(F.count("*").alias("n")), "contexts")
-    pairs = written(met.where("term is not null").groupBy("entity", "term")
-                    .agg(F.count("*").alias("contexts"), F.sum("n").alias("both")).where(F.col("contexts") >= support)
-                    .join(met.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity")), "entity"), "pairs")
-    wanted = shared(spark, build_bloom(pairs.select("term"), "term", 16))
+    # distinct places first: copies fold before the shuffle, and the grouping on the pair stays small for hot pairs
+    met = written(_contexts(docs, near).groupBy("entity", "term", "context", "doc").agg(F.count("*").alias("n")), "contexts")
+    entities = met.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count_distinct("doc").alias("texts"))
+    pairs = (met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("places"), F.sum("n").alias("both"))
+             .join(entities, "entity").where(F.col("places") >= F.least(F.lit(support), F.col("texts"))))
+    # a common word meets many entities, but the same counts again and again
+    pairs = written(pairs.select("term", "both", "n_entity").distinct(), "pairs")
+    wanted = shared(spark, build_bloom(pairs.select("term"), "term", 18))
 
     def count(batches):
         """Occurrences of candidates per slice, and of all words (no term)."""

@@ -107,6 +107,23 @@ def test_terms_that_disclose_are_found(spark):
     assert clean[70] == "Nothing but  here" and "[EMAIL]" in clean[60] and clean[0] == rows[0][1]
 
 
+def test_terms_of_rare_entities_are_found(spark):
+    rng = random.Random(2)
+    plain = ["the", "house", "stands", "near", "water", "and", "trees", "grow", "there", "every", "year"]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(60))) for i in range(60)]
+    rows += [(60, "the house Quorvin stands a.b@mail.org near water"), (61, "Trees and Quorvin grow there")]
+    # twice in one text, each time beside another telling word
+    rows += [(62, "the Velmora stands c.d@mail.org near " + " ".join(plain * 30) + " the Tazzik stands c.d@mail.org near")]
+    # two texts with the same surroundings, and copies of one text
+    rows += [(i, "the Ushtak stands near 10.20.30.40 and water " + " ".join(plain * 30) + f" {plain[i % 11]}") for i in (63, 64)]
+    rows += [(i, "every Obrenik stands e.f@mail.org there") for i in (65, 66)]
+    text = dict(rows)
+    got = {r["doc_id"]: {text[r["doc_id"]][int(s):int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
+           for r in privacy.personal_spans(table(spark, rows)).collect()}
+    assert {i: words for i, words in got.items() if words} == {
+        60: {"Quorvin"}, 61: {"Quorvin"}, 62: {"Velmora", "Tazzik"}, 63: {"Ushtak"}, 64: {"Ushtak"}, 65: {"Obrenik"}, 66: {"Obrenik"}}
+
+
 def test_personal_data_of_odd_rows(spark):
     got = privacy.personal_spans(clashing(table(spark, ODD))).collect()
     assert len(got) == len(ODD) and {r["spans"] for r in got} == {""}
