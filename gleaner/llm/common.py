@@ -123,7 +123,8 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarra
         return rows, hashes
     first = np.r_[True, rows[1:] != rows[:-1]]
     whole = np.zeros(n, bool)
-    whole[:n - size + 1] = rows[:n - size + 1] == rows[size - 1:]
+    runs = max(n - size + 1, 0)
+    whole[:runs] = rows[:runs] == rows[size - 1:]
     at = np.flatnonzero(whole | first)
     total = np.zeros(len(at), np.uint64)
     for j in range(size):

@@ -335,6 +335,12 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     assert len(kept) == len(groups) + 2 and len(want) == len(rows)
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_near_duplicates_of_one_short_text(spark, words):
+    got = neardup.near_duplicates(table(spark, [(7, " ".join("abcd"[:words]))]), size=5, percent=85).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == [(7, 1, 7)]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["comp"] for r in neardup.components(links, "chain").collect()} == {0}
