@@ -1,12 +1,13 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact confirmation.
 
-A window has as many words as an item. Its fingerprint is the SimHash of its word shingles, each counted as often as it occurs.
+A window has as many words as an item; a text shorter than an item is a window too. Its fingerprint is the SimHash of its word shingles, each counted as often as it occurs.
 Fingerprints are cut into blocks; of two fingerprints at most ``radius`` bits apart some block differs in at most
 radius // blocks bits, so items listed under all block values that near are met by every window within the radius. Met pairs are
-confirmed by the weighted Jaccard similarity of their shingles (counts as weights) on the words themselves.
+confirmed by the weighted Jaccard similarity of their shingles (counts as weights) on the words themselves. An item of fewer
+words than a shingle is one shingle of its own.
 
-Only windows that can reach the threshold get a fingerprint: at least 2 t / (1 + t) of their shingles have to be shingles of
-items of their length, which a Bloom filter of the items' shingles rules out inside the task for nearly all windows.
+Only windows that can reach the threshold get a fingerprint: at least t / (1 + t) of their and the item's shingles together have
+to be shingles of items of that length, which a Bloom filter of the items' shingles rules out inside the task for nearly all windows.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def needed(shingle_count: int, percent: int) -> int:
 
 
 def weighted_similarity(a: list[str], b: list[str], size: int) -> float:
-    """Weighted Jaccard similarity of the shingle counts of two word lists of at least ``size`` words."""
-    x, y = (Counter(tuple(w[i:i + size]) for i in range(len(w) - size + 1)) for w in (a, b))
+    """Weighted Jaccard similarity of the shingle counts of two word lists; a list of fewer words is one shingle."""
+    x, y = (Counter(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) for w in (a, b))
     common = (x & y).total()
     return common / (x.total() + y.total() - common)
 
@@ -67,7 +68,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFram
             first = np.searchsorted(w.rows, np.arange(part.num_rows))
             rows, h = shingles(w.rows, w.hashes, size)
             at, spelled, prints, lists = [], [], [], []
-            for i in np.flatnonzero(count >= size).tolist():
+            for i in np.flatnonzero(count).tolist():
                 own = h[np.searchsorted(rows, i):np.searchsorted(rows, i, side="right")]
                 at.append(i)
                 spelled.append(_spelled(data, w, int(first[i]), int(count[i])))
@@ -114,12 +115,42 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, percent: int, most_le
                 inside[:len(rows) - size + 1] = rows[:len(rows) - size + 1] == rows[size - 1:]
                 h[inside] = shingles(rows, w.hashes, size)[1][_whole_places(rows, size)]
             maybe = np.flatnonzero(inside & known.value.holds(h))
-            if not len(maybe):
-                continue
             out_rows, out_n, names, prints, words_ = [], [], [], [], []
+
+            def add(begin, n, counts, made):
+                out_rows.append(rows[begin])
+                out_n.append(np.full(len(begin), n, np.int32))
+                prints.append(made.view(np.int64))
+                spelled = [_spelled(data, w, b, c) for b, c in zip(begin.tolist(), counts.tolist())]
+                words_.extend(spelled)
+                names.extend(xxhash.xxh3_128_digest(s.encode()) for s in spelled)
+
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else rows
+            count = np.diff(np.r_[first, len(rows)])
             for n in lengths:
+                if n < size:
+                    # one shingle: the window is the item or not; once per text will do
+                    begin = np.arange(max(len(rows) - n + 1, 0))
+                    begin = begin[rows[begin] == rows[begin + n - 1]]
+                    runs = shingles(np.repeat(np.arange(len(begin)), n), w.hashes[(begin[:, None] + np.arange(n)[None, :]).ravel()], size)[1]
+                    hit = np.flatnonzero(known.value.holds(runs) & known.value.holds(_sized(runs, n)))
+                    if len(hit):
+                        hit = hit[np.unique(np.stack([rows[begin[hit]].astype(np.uint64), runs[hit]]), axis=1, return_index=True)[1]]
+                        add(begin[hit], n, np.full(len(hit), n), fingerprints(runs[hit][:, None]))
+                    continue
                 m = n - size + 1
                 mine = maybe[known.value.holds(_sized(h[maybe], n))]
+                if not len(mine):
+                    continue
+                # whole texts of fewer words
+                own = count - size + 1
+                short = np.flatnonzero((count < n) & (own * 100 >= percent * m))
+                if len(short):
+                    held = np.searchsorted(mine, first[short] + own[short]) - np.searchsorted(mine, first[short])
+                    short = short[held * (100 + percent) >= percent * (own[short] + m)]
+                if len(short):
+                    add(first[short], n, count[short], np.concatenate(
+                        [fingerprints(h[None, b:b + k]) for b, k in zip(first[short].tolist(), own[short].tolist())]))
                 need = needed(m, percent)
                 if len(mine) < need:
                     continue
@@ -132,12 +163,7 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, percent: int, most_le
                 begin = begin[held >= need]
                 if not len(begin):
                     continue
-                prints.append(fingerprints(h[begin[:, None] + np.arange(m)[None, :]]).view(np.int64))
-                out_rows.append(rows[begin])
-                out_n.append(np.full(len(begin), n, np.int32))
-                spelled = [_spelled(data, w, b, n) for b in begin.tolist()]
-                words_ += spelled
-                names += [xxhash.xxh3_128_digest(s.encode()) for s in spelled]
+                add(begin, n, np.full(len(begin), n), fingerprints(h[begin[:, None] + np.arange(m)[None, :]]))
             if out_rows:
                 at = pa.array(np.concatenate(out_rows))
                 yield pa.RecordBatch.from_arrays(
@@ -164,8 +190,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     """(doc_id, row_key, item_id, similarity): documents with a window similar to an item, its best similarity.
 
     Words are runs of anything but ASCII blanks and punctuation, A-Z as a-z. At 64 bits two texts of similarity 0.8 differ
-    in 9.7 bits on average (deviation 2.9), so a radius of 23 loses about one such pair in a million. Null texts have no
-    windows; items of fewer than ``size`` words say too little and are not searched; null ids are ids; rows alike in id and
+    in 9.7 bits on average (deviation 2.9), so a radius of 23 loses about one such pair in a million. A document
+    with fewer words than an item is compared with it as a whole. Null texts have no windows; items of fewer than ``size`` words are
+    found word for word; items without words are not searched; null ids are ids; rows alike in id and
     text are one document; repeated items count once each; other columns are not looked at; empty tables give an empty one.
     """
     keyed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(whole_text(text)).alias("row_key"), whole_text(text).alias("text"))

@@ -408,6 +408,17 @@ def test_contamination_is_found(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - set(want)
 
 
+def test_contamination_of_short_texts_and_items(spark):
+    long = [f"w{i}" for i in range(36)]
+    items = [(1, " ".join(long)), (2, "Red green, blue"), (3, "single"), (4, ""), (5, None), (6, "one two three four five")]
+    rows = [(1, " ".join(long[:-1])), (2, " ".join(long[2:-2])), (3, " ".join(long[:29])), (4, " ".join(long[:20])),
+            (5, "so red GREEN blue sky, red green blue"), (6, "red green"), (7, "a single word"), (8, "singles"), (9, "one two three four"),
+            (10, "x one two three four five"), (11, " ".join(long[:30])), (12, ""), (13, "blue red green"), (14, "red"), (15, "blue")]
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in contamination.contaminations(
+        table(spark, rows), table(spark, items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): round(31 / 32, 9), (2, 1): round(28 / 32, 9), (11, 1): round(26 / 32, 9), (5, 2): 1, (7, 3): 1, (10, 6): 1}
+
+
 def test_contamination_of_odd_rows(spark):
     items = table(spark, [(1, "a b c d e f g")], "item_id long, text string")
     assert contamination.clean(clashing(table(spark, ODD)), items).count() == len(ODD)
