@@ -124,15 +124,15 @@ class Ranker:
         rows = (keys >> np.uint64(_CODE)).astype(np.int64)
         # rank by falling count, then by name: one sort, row in the upper bits
         low = np.uint64(20)
-        few = (np.uint64(0xFFFFF) - np.minimum(n, 0xFFFFF).astype(np.uint64))
         begin = np.searchsorted(rows, np.arange(len(texts)))
         place = np.arange(len(keys)) - begin[rows]
-        if np.max(place) < 1 << 20 and len(texts) < 1 << 24:
+        if max(np.max(place), np.max(n)) < 1 << 20 and len(texts) < 1 << 24:
+            few = np.uint64(0xFFFFF) - n.astype(np.uint64)
             packed = np.sort((rows.astype(np.uint64) << (low + low)) | (few << low) | place.astype(np.uint64))
             rows = (packed >> (low + low)).astype(np.int64)
             order = begin[rows] + (packed & np.uint64(0xFFFFF)).astype(np.int64)
         else:
-            order = np.lexsort((place, few, rows))
+            order = np.lexsort((place, -n, rows))
             rows = rows[order]
         keys = keys[order]
         rank = np.arange(len(rows)) - begin[rows]

@@ -148,6 +148,14 @@ def test_language_is_recognised(spark):
     assert len(codes) == sum(len(w) + len(w) + 1 + len(w) for w in text.split())
 
 
+def test_language_of_a_text_with_very_frequent_ngrams():
+    text = "a " * 1_060_000 + "b " * 1_080_000 + "c " * 1_070_000
+    names, n = np.unique(language.ngrams([text])[1], return_counts=True)
+    order = names[np.lexsort((names, -n))]
+    assert n.max() >= 1 << 20
+    assert language.Ranker({"x": order}).judge([text, "a"])[1][0] == 1
+
+
 def test_language_of_odd_rows(spark):
     docs = table(spark, [(*r, "aa") for r in ODD], "doc_id long, text string, lang string")
     got = language.predicted(docs, language.profiles(docs, F.lit(True))).collect()
