@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
+from gleaner.llm import contamination, language, merkle, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out, small_batches
+from gleaner.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,6 +108,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by source: every row's proof, and the root folded from possibly tampered rows."""
+    docs = _table(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaves = written(docs.select(
+        merkle.tree_name(F.col("source")).alias("tree"), "doc_id", merkle.leaf_digest(*head, F.col("text")).alias("digest"),
+        F.when(held_out("doc_id", 5, 0), merkle.leaf_digest(*head, lowered)).alias("changed")), "manifest-rows")
+    made = merkle.manifest(leaves, ["doc_id"])
+    presented = F.coalesce("changed", "digest")
+    root = F.lit(made.root)
+    return merkle.proofs(spark, made).select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(presented, F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == root)
+
+
 SQL["op3_url_rules"] = """
 WITH rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'),
     ('block', 'net/es/'), ('block', 'net/fr/')),
@@ -136,3 +154,45 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
     d.doc_id = coalesce(component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """Trees of up to 16 ** levels leaves; per level the nodes with what lies left and right of them in their run."""
+    def beside(name, source):
+        run = "PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+        return (f"{name} AS (SELECT tree, i, digest, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, "
+                f"coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt, "
+                f"count(*) OVER (PARTITION BY tree) AS n FROM {source})")
+
+    def above(name):
+        return f"(SELECT tree, i // 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM {name} WHERE n > 1 GROUP BY 1, 2)"
+
+    # fixed values: the polynomial of crc32
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), "
+           "lambda a, c: list_reduce(list_concat([xor(a, c)], range(8)), lambda v, j: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)")
+    columns = "doc_id, source, lang, n_chars".split(", ")
+    framed = {c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in [*columns, "text"]}
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(framed[c] for c in columns)
+    ctes = [f"d AS (SELECT row_number() OVER () AS k, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree, "
+            f"sha256({head} || {framed['text']}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {framed['text'].replace('ELSE strlen(text::VARCHAR)', f'ELSE strlen({lowered})').replace('|| text', f'|| {lowered}')}) END AS changed FROM documents)",
+            "e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+            beside("l0", "(SELECT tree, i, leaf AS digest FROM e)")]
+    ctes += [beside(f"l{j}", above(f"l{j - 1}")) for j in range(1, levels + 1)]
+    subroots = " UNION ALL ".join(f"SELECT tree, digest FROM l{j} WHERE n = 1" for j in range(levels + 1))
+    ctes += [f"s AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS p FROM ({subroots}))", beside("t0", "(SELECT '' AS tree, p AS i, digest FROM s)")]
+    ctes += [beside(f"t{j}", above(f"t{j - 1}")) for j in range(1, levels + 1)]
+    ctes.append("r AS (" + " UNION ALL ".join(f"SELECT digest AS root FROM t{j} WHERE n = 1" for j in range(levels + 1)) + ")")
+    steps = [f"l{j}" for j in range(levels)] + [f"t{j}" for j in range(levels)]
+    joins = " ".join([f"LEFT JOIN l{j} ON l{j}.n > 1 AND l{j}.tree = e.tree AND l{j}.i = e.i // {16 ** j}" for j in range(levels)]
+                     + [f"LEFT JOIN t{j} ON t{j}.n > 1 AND t{j}.i = s.p // {16 ** j}" for j in range(levels)])
+    proof = " || ".join(f"coalesce({t}.lft || {t}.rgt, '')" for t in steps)
+    fields = ", ".join(f"{t}.lft AS {t}l, {t}.rgt AS {t}r" for t in steps)
+    ctes.append(f"f0 AS (SELECT e.k, doc_id, leaf, s.digest AS subroot, root, sha256({proof}) AS proof_sha256, coalesce(changed, leaf) AS node, "
+                f"{fields} FROM e JOIN s ON s.tree = e.tree JOIN r ON true {joins})")
+    ctes += [f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN {t}l IS NULL THEN node ELSE sha256({t}l || node || {t}r) END AS node) FROM f{j})"
+             for j, t in enumerate(steps)]
+    return ("WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, node AS folded_root, node = root AS verified FROM f{len(steps)}")
+
+
+SQL["op11_manifest"] = _merkle_sql()
