@@ -145,7 +145,7 @@ def _down(states: DataFrame, records: DataFrame, *keep: str) -> DataFrame:
         F.array_append("path", _segment(F.col("children"), F.col("place"))).alias("path"), *keep)
 
 
-def proofs(spark, made: Manifest, asked: DataFrame | None = None) -> DataFrame:
+def proofs(made: Manifest, asked: DataFrame | None = None) -> DataFrame:
     """Per requested leaf: tree, rank, digest, carried columns, ``subroot`` and ``path``, its segments from the leaf up.
 
     ``asked`` holds the requested leaves (tree, rank); without it all leaves are requested. A request for a leaf that
@@ -158,8 +158,8 @@ def proofs(spark, made: Manifest, asked: DataFrame | None = None) -> DataFrame:
         return states.join(keys, ["tree", "rank"], "left_semi")
 
     none = F.array().cast("array<struct<lft:string,rgt:string>>")
-    states = spark.range(1 if made.root else 0).select(
-        F.lit("").alias("tree"), F.lit(0).cast("long").alias("rank"), F.lit(made.root or "").alias("digest"), none.alias("path"))
+    # the one row that holds the root: the last record above the subroots, or the only subroot
+    states = (made.top[-1] if made.top else made.subroots.select(F.lit("").alias("tree"), "rank", "digest")).select(*_EDGE, none.alias("path"))
     for records in reversed(made.top):
         states = _down(states, records)
     starts = states.select("rank", "digest", "path").join(made.subroots, ["rank", "digest"]).select(

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import contamination, language, merkle, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
+from gleaner.llm import bpe, contamination, language, merkle, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out, small_batches
 from gleaner.session import written
 
@@ -120,11 +120,21 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(leaves, ["doc_id"])
     presented = F.coalesce("changed", "digest")
     root = F.lit(made.root)
-    return merkle.proofs(spark, made).select(
+    return merkle.proofs(made).select(
         "doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
         merkle.folded(presented, F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == root)
 
 
+@query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the tokenization automaton and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents"), path), path)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 SQL["op3_url_rules"] = """
 WITH rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'),
     ('block', 'net/es/'), ('block', 'net/fr/')),

@@ -1,128 +1,96 @@
 """Token counts of a byte-level BPE at every prefix.
 
-Pieces (the tokenizer's own cuts) never merge with each other, so with ``tokens(b)`` the tokens of one piece
+With ``last(i)`` the last token of the first i bytes of a pre-split word, found by the automaton of ``bpe``,
 
-    count(prefix) = count(prefix up to its last piece) + tokens(last piece)
+    count(i) = count(i - len(last(i))) + 1
 
-``counted`` runs this recurrence over a text and stores the counts where pieces end; the last piece of a prefix that
-ends inside a piece is the only part that is looked at again. Truncation and budget questions are then
-look-ups in the stored column; the text is not encoded again.
+One walk over a word gives the counts of all its prefixes, and words never merge with each other, so the counts of a text are
+those of its words on top of each other. They are stored for every prefix; truncation and budget questions are look-ups in
+the stored column and no text is encoded again. Where a prefix is pre-split otherwise than the whole text, the count
+stored is the prefix's own: a run of white space whose last blank went to the next word, a contraction cut in two, and
+a special string cut in two, whose front is ordinary text.
 """
 
 from __future__ import annotations
 
-import bisect
-import json
-
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.bpe import Codec
 from gleaner.llm.common import slices
 
-# fixed values: the cut pattern of byte-level BPE vocabularies of this kind
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-_KEPT = 400_000  # pieces remembered by one worker process
-_LONG = 200  # longer pieces are not remembered
+_KEPT = 400_000  # words remembered by one worker process
+_LONG = 200  # longer words are not remembered
 
 
 class PrefixCounter:
     """Counts for one vocabulary file (``tokenizers`` format, byte-level BPE without normaliser)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model = spec["model"]
-        if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
-            raise ValueError("a byte-level BPE without normaliser is needed")
-        visible = _visible_bytes()
-        ids = {bytes(map(visible.__getitem__, name)): i for name, i in model["vocab"].items()
-               if all(c in visible for c in name)}
-        for t in spec["added_tokens"]:
-            ids.pop(t["content"].encode(), None)
-        # a merge is as strong as its result is early in the vocabulary, which holds for files of this kind
-        self.merger = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ids, special_tokens={})
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = frozenset(special)
-        self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pieces = regex.compile(PIECES)
-        self.memory: dict[str, int] = {}
-
-    def tokens(self, piece: str) -> int:
-        """Tokens of one piece, remembered."""
+        self.codec = Codec(path)
+        self.runs = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
+        self.solid = regex.compile(r"[\p{L}\p{N}]")
+        self.memory: dict[str, bytes] = {}
+
+    def word(self, piece: str) -> bytes:
+        """Counts of the prefixes of 1, 2, .. characters of one word as packed 32-bit numbers, remembered."""
         got = self.memory.get(piece)
         if got is None:
-            got = len(self.merger._encode_single_piece(piece))
+            data = piece.encode()
+            counts = np.array(self.codec.automaton.walk(data)[1], np.int32)
+            if len(data) != len(piece):
+                raw = np.frombuffer(data, np.uint8)
+                counts = counts[np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]]
+            if piece in ("'re", "'ve", "'ll"):  # cut after the first letter it is no contraction
+                counts[2] = 2
+            got = counts[1:].tobytes()
             if len(piece) < _LONG:
                 if len(self.memory) >= _KEPT:
                     self.memory.clear()
                 self.memory[piece] = got
         return got
 
-    def _segments(self, text: str):
-        at = 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            yield at, m.start(), False
-            yield m.start(), m.end(), True
-            at = m.end()
-        yield at, len(text), False
-
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the pieces (characters) and the token count of the prefix up to each; both start with 0."""
-        names: list[str] = []
-        for at, to, special in self._segments(text):
-            if special:
-                names.append(text[at:to])
-            elif at < to:
-                names += self.pieces.findall(text[at:to] if to - at < len(text) else text)
-        memory, special = self.memory.get, self.special
-        each = [memory(p) or (1 if p in special else self.tokens(p)) for p in names]
-        ends, counts = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, names), np.int64, len(names)), out=ends[1:])
-        np.cumsum(np.fromiter(each, np.int64, len(names)), out=counts[1:])
-        return ends, counts
-
-    def at(self, text: str, ends, counts, to: int) -> int:
-        """Tokens of ``text[:to]`` from stored counts: only what follows the last piece that ends before ``to``."""
-        if to >= len(text):
-            return int(counts[-1])
-        k = max(bisect.bisect_left(ends, to) - 1, 0)
-        # white space is cut by what follows the run, and a cut special string falls apart into ordinary
-        # pieces, which may merge with the piece before it
-        while k and (text[ends[k] - 1].isspace() or text[ends[k - 1]:ends[k]] not in self.special and any(
-                text.startswith(s, ends[k]) for s in self.special)):
-            k -= 1
-        return int(counts[k] + self.counted(text[ends[k]:to])[1][-1])
-
-    def fits(self, text: str, ends, counts, budget: int) -> int:
-        """Longest prefix, in characters, of at most ``budget`` tokens.
-
-        Counts at piece ends never fall; inside a piece they may, so the piece where the budget runs out
-        is asked from its end.
-        """
-        k = bisect.bisect_right(counts, budget) - 1
-        if k == len(ends) - 1:
-            return len(text)
-        for to in range(int(ends[k + 1]), int(ends[k]), -1):
-            if self.at(text, ends, counts, to) <= budget:
-                return to
-        return int(ends[k])
-
-
-def _visible_bytes() -> dict[str, int]:
-    """The letter that stands for each byte in such vocabulary files: itself if printable, else the next free one."""
-    out, free = {}, 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
-            out[chr(b)] = b
-        else:
-            out[chr(free)] = b
-            free += 1
-    return out
+    def _plain(self, text: str) -> np.ndarray:
+        """Counts of all prefixes of a text without special strings, as the whole text is pre-split."""
+        names = self.codec.pieces.findall(text)
+        known = self.memory.get
+        inside = np.frombuffer(b"".join([known(p) or self.word(p) for p in names]), np.int32)
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        totals = inside[np.cumsum(lengths) - 1].astype(np.int64)
+        out = np.zeros(len(text) + 1, np.int64)
+        out[1:] = inside + np.repeat(np.cumsum(totals) - totals, lengths)
+        for m in self.runs.finditer(text):
+            out[m.end()] = out[m.start()] + np.frombuffer(self.word(m.group()), np.int32)[-1]
+        return out
+
+    def _front(self, text: str, at: int, to: int, done: np.ndarray) -> list[int]:
+        """Counts of the prefixes that end inside the special string at ``text[at:to]``, after ``done`` for the stretch before it."""
+        start = at - (len(done) - 1)
+        safe = at
+        while safe > start and not self.solid.match(text[safe - 1]):
+            safe -= 1
+        out = []
+        for end in range(at + 1, to):
+            out.append(int(done[safe - start] + self._plain(text[safe:end])[-1]))
+        return out
+
+    def counted(self, text: str) -> np.ndarray:
+        """Tokens of ``text[:i]`` for every i from 0 to all."""
+        out, base, before = [np.zeros(1, np.int64)], 0, np.zeros(1, np.int64)
+        for at, to, special in self.codec.segments(text):
+            if special is None:
+                before = self._plain(text[at:to])
+                out.append(before[1:] + base)
+            else:
+                front = np.array(self._front(text, at, to, before), np.int64) + base
+                base += int(before[-1]) + 1
+                out.append(np.r_[front, base])
+                before = np.zeros(1, np.int64)
+        return np.concatenate(out)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -134,39 +102,50 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
+def truncated(counts: Column, to: Column) -> Column:
+    """Tokens of the first ``to`` characters, looked up in a stored column of counts; beyond the text, those of all of it."""
+    return counts[F.least(to.cast("int"), F.size(counts) - 1)]
+
+
+def fitting(counts: Column, budget: int) -> Column:
+    """Characters of the longest prefix of at most ``budget`` tokens, looked up in a stored column of counts."""
+    return F.size(counts) - 1 - F.array_position(F.reverse(F.transform(counts, lambda c: c <= budget)), True) + 1
+
+
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                  budgets: tuple[int, ...] = (), prefixes: bool = False) -> DataFrame:
-    """Per row: id, UTF-8 bytes, tokens, for each budget the longest prefix that fits (characters), and, if asked
-    for, the stored counts (``piece_ends``, ``piece_counts``).
+    """Per row: id, UTF-8 bytes, tokens, for each budget (0 or more) the longest prefix that fits (characters), and,
+    if asked for, the stored counts (``prefix_counts``: the tokens of the first 0, 1, .. characters).
 
     ``path`` is the vocabulary file, readable on every executor. Null and empty texts have 0 tokens; null ids and
-    repeated rows are kept as they are, other columns are not looked at; an empty table gives an empty one.
+    repeated rows are kept as they are, other columns are not looked at; an empty table gives an empty one. Texts and words
+    of any length take linear time.
     """
     id_type = docs.schema[doc_id].dataType
     fields = [T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType(), False),
               T.StructField("n_tokens", T.LongType(), False)]
     fields += [T.StructField(f"fits_{b}", T.LongType(), False) for b in budgets]
     if prefixes:
-        fields += [T.StructField(n, T.ArrayType(T.LongType(), False), False) for n in ("piece_ends", "piece_counts")]
+        fields.append(T.StructField("prefix_counts", T.ArrayType(T.LongType(), False), False))
 
     def count(batches):
         tool = counter(path)
         for part in slices(batches, "text"):
-            sizes, totals, fitted, kept = [], [], [[] for _ in budgets], ([], [])
+            sizes, totals, fitted, kept = [], [], [[] for _ in budgets], []
             for value in part.column("text").to_pylist():
                 value = value or ""
-                ends, counts = tool.counted(value)
+                counts = tool.counted(value)
                 sizes.append(len(value.encode()))
                 totals.append(int(counts[-1]))
                 for out, b in zip(fitted, budgets):
-                    out.append(tool.fits(value, ends, counts, b))
+                    # counts may fall inside a word, so it is the last place and not the first beyond
+                    out.append(len(value) if counts[-1] <= b else int(np.flatnonzero(counts <= b)[-1]))
                 if prefixes:
-                    kept[0].append(ends)
-                    kept[1].append(counts)
+                    kept.append(counts)
             columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()),
                        *(pa.array(x, pa.int64()) for x in fitted)]
             if prefixes:
-                columns += [pa.array(x, pa.list_(pa.int64())) for x in kept]
+                columns.append(pa.array(kept, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(count, T.StructType(fields))

@@ -44,10 +44,10 @@ def test_single_requests_descend_alone(spark):
     rows = [("s" + "ab"[i % 2], i, F"{i:064x}") for i in range(700)]
     made = merkle.manifest(spark.createDataFrame(rows, "tree string, doc_id long, digest string").persist(), ["doc_id"])
     asked = spark.createDataFrame([("sa", 0), ("sb", 349), ("sb", 16), ("sb", 350), ("none", 0)], "tree string, rank long")
-    got = merkle.proofs(spark, made, asked).withColumn("root", merkle.folded(F.col("digest"), F.col("path"))).collect()
+    got = merkle.proofs(made, asked).withColumn("root", merkle.folded(F.col("digest"), F.col("path"))).collect()
     assert sorted((r["tree"], r["rank"], r["doc_id"], r["root"]) for r in got) == [
         ("sa", 0, 0, made.root), ("sb", 16, 33, made.root), ("sb", 349, 699, made.root)]
     assert {len(r["path"]) for r in got} == {4}
-    all_paths = {(r["tree"], r["rank"]): r["path"] for r in merkle.proofs(spark, made).collect()}
+    all_paths = {(r["tree"], r["rank"]): r["path"] for r in merkle.proofs(made).collect()}
     assert len(all_paths) == 700 and all(all_paths[r["tree"], r["rank"]] == r["path"] for r in got)
     assert made.leaves().count() == 700

@@ -1,14 +1,17 @@
 """Each operator against a plain version, and its defined results for odd rows."""
 
+import itertools
 import random
+import time
 
 import helpers as H
 import numpy as np
 import public_tokenizers
 import pytest
-from gleaner.llm import (contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls)
+from gleaner.llm import (bpe, contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls)
 from gleaner.llm.common import BlockedBloom, Words, build_bloom, utf8
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import pyarrow as pa
 
@@ -51,21 +54,27 @@ def test_bloom_holds_every_key(spark):
 # ---------------------------------------------------------------- 9 tokens
 
 def test_prefix_counts_equal_the_library():
-    from tokenizers import Tokenizer
-
     library, own = Tokenizer.from_file(PATH), tokens.counter(PATH)
     rng = random.Random(4)
-    pieces = ["a", " ", "  ", "\n", "'re", "'", "1", "<|endoftext|>", "<|", "é", "日本", "!!", "loser", "\t", "😀"]
-    for _ in range(150):
+    pieces = ["a", " ", "  ", "\n", "'re", "'", "'l", "l", "1", "<|endoftext|>", "<|", "é", "日本", "!!", "loser", "\t", "😀", "\u3000"]
+    for _ in range(300):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
-        ends, counts = own.counted(text)
         exact = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-        assert [own.at(text, ends, counts, i) for i in range(len(text) + 1)] == exact
-        for budget in range(4):
-            to = own.fits(text, ends, counts, budget)
-            assert exact[to] <= budget
+        assert own.counted(text).tolist() == exact, text
     long = "ab" * 3000
-    assert own.counted(long)[1][-1] == len(library.encode(long, add_special_tokens=False).ids)
+    assert own.counted(long)[-1] == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def test_counts_of_unbroken_texts_take_linear_time():
+    library, own = Tokenizer.from_file(PATH), tokens.counter(PATH)
+    rng = random.Random(5)
+    for unit in ("a", " ", "-", "é", "".join(rng.choice("etaoinshr") for _ in range(997))):
+        short = (unit * 20_000)[:20_000]
+        assert own.counted(short)[-1] == len(library.encode(short, add_special_tokens=False).ids)
+        start = time.perf_counter()
+        counts = own.counted((unit * 1_000_000)[:1_000_000])
+        assert time.perf_counter() - start < 30  # quadratic work would take hours
+        assert len(counts) == 1_000_001 and counts[20_000] == own.counted(short)[-1]
 
 
 def test_token_counts_of_odd_rows(spark):
@@ -75,6 +84,72 @@ def test_token_counts_of_odd_rows(spark):
     assert tokens.token_counts(table(spark, []), PATH).count() == 0
 
 
+def test_stored_counts_answer_without_the_text(spark):
+    rows = [(1, "A loser's  tale, 're told"), (2, ""), (3, None), (4, "x" * 300 + " y")]
+    stored = tokens.token_counts(table(spark, rows), PATH, budgets=(0, 3), prefixes=True)
+    got = stored.select("doc_id", "n_tokens", "fits_0", "fits_3", "prefix_counts", tokens.fitting(F.col("prefix_counts"), 3).alias("fit"),
+                        tokens.truncated(F.col("prefix_counts"), F.lit(5)).alias("five")).collect()
+    library = Tokenizer.from_file(PATH)
+    for r in got:
+        text = dict(rows)[r["doc_id"]] or ""
+        exact = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert r["prefix_counts"] == exact and r["five"] == exact[min(5, len(text))] and r["fits_0"] == 0
+        assert r["fit"] == r["fits_3"] == max(i for i, c in enumerate(exact) if c <= 3)
+
+
+# ---------------------------------------------------------------- 13 encoding and decoding
+
+def test_automaton_equals_the_library():
+    library, own = Tokenizer.from_file(PATH), bpe.codec(PATH)
+    rng = random.Random(7)
+    parts = ["a", "b", "the", "in", "er", " ", "  ", "\n", "é", "日本", "😀", "!!", "-----", "=", "ing", "aaaa", "0", "12", "<|endoftext|>", "ÃÂ", "\x00", "'re", "'"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(rng.choice("etaoinshrdluESTAR") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice((rng.randint(0, 0xD7FF), rng.randint(0xE000, 0x10FFFF)))) for _ in range(12)) for _ in range(500)]
+    texts += [c * 4097 for c in "a -=é"] + ["".join(rng.choice("etaoin") for _ in range(30_000))]
+    for text, ref in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        ids = np.frombuffer(own.packed(text), np.int32).tolist()
+        assert ids == ref.ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
+    for _ in range(300):  # ids that no text encodes to
+        ids = [rng.choice((rng.randint(0, 300), rng.randint(0, 50_400))) for _ in range(6)]
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_automaton_of_a_small_vocabulary_accepts_what_merging_makes():
+    """All words of up to seven letters over a, b, c against merging pair by pair."""
+    rng = random.Random(3)
+    for _ in range(20):
+        names, merges = ["a", "b", "c"], []
+        while len(names) < 12:
+            u, v = rng.choice(names), rng.choice(names)
+            if u + v not in names:
+                merges.append((names.index(u), names.index(v), len(names)))
+                names.append(u + v)
+        automaton = bpe.Automaton.__new__(bpe.Automaton)
+        single = [names.index(c) if c in "abc" else 100 + i for i, c in enumerate(map(chr, range(256)))]
+        automaton.__init__(single, merges)
+        for n in range(8):
+            for word in itertools.islice(itertools.product("abc", repeat=n), 0, None, 1 if n < 6 else 7):
+                tokens_ = [names.index(c) for c in word]
+                for u, v, made in merges:
+                    at = 0
+                    while at < len(tokens_) - 1:
+                        if (tokens_[at], tokens_[at + 1]) == (u, v):
+                            tokens_[at:at + 2] = [made]
+                        at += 1
+                assert automaton.encode("".join(word).encode()) == tokens_
+
+
+def test_round_trip_of_odd_rows(spark):
+    rows = ODD + [(7, "x" * 100_000 + " 日本 <|endoftext|>")]
+    ids = bpe.encoded(clashing(table(spark, rows)), PATH)
+    got = bpe.decoded(ids, PATH).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t or "") for i, t in rows)
+    assert bpe.decoded(bpe.encoded(table(spark, []), PATH), PATH).count() == 0
+    odd = bpe.decoded(table(spark, [(1, None), (2, [-1, 99_999, 15496, 50256]), (3, [])], "doc_id long, ids array<long>"), PATH)
+    assert {r["doc_id"]: r["text"] for r in odd.collect()} == {1: "", 2: "Hello<|endoftext|>", 3: ""}
+
+
 # ---------------------------------------------------------------- 2 personal data
 
 def test_base_spans_follow_the_patterns():

@@ -1,12 +1,15 @@
 """The dealt queries and the pipeline on the smallest tables."""
 
+import hashlib
 import os
 
 import corpus_pipeline
 import helpers as H
+import public_tokenizers
 import pytest
 from gleaner.llm import mixing, privacy, queries
 from oracle import compare, connect
+from tokenizers import Tokenizer
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -46,6 +49,19 @@ def test_base_spans_equal_the_patterns(spark):
         assert r["base_sha256"] == privacy.sha256_of(H.base_spans(rows[r["doc_id"]] or ""))
 
 
+def test_tokens_equal_the_library(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    counted = {r["doc_id"]: r for r in queries.QUERIES["op9_token_counts"](spark, SF).collect()}
+    coded = {r["doc_id"]: r for r in queries.QUERIES["op13_bpe"](spark, SF).collect()}
+    assert counted.keys() == coded.keys() == rows.keys()
+    for i, text in rows.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert (counted[i]["n_bytes"], counted[i]["n_tokens"], counted[i]["over_limit"]) == (len((text or "").encode()), len(ids), len(ids) > 1024)
+        assert (coded[i]["n_tokens"], coded[i]["ids_sha256"], coded[i]["decoded_sha256"]) == (len(ids), *(
+            hashlib.sha256(t.encode()).hexdigest() for t in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))))
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     made = {}
