@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, contamination, language, merkle, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
+from gleaner.llm import bpe, collocations, contamination, language, merkle, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls
 from gleaner.llm.common import held_out, small_batches
 from gleaner.session import written
 
@@ -125,6 +125,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.folded(presented, F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == root)
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 collocations of 2 to 5 words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the tokenization automaton and decoded again."""
@@ -206,3 +212,23 @@ def _merkle_sql(levels: int = 5) -> str:
 
 
 SQL["op11_manifest"] = _merkle_sql()
+
+
+SQL["op12_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0b\f\r]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM w, range(1, 6) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE a >= 100 AND m >= 2),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c AS x WHERE NOT EXISTS (SELECT 1 FROM c AS y WHERE y.lang = x.lang AND y.m > x.m
+    AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= 100 * x.a)),
+z AS (SELECT k.lang, k.phrase, k.k, k.a, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS score
+    FROM k JOIN f AS l ON l.lang = k.lang AND l.phrase = array_to_string(s[1:k], ' ')
+    JOIN f AS r ON r.lang = k.lang AND r.phrase = array_to_string(s[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b QUALIFY rank <= 2000
+"""

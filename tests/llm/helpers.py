@@ -149,3 +149,29 @@ def merkle(rows, fanout=16):
                 node = h(lft, node, rgt)
             out.append((i, a, subroot, root, h(*(lft + rgt for lft, rgt in path + top)), node, node == root))
     return out
+
+
+def collocations(rows, least=100, longest=5, covered=100, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] of (text, lang) rows."""
+    f, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", low(text)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for m in range(1, longest + 1):
+                f[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, c in f.items():
+        found = {p: a for p, a in c.items() if a >= least and len(p) > 1}
+        kept = []
+        for p, a in found.items():
+            if any(100 * b >= covered * a and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))
+                   for q, b in found.items() if len(q) > len(p)):
+                continue
+            cuts = [(1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            kept.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        for rank, (score, a, p, lft, rgt) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, lft, rgt, n[lang], -score))
+    return sorted(out)
