@@ -19,11 +19,14 @@ every prefix. Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
+import itertools
 import json
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -77,6 +80,7 @@ class Automaton:
             if name:
                 self.arcs.add_word(name.decode("latin-1"), t)
         self.arcs.make_automaton()
+        self.sizes = [len(name) for name in self.labels]
 
     def _gadget(self, u: int, v: int, made: int) -> None:
         q, state = self.behind[u], len(self.label)
@@ -113,30 +117,37 @@ class Automaton:
             got = self.table[key] = self._leaves(state, t)
         return got
 
-    def walk(self, word: bytes) -> tuple[list[int], list[int]]:
-        """Per prefix length (0 to all): the last token of the prefix and its number of tokens."""
-        n = len(word)
-        states, last, counts = [-1] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    def walk(self, word: bytes) -> list[int]:
+        """The last token of every prefix, by prefix length (0: -1)."""
+        states, last = [-1] * (len(word) + 1), [-1] * (len(word) + 1)
         states[0] = 0
-        labels, behind, table, bits = self.labels, self.behind, self.table, _BITS
+        sizes, behind, known, step, bits = self.sizes, self.behind, self.table.get, self.step, _BITS
         for end, t in self.arcs.iter(word.decode("latin-1")):
             end += 1
             if states[end] < 0:
-                at = end - len(labels[t])
-                key = states[at] << bits | t
-                fits = table.get(key)
-                if self.step(states[at], t) if fits is None else fits:
-                    states[end], last[end], counts[end] = behind[t], t, counts[at] + 1
-        return last, counts
+                state = states[end - sizes[t]]
+                fits = known(state << bits | t)
+                if fits or fits is None and step(state, t):
+                    states[end], last[end] = behind[t], t
+        return last
+
+    def counts(self, word: bytes) -> list[int]:
+        """The number of tokens of every prefix, by prefix length."""
+        out, sizes = [0], self.sizes
+        for end, t in enumerate(self.walk(word)[1:], 1):
+            out.append(out[end - sizes[t]] + 1)
+        return out
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one pre-split word."""
-        last, _ = self.walk(word)
+        last, sizes = self.walk(word), self.sizes
         out, end = [], len(word)
         while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+            t = last[end]
+            out.append(t)
+            end -= sizes[t]
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -174,7 +185,7 @@ class Codec:
         """Tokens of one pre-split word as packed 32-bit numbers, remembered."""
         got = self.memory.get(piece)
         if got is None:
-            got = np.array(self.automaton.encode(piece.encode()), np.int32).tobytes()
+            got = array("i", self.automaton.encode(piece.encode())).tobytes()
             if len(piece) < _LONG:
                 if len(self.memory) >= _KEPT:
                     self.memory.clear()
@@ -238,7 +249,11 @@ def decoded(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                texts = [tool.decode(x or ()) for x in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                flat = lists.flatten().to_numpy().tolist()
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist()
+                ends = itertools.accumulate(sizes)
+                texts = [tool.decode(flat[end - size:end]) for end, size in zip(ends, sizes)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return tokens.select(tokens[doc_id].alias("doc_id"), tokens[ids].cast("array<int>").alias("ids")).mapInArrow(decode, schema)

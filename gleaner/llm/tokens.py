@@ -41,7 +41,7 @@ class PrefixCounter:
         got = self.memory.get(piece)
         if got is None:
             data = piece.encode()
-            counts = np.array(self.codec.automaton.walk(data)[1], np.int32)
+            counts = np.array(self.codec.automaton.counts(data), np.int32)
             if len(data) != len(piece):
                 raw = np.frombuffer(data, np.uint8)
                 counts = counts[np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]]
