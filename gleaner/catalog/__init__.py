@@ -35,4 +35,4 @@ def query(sql: str | None = None):
 
 
 def load_all() -> None:
-    from gleaner.catalog import chat, corpus, dedups, pages, rules, searches, tables, urls  # noqa: F401
+    from gleaner.catalog import chat, corpus, dedups, pages, rules, searches, site, tables, urls  # noqa: F401

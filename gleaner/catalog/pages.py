@@ -11,7 +11,6 @@ from gleaner.functions import dom as D
 from gleaner.functions import urls as U
 from gleaner.operators import links as L
 from gleaner.operators import sections as S
-from gleaner.operators.frontier import expand_frontier
 from gleaner.sources.pages import with_nodes
 
 _PROFILE = lx.DEFAULT_PROFILE
@@ -104,20 +103,6 @@ def menu_links(t):
     return found.select("page_id", "link_url", "anchor_text", F.array_join("menu_path", " > ").alias("menu_path"))
 
 
-@query("""select page_id, url, floor(log2(page_id + 1))::int as depth,
-  coalesce((select b.url from pages b where b.page_id = (a.page_id - 1) // 2 and a.page_id > 0), '') as parent_url from pages a""")
-def frontier(t):
-    """Every page offers pages 2i+1 and 2i+2; page 0 is the seed."""
-    pages = t("pages").select("page_id", "url")
-    child = F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("child")
-    links = pages.select("url", child).join(
-        pages.select(F.col("page_id").alias("child"), F.col("url").alias("link_url")), "child").select(
-        "url", (F.col("child") % 2).alias("pos"), "link_url", F.col("child").cast("string").alias("anchor_text"))
-    seeds = pages.where("page_id = 0").select("url", F.array(F.lit("seed")).alias("menu_path"), F.lit(0).alias("seq"))
-    found = expand_frontier(seeds, links)
-    return found.join(pages, "url").select("page_id", "url", "depth", "parent_url")
-
-
 @query(f"""select page_id, n.value as notice_id, '' as anchor_text from (select page_id, unnest(list_distinct([page_id % 50,
   page_id % 7, page_id]))::varchar as value from pages) n""")
 def notice_ids(t):
@@ -150,16 +135,21 @@ def page_files(t):
 @query(f"""with p as (select page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) as root from pages)
   select page_id, 0 as n, '예약 ' || page_id as label, 'https://a.org/r' || page_id as link_url from p
   union all select page_id, 1, '안내', root || '/portal/contents.do?mId=01' from p
-  union all select page_id, 2, '여권안내 홈페이지', 'https://www.passport.go.kr/x' from p""")
+  union all select page_id, 2, '여권안내 홈페이지', 'https://www.passport.go.kr/x' from p
+  union all select page_id, 3, '계약정보공개', 'https://c.org/' || page_id from p where page_id % 4 = 1
+  union all select page_id, 4, '재정정보공개', root || '/f' from p where page_id % 4 = 1""")
 def page_shortcuts(t):
+    """Shortcuts of every page, and the saved new-window links of the start pages, a quarter of all."""
     i = F.col("page_id").cast("string")
     html = F.concat(
-        F.col("html"), F.lit('<main>'), F.lit('<a href="https://a.org/r'), i, F.lit('">예약 '), i,
+        F.col("html"), F.lit('<nav><a href="https://c.org/'), i, F.lit('" target="_blank"> 계약정보공개 </a><a href="/f#x">재정정보공개 새창</a>'
+                             '<a href="/f">재정정보공개</a><a href="/g" target="_blank">기타</a></nav><main>'),
+        F.lit('<a href="https://a.org/r'), i, F.lit('">예약 '), i,
         F.lit(' 새창으로열림</a><a href="/portal/contents.do?mId=01">안내</a><a href="https://b.org/download/1">신청서</a>'
               '<p><a href="https://www.passport.go.kr/x">https://www.passport.go.kr/x</a></p><a href="https://a.org/r'), i,
         F.lit('">예약 '), i, F.lit('</a><a href="https://s.org">공유</a></main>'))
     pages = t("pages").select("page_id", "url", html.alias("html"))
-    nodes = with_nodes(pages)
+    nodes = L.start_page_flags(with_nodes(pages), t("pages").where("page_id % 4 = 1"))
     nodes = S.with_main(nodes, D.first(D.select(F.col("nodes"), "main"))["pos"])
-    return L.page_shortcuts(nodes, []).select("page_id", "n", F.col("text").alias("label"), "link_url") \
+    return L.page_shortcuts(nodes).select("page_id", "n", F.col("text").alias("label"), "link_url") \
         .withColumn("n", F.col("n").cast("int"))

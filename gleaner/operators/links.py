@@ -10,7 +10,7 @@ from gleaner.functions import dom as D
 from gleaner.functions import predicates as P
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
-from gleaner.operators.bounds import unnest
+from gleaner.operators.bounds import small, unnest
 from gleaner.operators.dedup import keep_first, keep_last_value, keep_longest
 
 # attributes that hold lists of words, not one string
@@ -77,52 +77,73 @@ def hidden_menu_id(values: Column) -> Column:
 
 
 def menu_links(rows: DataFrame, menu_path: Column | None = None, key: str = "page_id", url: str = "url",
-               profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR) -> DataFrame:
+               profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR, label_length: int = 60) -> DataFrame:
     """(key, pos, link_url, anchor_text, menu_path) to be crawled from each page, unique per page and url.
 
     ``rows`` are anchor rows; of several links to one url the one with the longest path stays.
     """
     path = F.array().cast("array<string>") if menu_path is None else menu_path
+    kept = _links_to_follow(rows, url, profile, year)
+    text = F.col("anchor_text")
+    extend = (text != "") & ~F.array_contains(path, text) & (F.length(text) <= label_length)
+    full = F.when(extend, F.concat(path, F.array(text))).otherwise(path)
+    out = kept.select(key, "pos", "link_url", "anchor_text", full.alias("menu_path"))
+    return keep_longest(out, [key, "link_url"], F.size("menu_path"), "pos")
+
+
+def page_links(rows: DataFrame, url: str = "url", profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR) -> DataFrame:
+    """(url, pos, link_url, labels) to be crawled from each page, unique per page and link: where the link stands first, and
+    all its labels in order. Which label counts depends on the menu path by which the page is reached."""
+    kept = _links_to_follow(rows, url, profile, year)
+    labels = F.array_sort(F.collect_list(F.struct("pos", "anchor_text")))
+    return kept.groupBy(F.col(url).alias("url"), "link_url").agg(F.min("pos").alias("pos"), labels.alias("l")).select(
+        "url", "pos", "link_url", F.array_distinct("l.anchor_text").alias("labels"))
+
+
+def _links_to_follow(rows: DataFrame, url: str, profile: lx.SiteProfile, year: int) -> DataFrame:
     label = F.when(F.col("text") != "", F.col("text")).otherwise(
         T.strip(F.replace(F.col("title"), F.lit("선택됨"), F.lit(""))))
     hidden = hidden_menu_id(F.col("values"))
     href = F.when(hidden != "", F.concat(F.lit("/portal/contents.do?mId="), hidden)).otherwise(F.col("href"))
     named = rows.withColumn("anchor_text", label).withColumn("_href", href).where("_href <> ''") \
         .withColumn("link_url", U.normalize_url(F.col(url), F.col("_href"), profile.hosts))
-    kept = named.where(
+    return named.where(
         F.col("link_url").isNotNull()
         & ~P.is_shortcut_only(F.col("anchor_text"), F.col("_href"), profile)
         & P.is_allowed_url(F.col("link_url"), profile)
         & P.is_recent_year_label(F.col("anchor_text"), year)
     )
-    text = F.col("anchor_text")
-    extend = (text != "") & ~F.array_contains(path, text) & (F.length(text) <= 60)
-    full = F.when(extend, F.concat(path, F.array(text))).otherwise(path)
-    out = kept.select(key, "pos", "link_url", "anchor_text", full.alias("menu_path"))
-    return keep_longest(out, [key, "link_url"], F.size("menu_path"), "pos")
 
 
 # -- shortcuts --------------------------------------------------------------------------------
 
-_SHORTCUT = "array<struct<text:string,url:string,raw_href:string>>"
+SHORTCUTS = "array<struct<text:string,url:string,raw_href:string>>"
 
 
-def last_value_by(items: Column, *names: str) -> Column:
-    """Map semantics inside one array: an equal key keeps its first place and its last value."""
-    keys = F.array_distinct(F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in names])))
+def _groups(items: Column, names: tuple[str, ...], made) -> Column:
+    """``made`` of the items that start an equal-key group (in key order, each with its place ``i``) and of those that end it.
+
+    One sort instead of a look at all items per key.
+    """
+    keyed = F.transform(items, lambda x, i: F.struct(F.struct(*[x[n].alias(n) for n in names]).alias("k"), i.alias("i"), x.alias("x")))
+
+    def edges(s):
+        starts = F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"]))
+        ends = F.filter(s, lambda x, i: (i == F.size(s) - 1) | ~F.get(s, i + 1)["k"].eqNullSafe(x["k"]))
+        return F.transform(F.array_sort(made(starts, ends)), lambda x: x["x"])
 
-    def last(k):
-        same = F.filter(items, lambda x: F.forall(F.array(*[x[n] == k[n] for n in names]), lambda b: b))
-        return F.try_element_at(same, F.lit(-1))
+    return T.let(F.array_sort(keyed), edges)
 
-    return F.transform(keys, last)
+
+def last_value_by(items: Column, *names: str) -> Column:
+    """Map semantics inside one array: an equal key keeps its first place and its last value."""
+    return _groups(items, names, lambda starts, ends: F.zip_with(
+        starts, ends, lambda a, b: F.struct(a["i"].alias("i"), b["x"].alias("x"))))
 
 
 def first_by(items: Column, *names: str) -> Column:
     """First element per key inside one array."""
-    keys = F.array_distinct(F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in names])))
-    return F.transform(keys, lambda k: D.first(
-        F.filter(items, lambda x: F.forall(F.array(*[x[n] == k[n] for n in names]), lambda b: b))))
+    return _groups(items, names, lambda starts, _: F.transform(starts, lambda a: F.struct(a["i"].alias("i"), a["x"].alias("x"))))
 
 
 def _without_window_note(c: Column) -> Column:
@@ -166,16 +187,31 @@ def menu_shortcuts(found: Column, url: Column, labels=lx.MENU_SHORTCUTS) -> Colu
     return F.filter(named, lambda x: x["text"].isin(*labels))
 
 
-def page_shortcuts(pages: DataFrame, start_urls, key: str = "page_id", url: str = "url",
+def start_page_flags(pages: DataFrame, start_urls: DataFrame, url: str = "url") -> DataFrame:
+    """Pages with ``is_start``: whether their url is among the start urls (any number of them)."""
+    starts = start_urls.select(F.col(url).alias("_start")).distinct()
+    return pages.join(small(starts, F.octet_length("_start")), F.col(url) == F.col("_start"), "left").withColumn(
+        "is_start", F.col("_start").isNotNull()).drop("_start")
+
+
+def page_shortcuts(pages: DataFrame, start_urls=(), key: str = "page_id", url: str = "url",
                    profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> DataFrame:
-    """(key, url, n, text, link_url, raw_href): main shortcuts, and menu shortcuts of start pages."""
+    """(key, url, n, text, link_url, raw_href): main shortcuts, and menu shortcuts of start pages.
+
+    Start pages are those of ``start_urls``, or those flagged by ``is_start`` if the pages have that column.
+    """
     nodes, at = F.col("nodes"), F.col(url)
-    body = shortcut_links(anchors(nodes, F.col("main")), at, profile)
-    none = F.array().cast(_SHORTCUT)
-    menu = F.when(at.isin(*start_urls), menu_shortcuts(anchors(nodes), at)).otherwise(none) if start_urls else none
-    every = last_value_by(F.concat(F.coalesce(body, none), menu), "text", "url", "raw_href")
-    made = pages.select(key, url, F.posexplode_outer(every).alias("n", "s")).where("n is not null")
-    return made.select(key, url, F.col("n").cast("bigint").alias("n"), F.col("s.text"), F.col("s.url").alias("link_url"),
+    none = F.array().cast(SHORTCUTS)
+    starts = F.col("is_start") if "is_start" in pages.columns else at.isin(*start_urls)
+    menu = F.when(starts, menu_shortcuts(anchors(nodes), at)).otherwise(none)
+    body = pages.select(key, url, F.concat(F.coalesce(shortcut_links(anchors(nodes, F.col("main")), at, profile), none), menu).alias("found"))
+    return shortcut_rows(body, key, url)
+
+
+def shortcut_rows(found: DataFrame, *keep: str) -> DataFrame:
+    """One row per shortcut of ``found`` (an array column), unique by label, url and raw link, with the columns ``keep``."""
+    made = found.select(*keep, F.posexplode_outer(last_value_by(F.col("found"), "text", "url", "raw_href")).alias("n", "s")).where("n is not null")
+    return made.select(*keep, F.col("n").cast("bigint").alias("n"), F.col("s.text"), F.col("s.url").alias("link_url"),
                        F.col("s.raw_href"))
 
 

@@ -58,25 +58,31 @@ def sections_text(title: Column, menu_path: Column, sections: Column, shortcuts:
     return T.remove_noise_lines(T.clean_text(F.array_join(parts, "\n\n")))
 
 
-def general_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, files_need_links: bool = True
-                      ) -> DataFrame:
-    """General documents with ``score``; ``pages`` (page_id, url, html, parent_url, anchor_text, menu_path)."""
-    nodes = written(with_nodes(pages), "nodes")
+def page_facts(nodes: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, *more: Column, key: str = "page_id") -> DataFrame:
+    """What a general page holds whatever way it is reached: title, metadata, sections, links and files.
+
+    ``nodes`` (page_id, url, nodes) is a written node table; further columns are added as given (over ``nodes`` and ``main``). ``key`` is
+    unique per page.
+    """
     nodes = S.with_main(nodes, S.best_content(F.col("nodes"), signals=profile.menu_signals))
-    sections = S.collect_sections(S.page_sections(nodes))
+    sections = S.collect_sections(S.page_sections(nodes, key), key)
     tree, url = F.col("nodes"), F.col("url")
     found = L.anchors(tree, F.col("main"))
     facts = nodes.select(
-        "page_id", "url", "parent_url", "anchor_text", "menu_path", L.page_title(tree, profile).alias("title"),
+        "page_id", "url", L.page_title(tree, profile).alias("title"),
         T.let(F.array_join(D.all_strings(tree), "\n"), T.page_metadata).alias("meta"),
         F.coalesce(L.shortcut_links(found, url, profile), F.array()).alias("shortcut_links"),
-        F.coalesce(L.page_attachments(found, url, profile), F.array()).alias("attachments"))
-    docs = facts.join(sections, "page_id", "left").withColumn(
+        F.coalesce(L.page_attachments(found, url, profile), F.array()).alias("attachments"), *more)
+    return facts.join(sections, key, "left").withColumn(
         "sections", F.coalesce("sections", F.array().cast(_NO_SECTIONS)))
+
+
+def documents_of(facts: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, files_need_links: bool = True) -> DataFrame:
+    """General documents with ``score`` of facts and the way a page was reached (parent_url, anchor_text, menu_path)."""
+    url = F.col("url")
     text = sections_text(F.col("title"), F.col("menu_path"), F.col("sections"), F.col("shortcut_links"),
                          F.col("attachments"), files_need_links)
-    docs = docs.withColumn("text", text)
-    return docs.select(
+    return facts.withColumn("text", text).select(
         "page_id", T.text_id(url).alias("doc_id"), "url", "parent_url", "anchor_text", "menu_path",
         U.top_menu(url, profile.top_menus).alias("top_menu"), U.page_type(url).alias("page_type"), "title",
         "meta.department", "meta.date", "meta.views", "sections", "shortcut_links", "attachments",
@@ -85,6 +91,14 @@ def general_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PRO
         P.document_score(url, F.col("title"), F.col("text"), F.size("sections"), profile.menu_signals).alias("score"))
 
 
+def general_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, files_need_links: bool = True
+                      ) -> DataFrame:
+    """General documents with ``score``; ``pages`` (page_id, url, html, parent_url, anchor_text, menu_path)."""
+    nodes = written(with_nodes(pages), "nodes")
+    reached = nodes.select("page_id", "parent_url", "anchor_text", "menu_path")
+    return documents_of(page_facts(nodes.drop("parent_url", "anchor_text", "menu_path"), profile).join(reached, "page_id"), profile, files_need_links)
+
+
 def saved_documents(docs: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, year: int = lx.CURRENT_YEAR,
                     order: str | None = None) -> DataFrame:
     """General documents worth keeping: savable page, enough text, score not negative.
