@@ -114,17 +114,19 @@ def prompt_input(t):
     return H.prompt_inputs(asked, hits.join(docs, "chunk_id"))
 
 
-# a third of the pages are passport pages, a third are forms whose links need a word of the question, a third offer nothing
+# a third of the pages are passport pages, a third are forms whose links need a word of the rewritten question (here: all but its first
+# word) in their label or title (here: the whole text), a third offer nothing; every third question names a form itself
 _OFFERED = ("flatten(list(list_filter([{'n': '서식' || lang, 'u': '/download/' || doc_id}, {'n': '안내', 'u': '/download/' || doc_id}], "
             "lambda f: doc_id % 3 = 0 or doc_id % 3 = 1 and len(list_filter(words, lambda w: contains(f.n, w) "
-            "or contains(left(d.text, 40), w))) > 0) order by position))")
+            "or contains(d.text, w))) > 0) order by position))")
 
 
-@query(f"""with {_HYBRID}, qw as (select question_id, list_filter(string_split({q.inline('text')}, ' '), lambda w: length(w) > 1) as words from q),
+@query(f"""with {_HYBRID}, qw as (select question_id, list_filter(string_split({q.inline(q.sub('text', '^[^ ]+ *', chr(39) * 2))}, ' '), lambda w: length(w) > 1) as words from q),
   found as (select question_id, {_OFFERED} as files
     from g join documents d on doc_id = chunk_id join qw using (question_id) where position <= {lx.TOP_K} group by 1),
-  offered as (select question_id, list_concat(coalesce(files, []),
-    [{{'n': '여권발급신청서.pdf', 'u': '/download/passport_pdfs/여권발급신청서.pdf'}}]) as files from q left join found using (question_id)),
+  offered as (select question_id, list_concat(coalesce(files, []), list_concat(
+    [{{'n': '여권발급신청서.pdf', 'u': '/download/passport_pdfs/여권발급신청서.pdf'}}], case when question_id % 3 = 0 then
+    [{{'n': '법정대리인동의서.pdf', 'u': '/download/passport_pdfs/법정대리인동의서.pdf'}}] else [] end)) as files from q left join found using (question_id)),
   picked as (select question_id, {q.greedy('files')} as kept from offered)
   select question_id, len(kept) as n_files, array_to_string(list_transform(kept, lambda f: f.n || '@' || f.u), chr(10)) as files from picked""")
 def attachment_pick(t):
@@ -136,9 +138,11 @@ def attachment_pick(t):
                     F.lit(") [안내](/download/"), i, F.lit(")"))
     kind = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("passport "), "lang")).when(F.col("doc_id") % 3 == 1, "민원서식").otherwise("소식")
     docs = t("documents").select(
-        F.col("doc_id").alias("chunk_id"), kind.alias("page_type"), F.left("text", F.lit(40)).alias("title"), text.alias("chunk_text"))
+        F.col("doc_id").alias("chunk_id"), kind.alias("page_type"), F.col("text").alias("title"), text.alias("chunk_text"))
+    named = F.when(F.col("question_id") % 3 == 0, F.concat("text", F.lit(" 법정대리인동의서"))).otherwise(F.col("text"))
     picked = H.pick_attachments(
-        asked.select("question_id", "text", F.lit("여권발급신청서를 내세요").alias("answer")),
+        asked.select("question_id", named.alias("text"), F.lit("여권발급신청서를 내세요").alias("answer"),
+                     F.regexp_replace("text", "^[^ ]+ *", "").alias("rewritten")),
         hits.join(docs, "chunk_id"))
     return picked.select("question_id", F.size("files").alias("n_files"), F.array_join(
         F.transform("files", lambda f: F.concat(f["file_name"], F.lit("@"), f["file_url"])), "\n").alias("files"))

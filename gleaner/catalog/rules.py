@@ -244,8 +244,8 @@ _WASTE_COLON = (f"length(lft) > 3 and not regexp_matches(rgt, {q.words(lx.WASTE_
 @query(f"""with r as (select doc_id, unnest(string_split(text, chr(10))) as l,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
   v as (select doc_id, line_no, {q.inline('''case (line_no + doc_id) % 8 when 7 then l when 0 then l || '안내'
-    when 1 then left(l, 20) || ' 방법' when 2 then left(l, 12) || ': 문의 1' when 3 then left(l, 25) || '합니다'
-    when 4 then left(l, 9) || '?' when 5 then '※ ' || left(l, 20) else left(l, 10) || ' 3개월' end''')} as x from r),
+    when 1 then l || ' 방법' when 2 then l || ': 문의 1' when 3 then l || '합니다'
+    when 4 then l || '?' when 5 then '※ ' || l else l || ' 3개월' end''')} as x from r),
   w as (select *, {q.strip(q.first_match('x', '^([^:：]*)[:：]'))} as lft,
     {q.strip(q.first_match('x', '^[^:：]*[:：](.*)'))} as rgt from v)
   select doc_id, line_no,
@@ -269,12 +269,12 @@ _WASTE_COLON = (f"length(lft) > 3 and not regexp_matches(rgt, {q.words(lx.WASTE_
       and not regexp_matches(' ' || x || ' ', {q.words(lx.REAL_HEADING_BAD_WORDS)}) as real_heading from w""")
 def heading_rules(t):
     rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "l"))
-    shape, cut = F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(8)), lambda n: F.left(F.col("l"), F.lit(n))
+    shape, line = F.pmod(F.col("line_no") + F.col("doc_id"), F.lit(8)), F.col("l")
     x = (
-        F.when(shape == 7, F.col("l")).when(shape == 0, F.concat(F.col("l"), F.lit("안내"))).when(shape == 1, F.concat(cut(20), F.lit(" 방법")))
-        .when(shape == 2, F.concat(cut(12), F.lit(": 문의 1"))).when(shape == 3, F.concat(cut(25), F.lit("합니다")))
-        .when(shape == 4, F.concat(cut(9), F.lit("?"))).when(shape == 5, F.concat(F.lit("※ "), cut(20)))
-        .otherwise(F.concat(cut(10), F.lit(" 3개월")))
+        F.when(shape == 7, line).when(shape == 0, F.concat(line, F.lit("안내"))).when(shape == 1, F.concat(line, F.lit(" 방법")))
+        .when(shape == 2, F.concat(line, F.lit(": 문의 1"))).when(shape == 3, F.concat(line, F.lit("합니다")))
+        .when(shape == 4, F.concat(line, F.lit("?"))).when(shape == 5, F.concat(F.lit("※ "), line))
+        .otherwise(F.concat(line, F.lit(" 3개월")))
     )
     rows = rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), x.alias("x"))
     x = F.col("x")

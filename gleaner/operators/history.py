@@ -130,10 +130,12 @@ def pick_attachments(questions: DataFrame, hits: DataFrame, profile: lx.SiteProf
                      ) -> DataFrame:
     """(question_id, files): files of chunks and of the catalogue, greedily unique by url and by name.
 
-    ``questions`` (question_id, text, answer); without an answer column pass null.
+    ``questions`` (question_id, text, answer, maybe rewritten); without an answer column pass null. Files of chunks are measured by the
+    rewritten question, if there is one; mentions count in the question as it was asked.
     """
-    asked = questions.select("question_id", F.col("text").alias("question"), "answer")
-    offered = hits.join(asked.select("question_id", "question"), "question_id")
+    refined = F.coalesce("rewritten", "text") if "rewritten" in questions.columns else F.col("text")
+    asked = questions.select("question_id", F.col("text").alias("question"), "answer", refined.alias("refined"))
+    offered = hits.join(asked.select("question_id", F.col("refined").alias("question")), "question_id")
     files = asked.join(chunk_files(offered, profile), "question_id", "left")
     none = F.array().cast("array<struct<file_name:string,file_url:string>>")
     every = F.concat(F.coalesce("files", none), mentioned_files(F.col("question"), F.col("answer")))
