@@ -5,9 +5,10 @@ of the phrase. A container that grows too large bursts into a node with a contai
 too many entries, whole subtrees (all phrases with one first word) leave it as sorted runs, the largest first. Spark
 shuffles the runs by phrase prefix and merges them per prefix partition.
 
-Only phrases made of parts that are frequent themselves can be frequent. So words are counted first, then pairs of
-frequent words, then longer phrases of frequent pairs. What is frequent is asked from a Bloom filter of fixed size; a
-false hit costs a row and is removed by the exact count.
+Only phrases whose words and pairs of neighbours are frequent can be frequent, and most words and pairs are rare. So a first
+pass adds up hashes of words and pairs, a few bytes each; what reaches the least count under its hash goes into a Bloom filter of
+fixed size, and only phrases that pass it get into the tries. Shared hashes and false hits cost a row and are removed by the
+exact count.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ _CUT = np.zeros(256, bool)  # ends a piece
 _CUT[[*b".,;:!?", *range(10, 14)]] = True
 _APART = _CUT.copy()
 _APART[[9, 32]] = True
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_PREFIX = 3  # words of a phrase that say where its runs are merged
+_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("rest", pa.string()), ("f", pa.int64())])
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -132,125 +134,164 @@ def _packed(columns: list[np.ndarray]) -> list[bytes]:
     return [data[i:i + width] for i in range(0, len(data), width)]
 
 
-def _pair_keys(keys: np.ndarray) -> np.ndarray:
-    return mixed(keys[:-1] * _PAIR + keys[1:])
-
-
-def phrase_keys(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """The filter keys of words and pairs, equal to those that a text's own words and pairs get."""
-    words = [p.split(" ") for p in phrases]
-    lang = hash_of(langs)
-    first = mixed(hash_of([w[0] for w in words]) + lang)
-    last = mixed(hash_of([w[-1] for w in words]) + lang)
-    single = np.fromiter((len(w) == 1 for w in words), bool, len(words))
-    return np.where(single, first, mixed(first * _PAIR + last))
-
-
-def _slice_phrases(part, lengths: tuple[int, ...], known: BlockedBloom | None, by_pair: bool, names: Vocabulary):
-    """(phrases, counts) of a slice for each length, packed; and the words per language."""
-    data, offsets = utf8(part.column("text"))
-    data = _LOWER[data]
-    words = Words(data, offsets, _APART)
-    n = len(words.starts)
-    if not n:
-        return [], {}
-    coded = part.column("lang").dictionary_encode()
-    langs = coded.dictionary.to_pylist()
-    lang = coded.indices.to_numpy(zero_copy_only=False)[words.rows].astype(np.int64)
-    totals = dict(zip(langs, np.bincount(lang, minlength=len(langs)).tolist()))
-    cuts = np.cumsum(_CUT[data])
-    linked = np.zeros(n, bool)  # a word and the next one stand in one piece
-    linked[:-1] = (words.rows[1:] == words.rows[:-1]) & (cuts[words.starts[1:]] == cuts[words.ends[:-1] - 1])
-    used = np.ones(n, bool)
-    if known is not None:
-        keys = mixed(words.hashes + hash_of(langs)[lang])
-        if by_pair:
-            linked[:-1] &= known.holds(_pair_keys(keys))
-        else:
-            frequent = known.holds(keys)
-            linked[:-1] &= frequent[:-1] & frequent[1:]
-        used = linked | np.r_[False, linked[:-1]]
-    # ids of the words in use; the words' bytes lie end to end for the dictionary
-    at = np.flatnonzero(used)
-    ids = np.zeros(n, np.int64)
-    if len(at):
+class _Slice:
+    """Words of a slice with their keys: mixed hashes of (language, word), and of each word and the next one."""
+
+    def __init__(self, part):
+        data, offsets = utf8(part.column("text"))
+        self.data = _LOWER[data]
+        self.words = words = Words(self.data, offsets, _APART)
+        self.n = len(words.starts)
+        coded = part.column("lang").dictionary_encode()
+        self.langs = coded.dictionary.to_pylist()
+        self.lang = coded.indices.to_numpy(zero_copy_only=False)[words.rows].astype(np.int64)
+        if self.n:
+            cuts = np.cumsum(_CUT[self.data])
+            self.keys = mixed(words.hashes + hash_of(self.langs)[self.lang])
+            # the next word stands in the same piece
+            self.linked = (words.rows[1:] == words.rows[:-1]) & (cuts[words.starts[1:]] == cuts[words.ends[:-1] - 1])
+            self.pairs = mixed(self.keys[:-1] * _PAIR + self.keys[1:])
+
+    def phrases(self, longest: int, hits, names: Vocabulary) -> list[tuple[list[bytes], list[int]]]:
+        """(phrases, counts) for each length, packed ids, of what ``hits`` lets pass."""
+        words, n = self.words, self.n
+        linked = np.zeros(n, bool)
+        linked[:-1] = self.linked
+        linked[:-1][self.linked] = hits(self.pairs[self.linked])
+        used = hits(self.keys)
+        single = used.copy()
+        used |= linked
+        used[1:] |= linked[:-1]
+        at = np.flatnonzero(used)
+        if not len(at):
+            return []
+        # the words' bytes lie end to end for the dictionary
         sizes = words.ends[at] - words.starts[at]
         ends = np.cumsum(sizes)
         inside = np.arange(ends[-1]) + np.repeat(words.starts[at] - (ends - sizes), sizes)
-        column = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data[inside])])
-        column = column.dictionary_encode()
-        both = column.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + lang[at]
+        column = pa.Array.from_buffers(pa.large_binary(), len(at), [
+            None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(self.data[inside])]).dictionary_encode()
+        langs, spelled = self.langs, column.dictionary.to_pylist()
+        both = column.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + self.lang[at]
         distinct, which = np.unique(both, return_inverse=True)
-        spelled = column.dictionary.to_pylist()
         own = [names.of(langs[k % len(langs)], spelled[k // len(langs)]) for k in distinct.tolist()]
+        ids = np.zeros(n, np.int64)
         ids[at] = np.array(own, np.int64)[which]
-    out, at, node = [], at, ids[at]
-    for length in range(1, max(lengths) + 1):
-        if length > 1:
-            keep = (at + length - 1 < n)
-            at, node = at[keep], node[keep]
-            keep = linked[at + length - 2]
-            at, node = at[keep], node[keep]
-            node = node << 32 | ids[at + length - 1]
-        distinct, first, node, counts = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
-        if length in lengths and len(distinct):
-            out.append((_packed([ids[at[first] + j] for j in range(length)]), counts.tolist()))
-    return out, totals
-
-
-def _runs(docs: DataFrame, lengths: tuple[int, ...], known, by_pair: bool = False) -> DataFrame:
-    """Sorted runs (lang, phrase, f) of each task's trie; words per language come as the empty phrase."""
+        out, at, node = [], np.flatnonzero(single), ids[single]
+        for length in range(1, longest + 1):
+            if length == 2:
+                at = np.flatnonzero(linked)
+                node = ids[at] << 32 | ids[at + 1]
+            elif length > 2:
+                keep = at + length - 1 < n
+                at, node = at[keep], node[keep]
+                keep = linked[at + length - 2]
+                at = at[keep]
+                node = node[keep] << 32 | ids[at + length - 1]
+            distinct, first, node, counts = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+            if len(distinct):
+                out.append((_packed([ids[at[first] + j] for j in range(length)]), counts.tolist()))
+        return out
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _frequent(docs: DataFrame, least: int) -> tuple[BlockedBloom, int]:
+    """Filter of the words and pairs whose hash is found at least ``least`` times, and the bits to drop from keys before asking.
+
+    The keys' top bits are the part that adds them up, the next 32 bits are sent. There are four parts to a shuffle partition, so
+    what a part holds follows the session's sizing.
+    """
+    bits = (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+    drop = 32 - bits
+    small_count = np.uint8 if least < 256 else np.int64
+
+    def sent(keys, counts):
+        part = (keys >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
+        low, few = keys.astype(np.uint32), np.minimum(counts, least).astype(small_count)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(part[starts].astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            pa.array([few[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["part", "keys", "counts"])
+
+    def count(batches):
+        held, new = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+        for batch in slices(batches, "text"):
+            part = _Slice(batch)
+            if part.n:
+                new.append(np.r_[part.keys, part.pairs[part.linked]] >> np.uint64(drop))
+            if sum(map(len, new)) > _MOST:
+                fresh = np.concatenate(new)
+                held, new = _summed(np.r_[held[0], fresh], np.r_[held[1], np.ones(len(fresh), np.int64)]), []
+                if len(held[0]) > 4 * _MOST:
+                    yield from sent(*held)
+                    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        fresh = np.concatenate([held[0], *new])
+        held = _summed(fresh, np.r_[held[1], np.ones(len(fresh) - len(held[0]), np.int64)])
+        if len(held[0]):
+            yield from sent(*held)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("keys").to_pylist()]).astype(np.uint64)
+        counts = np.concatenate([np.frombuffer(b, small_count) for b in table.column("counts").to_pylist()]).astype(np.int64)
+        keys, counts = _summed(keys, counts)
+        whole = keys[counts >= least] | np.uint64(table.column("part")[0].as_py() << 32)
+        return pa.table({"key": pa.array(mixed(whole).view(np.int64))})
+
+    found = docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long")
+    return build_bloom(found, "key"), drop
+
+
+def _runs(docs: DataFrame, longest: int, known, drop: int) -> DataFrame:
+    """Sorted runs (lang, prefix, rest, f) of each task's trie; words per language come as the empty phrase."""
+    def batch(rows):
+        langs, prefixes, rests, counts = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string()),
+                                           pa.array(rests, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=_RUN)
+
+    def spelled(entries, names):
+        rows = []
+        for packed, f in entries:
+            parts = [names[i] for i in np.frombuffer(packed, ">u4").tolist()]
+            words = [w for _, w in parts]
+            rows.append((parts[0][0], b" ".join(words[:_PREFIX]), b" ".join(words[_PREFIX:]), f))
+            if len(rows) >= _ROWS:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
     def count(batches):
         names, trie, totals = Vocabulary(), HatTrie(), {}
+        bloom = known.value
+
+        def hits(keys):
+            return bloom.holds(mixed(keys >> np.uint64(drop)))
 
-        def rows(entries):
-            langs, phrases, counts = [], [], []
-            for packed, f in entries:
-                parts = [names.names[i] for i in np.frombuffer(packed, ">u4").tolist()] if len(packed) > 4 else [names.names[int.from_bytes(packed)]]
-                langs.append(parts[0][0])
-                phrases.append(b" ".join([p[1] for p in parts]))
-                counts.append(f)
-                if len(counts) >= _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=_RUN)
-                    langs, phrases, counts = [], [], []
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=_RUN)
-
-        bloom = known.value if known is not None else None
         for part in slices(batches, "text"):
-            found, more = _slice_phrases(part, lengths, bloom, by_pair, names)
-            for lang, c in more.items():
+            part = _Slice(part)
+            if not part.n:
+                continue
+            for lang, c in zip(part.langs, np.bincount(part.lang, minlength=len(part.langs)).tolist()):
                 totals[lang] = totals.get(lang, 0) + c
-            for phrases, counts in found:
+            for phrases, counts in part.phrases(longest, hits, names):
                 trie.add(phrases, counts)
-            if trie.size > _MOST or len(names.names) > 2 * _MOST:
-                # word ids are dropped only with all of their phrases
-                forget = len(names.names) > 2 * _MOST
-                yield from rows(trie.spill(0 if forget else _MOST // 2))
-                if forget:
-                    names = Vocabulary()
-        yield from rows(trie.spill(0))
-        if lengths == (1,) and totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], schema=_RUN)
-
-    return docs.mapInArrow(count, "lang string, phrase string, f long")
-
-
-def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """Runs merged per prefix partition (the first three words): counts of all phrases found at least ``least`` times."""
-    prefix = F.substring_index("phrase", " ", 3)
-    return (runs.withColumn("prefix", prefix).repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
-            .where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f"))
-
-
-def _filter(frequent: DataFrame) -> BlockedBloom:
-    def keys(batches):
-        for batch in batches:
-            if batch.num_rows:
-                values = phrase_keys(*(batch.column(c).to_pylist() for c in ("lang", "phrase")))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["key"])
+            # word ids are dropped only with all of their phrases
+            forget = len(names.names) > _MOST
+            if trie.size > _MOST or forget:
+                yield from spelled(trie.spill(0 if forget else _MOST // 2), names.names)
+                names = Vocabulary() if forget else names
+        yield from spelled(trie.spill(0), names.names)
+        if totals:
+            yield batch([(lang, b"", b"", c) for lang, c in totals.items()])
 
-    return build_bloom(frequent.where("phrase <> ''").select("lang", "phrase").mapInArrow(keys, "key long"), "key")
+    return docs.mapInArrow(count, "lang string, prefix string, rest string, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -260,18 +301,13 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
     A-Z count as a-z. A null language is ``und``, null texts are empty; ids and other columns are not looked at, so repeated
     rows count again. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text"))
-    counts = [written(_merged(_runs(docs, (1,), None), least), "phrases-1")]
-    if longest > 1:
-        counts.append(written(_merged(_runs(docs, (2,), shared(spark, _filter(counts[0]))), least), "phrases-2"))
-    if longest > 2:
-        known = shared(spark, _filter(counts[1]))
-        counts.append(written(_merged(_runs(docs, tuple(range(3, longest + 1)), known, by_pair=True), least), "phrases-3"))
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
+    bloom, drop = _frequent(docs, least)
+    runs = _runs(docs, longest, shared(docs.sparkSession, bloom), drop)
+    # runs are merged where their prefix is dealt to
+    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
+    phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
+    return written(merged.where((F.col("f") >= least) | (F.col("prefix") == "")).select("lang", phrase.alias("phrase"), "f"), "phrases")
 
 
 def score(a: str, n: str, l: str, r: str) -> F.Column:
