@@ -5,7 +5,9 @@ nearest. A query walks through the cells by growing sum of its distances to the
 border of the cells already taken, until enough entries are gathered, and ranks these entries by the exact inner product.
 
 Neighbouring cells share a region of bounded size, a large cell is cut over several. A query travels once to each region
-in which it has cells, with the list of them, and only its best entries leave the task.
+in which it has cells, with the list of them. It walks twice: a short walk over the nearest cells finds its k-th best score so far, and on
+the long walk only entries that reach this bound leave a task. So what leaves per query follows from how good the bound is and not
+from the number of regions.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from gleaner.llm.common import shared
 from gleaner.session import written
 
 _REGION = 2048  # entries of one region
-_MET = ["region", "piece", "entry", "vec_id", "v", "cells"]
+_FIRST = 10  # times k entries looked at on the short walk
+_MET = ["region", "piece", "entry", "vec_id", "v", "cells", "bound"]
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str, width: int | None = None) -> tuple[DataFrame, int]:
@@ -88,12 +91,13 @@ def _best(row, ids, k: int):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
-            cells: int | None = None, share: float = 0.6, least: int = 2000, sample: int = 20_000) -> DataFrame:
+            cells: int | None = None, share: float = 0.4, least: int = 200, sample: int = 20_000) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): of each query the k entries with the largest inner product found.
 
     ``queries`` is a table like ``vectors`` (ids are long). The index is fitted on about ``sample`` vectors chosen by a hash
-    of the id, with ``cells`` centroids per half (by default about the root of a quarter of the rows, 8 to 256), and holds
-    every vector. At least ``share`` of the entries and ``least`` of them are ranked per query, all if there are fewer. Unusable vectors (null, zero,
+    of the id, with ``cells`` centroids per half (by default three times the root of the rows, 8 to 128), and holds
+    every vector. At least ``share`` of the entries and ``least`` of them are ranked per query, all if there are fewer. Other columns are
+    not looked at. Unusable vectors (null, zero,
     null or non-finite components, another width than most) take no part, on either side; rows repeating a query's id are not
     its neighbours; a repeated query is asked once. An empty table gives an empty one.
     """
@@ -108,7 +112,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     chosen = entries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(2 * sample)
     fit = _matrix(chosen.orderBy("vec_id").select("v").toArrow().column("v").combine_chunks())
     half = fit.shape[1] // 2
-    count = cells or int(np.clip(round((n / 4) ** 0.5 / 2), 8, 256))
+    count = cells or int(np.clip(round(3 * n ** 0.5), 8, 128))
     halves = (fit[:, :half], fit[:, half:]) if half else (fit, np.zeros((len(fit), 1)))
     centres = shared(spark, (half, [_centroids(x, count) for x in halves]))
 
@@ -140,9 +144,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         region[c] = at
         filled += int(sizes[c]) if pieces[c] == 1 else _REGION
     plan = shared(spark, (sizes.reshape(k_left, k_right), region, pieces))
-    gather = max(least, int(np.ceil(share * n)))
 
-    def walk(batches):
+    def walk(batches, gather):
         half, (first, second) = centres.value
         table, region, pieces = plan.value
         for b in batches:
@@ -160,10 +163,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                         regions.append(r[s])
                         parts.append(piece)
                         lists.append(own[s:e])
+            rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(regions, pa.int32()), pa.array(parts, pa.int32()), pa.array([False] * len(rows)),
-                 b.column("vec_id").take(pa.array(rows, pa.int64())), b.column("v").take(pa.array(rows, pa.int64())),
-                 pa.array(lists, pa.list_(pa.int32()))], names=_MET)
+                 b.column("vec_id").take(rows), b.column("v").take(rows), pa.array(lists, pa.list_(pa.int32())), b.column("bound").take(rows)], names=_MET)
 
     def spread(batches):
         _, region, pieces = plan.value
@@ -174,22 +177,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                 lists = pa.ListArray.from_arrays(np.arange(len(cell) + 1, dtype=np.int32), b.column("cell"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(region[cell]), pa.array((mixed_ids.astype(np.int64) % pieces[cell]).astype(np.int32)),
-                     pa.array([True] * len(cell)), b.column("vec_id"), b.column("v"), lists], names=_MET)
+                     pa.array([True] * len(cell)), b.column("vec_id"), b.column("v"), lists, pa.nulls(len(cell), pa.float64())], names=_MET)
 
-    schema = f"region int, piece int, entry boolean, vec_id long, v {v_type}, cells array<int>"
-    met = index.mapInArrow(spread, schema).unionByName(asked.mapInArrow(walk, schema))
-    best = (met.repartition("region", "piece").sortWithinPartitions("region", "piece", F.desc("entry"), "vec_id")
-            .mapInArrow(lambda b: _scored(b, k), "query_id long, vec_id long, score double"))
+    schema = f"region int, piece int, entry boolean, vec_id long, v {v_type}, cells array<int>, bound double"
+    # a walk costs much more than its row, so it does not follow the row's size
+    asked = written(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), "multi-index-asked")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+
+    def best(asked, gather):
+        met = index.mapInArrow(spread, schema).unionByName(asked.mapInArrow(lambda b: walk(b, gather), schema))
+        found = (met.repartition("region", "piece").sortWithinPartitions("region", "piece", F.desc("entry"), "vec_id")
+                 .mapInArrow(lambda b: _scored(b, k), "query_id long, vec_id long, score double"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    near = best(asked.withColumn("bound", F.lit(None).cast("double")), _FIRST * k)
+    bounds = written(near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound")), "multi-index-bounds")
+    return best(asked.join(bounds, "vec_id", "left"), max(least, int(np.ceil(share * n)))).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _scored(batches, k: int):
-    """Entries of a region come first, by id; its visitors then pass in blocks and leave with their k best."""
+    """Entries of a region come first, by id; its visitors then pass in blocks and leave with their k best that reach their bound."""
     key, ids, vectors, cells = None, [], [], []
 
-    def visit(q_ids, q, offsets, asked):
+    def visit(q_ids, q, offsets, asked, bounds):
         nonlocal ids, vectors, cells
         ids, vectors, cells = [np.concatenate(ids)], [np.concatenate(vectors)], [np.concatenate(cells)]
         by_cell = np.argsort(cells[0], kind="stable")
@@ -209,7 +220,7 @@ def _scored(batches, k: int):
                     rows = which[a:b]
                     for t in range(0, len(at), 512):
                         score[np.ix_(rows, at[t:t + 512])] = (q[s + rows][:, None, :] * vectors[0][at[t:t + 512]][None, :, :]).sum(axis=2)
-            score[q_ids[s:e, None] == ids[0][None, :]] = -np.inf
+            score[(q_ids[s:e, None] == ids[0][None, :]) | (score < bounds[s:e, None])] = -np.inf
             for i in range(e - s):
                 f, x = _best(score[i], ids[0], k)
                 names.append(np.full(len(f), q_ids[s + i]))
@@ -224,7 +235,7 @@ def _scored(batches, k: int):
             continue
         code = (b.column("region").to_numpy().astype(np.int64) << 32) | b.column("piece").to_numpy()
         entry, name, v = np.asarray(b.column("entry")), b.column("vec_id").to_numpy(), _matrix(b.column("v"))
-        lists = b.column("cells")
+        lists, bounds = b.column("cells"), np.nan_to_num(b.column("bound").to_numpy(zero_copy_only=False), nan=-np.inf)
         offsets = np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())]
         flat = lists.flatten().to_numpy()
         cuts = np.r_[0, np.flatnonzero((code[1:] != code[:-1]) | (entry[1:] != entry[:-1])) + 1, len(code)]
@@ -236,4 +247,4 @@ def _scored(batches, k: int):
                 vectors.append(v[s:e])
                 cells.append(flat[offsets[s]:offsets[e]])
             elif ids:
-                yield visit(name[s:e], v[s:e], offsets[s:e + 1] - offsets[s], flat[offsets[s]:offsets[e]])
+                yield visit(name[s:e], v[s:e], offsets[s:e + 1] - offsets[s], flat[offsets[s]:offsets[e]], bounds[s:e])

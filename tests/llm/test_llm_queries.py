@@ -5,6 +5,7 @@ import os
 
 import corpus_pipeline
 import helpers as H
+import numpy as np
 import public_tokenizers
 import pytest
 from gleaner.llm import mixing, privacy, queries
@@ -62,6 +63,24 @@ def test_tokens_equal_the_library(spark):
             hashlib.sha256(t.encode()).hexdigest() for t in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))))
 
 
+def test_nearest_vectors_have_the_recall(spark):
+    """The query on 2,000 vectors, of which it ranks two fifths, against all of them."""
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in queries.QUERIES["op6_nearest_vectors"](spark, folder).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0} and all(len(v) == 20 for v in got.values())
+    hits = 0
+    for i, found in got.items():
+        score = (x * x[np.flatnonzero(ids == i)[0]]).sum(axis=1)
+        score[ids == i] = -np.inf
+        hits += len({ids[j] for j in np.lexsort((ids, -score))[:20]} & set(found))
+        assert all(abs(score[np.flatnonzero(ids == j)[0]] - s) < 1e-12 for j, s in found.items())
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     made = {}
