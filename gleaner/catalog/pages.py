@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner import lexicon as lx
 from gleaner.catalog import query
 from gleaner.catalog import sqltext as q
+from gleaner.catalog.rules import is_heading
 from gleaner.functions import dom as D
 from gleaner.functions import urls as U
 from gleaner.operators import links as L
@@ -17,7 +18,8 @@ _PROFILE = lx.DEFAULT_PROFILE
 
 
 def _plain(x):
-    return f"replace(replace({x}, '&quot;', '\"'), '&amp;', '&')"
+    # the last semicolon of a text may be missing
+    return q.sub(q.sub(x, "&quot;?", "'\"'"), "&amp;?", "'&'")
 
 
 def _tag(name):
@@ -56,27 +58,41 @@ def page_nodes(t):
                                          count("li").alias("n_li"), count("#comment").alias("n_comments"))
 
 
-@query()
-def page_sections(t):
-    """Sections of all pages, paths and texts included."""
-    pages = with_nodes(t("pages"))
-    found = S.page_sections(S.with_main(pages, S.best_content(F.col("nodes"))))
-    return found.select("page_id", "section_pos", F.array_join("heading_path", " > ").alias("path"), "block_type", "text")
+# The content of the given pages is their article, or the body without its noise where the article is short. The only heading is
+# the article's first one; the strings from it on are one paragraph below it.
+_ARTICLE = "regexp_extract(html, '<article>((?s:.)*)</article>', 1)"
+_BODY = q.sub("regexp_extract(html, '<body[^>]*>((?s:.)*)', 1)", "<(nav|footer|header|aside|script|style)[ >](?s:.)*?</(nav|footer|header|aside|script|style)>", "chr(10)")
+
+
+def _strings(x):
+    return _plain(q.sub(q.sub(x, "<!--(?s:.)*?-->", "chr(10)"), "<[^>]*>", "chr(10)"))
 
 
-_NOISE_FREE = (f"list_filter({q.line_list('x')}, lambda l: length(l) > 1 and l not in ({q.listed(lx.NOISE_EXACT)}) "
-               f"and not regexp_matches(l, '^(' || {q.words(lx.NOISE_PREFIXES)} || ')'))")
+_KEPT = (f"list_filter({q.line_list('x')}, lambda l: length(l) > 1 and l not in ({q.listed(lx.NOISE_EXACT)}) "
+         f"and not regexp_matches(l, '^(' || {q.words(lx.NOISE_PREFIXES)} || ')'))")
+_CONTENT = f"""c as (select page_id, {_tag('h1')} as h, case when length({q.clean(q.block(_strings(_ARTICLE)))}) >= 80 then {_ARTICLE} else {_BODY} end as content from pages),
+  b as (select page_id, h, {_strings('content')} as x from c),
+  f as (select page_id, h, array_to_string({_KEPT}, chr(10)) as text from b where len({_KEPT}) > 0),
+  r as (select page_id, h, {_strings("content[strpos(content, '<h1'):]")} as x from c where contains(content, '<h1')),
+  g as (select page_id, h, {q.clean(f"array_to_string({_KEPT}, chr(10))")} as text from r)"""
+
+
+@query(f"""with {_CONTENT}
+  select page_id, 0 as n, '전체 본문' as path, 'full_text_backup' as block_type, text from f
+  union all select page_id, 1, h, 'paragraph', text from g where {is_heading('h')} and length(text) >= 3 and text <> h""")
+def page_sections(t):
+    """Sections of all pages, paths and texts included, numbered within their page."""
+    pages = with_nodes(t("pages"))
+    found = S.collect_sections(S.page_sections(S.with_main(pages, S.best_content(F.col("nodes")))))
+    rows = found.select("page_id", F.posexplode("sections").alias("n", "s"))
+    return rows.select("page_id", F.col("n").cast("long").alias("n"), F.array_join("s.heading_path", " > ").alias("path"), "s.block_type", "s.text")
 
 
-@query(f"""with b as (select page_id, {_plain(q.sub(q.sub("regexp_extract(html, '<article>((?s:.)*)</article>', 1)", '<!--(?s:.)*?-->', "chr(10)"),
-    '<[^>]*>', "chr(10)"))} as x from pages)
-  select page_id, array_to_string({_NOISE_FREE}, chr(10)) as full_text from b
-  where len({_NOISE_FREE}) > 0 and length({q.clean(q.block('x'))}) >= 80""")
+@query(f"with {_CONTENT} select page_id, text as full_text from f")
 def page_full_text(t):
-    """The backup section of every page whose article is its content node."""
+    """The backup section of every page, whatever its content node."""
     pages = with_nodes(t("pages"))
-    nodes = S.with_main(pages, S.best_content(F.col("nodes"))).where("main.tag = 'article'")
-    found = S.page_sections(nodes).where("block_type = 'full_text_backup'")
+    found = S.page_sections(S.with_main(pages, S.best_content(F.col("nodes")))).where("block_type = 'full_text_backup'")
     return found.select("page_id", F.col("text").alias("full_text"))
 
 

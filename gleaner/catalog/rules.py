@@ -237,6 +237,11 @@ def _ends(x, items):
     return f"regexp_matches({x}, '(' || {q.words(items)} || ')$')"
 
 
+def is_heading(x):
+    return (f"length({x}) between 2 and 30 and not {q.has(x, f'{_COLON}|{_PHONE}|{_WEB}')} and not {_ends(x, lx.SENTENCE_ENDINGS)} "
+            f"and not regexp_matches({x}, {q.words(lx.HEADING_STOP_WORDS)})")
+
+
 _WASTE_COLON = (f"length(lft) > 3 and not regexp_matches(rgt, {q.words(lx.WASTE_HEADING_VALUES)}) and not "
                 "regexp_matches(rgt, '[0-9]') and (length(x) <= 30 or (contains(x, '수수료') and contains(x, '폐기물')))")
 
@@ -249,8 +254,7 @@ _WASTE_COLON = (f"length(lft) > 3 and not regexp_matches(rgt, {q.words(lx.WASTE_
   w as (select *, {q.strip(q.first_match('x', '^([^:：]*)[:：]'))} as lft,
     {q.strip(q.first_match('x', '^[^:：]*[:：](.*)'))} as rgt from v)
   select doc_id, line_no,
-    length(x) between 2 and 30 and not {q.has('x', f'{_COLON}|{_PHONE}|{_WEB}')} and not {_ends('x', lx.SENTENCE_ENDINGS)}
-      and not regexp_matches(x, {q.words(lx.HEADING_STOP_WORDS)}) as heading,
+    {is_heading('x')} as heading,
     case when length(x) not between 2 and 50 then false
       when {q.has('x', f'{_WEB}|{_PHONE}')} or {q.has('x', '^(※|-|·|ㆍ)')} or {_ends('x', lx.SENTENCE_ENDINGS)} then false
       when x in ({q.listed(lx.WASTE_HEADING_EXACT)}) then true

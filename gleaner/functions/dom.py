@@ -30,16 +30,21 @@ def strings(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
     return F.transform(found, lambda n: n["text"])
 
 
-def all_strings(nodes: Column) -> Column:
-    return F.transform(F.filter(nodes, lambda n: n["tag"] == "#text"), lambda n: n["text"])
+def page_text(nodes: Column) -> Column:
+    """All strings of a page, one per line."""
+    return F.coalesce(F.get(nodes, F.lit(0))["page"]["every"], F.lit(""))
 
 
-def flat_text(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
-    return T.clean_inline(F.array_join(strings(nodes, node, keep_noise), " "))
+def line_text(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
+    """Visible strings below a node, one per line."""
+    page = F.get(nodes, F.lit(0))["page"]
+    if keep_noise:
+        return F.substring(page["every"], node["all_start"] + 1, node["all_end"] - node["all_start"])
+    return F.substring(page["visible"], node["start"] + 1, node["end"] - node["start"])
 
 
-def line_text(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
-    return F.array_join(strings(nodes, node, keep_noise), "\n")
+def flat_text(nodes: Column, node: Column, keep_noise: bool = False) -> Column:
+    return T.clean_inline(line_text(nodes, node, keep_noise))
 
 
 def direct_text(nodes: Column, node: Column) -> Column:

@@ -12,6 +12,7 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators.bounds import small, unnest
 from gleaner.operators.dedup import keep_first, keep_last_value, keep_longest
+from gleaner.sources.pages import TABLE
 
 # attributes that hold lists of words, not one string
 _LIST_ATTRS = ("class", "rel", "rev", "accept-charset", "headers", "accesskey", "dropzone")
@@ -328,7 +329,7 @@ def board_rows(pages: DataFrame, key: str = "page_id", url: str = "url",
                profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> DataFrame:
     """(key, row_no, number, title, department, date, views, url) of a listing page's table rows."""
     nodes = F.col("nodes")
-    rows = F.filter(nodes, lambda n: (n["tag"] == "tr") & n["path"].rlike("(?:^|/)table(?:/|$)"))
+    rows = F.filter(nodes, lambda n: (n["tag"] == "tr") & (n["inside"].bitwiseAND(F.lit(TABLE)) != 0))
 
     def shaped(r):
         cells = F.filter(D.subtree(nodes, r), lambda n: D.has_tag(n, "th", "td"))

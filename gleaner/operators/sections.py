@@ -14,10 +14,9 @@ from gleaner.functions import dom as D
 from gleaner.functions import predicates as P
 from gleaner.functions import text as T
 from gleaner.operators.bounds import unnest
+from gleaner.sources.pages import ABOVE, OL, UL
 
 _HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-_INSIDE_STRUCTURE = r"(?:^|/)(?:ul|ol|table|dl)/"
-_INSIDE_LIST = r"(?:^|/)(?:ul|ol)(?:/|$)"
 
 
 def _node_at(nodes: Column, pos: Column) -> Column:
@@ -142,7 +141,7 @@ def page_items(pages: DataFrame, key: str) -> DataFrame:
     wanted = ["#text", "#comment", "strong", "dt", *_HEADINGS, *structures]
 
     def usable(n):
-        loose = ~n["tag"].isin("#text", "#comment") | ~n["path"].rlike(_INSIDE_STRUCTURE)
+        loose = ~n["tag"].isin("#text", "#comment") | (n["inside"].bitwiseAND(F.lit(ABOVE)) == 0)
         return n["tag"].isin(*wanted) & ~n["noise"] & loose
 
     items = F.transform(F.filter(D.subtree(nodes, main), usable), lambda n: F.struct(
@@ -253,7 +252,7 @@ def _waste_items(nodes: Column, main: Column) -> Column:
         return F.array(item(n, F.lit(0), n["tag"], text, direct, None, None, holds_table))
 
     usable = F.filter(D.subtree(nodes, main), lambda n: n["tag"].isin(*wanted) & ~n["noise"]
-                      & ~(n["tag"].isin("ul", "ol") & n["path"].rlike(_INSIDE_LIST)))
+                      & ~(n["tag"].isin("ul", "ol") & (n["inside"].bitwiseAND(F.lit(UL | OL)) != 0)))
     return F.flatten(F.transform(usable, lambda n: F.when(n["tag"].isin("ul", "ol"), list_items(n))
                                  .otherwise(single(n))))
 

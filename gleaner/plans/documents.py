@@ -70,7 +70,7 @@ def page_facts(nodes: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFILE, *
     found = L.anchors(tree, F.col("main"))
     facts = nodes.select(
         "page_id", "url", L.page_title(tree, profile).alias("title"),
-        T.let(F.array_join(D.all_strings(tree), "\n"), T.page_metadata).alias("meta"),
+        T.let(D.page_text(tree), T.page_metadata).alias("meta"),
         F.coalesce(L.shortcut_links(found, url, profile), F.array()).alias("shortcut_links"),
         F.coalesce(L.page_attachments(found, url, profile), F.array()).alias("attachments"), *more)
     return facts.join(sections, key, "left").withColumn(
@@ -190,7 +190,7 @@ def waste_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROFI
     facts = nodes.select(
         "page_id", "url", "category", "topic", menu.alias("menu_path"),
         L.first_title_part(tree, F.col("topic")).alias("title"),
-        T.let(F.array_join(D.all_strings(tree), "\n"), T.waste_metadata).alias("meta"))
+        T.let(D.page_text(tree), T.waste_metadata).alias("meta"))
     docs = facts.join(sections, "page_id", "left").withColumn(
         "sections", F.coalesce("sections", F.array().cast(_NO_SECTIONS)))
 

@@ -3,6 +3,11 @@
 One narrow Arrow stage turns html into a flat list of nodes in document order; every rule after it is
 a column expression or a DataFrame operation. ``pos`` is a node's place in the list and ``last`` the
 place of its last descendant, so the subtree of a node is one ``slice`` of the list.
+
+The strings of a page are kept once, as two texts in the first node (``page``): the strings outside noise and all strings, one
+per line. Every node has the stretch of both that its descendants take, so the text of a node is one
+substring and not a look at all its descendants. ``inside`` has a bit per kind of structure around a node, and four bits
+further up the same for what is around its parent.
 """
 
 from __future__ import annotations
@@ -23,13 +28,24 @@ NODE = t.StructType([
     t.StructField("parent", t.IntegerType()),
     t.StructField("li", t.IntegerType()),
     t.StructField("tag", t.StringType()),
-    t.StructField("path", t.StringType()),
+    t.StructField("inside", t.IntegerType()),
     t.StructField("text", t.StringType()),
     t.StructField("attrs", t.MapType(t.StringType(), t.StringType())),
     t.StructField("noise", t.BooleanType()),
     t.StructField("names", t.ArrayType(t.StringType())),
+    t.StructField("start", t.IntegerType()),
+    t.StructField("end", t.IntegerType()),
+    t.StructField("all_start", t.IntegerType()),
+    t.StructField("all_end", t.IntegerType()),
+    t.StructField("page", t.StructType([t.StructField("visible", t.StringType()), t.StructField("every", t.StringType())])),
 ])
 
+# bits of ``inside``
+UL, OL, TABLE, DL = 1, 2, 4, 8
+_ABOVE = 4
+ABOVE = 15 << _ABOVE
+_STRUCTURES = {"ul": UL, "ol": OL, "table": TABLE, "dl": DL}
+
 _VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command "
     "frame image isindex nextid spacer".split()
@@ -45,14 +61,23 @@ class _Nodes(HTMLParser):
         self.rows = []  # in the order of NODE
         self.open = []
         self.pending = []
+        self.visible, self.every = [], []  # strings
+        self.at, self.all_at = 0, 0  # where the next one starts
 
     def _add(self, tag, text, attrs=(), names=()):
         pos = len(self.rows)
         up = self.rows[self.open[-1]] if self.open else None
         li = -1 if up is None else (up[0] if up[4] == "li" else up[3])
-        path = "" if up is None else (f"{up[5]}/{up[4]}" if up[5] else up[4])
+        inside = 0 if up is None else up[5] & 15 | _STRUCTURES.get(up[4], 0) | (up[5] & 15) << _ABOVE
         noisy = not self.noise.isdisjoint(names) or bool(up and up[8])
-        self.rows.append([pos, pos, up[0] if up else -1, li, tag, path, text, attrs, noisy, names])
+        self.rows.append([pos, pos, up[0] if up else -1, li, tag, inside, text, attrs, noisy, names,
+                          self.at, self.at, self.all_at, self.all_at, None])
+        if tag == "#text":
+            self.every.append(text)
+            self.all_at += len(text) + 1
+            if not noisy:
+                self.visible.append(text)
+                self.at += len(text) + 1
         return pos
 
     def _flush(self):
@@ -65,7 +90,9 @@ class _Nodes(HTMLParser):
     def _close(self, depth):
         last = len(self.rows) - 1
         for pos in self.open[depth:]:
-            self.rows[pos][1] = last
+            row = self.rows[pos]
+            row[1] = last
+            row[11], row[13] = max(self.at - 1, row[10]), max(self.all_at - 1, row[12])
         del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -102,6 +129,8 @@ class _Nodes(HTMLParser):
         self.close()
         self._flush()
         self._close(0)
+        if self.rows:
+            self.rows[0][14] = {"visible": "\n".join(self.visible), "every": "\n".join(self.every)}
         return self.rows
 
 

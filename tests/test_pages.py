@@ -24,7 +24,10 @@ def pages(spark, htmls, url="https://www.portal.example.kr/portal/contents.do?mI
 
 def test_broken_markup():
     rows = _Nodes(frozenset([".ad"])).finish("<p>a<b>c<p>d</b>e</i><br>f<div class='x ad'>g<img></div><!-- n --><script>s</script>&amp;")
-    shape = [(r[4], r[5], r[6], r[8]) for r in rows]
+    def path(r):
+        return "" if r[2] < 0 else f"{path(rows[r[2]])}/{rows[r[2]][4]}".lstrip("/")
+
+    shape = [(r[4], path(r), r[6], r[8]) for r in rows]
     assert shape == [
         ("p", "", None, False), ("#text", "p", "a", False), ("b", "p", None, False), ("#text", "p/b", "c", False),
         ("p", "p/b", None, False), ("#text", "p/b/p", "d", False), ("#text", "p", "e", False), ("br", "p", None, False),
@@ -33,6 +36,26 @@ def test_broken_markup():
     assert rows[0][1] == len(rows) - 1 and rows[2][1] == 5 and rows[9][1] == 11
 
 
+def test_intervals_equal_the_strings_below_each_node():
+    """Texts and surroundings of every node of random broken pages against walks over its descendants."""
+    rng = random.Random(5)
+    for _ in range(200):
+        html = "".join(rng.choice(["<ul>", "</ul>", "<li>", "<p>", "</p>", "<table>", "<td>", "</table>", "<b class='ad'>", "</b>", "<br>", " a b ", "é", "\n",
+                                   "<!--c-->", "<script>s</script>", "<ol>", "<dl>", "&amp"]) for _ in range(rng.randint(1, 40)))
+        rows = _Nodes(frozenset([".ad"])).finish(html)
+        for r in rows:
+            below = rows[r[0] + 1:r[1] + 1]
+            page = rows[0][14]
+            assert page["visible"][r[10]:r[11]] == "\n".join(x[6] for x in below if x[4] == "#text" and not x[8])
+            assert page["every"][r[12]:r[13]] == "\n".join(x[6] for x in below if x[4] == "#text")
+            up, around = r[2], []
+            while up >= 0:
+                around.append(rows[up][4])
+                up = rows[up][2]
+            bits = {"ul": 1, "ol": 2, "table": 4, "dl": 8}
+            assert r[5] & 15 == sum({bits.get(t, 0) for t in around}) and r[5] >> 4 == sum({bits.get(t, 0) for t in around[1:]})
+
+
 def loop_sections(events):
     """Sequential heading stack with a text buffer."""
     stack, buffer, out, seen = [], [], [], set()
