@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.bloom import BlockedBloom, Shared, build_bloom, shared
+from gleaner.operators.bounds import small
+from gleaner.session import written
 
-__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "hash_of", "held_out", "mixed", "shared", "shingles", "slices", "small_batches", "utf8", "whole_text"]
+__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "free_names", "hash_of", "held_out", "mixed", "numbered", "ranked", "shared", "shingles", "slices", "small_batches", "utf8", "whole_text"]
 
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 
@@ -141,3 +143,50 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 def whole_text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of ``df``."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with their ``rank`` (from 0) within ``tree`` by ``order`` and the number ``n`` of rows of the tree.
+
+    The table is range partitioned over all trees at once, so a tree of any size is spread; equal rows are told
+    apart by their place in the input, so a run of them is spread too. Only counts per partition and tree
+    are added up in a window (one row per tree and partition it reaches).
+    """
+    columns = df.columns
+    order_keys = ["tree", *order, "row"]
+    at = written(df.withColumn("row", F.monotonically_increasing_id()).orderBy(*order_keys)
+                 .select(*columns, F.monotonically_increasing_id().alias("at")), "order")
+    at = at.withColumn("part", F.shiftright("at", 33))
+    tree = Window.partitionBy("tree")
+    counts = at.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("c")).select(
+        "tree", "part", "first", F.sum("c").over(tree).alias("n"),
+        F.coalesce(F.sum("c").over(tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return at.join(counts, ["tree", "part"]).select(*columns, (F.col("at") - F.col("first") + F.col("before")).alias("rank"), "n")
+
+
+def numbered(df: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """The rows with a number from 0 among those with equal (never null) ``keys``; which of them gets which is open.
+
+    Rows whose keys occur once are not moved. The others are ranked over all tasks, so any number of rows may be alike.
+    """
+    again = df.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*(F.col(k).alias(f"again_{i}") for i, k in enumerate(keys)))
+    again = written(again, "repeated-keys")
+    first = F.lit(0).cast("long").alias(number)
+    if again.isEmpty():
+        return df.select("*", first)
+    packed = df.select(F.struct(*(df[c] for c in df.columns)).alias("packed"), *(df[k].alias(f"key_{i}") for i, k in enumerate(keys)))
+    packed = packed.join(small(again, F.lit(8 * len(keys))), [F.col(f"key_{i}") == F.col(f"again_{i}") for i in range(len(keys))], "left")
+    alike = packed.where("again_0 is not null").select(F.concat_ws(" ", *(f"key_{i}" for i in range(len(keys)))).alias("tree"), "packed")
+    alike = ranked(written(alike, "repeated-rows"), []).select("packed.*", F.col("rank").alias(number))
+    return packed.where("again_0 is null").select("packed.*", first).unionByName(alike)

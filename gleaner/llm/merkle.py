@@ -19,9 +19,10 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import ranked
 from gleaner.session import written
 
 FANOUT = 16
@@ -52,25 +53,6 @@ def height(n: Column) -> Column:
     return reduce(add, [(n > F.lit(FANOUT ** i)).cast("int") for i in range(15)])
 
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """The rows with their ``rank`` (from 0) within ``tree`` by ``order`` and the number ``n`` of rows of the tree.
-
-    The table is range partitioned over all trees at once, so a tree of any size is spread; equal rows are told
-    apart by their place in the input, so a run of them is spread too. Only counts per partition and tree
-    are added up in a window (one row per tree and partition it reaches).
-    """
-    columns = df.columns
-    order_keys = ["tree", *order, "row"]
-    at = written(df.withColumn("row", F.monotonically_increasing_id()).orderBy(*order_keys)
-                 .select(*columns, F.monotonically_increasing_id().alias("at")), "manifest-order")
-    at = at.withColumn("part", F.shiftright("at", 33))
-    tree = Window.partitionBy("tree")
-    counts = at.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("c")).select(
-        "tree", "part", "first", F.sum("c").over(tree).alias("n"),
-        F.coalesce(F.sum("c").over(tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return at.join(counts, ["tree", "part"]).select(*columns, (F.col("at") - F.col("first") + F.col("before")).alias("rank"), "n")
-
-
 def _grouped(nodes: DataFrame, *more: str) -> DataFrame:
     """Runs of FANOUT consecutive nodes of each tree: new rank and the run in order."""
     run = F.sort_array(F.collect_list(F.struct(F.col("rank").alias("place"), "digest", *more)))

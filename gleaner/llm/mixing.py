@@ -13,10 +13,11 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.common import free_names, numbered
 from gleaner.session import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -86,16 +87,18 @@ def pivot(rows: list[tuple], seed: int) -> tuple[list[int], tuple | None]:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
           most: int = 3, share: float = 1.0, seed: int = 17, block: int = 2048, fan_in: int = 256,
           most_sources: int = 100_000) -> DataFrame:
-    """Per row: doc_id, key and key2 (hashes of id, text and source), source, size, source_size, target of the source, copies.
+    """Per row: doc_id, key and key2 (hashes of id, text and source), number (among rows alike in them), source, size, source_size, target of the source, copies.
 
     Size is the number of words (null: 0). Rows without words and all rows of sources without words get 0 copies; a null
     source is a source; rows alike in every used column are rounded one by one and may get different copies; null ids
     count as an id. No row gets more than ``most`` copies. An empty table gives an empty one. The driver
-    gives each of at most ``most_sources`` sources its target; blocks hold about ``block`` rows, whatever a source holds.
+    gives each of at most ``most_sources`` sources its target; blocks hold about ``block`` rows, whatever a source holds and however many
+    rows are alike.
     """
     spark = docs.sparkSession
     rows = written(docs.select(docs[doc_id].alias("doc_id"), *_keys(doc_id, text, source), docs[source].alias("source"),
                                word_count(text).alias("size")), "sizes")
+    rows = numbered(rows, ["key", "key2"], "number")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")).limit(
         most_sources + 1).collect()
     if len(sums) > most_sources:
@@ -110,17 +113,17 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + _SURE).cast("long")
     rows = (rows.withColumn("copies", whole).withColumn("fraction", F.greatest(ratio - whole, F.lit(0.0)))
-            .withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
+            .withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed), "number"), F.col("blocks")))
             .drop("blocks"))
     schema = T.StructType([*rows.schema.fields, T.StructField("open", T.BooleanType(), False)])
 
     def level(number: int):
         def round_block(table: pa.Table) -> pa.Table:
-            sizes, names = table.column("size").to_pylist(), list(zip(table.column("key").to_pylist(), table.column("key2").to_pylist()))
+            sizes, names = table.column("size").to_pylist(), list(zip(*(table.column(c).to_pylist() for c in ("key", "key2", "number"))))
             order = sorted(range(len(names)), key=lambda i: (-sizes[i], names[i]))  # alike sizes meet
             table = table.take(pa.array(order, pa.int64()))
             fraction = table.column("fraction").to_pylist()
-            named = [((*names[i], k), sizes[i], fraction[k]) for k, i in enumerate(order)]
+            named = [(names[i], sizes[i], fraction[k]) for k, i in enumerate(order)]
             given, left = pivot(named, seed + number)
             fractions, still = [0.0] * len(order), [False] * len(order)
             if left is not None:
@@ -143,7 +146,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         done.append(made.where(~F.col("open")))
         if blocks == 1:
             last = made.where("open")
-            draw = F.pmod(F.xxhash64("key", F.lit(seed), F.lit("last")), F.lit(1 << 53)) / float(1 << 53)
+            draw = F.pmod(F.xxhash64("key", F.lit(seed), F.lit("last"), "number"), F.lit(1 << 53)) / float(1 << 53)
             done.append(last.withColumn("copies", F.col("copies") + (draw < F.col("fraction")).cast("long")))
             break
         # the left-overs of all blocks, at most one each, meet in blocks of the next level
@@ -152,7 +155,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "key", "key2", "source", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "key", "key2", "number", "source", "size", "source_size", "target", "copies")
 
 
 def _keys(doc_id: str, text: str, source: str) -> list[Column]:
@@ -164,12 +167,10 @@ def _keys(doc_id: str, text: str, source: str) -> list[Column]:
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it was drawn."""
-    drawn = mixed(docs, doc_id, text, source, **settings).where("copies > 0").select(
-        F.col("key").alias("__k"), F.col("key2").alias("__k2"), F.col("copies").alias("__copies"))
-    # rows alike are told apart by a number; window and join share one exchange on the two keys
-    left = docs.select("*", *(k.alias(n) for k, n in zip(_keys(doc_id, text, source), ("__key", "__key2"))))
-    left = left.withColumn("__i", F.row_number().over(Window.partitionBy("__key", "__key2").orderBy("__key")))
-    drawn = drawn.withColumn("__j", F.row_number().over(Window.partitionBy("__k", "__k2").orderBy(F.desc("__copies"))))
-    both = left.join(drawn, (left["__key"] == drawn["__k"]) & (left["__key2"] == drawn["__k2"])
-                     & (F.col("__i") - F.col("__j") == 0))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+    # columns of any name travel in one struct; rows alike are told apart by a number
+    left = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), *_keys(doc_id, text, source))
+    left = numbered(left, ["key", "key2"], "number")
+    drawn = mixed(docs, doc_id, text, source, **settings).where("copies > 0").select("key", "key2", "number", "copies")
+    copy, = free_names(docs, "copy")
+    both = left.join(drawn, ["key", "key2", "number"])
+    return both.select("whole.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias(copy)).drop(copy)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Words, build_bloom, shared, shingles, slices, utf8, whole_text
+from gleaner.llm.common import Words, build_bloom, free_names, shared, shingles, slices, utf8, whole_text
 from gleaner.session import written
 
 _SKETCH = 64  # values of the union sketch
@@ -386,34 +386,35 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     Texts without words are duplicates of nothing and all stay. Of rows alike in id one stays, too.
     """
     found = near_duplicates(docs, doc_id, text, **settings).where("cls is not null")
-    found = written(found.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), F.col("comp").alias("__comp"),
-                                 F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__stays")), "groups")
+    doc, key, comp, stays, h = free_names(docs, "__doc", "__key", "__comp", "__stays", "__h")
+    found = written(found.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("comp").alias(comp),
+                                 F.col("doc_id").eqNullSafe(F.col("component_id")).alias(stays)), "groups")
 
     def at(table):
-        return docs[doc_id].eqNullSafe(table["__doc"]) & (F.xxhash64(whole_text(text)) == table["__key"])
+        return docs[doc_id].eqNullSafe(table[doc]) & (F.xxhash64(whole_text(text)) == table[key])
 
-    gone = found.where("not __stays").select("__doc", "__key").distinct()
+    gone = found.where(~F.col(stays)).select(doc, key).distinct()
     # only rows that repeat an id can leave two rows of one group
-    repeats = found.where("__stays").groupBy("__comp").agg(F.count("*").alias("n")).where("n > 1").select("__comp")
-    twice = written(found.where("__stays").join(repeats, "__comp").select("__doc", "__key", "__comp").distinct(), "repeats")
+    repeats = found.where(stays).groupBy(comp).agg(F.count("*").alias("n")).where("n > 1").select(comp)
+    twice = written(found.where(stays).join(repeats, comp).select(doc, key, comp).distinct(), "repeats")
     if twice.isEmpty():
         # only rows that may be gone travel to the join; the filter has a fixed size and passes a few more
-        bloom = shared(docs.sparkSession, build_bloom(gone, "__key", 18))
-        rows = docs.select("*", F.xxhash64(whole_text(text)).alias("__h"))
+        bloom = shared(docs.sparkSession, build_bloom(gone, key, 18))
+        rows = docs.select("*", F.xxhash64(whole_text(text)).alias(h))
         names = docs.columns
 
         def side(may_be_gone: bool):
             def go(batches):
                 for b in batches:
                     if b.num_rows:
-                        hit = bloom.value.holds(b.column("__h").to_numpy().view(np.uint64))
+                        hit = bloom.value.holds(b.column(h).to_numpy().view(np.uint64))
                         yield b.filter(pa.array(hit == may_be_gone)).select(names)
 
             return rows.mapInArrow(go, docs.schema)
 
         maybe = side(True)
-        same = maybe[doc_id].eqNullSafe(gone["__doc"]) & (F.xxhash64(whole_text(text)) == gone["__key"])
+        same = maybe[doc_id].eqNullSafe(gone[doc]) & (F.xxhash64(whole_text(text)) == gone[key])
         return side(False).unionByName(maybe.join(gone, same, "left_anti"))
-    once = docs.join(twice, at(twice)).dropDuplicates(["__comp"]).select(*docs.columns)
-    rest = gone.unionByName(twice.select("__doc", "__key"))
+    once = docs.join(twice, at(twice)).dropDuplicates([comp]).select(*docs.columns)
+    rest = gone.unionByName(twice.select(doc, key))
     return docs.join(rest, at(rest), "left_anti").unionByName(once)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import _MARK, Words, build_bloom, shared, slices, utf8, whole_text
+from gleaner.llm.common import _MARK, Words, build_bloom, free_names, shared, slices, utf8, whole_text
 from gleaner.session import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -261,16 +261,17 @@ def _base(batches):
 def sanitised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """All rows and columns, with personal data in ``text`` replaced by its kind and disclosing terms
     generalised or removed. Texts without findings, null among them, stay as they are."""
+    hit_id, hit_key, found = free_names(docs, "__hit_id", "__hit_key", "__hits")
     hits = _hits(_keyed(docs, doc_id, text), **settings)
-    hits = hits.select(F.col("doc_id").alias("__hit_id"), F.col("row_key").alias("__hit_key"), F.col("hits").alias("__hits"))
-    both = docs.join(hits, docs[doc_id].eqNullSafe(hits["__hit_id"]) & (row_key(text) == hits["__hit_key"]), "left")
+    hits = hits.select(F.col("doc_id").alias(hit_id), F.col("row_key").alias(hit_key), F.col("hits").alias(found))
+    both = docs.join(hits, docs[doc_id].eqNullSafe(hits[hit_id]) & (row_key(text) == hits[hit_key]), "left")
     names = docs.columns
-    both = both.select(*names, "__hits")
+    both = both.select(*names, found)
 
     def clean(batches):
         for part in slices(batches, text):
             made = []
-            for value, hits in zip(part.column(text).to_pylist(), part.column("__hits").to_pylist()):
+            for value, hits in zip(part.column(text).to_pylist(), part.column(found).to_pylist()):
                 if value:
                     out, at = [], 0
                     for start, _, end, put in _all_spans(value, hits)[1]:

@@ -4,12 +4,13 @@ import itertools
 import random
 import time
 
+import corpus_pipeline
 import helpers as H
 import numpy as np
 import public_tokenizers
 import pytest
 from gleaner.llm import (bpe, contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls)
-from gleaner.llm.common import BlockedBloom, Words, build_bloom, utf8
+from gleaner.llm.common import BlockedBloom, Words, build_bloom, numbered, utf8
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -26,7 +27,8 @@ def table(spark, rows, schema="doc_id long, text string"):
 def clashing(df):
     """Extra columns with names that operators use themselves."""
     return df.select("*", *(F.lit(7).alias(n) for n in (
-        "row_key", "n", "start", "end", "cls", "comp", "value", "size", "copies", "key", "name", "term", "hits", "spans", "label_id")))
+        "row_key", "n", "start", "end", "cls", "comp", "value", "size", "copies", "key", "name", "term", "hits", "spans", "label_id",
+        "__h", "__hits", "__key", "__key2", "__k", "__i", "__j", "__doc", "__comp", "__stays", "__copy", "copy", "number", "packed", "tree", "rank", "whole")))
 
 
 # ---------------------------------------------------------------- helpers
@@ -328,6 +330,34 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mixed(docs.where("false")).count() == 0
 
 
+def test_rows_alike_are_spread_over_blocks(spark):
+    rows = [(7, "one two", "s")] * 6000 + [(i, f"text {i}", "s") for i in range(3000)]
+    docs = table(spark, rows, "doc_id long, text string, source string")
+    keyed = numbered(docs.select("doc_id", *mixing._keys("doc_id", "text", "source")), ["key", "key2"], "number").toPandas()
+    assert sorted(keyed[keyed.doc_id == 7].number) == sorted([*range(6000), 0]) and (keyed[keyed.doc_id != 7].number == 0).all()
+    sizes = spark.createDataFrame(keyed[["key", "number"]]).groupBy(F.pmod(F.xxhash64("key", F.lit(17), "number"), F.lit(71))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 2 * 9000 / 71
+    got = mixing.mixed(docs, block=128).toPandas()
+    assert len(got) == 9000 and abs((got.copies * got["size"]).sum() - got.target.iloc[0]) <= 2
+    assert mixing.repeated(docs, block=128).count() == got.copies.sum()
+
+
+def test_pipeline_stages_take_any_columns(spark, tmp_path):
+    rows = [(i, f"The quick {w} fox of number {i} jumps over lazy dogs near the {w} river bank today and writes to a{i}@mail.org", "en", f"s{i % 2}", 90)
+            for i, w in enumerate(["brown", "red", "grey", "blue"] * 5)]
+    rows += [rows[3]] * 2 + [(None, "Another text about a house by the sea with many windows", "en", None, 55), (90, None, None, None, None), (91, "", "en", "s0", 0)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    spark.createDataFrame([(1, "a benchmark item of five words or more than that")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns, name
+        if name == "PII":
+            assert made.where("n_chars <> length(text)").count() == 0 and made.where("text like '%@%'").count() == 0
+        docs = spark.createDataFrame(made.collect(), made.schema)
+        assert docs.count() > 0, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
 # ---------------------------------------------------------------- 3 url rules
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
