@@ -1,5 +1,9 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a table, which is written and reread as the
-next stage's documents. All but the last return the columns of ``documents``."""
+next stage's documents. All but the last return the columns of ``documents``.
+
+In every stage null ids, repeated rows and further columns of any name are kept as rows are kept; null texts have no letters,
+so the first stage drops them.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import contamination, language, mixing, neardup, privacy
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import free_names, small_batches
 from gleaner.session import written
 
 
@@ -15,12 +19,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; rejected are texts without letters and texts that fit no profile at all."""
     small_batches(spark)
     known = language.profiles(docs, F.lit(True))
-    judged = language.predicted(docs, known, names=("__lang", "__score"))
-    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= 0.1)).select(*docs.columns)
+    lang, score = free_names(docs, "__lang", "__score")
+    judged = language.predicted(docs, known, names=(lang, score))
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= 0.1)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8); of rows alike one stays."""
     small_batches(spark)
     return neardup.deduplicated(docs, size=5, percent=80)
 
@@ -32,13 +37,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced and disclosing terms generalised or removed."""
+    """Documents with personal data replaced and disclosing terms generalised or removed; ``n_chars`` is that of the new text."""
     small_batches(spark)
-    return privacy.sanitised(docs)
+    return privacy.sanitised(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; rows alike are drawn one by one."""
     small_batches(spark)
     return mixing.repeated(docs)
 
