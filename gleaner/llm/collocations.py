@@ -5,9 +5,9 @@ of the phrase. A container that grows too large bursts into a node with a contai
 too many entries, whole subtrees (all phrases with one first word) leave it as sorted runs, the largest first. Spark
 shuffles the runs by phrase prefix and merges them per prefix partition.
 
-Only phrases whose words and pairs of neighbours are frequent can be frequent, and most words and pairs are rare. So a first
-pass adds up hashes of words and pairs, a few bytes each; what reaches the least count under its hash goes into a Bloom filter of
-fixed size, and only phrases that pass it get into the tries. Shared hashes and false hits cost a row and are removed by the
+Most phrases are rare. So a first pass adds up hashes of words and pairs of neighbours, a few bytes each, and a second one those of
+longer phrases made of frequent pairs; what reaches the least count under its hash goes into a Bloom filter of
+fixed size, and only phrases that pass get into the tries. Shared hashes and false hits cost a row and are removed by the
 exact count.
 """
 
@@ -152,12 +152,24 @@ class _Slice:
             self.linked = (words.rows[1:] == words.rows[:-1]) & (cuts[words.starts[1:]] == cuts[words.ends[:-1] - 1])
             self.pairs = mixed(self.keys[:-1] * _PAIR + self.keys[1:])
 
-    def phrases(self, longest: int, hits, names: Vocabulary) -> list[tuple[list[bytes], list[int]]]:
-        """(phrases, counts) for each length, packed ids, of what ``hits`` lets pass."""
-        words, n = self.words, self.n
-        linked = np.zeros(n, bool)
+    def frequent_links(self, hits) -> np.ndarray:
+        """Whether a word and the next one are a pair that ``hits`` lets pass."""
+        linked = np.zeros(self.n, bool)
         linked[:-1] = self.linked
         linked[:-1][self.linked] = hits(self.pairs[self.linked])
+        return linked
+
+    def longer(self, at: np.ndarray, keys: np.ndarray, length: int, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of phrases of ``length`` - 1 words at ``at`` those that go on, where they are among the former, and their longer keys."""
+        which = np.flatnonzero(at + length - 1 < self.n)
+        which = which[linked[at[which] + length - 2]]
+        at = at[which]
+        return at, mixed(keys[which] * _PAIR + self.keys[at + length - 1]), which
+
+    def phrases(self, longest: int, hits, long_hits, names: Vocabulary) -> list[tuple[list[bytes], list[int]]]:
+        """(phrases, counts) for each length, packed ids, of what ``hits`` (words, pairs) and ``long_hits`` let pass."""
+        words, n = self.words, self.n
+        linked = self.frequent_links(hits)
         used = hits(self.keys)
         single = used.copy()
         used |= linked
@@ -181,13 +193,12 @@ class _Slice:
         for length in range(1, longest + 1):
             if length == 2:
                 at = np.flatnonzero(linked)
-                node = ids[at] << 32 | ids[at + 1]
+                keys, node = self.pairs[at], ids[at] << 32 | ids[at + 1]
             elif length > 2:
-                keep = at + length - 1 < n
-                at, node = at[keep], node[keep]
-                keep = linked[at + length - 2]
-                at = at[keep]
-                node = node[keep] << 32 | ids[at + length - 1]
+                at, keys, which = self.longer(at, keys, length, linked)
+                passed = long_hits(keys)
+                at, keys, which = at[passed], keys[passed], which[passed]
+                node = node[which] << 32 | ids[at + length - 1]
             distinct, first, node, counts = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
             if len(distinct):
                 out.append((_packed([ids[at[first] + j] for j in range(length)]), counts.tolist()))
@@ -201,14 +212,15 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _frequent(docs: DataFrame, least: int) -> tuple[BlockedBloom, int]:
-    """Filter of the words and pairs whose hash is found at least ``least`` times, and the bits to drop from keys before asking.
+def _drop(spark) -> int:
+    """Low bits of keys that are not looked at: the top bits are the part that adds a key up, the next 32 are sent."""
+    # four parts to a shuffle partition, so what a part holds follows the session's sizing
+    return 32 - (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()
 
-    The keys' top bits are the part that adds them up, the next 32 bits are sent. There are four parts to a shuffle partition, so
-    what a part holds follows the session's sizing.
-    """
-    bits = (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
-    drop = 32 - bits
+
+def _frequent(docs: DataFrame, least: int, keys_of) -> BlockedBloom:
+    """Filter of the keys that are found at least ``least`` times; ``keys_of`` gives the keys of a slice."""
+    drop = _drop(docs.sparkSession)
     small_count = np.uint8 if least < 256 else np.int64
 
     def sent(keys, counts):
@@ -225,7 +237,7 @@ def _frequent(docs: DataFrame, least: int) -> tuple[BlockedBloom, int]:
         for batch in slices(batches, "text"):
             part = _Slice(batch)
             if part.n:
-                new.append(np.r_[part.keys, part.pairs[part.linked]] >> np.uint64(drop))
+                new.append(keys_of(part) >> np.uint64(drop))
             if sum(map(len, new)) > _MOST:
                 fresh = np.concatenate(new)
                 held, new = _summed(np.r_[held[0], fresh], np.r_[held[1], np.ones(len(fresh), np.int64)]), []
@@ -245,10 +257,17 @@ def _frequent(docs: DataFrame, least: int) -> tuple[BlockedBloom, int]:
         return pa.table({"key": pa.array(mixed(whole).view(np.int64))})
 
     found = docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long")
-    return build_bloom(found, "key"), drop
+    return build_bloom(found, "key")
 
 
-def _runs(docs: DataFrame, longest: int, known, drop: int) -> DataFrame:
+def _hits(known, drop: int):
+    def hits(keys: np.ndarray) -> np.ndarray:
+        return known.value.holds(mixed(keys >> np.uint64(drop)))
+
+    return hits
+
+
+def _runs(docs: DataFrame, longest: int, hits, long_hits) -> DataFrame:
     """Sorted runs (lang, prefix, rest, f) of each task's trie; words per language come as the empty phrase."""
     def batch(rows):
         langs, prefixes, rests, counts = zip(*rows)
@@ -269,18 +288,13 @@ def _runs(docs: DataFrame, longest: int, known, drop: int) -> DataFrame:
 
     def count(batches):
         names, trie, totals = Vocabulary(), HatTrie(), {}
-        bloom = known.value
-
-        def hits(keys):
-            return bloom.holds(mixed(keys >> np.uint64(drop)))
-
         for part in slices(batches, "text"):
             part = _Slice(part)
             if not part.n:
                 continue
             for lang, c in zip(part.langs, np.bincount(part.lang, minlength=len(part.langs)).tolist()):
                 totals[lang] = totals.get(lang, 0) + c
-            for phrases, counts in part.phrases(longest, hits, names):
+            for phrases, counts in part.phrases(longest, hits, long_hits, names):
                 trie.add(phrases, counts)
             # word ids are dropped only with all of their phrases
             forget = len(names.names) > _MOST
@@ -302,8 +316,20 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
     rows count again. An empty table gives no rows.
     """
     docs = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text"))
-    bloom, drop = _frequent(docs, least)
-    runs = _runs(docs, longest, shared(docs.sparkSession, bloom), drop)
+    spark = docs.sparkSession
+    hits = _hits(shared(spark, _frequent(docs, least, lambda part: np.r_[part.keys, part.pairs[part.linked]])), _drop(spark))
+
+    def long_keys(part):
+        linked, out = part.frequent_links(hits), [np.zeros(0, np.uint64)]
+        at = np.flatnonzero(linked)
+        keys = part.pairs[at]
+        for length in range(3, longest + 1):
+            at, keys, _ = part.longer(at, keys, length, linked)
+            out.append(keys)
+        return np.concatenate(out)
+
+    long_hits = _hits(shared(spark, _frequent(docs, least, long_keys)), _drop(spark)) if longest > 2 else None
+    runs = _runs(docs, longest, hits, long_hits)
     # runs are merged where their prefix is dealt to
     merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
     phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
