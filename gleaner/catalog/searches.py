@@ -143,6 +143,12 @@ def notice_page(t):
     return S.read_notices(_notices(t), 20, 10).select("id", "title", "views")
 
 
+@query(f"with {_NOTICES} select id, title, views from n where id > 29 order by id limit 10")
+def notice_next_page(t):
+    """The page behind the last id of another one."""
+    return S.notices_after(_notices(t), 29, 10).select("id", "title", "views")
+
+
 @query(f"with {_NOTICES} select id, title, views, published_at::varchar as published_at from n where id = 7")
 def notice_by_id(t):
     return S.read_notice(_notices(t), 7).select("id", "title", "views", _day())

@@ -1,4 +1,9 @@
-"""The chunk table: rebuild, idempotent load, change detection."""
+"""The chunk table: rebuild, idempotent load, change detection.
+
+The table lies in buckets of the chunk id's hash, one folder each. A load looks for known ids only in the buckets that its
+own ids fall in, and of these reads the id column, so a small drop does not read the whole table. The folder's name holds the
+number of buckets, which a table keeps from its first rows on.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from gleaner import lexicon as lx
 from gleaner.functions import text as T
@@ -13,14 +19,43 @@ from gleaner.operators.dedup import keep_first
 from gleaner.schemas import chunk_schema
 
 
-def rebuild_table(spark: SparkSession, path: str, rows: DataFrame | None = None) -> None:
+BUCKETS = 256
+
+
+def _bucket(chunk_id: str, buckets: int) -> Column:
+    number = F.pmod(F.xxhash64(chunk_id), F.lit(buckets)).cast("string")
+    return F.concat(F.lpad(number, 6, "0"), F.lit(f"-of-{buckets}"))
+
+
+def _append(rows: DataFrame, path: str, buckets: int, mode: str = "append") -> None:
+    placed = rows.select(*chunk_schema().names, _bucket("chunk_id", buckets).alias("bucket"))
+    # a bucket gets one file per load
+    placed.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def rebuild_table(spark: SparkSession, path: str, rows: DataFrame | None = None, buckets: int = BUCKETS) -> None:
     """Drop whatever the target holds and start over (empty unless rows are given)."""
-    rows = spark.createDataFrame([], chunk_schema()) if rows is None else rows
-    rows.write.mode("overwrite").parquet(path)
+    _append(spark.createDataFrame([], chunk_schema()) if rows is None else rows, path, buckets, "overwrite")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T_.StructType([*chunk_schema().fields, T_.StructField("bucket", T_.StringType())])).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(chunk_schema()).parquet(path)
+    return _read(spark, path).select(*chunk_schema().names)
+
+
+def table_buckets(spark: SparkSession, path: str, default: int = BUCKETS) -> int:
+    """Buckets of the table at ``path``, ``default`` as long as it is empty."""
+    some = _read(spark, path).select("bucket").first()
+    return int(some["bucket"].split("-of-")[1]) if some else default
+
+
+def known_ids(incoming: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``chunk_id`` of the table's rows in the buckets that the incoming ids fall in."""
+    touched = [r[0] for r in incoming.where("chunk_id is not null").select(_bucket("chunk_id", buckets)).distinct().collect()]  # at most ``buckets``
+    return _read(incoming.sparkSession, path).where(F.col("bucket").isin(touched)).select("chunk_id")
 
 
 def loadable_chunks(incoming: DataFrame, existing: DataFrame, order: str,
@@ -46,13 +81,16 @@ def loadable_chunks(incoming: DataFrame, existing: DataFrame, order: str,
 
 
 def load_chunks(incoming: DataFrame, path: str, order: str, embed: Callable[[Column], Column] | None = None,
-                profile: lx.SiteProfile = lx.DEFAULT_PROFILE) -> None:
-    """Append the loadable rows to the table at ``path``. ``embed`` maps text to an array<float> column."""
-    existing = read_table(incoming.sparkSession, path)
-    rows = loadable_chunks(incoming, existing, order, profile)
+                profile: lx.SiteProfile = lx.DEFAULT_PROFILE, buckets: int = BUCKETS) -> None:
+    """Append the loadable rows to the table at ``path``. ``embed`` maps text to an array<float> column.
+
+    ``buckets`` counts for the first rows of a table only.
+    """
+    buckets = table_buckets(incoming.sparkSession, path, buckets)
+    rows = loadable_chunks(incoming, known_ids(incoming, path, buckets), order, profile)
     if embed is not None:
         rows = rows.withColumn("embedding", embed(F.col("chunk_text")))
-    rows.select(*chunk_schema().names).write.mode("append").parquet(path)
+    _append(rows, path, buckets)
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:

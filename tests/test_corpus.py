@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner import lexicon as lx
 from gleaner.operators import history as H
@@ -114,6 +115,27 @@ def test_replayed_batch_adds_nothing(spark, tmp_path):
     assert len(loaded) == 1 and loaded[0].title == "정보 없음" and loaded[0].page_type == "contents"
 
 
+def test_a_load_reads_only_the_buckets_of_its_ids(spark, tmp_path):
+    table = str(tmp_path / "t")
+    C.rebuild_table(spark, table, buckets=32)
+    schema = T.StructType([*chunk_schema().fields, T.StructField("ord", T.LongType())])
+
+    def drop(ids):
+        return spark.createDataFrame([{"chunk_id": f"c{i}", "chunk_text": f"text {i}", "ord": i} for i in ids], schema)
+
+    C.load_chunks(drop(range(500)), table, "ord", buckets=32)
+    assert C.table_buckets(spark, table) == 32
+    incoming = drop([3, 700, 701])
+    read = {f.split("bucket=")[1].split("/")[0] for f in C.known_ids(incoming, table, 32).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    wanted = {r[0] for r in incoming.select(C._bucket("chunk_id", 32)).collect()}
+    assert read <= wanted and len(wanted) <= 3 and C.known_ids(incoming, table, 32).where("chunk_id = 'c3'").count() == 1
+    # another number of buckets does not split the table in two
+    C.load_chunks(incoming, table, "ord", buckets=7)
+    C.load_chunks(incoming.where("chunk_id is null"), table, "ord")
+    got = [r.chunk_id for r in C.read_table(spark, table).collect()]
+    assert sorted(got) == sorted(f"c{i}" for i in [*range(500), 700, 701])
+
+
 def test_changes(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "1")], "chunk_id string, text_hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("e", "1")], "chunk_id string, text_hash string")

@@ -105,3 +105,12 @@ def test_keyword_paths_agree_and_keep_all_documents(spark):
     shuffled = S.keyword_matches(asked, docs, question_rows=0, term_rows=0)
     plain = {(q, c) for q, a in texts if q % 7 == 0 for c, b in texts if set(a.split()) <= set(b.split())}
     assert {tuple(r) for r in held.collect()} == plain == {tuple(r) for r in shuffled.collect()}
+
+
+def test_pages_of_notices(spark):
+    ids = [i * 7 % 1009 for i in range(1009)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, title string").repartition(5)
+    for skip, limit in ((0, 10), (995, 10), (1005, 10), (2000, 5), (300, 600), (3, 0)):
+        assert [r.id for r in S.read_notices(df, skip, limit).collect()] == list(range(1009))[skip:skip + limit]
+    assert [r.id for r in S.notices_after(df, 41, 3).collect()] == [42, 43, 44] and [r.id for r in S.notices_after(df, limit=2).collect()] == [0, 1]
+    assert S.read_notices(df.where("false"), 0, 3).count() == 0
