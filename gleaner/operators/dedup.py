@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -89,6 +91,7 @@ def greedy_unique(files: Column) -> Column:
 
 
 _CLASSES = [1, 2, 4, 8, 16, 64, 256, 1024, 4096, 16384, 65536]  # dense where texts are short
+_HOT = 10_000  # share of all grams, as one over it, beyond which a gram is hot; so there are fewer hot grams than this
 _PIECE = 1 << 20  # characters handled at once; longer texts are read in overlapping pieces
 
 
@@ -196,6 +199,30 @@ def containment_grams(texts: DataFrame, classes: list[int], own_only: bool = Fal
     return texts.select("ord", "text").mapInArrow(grams, f"key bigint, ord {kind}, pos bigint, n bigint")
 
 
+def _stretches(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, n, ord) of the stretches (ord, start from 0, size) of texts; all of one text are cut in one pass over it.
+
+    Very long texts are asked in groups by where the stretches start, so no row holds more than a piece's.
+    """
+    asked = probes.groupBy("ord", F.floor(F.col("start") / _PIECE).alias("piece")).agg(F.collect_set(F.struct("start", "size")).alias("asked"))
+    kind = texts.schema["ord"].dataType.simpleString()
+
+    def cut(batches):
+        for batch in batches:
+            texts_, ords = batch.column(0), batch.column(1)
+            for row in range(batch.num_rows):
+                text = texts_[row].as_py()
+                asked = batch.column(2)[row].values
+                starts, sizes = asked.field("start").to_pylist(), asked.field("size").to_pylist()
+                for at in range(0, len(starts), 10_000):
+                    made = [hashlib.md5(text[s:s + n].encode("utf-8", "surrogatepass")).hexdigest() for s, n in zip(starts[at:at + 10_000], sizes[at:at + 10_000])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(made, pa.string()), pa.array(sizes[at:at + 10_000], pa.int64()), ords.take(pa.array([row] * len(made), pa.int64()))],
+                        names=["digest", "n", "ord"])
+
+    return asked.join(texts, "ord").select("text", "ord", "asked").mapInArrow(cut, f"digest string, n bigint, ord {kind}")
+
+
 def uncontained_orders(texts: DataFrame) -> DataFrame:
     """``ord`` of every text that no earlier text contains. Texts (ord, text) have to be distinct."""
     texts = written(texts.select("ord", "text"), "texts")
@@ -208,17 +235,21 @@ def uncontained_orders(texts: DataFrame) -> DataFrame:
     wanted = shared(texts.sparkSession, build_bloom(own, "key"))
     grams = written(containment_grams(texts, classes, wanted=wanted), "grams")
 
-    spread = grams.groupBy("key").agg(F.count("*").alias("spread"))
-    chosen = own.join(spread, "key").groupBy("ord", "n").agg(F.min(F.struct("spread", "key", "pos")).alias("best"))
+    spread = written(grams.groupBy("key").agg(F.count("*").alias("spread")), "spread")
+    total = spread.agg(F.sum("spread")).first()[0] or 0
+    # at most _HOT keys hold more than this; they are known to every task, so their rows need not meet in one
+    hot = spread.where(F.col("spread") > total // _HOT).select("key", F.col("spread").alias("hot"))
+    marked = own.join(F.broadcast(hot), "key", "left")
+    known = marked.where("hot is not null").withColumnRenamed("hot", "spread").unionByName(
+        marked.where("hot is null").drop("hot").join(spread, "key"))
+    chosen = known.groupBy("ord", "n").agg(F.min(F.struct("spread", "key", "pos")).alias("best"))
     shapes = chosen.groupBy(F.col("best.key").alias("key"), F.col("best.pos").alias("offset"),
                             F.col("n").alias("size")).agg(F.max("ord").alias("latest"))
     probes = grams.join(shapes, "key").where(
         (F.col("n") > F.col("size")) & (F.col("ord") < F.col("latest")) & (F.col("pos") >= F.col("offset"))
         & (F.col("pos") - F.col("offset") + F.col("size") <= F.col("n"))
-    ).select("ord", (F.col("pos") - F.col("offset") + 1).cast("int").alias("start"), F.col("size").cast("int"))
-    stretch = F.substr(F.col("text"), F.col("start"), F.col("size"))
-    stretches = probes.join(texts, "ord").select(
-        F.md5(stretch.cast("binary")).alias("digest"), F.col("size").cast("bigint").alias("n"), "ord")
+    ).select("ord", (F.col("pos") - F.col("offset")).alias("start"), "size")
+    stretches = _stretches(probes, texts)
     # the empty text is part of every text
     anywhere = texts.agg(F.min("ord").alias("ord")).select(F.md5(F.lit("").cast("binary")).alias("digest"),
                                                           F.lit(0).cast("bigint").alias("n"), "ord")

@@ -45,6 +45,27 @@ def test_containment_in_every_order(spark):
         assert containment(spark, list(order)) == loop_containment(list(order))
 
 
+def test_containment_with_a_hot_container(spark):
+    """One long text that thousands of texts look into, at many places and lengths, and grams held by most texts."""
+    rng = random.Random(21)
+    long = "".join(rng.choice("abcdefgh") for _ in range(60_000))
+    texts = [long]
+    for i in range(1500):
+        at, n = rng.randrange(59_000), rng.randint(20, 400)
+        cut = long[at:at + n]
+        texts.append(cut if i % 3 else cut[:n // 2] + "z" + cut[n // 2:])
+    texts += ["same beginning " + "abcdefgh" * 8 + str(i) for i in range(800)] + ["abcdefgh" * 8]
+    texts = list(dict.fromkeys(t.replace(" ", "") for t in texts))
+    joined = "\n".join(texts)  # a text's first place is its own, unless an earlier one holds it
+    plain, at = set(), 0
+    for i, t in enumerate(texts):
+        if joined.find(t) == at:
+            plain.add(i)
+        at += len(t) + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    assert {r.ord for r in X.uncontained_orders(df).collect()} == plain
+
+
 def test_containment_with_one_text_inside_a_third_of_all(spark):
     """A hot stretch: many containers and many near copies that look for the same gram."""
     rnd = random.Random(9)
