@@ -87,15 +87,12 @@ def _found(known: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(rows: DataFrame, known=None, least: int = 1) -> DataFrame:
-    """Texts that hold each feature: (name, n); with ``known`` only for those names."""
+def _counts(rows: DataFrame, least: int = 1) -> DataFrame:
+    """Texts that hold each feature: (name, n)."""
 
     def count(batches):
         for part in slices(batches, "text"):
             at, _, names, _ = _features(part.column("text").to_pylist())
-            if known is not None:
-                inside = _found(known.value, names) >= 0
-                at, names = at[inside], names[inside]
             order = np.lexsort((at, names))
             at, names = at[order], names[order]
             new = np.r_[True, (names[1:] != names[:-1]) | (at[1:] != at[:-1])] if len(names) else np.empty(0, bool)
@@ -144,29 +141,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column | None = None, doc_id
     if not n1 or not n0:
         odds = 8.0 if n1 else -8.0
         return Model(np.empty(0, np.uint64), np.empty(0), odds)
-    limit = 16 * most_features
-    in_toxic = _counts(sample.where("y = 1"), least=least).orderBy(F.desc("n"), "name").limit(limit).toArrow()
-    names = in_toxic.column("name").to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    names, n_toxic = names[order], in_toxic.column("n").to_numpy()[order]
-    in_clean = _counts(sample.where("y = 0"), shared(spark, names)).toArrow()
-    n_clean = np.zeros(len(names))
-    n_clean[np.searchsorted(names, in_clean.column("name").to_numpy().view(np.uint64))] = in_clean.column("n").to_numpy()
-    gain = _likelihood_gain(n_toxic, n_clean, n1, n0)
-    useful = np.flatnonzero((n_toxic / n1 > n_clean / n0) & (gain > 10))
-    chosen = useful[np.argsort(-gain[useful], kind="stable")[:most_features]]
+    toxic, clean = (_counts(sample.where(F.col("y") == y), least=n).select("name", F.col("n").alias(f"n{y}")) for y, n in ((1, least), (0, 1)))
+    both = toxic.join(clean, "name", "left").select("name", F.col("n1").cast("double").alias("a"), F.coalesce("n0", F.lit(0)).cast("double").alias("b"))
+    # all features are ranked; the best come to the driver
+    useful = both.withColumn("gain", _likelihood_gain(F.col("a"), F.col("b"), n1, n0)).where((F.col("a") / n1 > F.col("b") / n0) & (F.col("gain") > 10))
+    chosen = useful.orderBy(F.desc("gain"), "name").limit(most_features).select("name").toArrow().column("name").to_numpy().view(np.uint64)
     swaps = _swaps(identity)
-    vocabulary = np.unique(np.concatenate([names[chosen], swaps["hashes"]]))
+    vocabulary = np.unique(np.concatenate([chosen, swaps["hashes"]]))
     x, y, changes = _matrix(sample, vocabulary, swaps, seed)
     weights, bias = _fit(x, y, changes, len(vocabulary), penalty, l2)
     return Model(vocabulary, weights, bias)
 
 
-def _likelihood_gain(a, b, n1, n0):
-    """Log-likelihood ratio of "present" against the label."""
+def _likelihood_gain(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-likelihood ratio of "present" (in a of n1 and b of n0 texts) against the label."""
     def part(k, n):
-        p = np.clip(k / n, 1e-12, 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log(1 - p)
+        p = F.least(F.greatest(k / F.lit(float(n)), F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.ln(p) + (F.lit(float(n)) - k) * F.ln(1 - p)
 
     return 2 * (part(a, n1) + part(b, n0) - part(a + b, n1 + n0))
 

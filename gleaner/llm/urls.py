@@ -50,13 +50,11 @@ def judged(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: st
 
     Rows are judged by their url, so null ids and repeated rows don't matter; null urls and urls without ``://`` have empty host
     and path and fit no rule; other columns are not looked at; empty tables of pages or rules are fine.
-    ``most_lengths`` bounds the different path lengths of rules, which every task holds.
+    Up to ``most_lengths`` different path lengths of rules are told to every task; if there are more, all beginnings of a path are tried.
     """
     spark = pages.sparkSession
     listed = canonical_rules(rules)
     lengths = [r[0] for r in listed.select("path_size").distinct().limit(most_lengths + 1).collect()]
-    if len(lengths) > most_lengths:
-        raise ValueError(f"rules have more than {most_lengths} different path lengths")
     bloom = shared(spark, build_bloom(listed.select(F.xxhash64("key").alias("h")), "h", log2_blocks))
     host, path = host_and_path(url)
     page_rows = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
@@ -65,8 +63,11 @@ def judged(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: st
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    sizes = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"),
-                     lambda n: n <= F.length("path"))
+    if len(lengths) > most_lengths:
+        sizes = F.when(F.length("path") > 0, F.sequence(F.lit(1), F.length("path"))).otherwise(F.array().cast("array<int>"))
+    else:
+        sizes = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"),
+                         lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(sizes, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
     tried = asked.select("host", "path", F.explode(keys).alias("key")).withColumn("h", F.xxhash64("key"))
 

@@ -386,8 +386,9 @@ def test_url_rules(spark):
     for rules in (RULES, many, []):
         df = spark.createDataFrame(rules, "verdict string, rule string")
         pages = table(spark, [*rows, (None, "http://a.net/es/")], "page_id long, url string").withColumn("rule", F.lit(1)).withColumn("host", F.lit(2))
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(pages, df).collect()}
-        assert got == {i: _verdict(u, rules) for i, u in [*rows, (None, "http://a.net/es/")]}
+        for most in (4096, 1):  # with more path lengths than that all beginnings are tried
+            got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(pages, df, most_lengths=most).collect()}
+            assert got == {i: _verdict(u, rules) for i, u in [*rows, (None, "http://a.net/es/")]}
     assert urls.judged(table(spark, [], "page_id long, url string"), df).count() == 0
 
 
