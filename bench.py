@@ -15,10 +15,11 @@ HEADLINE = [
     "clean_text", "clean_block", "noise_lines", "section_gate", "document_scores", "heading_rules",
     "dedup_first", "dedup_exact", "dedup_containment", "chunk_build", "load_new", "change_detection",
     "page_titles", "page_anchors", "page_sections", "menu_links", "listing_stop", "stream_load",
-    "prompt_messages", "corpus_build",
+    "prompt_messages", "corpus_build", "frontier", "site_documents",
     # training-data operators, if they are there
     "op1_toxicity", "op2_privacy", "op3_url_rules", "op4_contamination", "op5_repeated_substrings", "op6_nearest_vectors",
     "op7_minhash", "op8_mixing", "op9_token_counts", "op10_language",
+    "op11_manifest", "op12_collocations", "op13_bpe",
 ]
 
 
