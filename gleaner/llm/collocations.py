@@ -13,10 +13,12 @@ exact count.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from gleaner.session import written
 
 _BURST = 4096  # entries of a container before it bursts
 _MOST = 1 << 20  # entries of a task's trie before subtrees are spilled
-_ROWS = 50_000  # rows of an outgoing batch
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -35,7 +36,7 @@ _CUT[[*b".,;:!?", *range(10, 14)]] = True
 _APART = _CUT.copy()
 _APART[[9, 32]] = True
 _PREFIX = 3  # words of a phrase that say where its runs are merged
-_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("rest", pa.string()), ("f", pa.int64())])
+_RUN = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -268,23 +269,24 @@ def _hits(known, drop: int):
 
 
 def _runs(docs: DataFrame, longest: int, hits, long_hits) -> DataFrame:
-    """Sorted runs (lang, prefix, rest, f) of each task's trie; words per language come as the empty phrase."""
-    def batch(rows):
-        langs, prefixes, rests, counts = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()).cast(pa.string()),
-                                           pa.array(rests, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=_RUN)
-
-    def spelled(entries, names):
-        rows = []
+    """Sorted runs of each task's trie; words per language come as the empty phrase."""
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spilled(entries, names):
+        """One sorted run per prefix partition and language of all entries taken out of the trie together."""
+        runs: dict[tuple[int, str], list] = {}
         for packed, f in entries:
-            parts = [names[i] for i in np.frombuffer(packed, ">u4").tolist()]
-            words = [w for _, w in parts]
-            rows.append((parts[0][0], b" ".join(words[:_PREFIX]), b" ".join(words[_PREFIX:]), f))
-            if len(rows) >= _ROWS:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
+            own = [names[i] for i in np.frombuffer(packed, ">u4").tolist()]
+            lang, words = own[0][0], [w for _, w in own]
+            part = zlib.crc32(b" ".join([lang.encode(), *words[:_PREFIX]])) % parts
+            runs.setdefault((part, lang), []).append((b" ".join(words), f))
+        keys = sorted(runs)
+        for at in range(0, len(keys), 50):
+            some = [sorted(runs.pop(k)) for k in keys[at:at + 50]]
+            phrases = pa.array([[p for p, _ in run] for run in some], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in keys[at:at + 50]], pa.int32()), pa.array([k[1] for k in keys[at:at + 50]]), phrases,
+                pa.array([[f for _, f in run] for run in some], pa.list_(pa.int64()))], schema=_RUN)
 
     def count(batches):
         names, trie, totals = Vocabulary(), HatTrie(), {}
@@ -299,13 +301,28 @@ def _runs(docs: DataFrame, longest: int, hits, long_hits) -> DataFrame:
             # word ids are dropped only with all of their phrases
             forget = len(names.names) > _MOST
             if trie.size > _MOST or forget:
-                yield from spelled(trie.spill(0 if forget else _MOST // 2), names.names)
+                yield from spilled(trie.spill(0 if forget else _MOST // 2), names.names)
                 names = Vocabulary() if forget else names
-        yield from spelled(trie.spill(0), names.names)
+        yield from spilled(trie.spill(0), names.names)
         if totals:
-            yield batch([(lang, b"", b"", c) for lang, c in totals.items()])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([0] * len(totals), pa.int32()), pa.array(list(totals)), pa.array([[""]] * len(totals), pa.list_(pa.string())),
+                pa.array([[c] for c in totals.values()], pa.list_(pa.int64()))], schema=_RUN)
+
+    return docs.mapInArrow(count, "part int, lang string, phrases array<string>, f array<long>")
+
+
+def _merged(runs: DataFrame, least: int) -> DataFrame:
+    """Runs merged per prefix partition and language: phrases found at least ``least`` times, and the empty one."""
+    def merge(table: pa.Table) -> pa.Table:
+        both = pa.table({"phrase": pa.concat_arrays([c.flatten() for c in table.column("phrases").chunks]),
+                         "f": pa.concat_arrays([c.flatten() for c in table.column("f").chunks])})
+        found = both.group_by("phrase").aggregate([("f", "sum")])
+        found = found.filter(pa.compute.or_(pa.compute.greater_equal(found["f_sum"], least), pa.compute.equal(found["phrase"], "")))
+        lang = pa.array([table.column("lang")[0].as_py()] * found.num_rows, pa.string())
+        return pa.table({"lang": lang, "phrase": found["phrase"], "f": found["f_sum"]})
 
-    return docs.mapInArrow(count, "lang string, prefix string, rest string, f long")
+    return runs.groupBy("part", "lang").applyInArrow(merge, "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -330,10 +347,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
 
     long_hits = _hits(shared(spark, _frequent(docs, least, long_keys)), _drop(spark)) if longest > 2 else None
     runs = _runs(docs, longest, hits, long_hits)
-    # runs are merged where their prefix is dealt to
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
-    phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
-    return written(merged.where((F.col("f") >= least) | (F.col("prefix") == "")).select("lang", phrase.alias("phrase"), "f"), "phrases")
+    return written(_merged(runs, least), "phrases")
 
 
 def score(a: str, n: str, l: str, r: str) -> F.Column:
