@@ -13,6 +13,8 @@ a special string cut in two, whose front is ordinary text.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -41,13 +43,12 @@ class PrefixCounter:
         got = self.memory.get(piece)
         if got is None:
             data = piece.encode()
-            counts = np.array(self.codec.automaton.counts(data), np.int32)
+            counts = self.codec.automaton.counts(data)
             if len(data) != len(piece):
-                raw = np.frombuffer(data, np.uint8)
-                counts = counts[np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]]
+                counts = [c for c, b in zip(counts, data) if b & 0xC0 != 0x80] + [counts[-1]]
             if piece in ("'re", "'ve", "'ll"):  # cut after the first letter it is no contraction
                 counts[2] = 2
-            got = counts[1:].tobytes()
+            got = array("i", counts[1:]).tobytes()
             if len(piece) < _LONG:
                 if len(self.memory) >= _KEPT:
                     self.memory.clear()
