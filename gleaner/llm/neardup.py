@@ -11,16 +11,19 @@ confirmed and folded into components, only pairs across components are left to l
 little overlap is passed over. Sketches of up to 64 values then estimate the similarity from the smallest values of
 the union, and what may reach the threshold is confirmed on the full sets.
 
-Long lists never give pairs. Classes that long lists connect form a group, cut into blocks of bounded size; two blocks meet in
-one task, count common shingles of their full sets and pass on only links that connect what was not connected yet.
+Long lists never give pairs. Classes that long lists connect form a group, cut into blocks of bounded size. A few leaders meet all
+blocks first; what they connect has to meet only what they left. Two blocks meet in one task, count common shingles of
+their full sets and pass on only links that connect what was not connected yet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Words, build_bloom, free_names, shared, shingles, slices, utf8, whole_text
@@ -30,6 +33,8 @@ _SKETCH = 64  # values of the union sketch
 _OUTLINE = [f"o{i}" for i in range(4)]  # 256 bits set by the smallest values, used inside lists
 _LONG = 64  # members from which a list is long
 _BLOCK_CLASSES, _BLOCK_BYTES = 2048, 16 << 20  # of a block of a group, about
+_LEADERS = 16  # classes that a whole group meets at once
+_HUB = 64  # links from which a node may be a hub
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -165,17 +170,63 @@ def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _group_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect all linked classes of each group; ``members`` has cls and comp, the group's name.
+def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that, with the ``known`` ones, connect all linked classes of each group; ``members`` has cls and comp, the group's name.
 
-    Every two blocks of a group meet under a key of their own, so a large group is many tasks, each of about two blocks.
+    A group of several blocks meets a few leaders first, each block in a task of its own with copies of them. The component that
+    then holds most of the group is its bulk. Classes of the bulk are connected, so only the rest still has to meet: with itself
+    and with the bulk. Leaders are taken from what is left again as long as that halves it. Every two blocks that have to meet do
+    so under a key of their own, so a large group is many tasks, each of about two blocks.
     """
-    rows = members.join(texts, "cls").withColumn("bytes", F.octet_length("text"))
-    blocks = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_CLASSES), F.ceil(F.sum("bytes") / _BLOCK_BYTES)).alias("blocks"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    keyed = (rows.join(blocks, "comp").withColumn("mine", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-             .select(F.xxhash64("comp").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "text"))
+    def blocks_of(which):
+        n, total = F.count_if(which), F.coalesce(F.sum(F.when(which, F.col("bytes"))), F.lit(0))
+        return F.greatest(F.ceil(n / _BLOCK_CLASSES), F.ceil(total / _BLOCK_BYTES)).cast("int")
+
+    rows = written(members.join(texts.select("cls", F.octet_length("text").alias("bytes")), "cls"), "members")
+    blocks = written(rows.groupBy("comp").agg(blocks_of(F.lit(True)).alias("blocks")), "blocks")
+    alone = blocks.where("blocks = 1").select("comp")
+    own = rows.join(alone, "comp").select("comp", "cls", F.lit(0).alias("mine"), F.lit(0).alias("other"))
+    found = written(_met(own.join(texts, "cls"), size, percent), "block-links")
+    several = written(rows.join(blocks.where("blocks > 1"), "comp").withColumn(
+        "part", F.pmod(F.xxhash64("cls"), "blocks").cast("int")), "several-blocks")
+    if several.isEmpty():
+        return found
+    rest, links, before, number = several.select("comp", "cls"), [known.select("a", "b")], several.count(), 0
+    while True:
+        order = Window.partitionBy("comp").orderBy(F.xxhash64("cls", F.lit(number)), "cls")
+        leaders = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _LEADERS).select(
+            "cls", F.lit(True).alias("leads"))
+        open_ = several.join(rest.select("comp").distinct(), "comp", "left_semi").join(leaders, "cls", "left").join(texts, "cls")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        sides = [open_.where("leads").withColumn("part", every).withColumn("mine", F.lit(0)), open_.withColumn("mine", F.lit(1))]
+        meeting = sides[0].unionByName(sides[1]).select(
+            F.struct("comp", "part").alias("comp"), "cls", "text", "mine", (1 - F.col("mine")).alias("other"))
+        links.append(written(_met(meeting, size, percent), f"leader-links-{number}"))
+        joined = components(reduce(DataFrame.union, links), f"bulk-{number}").select(F.col("node").alias("cls"), F.col("comp").alias("now"))
+        now = written(several.select("comp", "cls").join(joined, "cls", "left").withColumn("now", F.coalesce("now", "cls")), f"now-{number}")
+        most = now.groupBy("comp", "now").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "now")).alias("most"))
+        bulk = most.select("comp", "most.now")
+        rest = written(now.join(bulk, ["comp", "now"], "left_anti").select("comp", "cls"), f"rest-{number}")
+        left, number = rest.count(), number + 1
+        if not left or 2 * left > before:
+            break
+        before = left
+    if left:
+        # blocks 0 .. open - 1 hold the rest, the next ones the bulk; a group without a rest is connected
+        parted = several.select("comp", "cls", "bytes").join(rest.select("cls", F.lit(True).alias("in_rest")), "cls", "left").withColumn(
+            "in_rest", F.coalesce("in_rest", F.lit(False)))
+        sums = parted.groupBy("comp").agg(blocks_of(F.col("in_rest")).alias("open"), blocks_of(~F.col("in_rest")).alias("closed"))
+        parted, h = parted.join(sums.where("open > 0"), "comp"), F.xxhash64("cls", F.lit("block"))
+        mine = F.when(F.col("in_rest"), F.pmod(h, "open")).otherwise(F.col("open") + F.pmod(h, "closed")).cast("int")
+        last = F.col("open") - 1 + F.when(F.col("in_rest"), F.col("closed")).otherwise(0)
+        parted = parted.join(texts, "cls").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        links.append(_met(parted.select("comp", "cls", "text", "mine", "other"), size, percent))
+    return reduce(DataFrame.union, [found, *links[1:]])
+
+
+def _met(meeting: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between blocks ``mine`` and ``other`` of each ``comp`` for rows (comp, cls, text, mine, other); a block may meet itself."""
+    keyed = meeting.select(F.xxhash64("comp").alias("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "text")
     keyed = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def link(batches):
@@ -230,7 +281,7 @@ def _group_links(members: DataFrame, texts: DataFrame, size: int, percent: int)
                         right.append(held[y[t]][0])
         return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    return keyed.mapInArrow(link, "a binary, b binary").distinct()
+    return keyed.mapInArrow(link, "a binary, b binary")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -291,13 +342,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(confirm, "a binary, b binary")
 
 
+def _folded(links: DataFrame) -> DataFrame:
+    """Links (u, v) with v < u that connect the same nodes: each node of a batch under the smallest it reaches there."""
+
+    def fold(batches):
+        for batch in batches:
+            names, parent = [], []
+            known: dict = {}
+
+            def number(name):
+                if name not in known:
+                    known[name] = len(names)
+                    names.append(name)
+                    parent.append(known[name])
+                return known[name]
+
+            def root(k):
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(number(a)), root(number(b))
+                if a != b:
+                    low, high = (a, b) if names[a] < names[b] else (b, a)
+                    parent[high] = low
+            tops = [root(k) for k in range(len(names))]
+            under = [k for k, t in enumerate(tops) if k != t]
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in under], kind), pa.array([names[tops[k]] for k in under], kind)],
+                                             names=["u", "v"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.select("a", "b").mapInArrow(fold, f"u {kind}, v {kind}")
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``rows.join(least, "u")`` where ``least`` has one row (u, m, c) per u. A u that more than a ten-thousandth of ``total``
+    entries count for meets its rows in place: fewer than 10,000 such are known to every task, so no hub fills one."""
+    hub = F.col("c") > max(_HUB, total // 10_000)
+    hubs = least.where(hub).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    rows = rows.join(F.broadcast(hubs), rows["u"] == hubs["hub"], "left").drop("hub")
+    near = rows.where("hub_m is not null").withColumnRenamed("hub_m", "m")
+    return near.unionByName(rows.where("hub_m is null").drop("hub_m").join(least.where(~hub).drop("c"), "u"))
+
+
 def components(links: DataFrame, label: str = "component") -> DataFrame:
     """(node, comp): the smallest node reachable over links (a, b), for nodes that have links.
 
-    Alternating stars: every node tells its neighbours the smallest node it knows, which shortens paths by half a round.
+    Alternating stars: every node tells its neighbours the smallest node it knows, which shortens paths by half a round. Links are
+    folded batch by batch before they are shuffled, and the links of a hub stay spread.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
-                    f"{label}-links")
+    edges = written(_folded(links).distinct(), f"{label}-links")
 
     def mark(table):
         """Two equal sets of edges have the same; two different ones practically never."""
@@ -305,13 +402,14 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
 
     before, number = mark(edges), 0
     while before[0]:
-        least = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        counted = [F.min("v").alias("m"), F.count("*").alias("c")]
+        least = edges.union(edges.select("v", "u")).groupBy("u").agg(*counted).select("u", F.least("u", "m").alias("m"), "c")
         # large star: bigger neighbours hang under the smallest known
-        large = (edges.select(F.col("u").alias("big"), F.col("v").alias("u")).join(least, "u")
-                 .select(F.col("big").alias("u"), F.col("m").alias("v")).where("u != v"))
+        large = written(_with_least(edges.select(F.col("u").alias("big"), F.col("v").alias("u")), least, 2 * before[0])
+                        .select(F.col("big").alias("u"), F.col("m").alias("v")).where("u != v"), f"{label}-large-{number}")
         # small star: smaller neighbours and the node itself hang under the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(*counted)
+        small = _with_least(large, low, before[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{number}")
         after, number = mark(edges), number + 1
         if after == before:
@@ -364,8 +462,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # whoever has a similar partner in a list has a most similar one, so these are all classes that short lists can link
     first = written(_list_pairs(short.withColumn("comp", F.col("cls")), percent, across=False), "pairs-1")
     texts = _texts(first.select(F.col("a").alias("cls")).union(first.select("b")).union(group.select("cls")).distinct(), plain, size)
-    links = _confirmed(_estimated(first, classes, percent), texts, size, percent)
-    links = written(links.union(_group_links(group, texts, size, percent)), "links-1")
+    links = written(_confirmed(_estimated(first, classes, percent), texts, size, percent), "links-0")
+    links = written(links.union(_group_links(group, texts, links, size, percent)), "links-1")
     comp = written(components(links, "comp-1"), "comps-1")
     named = short.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     second = _list_pairs(named, percent, across=True).join(first, ["a", "b"], "left_anti")

@@ -455,6 +455,41 @@ def test_near_duplicates_of_one_short_text(spark, words):
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == [(7, 1, 7)]
 
 
+@pytest.mark.parametrize("strays", [0, 60])
+def test_large_families_meet_leaders_instead_of_all_pairs(spark, monkeypatch, strays):
+    """A family of 600 in blocks of 50: its texts go to the blocks a few times, not once per block."""
+    monkeypatch.setattr(neardup, "_LONG", 4)
+    monkeypatch.setattr(neardup, "_BLOCK_CLASSES", 50)
+    met, plain_met = [], neardup._met
+
+    def counted(meeting, size, percent):
+        met.append(meeting.count())
+        return plain_met(meeting, size, percent)
+
+    monkeypatch.setattr(neardup, "_met", counted)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        text = list(base)
+        text[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    # texts with a long passage in common that are no copies, the last ones again linked with each other
+    for i in range(strays):
+        rows.append((1000 + i, " ".join(base[:40] + [f"s{i // 2}-{k}" for k in range(150)] + [f"t{i}"])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, rows), often=10 ** 6).collect()}
+    want = {rows[a][0]: (n, c) for a, (n, c) in H.near_duplicates(rows).items()}
+    assert got == want
+    assert sum(met) < len(rows) * (len(rows) // 50 + 1) / 2
+
+
+def test_components_of_a_star_and_its_tail(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_HUB", 3)
+    rows = [(0, i) for i in range(5, 400)] + [(500, i) for i in range(399, 450)] + [(1, 2), (2, 3), (3, 3)]
+    got = neardup.components(spark.createDataFrame(rows, "a long, b long").repartition(16), "star").collect()
+    assert {r["node"]: r["comp"] for r in got} == {**dict.fromkeys([0, *range(5, 450), 500], 0), 1: 1, 2: 1, 3: 1}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["comp"] for r in neardup.components(links, "chain").collect()} == {0}
