@@ -243,8 +243,12 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     merged = F.array_sort(F.concat(
         F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))),
         F.transform(clear, lambda h: F.struct(h["start"].alias("start"), F.lit(4).alias("kind"), h["end"].alias("end")))))
-    counts = [F.size(F.filter("base", lambda b, i=i: b["kind"] == i)).cast("long").alias(f"n_{k}")
-              for i, k in enumerate(KINDS[:4])]
+
+    def count(i):
+        # a second parameter of the lambda, default or not, would be the place in the array
+        return F.size(F.filter("base", lambda b: b["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return both.select("doc_id", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
                        text_of(merged).alias("spans"), F.size(clear).cast("long").alias("n_term"))
 

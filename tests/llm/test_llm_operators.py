@@ -209,6 +209,15 @@ def test_personal_data_of_odd_rows(spark):
     assert privacy.personal_spans(table(spark, [])).count() == 0
 
 
+def test_personal_data_is_counted_by_kind(spark):
+    texts = ["a.b@mail.org c@d.org", "10.20.30.40", "4111 1111 1111 1111", "+49 30 1234567 and +49 (30) 7654321", "x@y.org 1.2.3.4 4111-1111-1111-1111 +82 51 123 4567"]
+    got = privacy.personal_spans(table(spark, list(enumerate(texts)))).collect()
+    for r in got:
+        kinds = [k for k, _, _ in H.base_spans(texts[r["doc_id"]])]
+        assert [r[f"n_{k}"] for k in privacy.KINDS[:4]] == [kinds.count(k) for k in privacy.KINDS[:4]]
+    assert len(got) == len(texts)
+
+
 # ---------------------------------------------------------------- 10 language
 
 def test_language_is_recognised(spark):
