@@ -94,6 +94,17 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert grams(200, [1, 4, 16]) == grams(1 << 20, [1, 4, 16])
 
 
+def test_each_text_looks_for_one_rare_gram(spark, monkeypatch):
+    rng = random.Random(4)
+    same = "".join(rng.choice("abcdefgh") for _ in range(400))
+    texts = spark.createDataFrame([(i, same + "".join(rng.choice("ijklmnop") for _ in range(300))) for i in range(200)], "ord long, text string")
+    counts = X.gram_counts(texts, [256])
+    made = X.containment_grams(texts, [256]).count()
+    assert counts.sum() == made > 200
+    own = X.rarest_grams(texts, [256], X.shared(spark, counts)).collect()
+    assert sorted(r.ord for r in own) == list(range(200)) and {r.seen for r in own} == {1}
+
+
 def test_run_minima():
     values = np.random.default_rng(0).integers(0, 100, 50).astype(np.uint64)
     for c in (1, 4, 16):
