@@ -12,6 +12,7 @@ from gleaner.functions import text as T
 from gleaner.functions import urls as U
 from gleaner.operators import links as L
 from gleaner.operators import sections as S
+from gleaner.operators.bounds import unnest
 from gleaner.operators.dedup import keep_first
 from gleaner.session import written
 from gleaner.sources.pages import with_nodes
@@ -148,19 +149,19 @@ def notice_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROF
     tree = F.col("nodes")
     visible = F.filter(tree, lambda n: (n["tag"] == "#text") & ~n["noise"])
     full = T.clean_text(F.array_join(F.transform(visible, lambda n: n["text"]), "\n"), trailing_blanks=False)
-    read = nodes.select("page_id", "notice_id", full.alias("full"),
-                        L.notice_attachments(L.anchors(tree), profile).alias("attachments"))
+    # every step is made once, in a generator: the filter on the text below would otherwise repeat all of them
+    read = unnest(nodes, ["page_id", "notice_id"], F.array(F.struct(
+        full.alias("full"), L.notice_attachments(L.anchors(tree), profile).alias("attachments"))), "full")
     body = F.col("full")
 
     def field(*labels):
         return T.notice_field(body, labels)
 
-    docs = read.select(
-        "page_id", "notice_id", "attachments",
+    docs = unnest(read, ["page_id", "notice_id", "attachments"], F.array(F.struct(
         F.coalesce(F.nullif(field("제목"), F.lit("")), F.lit("입찰공고")).alias("title"),
         field("고시공고구분").alias("notice_type"), field("고시공고번호").alias("notice_no"), field("작성일").alias("date"),
         F.coalesce(F.nullif(field("담당부서"), F.lit("")), F.lit("재무과")).alias("department"),
-        field("담당자 연락처", "전화번호", "연락처").alias("phone"), T.notice_body(body).alias("body"))
+        field("담당자 연락처", "전화번호", "연락처").alias("phone"), T.notice_body(body).alias("body"))), "title")
     files = F.array_join(F.transform("attachments", lambda a: F.concat(
         F.lit("- "), a["file_name"], F.lit(" ("), a["file_url"], F.lit(")"))), "\n")
     text = T.clean_text(F.concat(
@@ -168,7 +169,7 @@ def notice_documents(pages: DataFrame, profile: lx.SiteProfile = lx.DEFAULT_PROF
         F.col("notice_type"), F.lit("\n고시공고번호: "), F.col("notice_no"), F.lit("\n작성일: "), F.col("date"),
         F.lit("\n담당부서: "), F.col("department"), F.lit("\n담당자 연락처: "), F.col("phone"), F.lit("\n상세URL: "), start,
         F.lit("\n\n첨부파일:\n"), files, F.lit("\n\n[본문]\n"), F.col("body")), trailing_blanks=False)
-    docs = docs.withColumn("text", text).where(P.long_enough(F.col("text"), 80))
+    docs = unnest(docs, docs.columns, F.array(F.struct(text.alias("text"))), "text").where(P.long_enough(F.col("text"), 80))
     return docs.select(
         "page_id", T.notice_id(start, F.col("notice_id")).alias("doc_id"),
         F.concat(start, F.lit("#notice-"), F.col("notice_id")).alias("url"), start.alias("display_url"),
