@@ -344,15 +344,17 @@ def board_rows(pages: DataFrame, key: str = "page_id", url: str = "url",
     made = pages.select(key, url, F.posexplode_outer(F.transform(rows, shaped)).alias("row_no", "r")).where("row_no is not null").select(
         key, url, F.col("row_no").cast("bigint").alias("row_no"), "r.cells", "r.href", "r.title")
     cells = F.col("cells")
-    joined = F.array_join(cells, " | ")
+    joined = F.col("joined")
     day = r"(20[0-9]{2})[./-]([0-9]{1,2})[./-]([0-9]{1,2})"
     date = F.when(joined.rlike(day), F.concat_ws(
         "-", F.regexp_extract(joined, day, 1), F.lpad(F.regexp_extract(joined, day, 2), 2, "0"),
         F.lpad(F.regexp_extract(joined, day, 3), 2, "0"))).otherwise("")
     numeric = F.filter(cells, lambda c: c.rlike(r"^[0-9][0-9,]*\z"))
-    usable = made.where((F.size(cells) >= 3) & (F.col("href") != "")) \
-        .withColumn("link_url", U.normalize_url(F.col(url), F.col("href"), profile.hosts)).where("link_url is not null") \
-        .withColumn("date", date)
+    usable = made.where((F.size(cells) >= 3) & (F.col("href") != ""))
+    # each value is made once, in a generator; a plain column would be made again for every mention of it
+    link_url = U.normalize_url(F.col(url), F.col("href"), profile.hosts)
+    usable = unnest(usable, usable.columns, F.array(F.struct(link_url.alias("link_url"), F.array_join(cells, " | ").alias("joined"))), "link_url")
+    usable = unnest(usable, usable.columns, F.array(F.struct(date.alias("date"))), "date")
     # the cell in front of the first one showing the date
     dated = F.transform(cells, lambda c, i: F.when(
         (F.col("date") != "") & (c.contains(F.replace(F.col("date"), F.lit("-"), F.lit("."))) | c.contains(F.col("date"))),

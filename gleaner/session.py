@@ -48,14 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
-def spread(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+def spread(df: DataFrame, bytes_per_core: int = 16 << 20, rounds: int = 1) -> DataFrame:
     """Rows over all cores ahead of a costly narrow stage, if the table is small enough to lack splits.
 
-    A table of normal size has more splits than the session has cores and is left alone.
+    A table of normal size has more splits than the session has cores and is left alone. With ``rounds`` above 1 a table
+    that many times larger is spread as well: narrow rows that become wide ones lie in few large row groups, hence in few tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    round_ = cores * bytes_per_core
+    return df.repartition(cores * (size // round_ + 1)) if size < rounds * round_ else df
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
