@@ -5,14 +5,16 @@ nearest. A query walks through the cells by growing sum of its distances to the
 border of the cells already taken, until enough entries are gathered, and ranks these entries by the exact inner product.
 
 Neighbouring cells share a region of bounded size, a large cell is cut over several. A query travels once to each region
-in which it has cells, with the list of them. It walks twice: a short walk over the nearest cells finds its k-th best score so far, and on
-the long walk only entries that reach this bound leave a task. So what leaves per query follows from how good the bound is and not
-from the number of regions.
+in which it has cells, with the list of them. Walks grow about tenfold, from the nearest cells to all that are wanted: each but the last
+finds a score that k entries reach, and on the next only entries that reach this bound leave a task. A bound is true whichever
+entries it comes from, so for it a region gives no more than its part of 2 k. What leaves per query follows from the ratio of two walks, whose
+number grows with the logarithm of the table, and not from the number of regions.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from gleaner.llm.common import shared
 from gleaner.session import written
 
 _REGION = 2048  # entries of one region
-_FIRST = 10  # times k entries looked at on the short walk
-_MET = ["region", "piece", "entry", "vec_id", "v", "cells", "bound"]
+_FIRST = 10  # times k entries looked at on the first walk
+_MET = ["region", "piece", "entry", "vec_id", "v", "cells", "bound", "most"]
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str, width: int | None = None) -> tuple[DataFrame, int]:
@@ -80,6 +82,12 @@ def visited(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int)
     return out
 
 
+def walks(first: int, wanted: int) -> list[int]:
+    """Entries looked at on each walk, from ``first`` to ``wanted``, about ten times as many on each."""
+    steps = max(1, round(math.log10(wanted / first)))
+    return [*(round(first * (wanted / first) ** (i / steps)) for i in range(steps)), wanted]
+
+
 def _best(row, ids, k: int):
     """The k largest scores, ties to smaller ids; ``ids`` are sorted, entries not looked at have -inf."""
     at = np.flatnonzero(row > -np.inf)
@@ -145,28 +153,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         filled += int(sizes[c]) if pieces[c] == 1 else _REGION
     plan = shared(spark, (sizes.reshape(k_left, k_right), region, pieces))
 
-    def walk(batches, gather):
+    def walk(batches, gather, last):
         half, (first, second) = centres.value
         table, region, pieces = plan.value
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = both(_matrix(b.column("v")), half)
-            rows, regions, parts, lists = [], [], [], []
+            rows, regions, parts, lists, most = [], [], [], [], []
             for i, (p, q) in enumerate(zip(_distances(x, first), _distances(y, second))):
                 own = np.sort(np.array(visited(p, q, table, gather), np.int32))
-                r = region[own]
+                r, held = region[own], table.ravel()[own]
+                total = held.sum()
                 cuts = np.r_[0, np.flatnonzero(r[1:] != r[:-1]) + 1, len(own)]
                 for s, e in zip(cuts[:-1], cuts[1:]):
+                    part = -(-2 * k * held[s:e].sum() // (total * pieces[own[s]]))
                     for piece in range(pieces[own[s]]):
                         rows.append(i)
                         regions.append(r[s])
                         parts.append(piece)
                         lists.append(own[s:e])
+                        most.append(k if last else min(k, int(part)))
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(regions, pa.int32()), pa.array(parts, pa.int32()), pa.array([False] * len(rows)),
-                 b.column("vec_id").take(rows), b.column("v").take(rows), pa.array(lists, pa.list_(pa.int32())), b.column("bound").take(rows)], names=_MET)
+                 b.column("vec_id").take(rows), b.column("v").take(rows), pa.array(lists, pa.list_(pa.int32())), b.column("bound").take(rows),
+                 pa.array(most, pa.int32())], names=_MET)
 
     def spread(batches):
         _, region, pieces = plan.value
@@ -177,30 +189,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                 lists = pa.ListArray.from_arrays(np.arange(len(cell) + 1, dtype=np.int32), b.column("cell"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(region[cell]), pa.array((mixed_ids.astype(np.int64) % pieces[cell]).astype(np.int32)),
-                     pa.array([True] * len(cell)), b.column("vec_id"), b.column("v"), lists, pa.nulls(len(cell), pa.float64())], names=_MET)
+                     pa.array([True] * len(cell)), b.column("vec_id"), b.column("v"), lists, pa.nulls(len(cell), pa.float64()),
+                     pa.nulls(len(cell), pa.int32())], names=_MET)
 
-    schema = f"region int, piece int, entry boolean, vec_id long, v {v_type}, cells array<int>, bound double"
+    schema = f"region int, piece int, entry boolean, vec_id long, v {v_type}, cells array<int>, bound double, most int"
     # a walk costs much more than its row, so it does not follow the row's size
     asked = written(asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id"), "multi-index-asked")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def best(asked, gather):
-        met = index.mapInArrow(spread, schema).unionByName(asked.mapInArrow(lambda b: walk(b, gather), schema))
+    def best(asked, gather, last):
+        met = index.mapInArrow(spread, schema).unionByName(asked.mapInArrow(lambda b: walk(b, gather, last), schema))
         found = (met.repartition("region", "piece").sortWithinPartitions("region", "piece", F.desc("entry"), "vec_id")
-                 .mapInArrow(lambda b: _scored(b, k), "query_id long, vec_id long, score double"))
+                 .mapInArrow(_scored, "query_id long, vec_id long, score double"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    near = best(asked.withColumn("bound", F.lit(None).cast("double")), _FIRST * k)
-    bounds = written(near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound")), "multi-index-bounds")
-    return best(asked.join(bounds, "vec_id", "left"), max(least, int(np.ceil(share * n)))).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    *early, wanted = walks(_FIRST * k, max(least, int(np.ceil(share * n))))
+    bounded = asked.withColumn("bound", F.lit(None).cast("double"))
+    for gather in early:
+        near = best(bounded, gather, False).where(F.col("rank") == k)
+        bounds = written(near.select(F.col("query_id").alias("vec_id"), F.col("score").alias("found")), "multi-index-bounds")
+        bounded = bounded.join(bounds, "vec_id", "left").select("vec_id", "v", F.greatest("bound", "found").alias("bound"))
+    return best(bounded, wanted, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scored(batches, k: int):
-    """Entries of a region come first, by id; its visitors then pass in blocks and leave with their k best that reach their bound."""
+def _scored(batches):
+    """Entries of a region come first, by id; its visitors then pass in blocks and leave with the best (``most`` of them) that reach their bound."""
     key, ids, vectors, cells = None, [], [], []
 
-    def visit(q_ids, q, offsets, asked, bounds):
+    def visit(q_ids, q, offsets, asked, bounds, most):
         nonlocal ids, vectors, cells
         ids, vectors, cells = [np.concatenate(ids)], [np.concatenate(vectors)], [np.concatenate(cells)]
         by_cell = np.argsort(cells[0], kind="stable")
@@ -222,7 +238,7 @@ def _scored(batches, k: int):
                         score[np.ix_(rows, at[t:t + 512])] = (q[s + rows][:, None, :] * vectors[0][at[t:t + 512]][None, :, :]).sum(axis=2)
             score[(q_ids[s:e, None] == ids[0][None, :]) | (score < bounds[s:e, None])] = -np.inf
             for i in range(e - s):
-                f, x = _best(score[i], ids[0], k)
+                f, x = _best(score[i], ids[0], most[s + i])
                 names.append(np.full(len(f), q_ids[s + i]))
                 found.append(f)
                 scores.append(x)
@@ -236,6 +252,7 @@ def _scored(batches, k: int):
         code = (b.column("region").to_numpy().astype(np.int64) << 32) | b.column("piece").to_numpy()
         entry, name, v = np.asarray(b.column("entry")), b.column("vec_id").to_numpy(), _matrix(b.column("v"))
         lists, bounds = b.column("cells"), np.nan_to_num(b.column("bound").to_numpy(zero_copy_only=False), nan=-np.inf)
+        most = pa.compute.fill_null(b.column("most"), 0).to_numpy()
         offsets = np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())]
         flat = lists.flatten().to_numpy()
         cuts = np.r_[0, np.flatnonzero((code[1:] != code[:-1]) | (entry[1:] != entry[:-1])) + 1, len(code)]
@@ -247,4 +264,4 @@ def _scored(batches, k: int):
                 vectors.append(v[s:e])
                 cells.append(flat[offsets[s]:offsets[e]])
             elif ids:
-                yield visit(name[s:e], v[s:e], offsets[s:e + 1] - offsets[s], flat[offsets[s]:offsets[e]], bounds[s:e])
+                yield visit(name[s:e], v[s:e], offsets[s:e + 1] - offsets[s], flat[offsets[s]:offsets[e]], bounds[s:e], most[s:e])

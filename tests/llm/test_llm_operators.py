@@ -537,6 +537,32 @@ def test_neighbours_find_most_and_rank_exactly(spark):
     assert neighbours.nearest(vectors.where("false"), vectors).count() == 0
 
 
+def test_rows_of_a_search_do_not_follow_the_regions(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(16_000, 8)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    left, score = spark.sparkContext.accumulator(0), neighbours._scored
+    scan = []
+
+    def counted(batches, *rest):
+        for b in score(batches, *rest):
+            left.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(neighbours, "_scored", counted)
+    monkeypatch.setattr(neighbours, "_REGION", 256)
+    queries = vectors.where("vec_id % 800 = 0")
+    scan = neighbours.nearest(vectors, queries, cells=16, share=1.0).collect()
+    y = x.astype(np.float64)
+    for q in range(0, 16_000, 800):
+        exact = y @ y[q]
+        exact[q] = -np.inf
+        assert [r["vec_id"] for r in sorted((r for r in scan if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-exact, kind="stable")[:20].tolist()
+    assert left.value <= 20 * 250, left.value
+    steps = neighbours.walks(200, 40_000_000)
+    assert steps[0] == 200 and steps[-1] == 40_000_000 and all(b <= 20 * a for a, b in zip(steps, steps[1:]))
+
+
 # ---------------------------------------------------------------- 4 benchmark passages
 
 def test_contamination_is_found(spark):
