@@ -61,7 +61,7 @@ _BASE, _POWERS = 0x9FB21C651E98DF25, {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n + 1:
-        size = max(n + 1, SLICE_BYTES * 5 // 4)
+        size = (n // (1 << 18) + 1) << 18  # as long as the texts of this task ask for
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             values = np.full(size, base, np.uint64)
             values[0] = 1

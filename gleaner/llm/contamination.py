@@ -25,6 +25,8 @@ from gleaner.llm.common import _MARK, Words, build_bloom, mixed, shared, shingle
 from gleaner.session import written
 
 _BLOCKS = 8  # of 8 bits
+_SLICE = 1 << 18  # bytes of text handled at once: words, hashes and windows of a slice take some hundred bytes each
+_BITS = 1 << 22  # bits of shingles laid out at once for fingerprints
 
 
 def _sized(h: np.ndarray, n) -> np.ndarray:
@@ -38,6 +40,12 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > h.shape[1], axis=1).view(np.uint64).ravel()
 
 
+def window_fingerprints(h: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
+    """SimHash of the m shingle hashes from each of these places on, a bounded number of windows at a time."""
+    step = max(1, _BITS // (64 * m))
+    return np.concatenate([fingerprints(h[begin[i:i + step, None] + np.arange(m)[None, :]]) for i in range(0, len(begin), step)])
+
+
 def needed(shingle_count: int, percent: int) -> int:
     """Least number of common shingles of two texts with that many each to reach the threshold."""
     return -(-2 * percent * shingle_count // (100 + percent))
@@ -61,7 +69,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFram
     id_type = benchmark.schema[item_id].dataType.simpleString()
 
     def go(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _SLICE):
             data, offsets = utf8(part.column("text"))
             w = Words(data, offsets, _MARK)
             count = np.bincount(w.rows, minlength=part.num_rows)
@@ -106,7 +114,7 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, percent: int, most_le
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _SLICE):
             data, offsets = utf8(part.column("text"))
             w = Words(data, offsets, _MARK)
             rows, h = w.rows, np.zeros(len(w.rows), np.uint64)
@@ -163,7 +171,7 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, percent: int, most_le
                 begin = begin[held >= need]
                 if not len(begin):
                     continue
-                add(begin, n, np.full(len(begin), n), fingerprints(h[begin[:, None] + np.arange(m)[None, :]]))
+                add(begin, n, np.full(len(begin), n), window_fingerprints(h, begin, m))
             if out_rows:
                 at = pa.array(np.concatenate(out_rows))
                 yield pa.RecordBatch.from_arrays(

@@ -565,6 +565,19 @@ def test_rows_of_a_search_do_not_follow_the_regions(spark, monkeypatch):
 
 # ---------------------------------------------------------------- 4 benchmark passages
 
+def test_fingerprints_of_many_windows_take_bounded_memory():
+    import tracemalloc
+    h = np.random.default_rng(5).integers(0, 1 << 63, 20_100, dtype=np.uint64)
+    begin = np.arange(20_000)
+    tracemalloc.start()
+    got = contamination.window_fingerprints(h, begin, 60)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20, most  # 77 MB of bits, and more for their sums, if laid out at once
+    some = [0, 1, 1091, 1092, 1093, 19_999]
+    assert (got[some] == np.concatenate([contamination.fingerprints(h[None, i:i + 60]) for i in some])).all()
+
+
 def test_contamination_is_found(spark):
     rng = random.Random(11)
     words = [f"v{i}" for i in range(400)]
