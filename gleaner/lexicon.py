@@ -28,7 +28,8 @@ NOISE_PREFIXES = [
     "이전글", "다음글", "만족도 조사", "콘텐츠 만족도", "저작권", "개인정보처리방침", "공유", "프린트", "인쇄하기",
     "SNS", "페이스북", "카카오", "인스타그램", "블로그", "유튜브", "열기", "닫기",
 ]
-NOISE_BUNDLE = r"(열기\n)?블로그\n인스타그램\n페이스북\n카카오\n닫기(\n인쇄하기)?"
+NOISE_BUNDLE_CORE = "블로그\n인스타그램\n페이스북\n카카오\n닫기"
+NOISE_BUNDLE = rf"(열기\n)?{NOISE_BUNDLE_CORE}(\n인쇄하기)?"
 WASTE_NOISE_EXACT = [
     "열기", "닫기", "블로그", "인스타그램", "페이스북", "카카오", "트위터", "유튜브", "공유", "인쇄하기", "프린트",
 ]

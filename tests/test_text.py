@@ -54,6 +54,19 @@ def test_cleaning(spark):
         assert row[6] == "\n".join(noise)
 
 
+def test_every_blank_is_cleaned_without_category_tests(spark):
+    assert "\\p{" not in T._ODD_BLANK  # a category is tested for every character of every text
+    texts = [f"a{x}{y}b{x}\n{y}c{x}" for x in lx.WS_CHARS for y in (" ", "\t", "\u3000", "\n")] + ["가~!힣 z", "\u200b x\ufeff"]
+    bundle = lx.NOISE_BUNDLE_CORE
+    c = F.col("t")
+    cut = T.remove_noise_lines(c, exact=["없음"], prefixes=["없는 줄"])
+    got = values(spark, texts, T.clean_block(c))
+    for text, row in zip(texts, got, strict=True):
+        assert row[0] == "\n".join(py_inline(x) for x in text.replace("\r", "\n").split("\n") if x.strip())
+    joined = [f"가나\n{bundle}\n다라", f"{bundle}\n다라", f"가나\n열기\n{bundle}\n인쇄하기\n{bundle}\n다라", "없음\n없음이다\n없는 줄이다"]
+    assert [r[0] for r in values(spark, joined, cut)] == ["가나\n\n다라", "다라", "가나\n\n다라", "없음이다"]
+
+
 def test_dates_and_numbers(spark):
     items = ["2024.1.5", "작성 2024-12-31 끝", "1998-10-3", "2024-02-31", "없음", "20240105", "조회 1,234회", None]
     got = values(spark, items, T.normalize_date(F.col("t")), T.parse_date(F.col("t")).cast("string"), T.normalize_views(F.col("t")))
