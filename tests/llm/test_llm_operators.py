@@ -558,7 +558,7 @@ def test_rows_of_a_search_do_not_follow_the_regions(spark, monkeypatch):
         exact = y @ y[q]
         exact[q] = -np.inf
         assert [r["vec_id"] for r in sorted((r for r in scan if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-exact, kind="stable")[:20].tolist()
-    assert left.value <= 20 * 250, left.value
+    assert left.value <= 20 * 125, left.value  # 151 a query with one short walk ahead of all
     steps = neighbours.walks(200, 40_000_000)
     assert steps[0] == 200 and steps[-1] == 40_000_000 and all(b <= 20 * a for a, b in zip(steps, steps[1:]))
 
