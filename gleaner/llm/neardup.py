@@ -18,8 +18,6 @@ their full sets and pass on only links that connect what was not connected yet.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +33,8 @@ _LONG = 64  # members from which a list is long
 _BLOCK_CLASSES, _BLOCK_BYTES = 2048, 16 << 20  # of a block of a group, about
 _LEADERS = 16  # classes that a whole group meets at once
 _HUB = 64  # links from which a node may be a hub
+_FOLDED = 1 << 16  # links folded at once inside a task, about
+_KNOWN = 100_000  # nodes between others that every task may know
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -170,8 +170,8 @@ def _list_pairs(lists: DataFrame, percent: int, across: bool) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that, with the ``known`` ones, connect all linked classes of each group; ``members`` has cls and comp, the group's name.
+def _grouped(members: DataFrame, texts: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (node, comp) by the ``known`` links and all links within the groups; ``members`` has cls and comp, the group's name.
 
     A group of several blocks meets a few leaders first, each block in a task of its own with copies of them. The component that
     then holds most of the group is its bulk. Classes of the bulk are connected, so only the rest still has to meet: with itself
@@ -186,12 +186,13 @@ def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: i
     blocks = written(rows.groupBy("comp").agg(blocks_of(F.lit(True)).alias("blocks")), "blocks")
     alone = blocks.where("blocks = 1").select("comp")
     own = rows.join(alone, "comp").select("comp", "cls", F.lit(0).alias("mine"), F.lit(0).alias("other"))
-    found = written(_met(own.join(texts, "cls"), size, percent), "block-links")
+    links = known.select("a", "b").union(written(_met(own.join(texts, "cls"), size, percent), "block-links"))
     several = written(rows.join(blocks.where("blocks > 1"), "comp").withColumn(
         "part", F.pmod(F.xxhash64("cls"), "blocks").cast("int")), "several-blocks")
-    if several.isEmpty():
-        return found
-    rest, links, before, number = several.select("comp", "cls"), [known.select("a", "b")], several.count(), 0
+    before, number = several.count(), 0
+    if not before:
+        return components(links, "comp-1")
+    rest = several.select("comp", "cls")
     while True:
         order = Window.partitionBy("comp").orderBy(F.xxhash64("cls", F.lit(number)), "cls")
         leaders = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _LEADERS).select(
@@ -201,8 +202,8 @@ def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: i
         sides = [open_.where("leads").withColumn("part", every).withColumn("mine", F.lit(0)), open_.withColumn("mine", F.lit(1))]
         meeting = sides[0].unionByName(sides[1]).select(
             F.struct("comp", "part").alias("comp"), "cls", "text", "mine", (1 - F.col("mine")).alias("other"))
-        links.append(written(_met(meeting, size, percent), f"leader-links-{number}"))
-        joined = components(reduce(DataFrame.union, links), f"bulk-{number}").select(F.col("node").alias("cls"), F.col("comp").alias("now"))
+        comp = components(links.union(_met(meeting, size, percent)), f"bulk-{number}")
+        links, joined = (comp.select(F.col("node").alias(x), F.col("comp").alias(y)) for x, y in (("a", "b"), ("cls", "now")))
         now = written(several.select("comp", "cls").join(joined, "cls", "left").withColumn("now", F.coalesce("now", "cls")), f"now-{number}")
         most = now.groupBy("comp", "now").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "now")).alias("most"))
         bulk = most.select("comp", "most.now")
@@ -211,7 +212,7 @@ def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: i
         if not left or 2 * left > before:
             break
         before = left
-    if left:
+    if left:  # if not, nothing is added to what the leaders connected
         # blocks 0 .. open - 1 hold the rest, the next ones the bulk; a group without a rest is connected
         parted = several.select("comp", "cls", "bytes").join(rest.select("cls", F.lit(True).alias("in_rest")), "cls", "left").withColumn(
             "in_rest", F.coalesce("in_rest", F.lit(False)))
@@ -220,8 +221,8 @@ def _group_links(members: DataFrame, texts: DataFrame, known: DataFrame, size: i
         mine = F.when(F.col("in_rest"), F.pmod(h, "open")).otherwise(F.col("open") + F.pmod(h, "closed")).cast("int")
         last = F.col("open") - 1 + F.when(F.col("in_rest"), F.col("closed")).otherwise(0)
         parted = parted.join(texts, "cls").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-        links.append(_met(parted.select("comp", "cls", "text", "mine", "other"), size, percent))
-    return reduce(DataFrame.union, [found, *links[1:]])
+        comp = components(links.union(_met(parted.select("comp", "cls", "text", "mine", "other"), size, percent)), "comp-1")
+    return comp
 
 
 def _met(meeting: DataFrame, size: int, percent: int) -> DataFrame:
@@ -343,80 +344,99 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def _folded(links: DataFrame) -> DataFrame:
-    """Links (u, v) with v < u that connect the same nodes: each node of a batch under the smallest it reaches there."""
+    """Links (u, v) with v < u that connect the same nodes: each node of a stretch of links under the smallest it reaches there."""
+    most = _FOLDED
 
     def fold(batches):
-        for batch in batches:
-            names, parent = [], []
-            known: dict = {}
-
-            def number(name):
-                if name not in known:
-                    known[name] = len(names)
-                    names.append(name)
-                    parent.append(known[name])
-                return known[name]
-
-            def root(k):
-                while parent[k] != k:
-                    parent[k] = parent[parent[k]]
-                    k = parent[k]
-                return k
+        names, parent, known, seen = [], [], {}, 0
+
+        def number(name):
+            if name not in known:
+                known[name] = len(names)
+                names.append(name)
+                parent.append(known[name])
+            return known[name]
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
 
+        def stars():
+            tops = [root(k) for k in range(len(names))]
+            under = [k for k, t in enumerate(tops) if k != t]
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in under], type_), pa.array([names[tops[k]] for k in under], type_)],
+                                              names=["u", "v"])
+
+        for batch in batches:
+            type_ = batch.schema.field(0).type
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a, b = root(number(a)), root(number(b))
                 if a != b:
                     low, high = (a, b) if names[a] < names[b] else (b, a)
                     parent[high] = low
-            tops = [root(k) for k in range(len(names))]
-            under = [k for k, t in enumerate(tops) if k != t]
-            kind = batch.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in under], kind), pa.array([names[tops[k]] for k in under], kind)],
-                                             names=["u", "v"])
+            seen += batch.num_rows
+            if seen >= most:
+                yield stars()
+                names, parent, known, seen = [], [], {}, 0
+        if names:
+            yield stars()
 
     kind = links.schema["a"].dataType.simpleString()
     return links.select("a", "b").mapInArrow(fold, f"u {kind}, v {kind}")
 
 
-def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``rows.join(least, "u")`` where ``least`` has one row (u, m, c) per u. A u that more than a ten-thousandth of ``total``
-    entries count for meets its rows in place: fewer than 10,000 such are known to every task, so no hub fills one."""
-    hub = F.col("c") > max(_HUB, total // 10_000)
-    hubs = least.where(hub).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
-    rows = rows.join(F.broadcast(hubs), rows["u"] == hubs["hub"], "left").drop("hub")
-    near = rows.where("hub_m is not null").withColumnRenamed("hub_m", "m")
-    return near.unionByName(rows.where("hub_m is null").drop("hub_m").join(least.where(~hub).drop("c"), "u"))
+def _raised(edges: DataFrame, state: DataFrame, total: int) -> DataFrame:
+    """(a, b): each edge (u, v) with the smallest node above v in the place of v, by a shuffle join. A v that more than a ten-thousandth
+    of ``total`` entries count for meets its edges in place: fewer than 10,000 such are known to every task, so no hub fills one."""
+    hub, top = F.col("c") > max(_HUB, total // 10_000), F.coalesce("m", "node")
+    hubs = state.where(hub).select(F.col("node").alias("hub"), top.alias("hub_top"))
+    rows = edges.join(F.broadcast(hubs), edges["v"] == hubs["hub"], "left").drop("hub")
+    near = rows.where("hub_top is not null").select(F.col("u").alias("a"), F.col("hub_top").alias("b"))
+    rest = rows.where("hub_top is null").join(state.where(~hub).select("node", top.alias("top")), F.col("v") == F.col("node"))
+    return near.unionByName(rest.select(F.col("u").alias("a"), F.col("top").alias("b")))
 
 
 def components(links: DataFrame, label: str = "component") -> DataFrame:
-    """(node, comp): the smallest node reachable over links (a, b), for nodes that have links.
+    """(node, comp): the smallest node reachable over links (a, b), one row for each node that has links.
 
-    Alternating stars: every node tells its neighbours the smallest node it knows, which shortens paths by half a round. Links are
-    folded batch by batch before they are shuffled, and the links of a hub stay spread.
+    Edges lead from a node up to a smaller one. Each round puts them under the smallest node above their upper end (known to every
+    task, if these are few), folds them in place and hangs all that is above one node under the smallest of it. Folded
+    edges name a node once per stretch, so what is gathered for one is bounded by the stretches; edges of a hub stay spread. When
+    nothing lies both above and below others, or below two, all stand under the smallest.
     """
-    edges = written(_folded(links).distinct(), f"{label}-links")
-
-    def mark(table):
-        """Two equal sets of edges have the same; two different ones practically never."""
-        return table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before, number = mark(edges), 0
-    while before[0]:
-        counted = [F.min("v").alias("m"), F.count("*").alias("c")]
-        least = edges.union(edges.select("v", "u")).groupBy("u").agg(*counted).select("u", F.least("u", "m").alias("m"), "c")
-        # large star: bigger neighbours hang under the smallest known
-        large = written(_with_least(edges.select(F.col("u").alias("big"), F.col("v").alias("u")), least, 2 * before[0])
-                        .select(F.col("big").alias("u"), F.col("m").alias("v")).where("u != v"), f"{label}-large-{number}")
-        # small star: smaller neighbours and the node itself hang under the smallest of them
-        low = large.groupBy("u").agg(*counted)
-        small = _with_least(large, low, before[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-{number}")
-        after, number = mark(edges), number + 1
-        if after == before:
-            break
-        before = after
-    tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(tops)
+    edges, number = written(_folded(links), f"{label}-links"), 0
+    while True:
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(0).alias("below")).union(
+            edges.select("v", F.lit(None), F.lit(1)))
+        state = written(ends.groupBy("node").agg(F.min("up").alias("m"), F.max("up").alias("other"), F.sum("below").alias("below"),
+                                                 F.count("*").alias("c")), f"{label}-state-{number}")
+        between = F.col("m").isNotNull() & (F.col("below") > 0)
+        n_between, n_forked, total = state.agg(F.count_if(between), F.count_if(F.col("m") != F.col("other")), F.sum("c")).first()
+        if not n_between and not n_forked:
+            return state.select("node", F.coalesce("m", "node").alias("comp"))
+        if n_between <= _KNOWN:
+            above = state.where(between).select("node", F.col("m").alias("top"))
+            raised = edges.join(F.broadcast(above), edges["v"] == above["node"], "left").select(
+                F.col("u").alias("a"), F.coalesce("top", "v").alias("b"))
+        else:
+            raised = _raised(edges, state, total)
+        over = _folded(raised).groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("over"))
+        below = F.explode(F.concat(F.array("u"), F.filter("over", lambda x: x != F.col("m"))))
+        edges, number = written(over.select(below.alias("u"), F.col("m").alias("v")), f"{label}-{number}"), number + 1
+
+
+def _grown(comp: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """Components (node, comp) by further ``links``: only what the links connect is looked at, by the names of its components."""
+    for end in "ab":
+        named = comp.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+        links = links.join(named, end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
+    lifted = links.where("comp_a != comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    tops = components(lifted, label)
+    old = comp.join(tops.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+    new = tops.join(comp.select("node"), "node", "left_anti")
+    return written(old.select("node", F.coalesce("top", "comp").alias("comp")).union(new.select("node", "comp")), f"{label}-grown")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85,
@@ -456,19 +476,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # classes that long lists connect form groups
     long = lists.where(F.col("size") > _LONG)
     stars = long.select("value", F.col("cls").alias("a")).join(long.groupBy("value").agg(F.min("cls").alias("b")), "value")
-    group = written(components(stars.select("a", "b"), "groups"), "groups").select(
-        F.col("node").alias("cls"), "comp")
+    group = components(stars.select("a", "b"), "groups").select(F.col("node").alias("cls"), "comp")
     short = written(lists.where(F.col("size") <= _LONG).drop("size"), "short-lists")
     # whoever has a similar partner in a list has a most similar one, so these are all classes that short lists can link
     first = written(_list_pairs(short.withColumn("comp", F.col("cls")), percent, across=False), "pairs-1")
     texts = _texts(first.select(F.col("a").alias("cls")).union(first.select("b")).union(group.select("cls")).distinct(), plain, size)
     links = written(_confirmed(_estimated(first, classes, percent), texts, size, percent), "links-0")
-    links = written(links.union(_group_links(group, texts, links, size, percent)), "links-1")
-    comp = written(components(links, "comp-1"), "comps-1")
+    comp = _grouped(group, texts, links, size, percent)
     named = short.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     second = _list_pairs(named, percent, across=True).join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(_estimated(second, classes, percent), texts, size, percent), "links-2")
-    comp = written(components(links.union(more), "comp-2"), "comps-2")
+    comp = _grown(comp, more, "comp-2")
     of_class = classes.select("cls", "least").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
     lowest = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))

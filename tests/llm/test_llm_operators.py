@@ -505,6 +505,36 @@ def test_components_of_a_long_chain(spark):
     assert neardup.components(links.where("false"), "none").count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 10 ** 6])
+def test_components_write_few_tables(spark, monkeypatch, known):
+    """Stars joined by a path, many times over, in and against the order: two tables to a round, no round to find that all is done."""
+    tables, plain = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: tables.append(label) or plain(df, label))
+    monkeypatch.setattr(neardup, "_HUB", 3)
+    monkeypatch.setattr(neardup, "_KNOWN", known)
+    rng, rows = random.Random(5), []
+    for g in range(30):
+        ids = rng.sample(range(1000 * g, 1000 * g + 1000), 60)
+        rows += [(ids[0], i) for i in ids[1:20]] + [(i, ids[40]) for i in ids[20:40]] + list(zip(ids[40:], ids[41:])) + [(ids[3], ids[25])] * 2
+    want = {i: min(j for r in rows for j in r if j // 1000 == i // 1000) for r in rows for i in r}
+    links = spark.createDataFrame(rng.sample(rows, len(rows)), "a long, b long").repartition(16)
+    got = neardup.components(links, "stars").collect()
+    assert len(got) == len(want) and {r["node"]: r["comp"] for r in got} == want
+    rounds = sum("state" not in t for t in tables) - 1
+    assert len(tables) == 2 * rounds + 2 and rounds <= 4
+    tables.clear()
+    apart = neardup.components(spark.createDataFrame([(1, 2), (1, 3), (5, 4)], "a long, b long").coalesce(1), "apart").collect()
+    assert {r["node"]: r["comp"] for r in apart} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and len(tables) == 2
+
+
+def test_components_grow_by_further_links(spark):
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7)], "node long, comp long")
+    more = spark.createDataFrame([(2, 4), (1, 2), (0, 8), (10, 11), (11, 9), (4, 2)], "a long, b long")
+    got = neardup._grown(comp, more, "more").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (7, 0), (8, 0), (9, 9), (10, 9), (11, 9)]
+    assert sorted(map(tuple, neardup._grown(comp, more.where("false"), "none").collect())) == sorted(map(tuple, comp.collect()))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
     assert neardup.deduplicated(table(spark, ODD)).count() == 6
