@@ -8,11 +8,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators.bloom import BlockedBloom, Shared, build_bloom, shared
+from gleaner.operators.bloom import BlockedBloom, Shared, bloom_of_repeated, build_bloom, shared
 from gleaner.operators.bounds import small
 from gleaner.session import written
 
-__all__ = ["BlockedBloom", "Shared", "Words", "build_bloom", "free_names", "hash_of", "held_out", "mixed", "numbered", "ranked", "shared", "shingles", "slices", "small_batches", "utf8", "whole_text"]
+__all__ = ["BlockedBloom", "Shared", "Words", "bloom_of_repeated", "build_bloom", "free_names", "hash_of", "held_out", "mixed", "numbered", "ranked", "shared", "shingles", "slices", "small_batches", "utf8", "whole_text"]
 
 SLICE_BYTES = 1 << 20  # text handled at once inside a task; one longer text is a slice of its own
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import _BASE, _BYTE, build_bloom, mixed, shared, slices, utf8, whole_text
+from gleaner.llm.common import _BASE, _BYTE, bloom_of_repeated, build_bloom, mixed, shared, slices, utf8, whole_text
 from gleaner.session import written
 
 _SLICE = 1 << 20
@@ -81,9 +81,7 @@ def digit_runs(data: np.ndarray, offsets: np.ndarray, depth: int, k: int):
 
 def _digits(batches, depth: int, k: int):
     for _, data, offsets, _ in _stretches(batches, depth):
-        _, _, _, _, names = digit_runs(data, offsets, depth, k)
-        found, n = np.unique(names, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["digit", "n"])
+        yield digit_runs(data, offsets, depth, k)[-1]
 
 
 def _whole(data, first, final, digit, depth: int) -> np.ndarray:
@@ -149,9 +147,7 @@ def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32, width: int =
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    digits = docs.select("text").mapInArrow(lambda b: _digits(b, depth, k), "digit long, n int")
-    again = digits.groupBy("digit").agg(F.sum("n").alias("n")).where("n > 1").select("digit")
-    asked = shared(spark, build_bloom(again, "digit"))
+    asked = shared(spark, bloom_of_repeated(docs.select("text"), lambda b: _digits(b, depth, k)))
 
     def possible(batches):
         for part, data, offsets, shift in _stretches(batches, depth):
@@ -197,7 +193,27 @@ def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32, width: int =
             names = _run_name(*columns[:3], columns[3])
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64))], names=["name"])
 
-    wanted = shared(spark, build_bloom(to_split.mapInArrow(name_runs, "name long"), "name"))
+    wanted = shared(spark, build_bloom(to_split.mapInArrow(name_runs, "name long"), "name", 22))
+
+    def split_runs(batches):
+        """Runs that are taken apart and the bytes common to all windows of a group of neighbours, hashed once per group."""
+        ask = xxhash.xxh3_64_intdigest
+        for part, data, rows, first, final, digit, names, whole, shift in possible(batches):
+            hit = wanted.value.holds(_run_name(names, whole, part.column("row_key").to_numpy()[rows].view(np.uint64),
+                                               (first + shift).astype(np.uint64)))
+            rows, first, final, digit, shift = rows[hit], first[hit], final[hit], digit[hit], shift[hit]
+            # windows first..final start final - first places apart from the digit, fewest last: a group is a range of these places
+            most, least = digit - first, digit - final
+            n = most // width - least // width + 1
+            owner = np.repeat(np.arange(len(first)), n)
+            low = (most[owner] // width - (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))) * width
+            begin, view = digit[owner] - low, memoryview(np.ascontiguousarray(data))
+            core = np.fromiter((ask(view[a:b], x) for a, b, x in zip(begin.tolist(), (begin - width + 1 + depth).tolist(), low.tolist())),
+                               np.uint64, len(owner))
+            yield part, view, rows, first, final, digit, shift, owner, low, core
+
+    # a window that repeats lies in a group whose common bytes repeat; few groups do
+    common = shared(spark, bloom_of_repeated(docs, lambda b: (x[-1] for x in split_runs(b))))
 
     def windows(batches):
         held = _Gathered()
@@ -232,24 +248,18 @@ def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32, width: int =
                 [ids.take(owner), keys.take(owner), pa.array(core[heads].view(np.int64)), pa.array(at[heads] + left[heads] % width),
                  pa.nulls(n, pa.int64()), lists], names=names_out)
 
-        count = 0
-        for part, data, rows, first, final, digit, names, whole, shift in possible(batches):
-            hit = wanted.value.holds(_run_name(names, whole, part.column("row_key").to_numpy()[rows].view(np.uint64),
-                                               (first + shift).astype(np.uint64)))
-            rows, first, final, digit, shift = rows[hit], first[hit], final[hit], digit[hit], shift[hit]
-            n = final - first + 1
-            owner = np.repeat(np.arange(len(first)), n)
-            at = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        count, ask = 0, xxhash.xxh3_64_intdigest
+        for part, view, rows, first, final, digit, shift, owner, low, core in split_runs(batches):
+            hit = common.value.holds(core)
+            owner, low, core = owner[hit], low[hit], core[hit]
+            # windows of a group: those of its run that start low to low + width - 1 places before the digit
+            begin = np.maximum(digit[owner] - low - width + 1, first[owner])
+            n = np.minimum(digit[owner] - low, final[owner]) - begin + 1
+            group = np.repeat(np.arange(len(owner)), n)
+            at = begin[group] + np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+            owner, core = owner[group], core[group]
             left = digit[owner] - at
-            view, ask = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
             rest = np.fromiter((ask(view[p:p + depth]) for p in at.tolist()), np.uint64, len(at))
-            # bytes common to all windows of a group of neighbours, hashed once per group
-            low = left // width * width
-            new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1])]) if len(owner) else owner
-            begin, stop = digit[owner[new]] - low[new], digit[owner[new]] - low[new] - width + 1 + depth
-            core = np.fromiter((ask(view[a:b], x) for a, b, x in zip(begin.tolist(), stop.tolist(), low[new].tolist())),
-                               np.uint64, len(new))
-            core = np.repeat(core, np.diff(np.r_[new, len(owner)]))
             if held.add(part, rows[owner], owner + count, left, at + shift[owner], core, rest):
                 yield from settled()
             count += len(first)
@@ -267,6 +277,29 @@ def repeated_spans(docs: DataFrame, depth: int = 100, k: int = 32, width: int =
     return copies.unionByName(later.select(*place, F.coalesce("end", F.col("start") + depth).alias("end")))
 
 
+def _bounds(stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = stretches >> 31
+    return start, start + (stretches & (1 << 31) - 1)
+
+
+def _folded(batches):
+    """Stretches of each row in order, those that touch or overlap as one."""
+    for batch in batches:
+        lists = batch.column("spans").cast(pa.large_list(pa.int64()))
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        stretches = lists.flatten().to_numpy()
+        order = np.lexsort((stretches, row))
+        row, (start, end) = row[order], _bounds(stretches[order])
+        reach = np.maximum.accumulate(end + (row << 32))  # a row begins beyond all that the one before reaches
+        new = np.flatnonzero(np.r_[np.ones(min(len(row), 1), bool), start[1:] + (row[1:] << 32) > reach[:-1]])
+        last = np.r_[new[1:], len(row)] - 1 if len(row) else new
+        whole = (start[new] << 31) + (reach[last] - (row[last] << 32)) - start[new]
+        offsets = np.searchsorted(row[new], np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row_key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole))],
+            names=["doc_id", "row_key", "spans"])
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 100, k: int = 32,
                     kept: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left).
@@ -278,28 +311,26 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     keyed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(whole_text(text)).alias("row_key"), whole_text(text).alias("text"))
-    spans = written(repeated_spans(keyed, depth, k).groupBy("doc_id", "row_key").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    # a stretch is one number, its start and below that its length
+    stretch = F.shiftleft("start", 31) + F.col("end") - F.col("start")
+    found = repeated_spans(keyed, depth, k).select("doc_id", "row_key", stretch.alias("stretch"))
+    spans = written(found.groupBy("doc_id", "row_key").agg(F.collect_set("stretch").alias("spans"))
+                    .mapInArrow(_folded, f"doc_id {id_type}, row_key long, spans array<long>"), "spans")
     spans = spans.select(F.col("doc_id").alias("span_id"), F.col("row_key").alias("span_key"), "spans")
     touched = shared(spark, build_bloom(spans, "span_key", 18))
-    id_type = keyed.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
 
     def rows_of(part, data, offsets, spans):
         raw = data.tobytes()
         sizes, gone, runs, left = np.diff(offsets), [], [], []
         for a, b, own in zip(offsets.tolist(), offsets[1:].tolist(), spans):
-            s = np.array([x["start"] for x in own or ()], np.int64)
-            if not len(s):
+            if not own:
                 left.append(raw[a:b])
                 gone.append(0)
                 runs.append(0)
                 continue
-            e = np.array([x["end"] for x in own], np.int64)
-            order = np.argsort(s, kind="stable")
-            s, e = s[order], np.maximum.accumulate(e[order])
-            new = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
-            s, e = s[new], e[np.r_[new[1:] - 1, len(e) - 1]]
+            s, e = _bounds(np.array(own, np.int64))
             left.append(b"".join(raw[a + x:a + y] for x, y in zip([0, *e.tolist()], [*s.tolist(), b - a])))
             gone.append(int((e - s).sum()))
             runs.append(len(s))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,60 @@ def build_bloom(keys: DataFrame, key: str, log2_blocks: int = 20) -> BlockedBloo
     return BlockedBloom(out)
 
 
+def bloom_of_repeated(df: DataFrame, hashes) -> BlockedBloom:
+    """Filter of the 64-bit hashes that occur more than once; ``hashes`` makes arrays of them from the batches of a task.
+
+    The filter sees 46 bits of a hash. These leave a task sorted, as differences of four bytes, and meet in groups by their
+    leading bits, of which each is a part of the filter. It has about 16 bits a hash and at most ``2 ** 22`` blocks of 8 bytes.
+    """
+    log2, parts = 22, 8
+    low, inner = np.uint64((1 << 24) - 1), np.uint64(log2 + 24 - parts)
+    bits_of = BlockedBloom.bits
+
+    def packed(held):
+        v = np.sort(np.concatenate(held))
+        v = v[np.r_[np.ones(min(len(v), 2), bool), v[2:] != v[:-2]]]  # two of a kind tell as much as more
+        cuts = np.searchsorted(v >> inner, np.arange((1 << parts) + 1, dtype=np.uint64))
+        made = []
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            steps = np.diff(v[cuts[part]:cuts[part + 1]], prepend=np.uint64(part) << inner)
+            wide = bool(steps.max() >> np.uint64(32))
+            made.append((part, wide, steps.astype(np.uint64 if wide else np.uint32).tobytes()))
+        columns = zip(*made)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "wide", "steps"])
+
+    def leaving(batches):
+        held, n = [], 0
+        for h in hashes(batches):
+            if len(h):
+                held.append(((h & np.uint64((1 << log2) - 1)) << np.uint64(24)) | (h >> np.uint64(40)))
+                n += len(h)
+            if n >= 1 << 20:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def met(table):
+        parts_, wides, steps = (table.column(c).to_pylist() for c in ("part", "wide", "steps"))
+        v = np.sort(np.concatenate([np.cumsum(np.frombuffer(s, np.uint64 if w else np.uint32), dtype=np.uint64)
+                                    for w, s in zip(wides, steps)])) + (np.uint64(parts_[0]) << inner)
+        v = np.unique(v[1:][v[1:] == v[:-1]])
+        blocks, bits = v >> np.uint64(24), bits_of((v & low) << np.uint64(40))
+        heads = np.flatnonzero(np.r_[np.ones(min(len(v), 1), bool), blocks[1:] != blocks[:-1]])
+        bits = np.bitwise_or.reduceat(bits, heads) if len(v) else bits
+        return pa.table([pa.array(blocks[heads].astype(np.int32)), pa.array(bits.view(np.int64))], names=["block", "bits"])
+
+    found = df.mapInArrow(leaving, "part int, wide boolean, steps binary")
+    table = found.groupBy("part").applyInArrow(met, "block int, bits long").toArrow()
+    out = np.zeros(1 << log2, np.uint64)
+    out[table.column("block").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    full = min(table.num_rows / len(out), 1 - 1e-9)
+    size = min(max((int(-np.log1p(-full) * len(out)) // 4).bit_length(), 12), log2)
+    return BlockedBloom(np.bitwise_or.reduce(out.reshape(-1, 1 << size), axis=0))
+
+
 class Shared:
     """A broadcast value that travels with its class, so executors need no copy of this package."""
 

@@ -10,7 +10,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from gleaner.llm import (bpe, contamination, language, mixing, neardup, neighbours, privacy, substrings, tokens, toxicity, urls)
-from gleaner.llm.common import BlockedBloom, Words, build_bloom, numbered, utf8
+from gleaner.llm.common import BlockedBloom, Words, bloom_of_repeated, build_bloom, mixed, numbered, utf8
+from gleaner.session import written
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -429,6 +430,34 @@ def test_repeats_of_odd_rows(spark):
     assert substrings.without_repeats(table(spark, [])).count() == 0
 
 
+def test_spans_travel_as_disjoint_stretches(spark, monkeypatch):
+    """What a text loses meets the text once, whatever the number of windows that said so."""
+    tables = {}
+    monkeypatch.setattr(substrings, "written", lambda df, label: tables.setdefault(label, written(df, label)))
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(1500))
+    rows = [(1, long), (2, "x" + long[:700] + "yy" + long[900:]), (3, long), (4, long[::-1])]
+    got = {r[0]: tuple(r)[1:5] for r in substrings.without_repeats(table(spark, rows)).collect()}
+    assert got == H.without_repeats(rows)
+    spans = {r["doc_id"]: len(r["spans"]) for r in tables["spans"].collect()}
+    assert spans == {doc: row[2] for doc, row in got.items() if row[2]} == {2: 2, 3: 1}
+
+
+def test_filter_of_repeated_hashes_grows_with_them(spark):
+    def hashes(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy().astype(np.uint64)
+            yield mixed(at[at % 3 > 0] + np.uint64(1))  # what 3 divides occurs once
+            yield mixed(at + np.uint64(1))
+
+    few, many = (bloom_of_repeated(spark.range(n).repartition(4), hashes) for n in (3000, 300_000))
+    assert len(few.blocks) < len(many.blocks) < 1 << 22
+    ids = np.arange(300_000, dtype=np.uint64)
+    held = many.holds(mixed(ids + np.uint64(1)))
+    assert held[ids % 3 > 0].all() and held[ids % 3 == 0].mean() < 0.05
+    assert not bloom_of_repeated(spark.range(0), hashes).blocks.any()
+
+
 # ---------------------------------------------------------------- 7 near-duplicates
 
 def test_near_duplicates_are_exact(spark, monkeypatch):
