@@ -105,6 +105,14 @@ def test_each_text_looks_for_one_rare_gram(spark, monkeypatch):
     assert sorted(r.ord for r in own) == list(range(200)) and {r.seen for r in own} == {1}
 
 
+def test_equal_texts_need_not_be_joined_first(spark):
+    """Digests tell the first of equal texts; a later one adds no row and hides nothing."""
+    texts = ["abcdefgh" * 5, "other text of some length", "abcdefgh" * 5, "bcdefgha", "", "other text", "", "abcdefgh" * 5 + "z", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").repartition(3)
+    assert {r.ord for r in X.uncontained_orders(df.where("text is not null")).collect()} == {0, 1, 7}
+    assert {r.ord for r in X.drop_contained(df.selectExpr("ord", "text"), F.col("text"), "ord").collect()} == {0, 1, 7}
+
+
 def test_run_minima():
     values = np.random.default_rng(0).integers(0, 100, 50).astype(np.uint64)
     for c in (1, 4, 16):
