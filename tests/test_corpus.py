@@ -60,6 +60,17 @@ def test_chunks_of_all_kinds(spark, raw):
     assert got["g1_0"].source == lx.DEFAULT_PROFILE.source
 
 
+def test_pieces_are_numbered_where_they_are(spark, raw):
+    """Only pieces of documents that share order and id move to be counted."""
+    docs = J.read_raw(spark, raw)
+    for kind in ("civil", "waste"):
+        plan = build_chunks({kind: docs[kind]})._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    twice = {kind: rows.unionByName(rows) for kind, rows in docs.items()}
+    got = sorted(r.chunk_id for r in build_chunks(twice).collect())
+    assert got == ["c1_0", "c1_1", "g1_0", "g1_1", "g1_2", "g1_3", "w1_0", "w1_1"]
+
+
 def test_lines_tolerant_and_strict(spark, tmp_path):
     path = dump(tmp_path / "x.jsonl", {"doc_id": "a", "views": 1}, "", "{broken", {"doc_id": "b", "views": None})
     from gleaner.schemas import raw_schema
