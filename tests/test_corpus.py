@@ -2,15 +2,17 @@
 
 import hashlib
 import json
+from pathlib import Path
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner import lexicon as lx
 from gleaner.operators import history as H
 from gleaner.plans.chunks import build_chunks, chunk_records
-from gleaner.schemas import chunk_schema
+from gleaner.schemas import KINDS, chunk_schema
 from gleaner.sources import chunks as C
 from gleaner.sources import jsonl as J
 from gleaner.streaming.load import stream_chunks
@@ -71,6 +73,21 @@ def test_pieces_are_numbered_where_they_are(spark, raw):
     assert got == ["c1_0", "c1_1", "g1_0", "g1_1", "g1_2", "g1_3", "w1_0", "w1_1"]
 
 
+def test_corpus_keeps_lines_of_one_kind_at_a_time(spark, monkeypatch):
+    from gleaner.catalog import QUERIES, load_all
+
+    load_all()
+    here, drop = [], J.drop_lines
+
+    def dropped(session, path):
+        here.append(sorted(p.name for p in Path(path).parent.iterdir()))
+        drop(session, path)
+
+    monkeypatch.setattr(J, "drop_lines", dropped)
+    QUERIES["corpus_build"](spark, SF).count()
+    assert here == [["chunks", kind] if kind > "chunks" else [kind, "chunks"] for kind in KINDS]
+
+
 def test_lines_tolerant_and_strict(spark, tmp_path):
     path = dump(tmp_path / "x.jsonl", {"doc_id": "a", "views": 1}, "", "{broken", {"doc_id": "b", "views": None})
     from gleaner.schemas import raw_schema
