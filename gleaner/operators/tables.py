@@ -59,7 +59,7 @@ def _grid_cells(nodes, rows, direct: bool, drop_blanks: bool) -> Column:
 
 
 def page_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, caption, table_text, and the cell views the rules below use) of each table in ``main``."""
+    """(key, pos, kind, and the cell views the rules below use) of each table in ``main``; a view no rule of the kind looks at is null."""
     nodes = F.col("nodes")
 
     def view(t):
@@ -76,22 +76,25 @@ def page_tables(pages: DataFrame, key: str = "page_id") -> DataFrame:
             return F.flatten(F.transform(heads, lambda r: F.transform(
                 D.descendants(nodes, r, "th"), lambda c: D.flat_text(nodes, c))))
 
+        def views(kind):
+            return F.struct(
+                t["pos"].cast("bigint").alias("pos"), kind.alias("kind"),
+                F.when(kind == "weekday", head_cells()).alias("head"),
+                F.when(kind == "company", F.transform(body_rows, lambda r: cells(r, D.flat_text, "td"))).alias("body_flat"),
+                F.when(kind.isin("item_guide", "weekday", "item_guide_or_general"), F.transform(
+                    body_rows, lambda r: cells(r, D.line_text, "td"))).alias("body_lines"),
+                F.when(kind == "price", F.transform(
+                    rows, lambda r: F.filter(cells(r, D.flat_text, "th", "td"), lambda x: x != ""))).alias("flat"),
+                F.when(kind == "fee", _grid_cells(nodes, first_body_rows, True, False))
+                .when(kind.isin("general", "item_guide_or_general"), _grid_cells(nodes, rows, False, True)).alias("cells"),
+            )
+
         caption = D.first(D.descendants(nodes, t, "caption"))
-        return F.struct(
-            t["pos"].cast("bigint").alias("pos"),
-            F.coalesce(D.flat_text(nodes, caption), F.lit("")).alias("caption"),
-            D.flat_text(nodes, t).alias("table_text"),
-            head_cells().alias("head"),
-            F.transform(body_rows, lambda r: cells(r, D.flat_text, "td")).alias("body_flat"),
-            F.transform(body_rows, lambda r: cells(r, D.line_text, "td")).alias("body_lines"),
-            F.transform(rows, lambda r: F.filter(cells(r, D.flat_text, "th", "td"), lambda x: x != "")).alias("flat"),
-            _grid_cells(nodes, first_body_rows, True, False).alias("fee_cells"),
-            _grid_cells(nodes, rows, False, True).alias("all_cells"),
-        )
+        said = F.struct(F.coalesce(D.flat_text(nodes, caption), F.lit("")).alias("caption"), D.flat_text(nodes, t).alias("text"))
+        return T.let(T.let(said, lambda x: table_kind(x["caption"], x["text"])), views)
 
     found = F.transform(D.descendants(nodes, F.col("main"), "table"), view)
-    return unnest(pages, [key], found, "pos").withColumn("fee_grid", fill_spans("fee_cells")) \
-        .withColumn("grid", fill_spans("all_cells")).drop("fee_cells", "all_cells")
+    return unnest(pages, [key], found, "pos").withColumn("grid", fill_spans("cells")).drop("cells")
 
 
 def table_kind(caption: Column, table_text: Column) -> Column:
@@ -208,11 +211,10 @@ def table_sections(bases: DataFrame, pages: DataFrame, key: str = "page_id") ->
     """Sections of every table, given (key, pos, base path) rows for them."""
     tables = page_tables(pages, key).join(bases, [key, "pos"])
     base = F.col("base")
-    kind = table_kind(F.col("caption"), F.col("table_text"))
     guide = item_guide_sections(base, F.col("body_lines"))
     general = general_sections(base, F.col("grid"))
     rules = (
-        F.when(F.col("kind") == "fee", fee_sections(base, F.col("fee_grid")))
+        F.when(F.col("kind") == "fee", fee_sections(base, F.col("grid")))
         .when(F.col("kind") == "item_guide", guide)
         .when(F.col("kind") == "weekday", weekday_sections(base, F.col("head"), F.col("body_lines")))
         .when(F.col("kind") == "company", company_sections(base, F.col("body_flat")))
@@ -220,7 +222,7 @@ def table_sections(bases: DataFrame, pages: DataFrame, key: str = "page_id") ->
         .when((F.col("kind") == "item_guide_or_general") & (F.size(guide) > 0), guide)
         .otherwise(general)
     )
-    made = tables.withColumn("kind", kind).select(key, F.col("pos").alias("section_pos"), F.posexplode_outer(rules)) \
+    made = tables.select(key, F.col("pos").alias("section_pos"), F.posexplode_outer(rules)) \
         .where("pos is not null")
     return made.select(key, "section_pos", F.col("pos").alias("sub"), "col.heading_path", "col.block_type",
                        "col.text")

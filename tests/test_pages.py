@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner import lexicon as lx
@@ -237,3 +238,34 @@ def test_saved_documents_keep_the_first_of_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id string, url string, anchor_text string, text string, score int, seq long")
     assert sorted(r["seq"] for r in saved_documents(docs, order="seq").collect()) == [1, 9]
     assert saved_documents(docs).count() == 4
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    from gleaner.sources import pages as G
+
+    pieces = ["<p>", "</p>", "<P class='a b'>", "<br>", "<br/>", "text", "a & b", "&amp;", "&lt", "<", "<!-- c -->", "<!---->", "<!doctype html>",
+              "<script>", "</script>", "<title>", "</title>", "x<y", " \n", "<td rowspan=2 colspan=\"3\">", "<a href=\"/x?a=1&b=2\">", "<a href='/y'>",
+              "</a>", "<li>", "<ul>", "</ul>", "<textarea>", "</textarea>", "<a href=x/>", "<input disabled>", "<İ>", "<nav>", "</nav>", "<p a= b>", "<plaintext>", "\x1c"]
+    rng, noise, plain = random.Random(5), frozenset(["nav"]), G._plain_tokens
+    pages = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(4000)]
+    quick = [G._Nodes(noise).finish(x) for x in pages]
+    monkeypatch.setattr(G, "_plain_tokens", lambda html: None)
+    assert quick == [G._Nodes(noise).finish(x) for x in pages]
+    assert 500 < sum(plain(x) is not None for x in pages) < 3500
+    monkeypatch.setattr(G, "_plain_tokens", plain)
+    monkeypatch.setattr(G._Nodes, "feed", lambda *_: pytest.fail("plain markup went through the parser"))
+    assert [r[4] for r in G._Nodes(noise).finish("<body><nav id=a>x</nav><script>y</script>z<br></body>")] == [
+        "body", "nav", "#text", "script", "#hidden", "#text", "br"]
+
+
+def test_views_of_a_table_are_those_of_its_kind(spark):
+    from gleaner.operators import tables as X
+    from gleaner.sources.pages import with_nodes
+
+    html = ("<body><table><caption>대형폐기물 수집 및 운반 처리 수수료</caption><tbody><tr><td>가</td></tr></tbody></table>"
+            "<table><tr><th>품목</th><td>나</td></tr></table></body>")
+    pages = with_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")).withColumn("main", F.get("nodes", F.lit(0)))
+    fee, general = sorted(X.page_tables(pages).collect(), key=lambda r: r["pos"])
+    assert (fee["kind"], general["kind"]) == ("fee", "general")
+    assert (fee["grid"], general["grid"]) == ([["가"]], [["품목", "나"]])
+    assert {r[c] for r in (fee, general) for c in ("head", "body_flat", "body_lines", "flat")} == {None}
